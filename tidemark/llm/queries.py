@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, piece_codec, rule_list, simhash, suffix_dedup, suffix_tree_lm, token_count
+from . import decontaminate, html_extract, line_crf, paragraph_dedup, piece_codec, rule_list, simhash, suffix_dedup, suffix_tree_lm, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    found = line_crf.scored(docs, *line_crf.learn(docs, labels, _remainder(3) != 1))
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraph_dedup.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_paragraphs", F.size("lines").cast("long").alias("n_removed"), "lines", "kept_in")
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extracted(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -90,5 +106,5 @@ def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_token_counts, op6_simhash, op7_piece_codec, op8_quality_rules, op9_suffix_tree_lm, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_paragraph_dedup, op3_html_extract, op4_decontaminate, op5_token_counts, op6_simhash, op7_piece_codec, op8_quality_rules, op9_suffix_tree_lm, op10_suffix_dedup)}
 SQL = {"op4_decontaminate": OP4_SQL}

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, store
@@ -341,3 +341,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     joined = joined.withColumn("_cut", cut(F.col(text_col), F.col("s")))
     return joined.select(*[docs[c] for c in docs.columns], F.col("_cut.kept").alias("_kept"), F.col("_cut.removed").alias("_removed"), F.col("_cut.spans").alias("_spans"))
+
+
+def whole_characters(kept: Column) -> Column:
+    """Kept bytes as text; what a cut left of a character that it went through is dropped."""
+
+    @F.pandas_udf("string")
+    def text(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else r.decode(errors="ignore") for r in rows], dtype=object)
+
+    return text(kept)
