@@ -39,6 +39,7 @@ def _group(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     np.add.at(size, group, 1)
     prev = np.full(n, -1, np.int64)
     top, low = ends.copy(), starts.copy()
+    mark = np.zeros(n, bool)
     while len(top):
         g = group[order[top - 1]]
         at, of = _ranges(g, top - g)
@@ -69,15 +70,21 @@ def _group(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
             place = old + size[old] - moved[of] + (np.arange(len(old)) - heads[of])
             # Swap the moved suffixes with those that fill the tail of their groups.
             out = order[place]
-            spare = np.setdiff1d(out, target, assume_unique=True)
-            holes = np.setdiff1d(index[target], place, assume_unique=True)
+            mark[target] = True
+            spare = out[~mark[out]]
+            mark[target] = False
+            mark[place] = True
+            holes = index[target]
+            holes = np.sort(holes[~mark[holes]])
+            mark[place] = False
             spare = spare[np.argsort(group[spare], kind="stable")]
             order[holes], index[spare] = spare, holes
             order[place], index[target] = target, place
             fresh = np.concatenate([[True], (old[1:] != old[:-1]) | (count[1:] != count[:-1])])
-            start = place[np.nonzero(fresh)[0]][np.cumsum(fresh) - 1]
+            begins = np.nonzero(fresh)[0]
+            start = place[begins][np.cumsum(fresh) - 1]
             size[old[heads]] -= moved
-            np.add.at(size, start, 1)
+            size[place[begins]] += np.diff(np.append(begins, len(place)))
             # A group that moved as a whole keeps its place: its start is the old one.
             group[target] = start
         top = g
@@ -98,11 +105,11 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     out = np.full(n, -1, np.int64)
     out[starts] = ends - 1
     placed[ends - 1] = True
-    at, low, end = starts.copy(), starts.copy(), ends.copy()
+    at, end = starts.copy(), ends.copy()
     now = out[at] - 1
     while len(at):
-        do = now >= low
-        do[do] &= ~placed[now[do]]
+        # Left of a string's start, and for the pointer -1, stands a last suffix: placed.
+        do = ~placed[now]
         j = now[do]
         g = group[j]
         out[free[g]] = j
@@ -113,7 +120,7 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         at[go] += 1
         alive = at < end
         if not alive.all():
-            at, low, end, now, go = at[alive], low[alive], end[alive], now[alive], go[alive]
+            at, end, now, go = at[alive], end[alive], now[alive], go[alive]
         now[go] = out[at[go]] - 1
     return out
 

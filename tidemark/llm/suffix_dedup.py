@@ -3,7 +3,7 @@
 A window of ``length`` bytes goes if the same bytes stand anywhere in a document with a
 smaller id. Suffix arrays find the equal windows; what follows makes them small and many:
 
-1. Anchors. Every window has a K-byte gram with the smallest hash (ties all count). Equal
+1. Anchors. Every window has a K-byte gram with the smallest hash (the leftmost of equal ones). Equal
    windows have equal anchors at equal offsets, so only windows whose anchor hash stands in
    two documents can match. A gram that several documents of one batch share is known to be
    shared and crosses the shuffle once, so a passage in a third of all documents loads no task.
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +38,17 @@ from .storage import discard, store
 from .suffix_array import suffix_arrays
 
 LENGTH = 50
-K = 20
+K = 16
 #: Anchors in more places than this, and than a HOT_KEYS-th of all places, are split by window.
-HOT = 1000
+HOT = 50_000
 HOT_KEYS = 100_000
 #: Distinct contexts up to which an anchor's contexts are sorted as one string.
-SPLIT = 12
+SPLIT = 8
+#: Bytes of text whose anchors are found together.
+CHUNK = 128_000
+PLACE_BITS = (1 << 24) - 1
+#: Rows that a task decides together; the more, the longer the arrays in each step.
+TOGETHER = 60_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -73,25 +79,44 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - n)], x[width - n :]) if width > n else x
 
 
-def anchors(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: hash, position, first and last window that it owns."""
-    if len(data) < length:
+def anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor: number of its text, hash, position, first and last window that it owns."""
+    use = np.array([t for t, text in enumerate(texts) if len(text) >= length], np.int64)
+    if not len(use):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    width = length - k + 1
-    h = _grams(np.frombuffer(data, np.uint8), k)
-    low = _slide(h, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    at = np.nonzero(_slide(np.concatenate([edge, low, edge]), width, np.maximum) == h)[0]
-    own, n = h[at], len(low)
-    first, last = np.full(len(at), -1), np.zeros(len(at), np.int64)
-    for back in range(width - 1, -1, -1):
-        w = at - back
-        owned = (w >= 0) & (w < n)
-        owned[owned] = low[w[owned]] == own[owned]
-        first = np.where(owned & (first < 0), w, first)
-        last = np.where(owned, w, last)
-    return own, at, first, last
+        return none, none.astype(np.uint64), none, none, none
+    data = np.frombuffer(b"".join(texts[t] for t in use), np.uint8)
+    ends = np.cumsum([len(texts[t]) for t in use])
+    h = _grams(data, k)
+    # The smallest upper hash bits win, then the leftmost place, which the lower bits hold.
+    mask = np.uint64(PLACE_BITS)
+    order = (h & ~mask) | (np.arange(len(h), dtype=np.uint64) & mask)
+    low = (_slide(order, length - k + 1, np.minimum) & mask).astype(np.int64)
+    # Windows over the end of a text are none.
+    over = (ends[:-1, None] - np.arange(1, length)[None, :]).ravel()
+    low[over[(over >= 0) & (over < len(low))]] = -1
+    # The place that wins only moves to the right, so that each owns a run of windows.
+    first = np.nonzero(np.concatenate([[True], low[1:] != low[:-1]]))[0]
+    last = np.append(first[1:], len(low)) - 1
+    own = low[first] >= 0
+    first, last = first[own], last[own]
+    at = first + ((low[first] - first) & PLACE_BITS)
+    own = h[at]
+    text = np.searchsorted(ends, at, "right")
+    begin = np.concatenate([[0], ends[:-1]])[text]
+    return use[text], own, at - begin, first - begin, last - begin
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``CHUNK`` bytes, with the number of the first."""
+    start, held = 0, 0
+    for t, text in enumerate(texts):
+        held += len(text)
+        if held > CHUNK:
+            yield start, texts[start : t + 1]
+            start, held = t + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
 
 
 def _place_rows(length: int, k: int):
@@ -99,11 +124,12 @@ def _place_rows(length: int, k: int):
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, parts = batch["id"].fillna(NO_ID).astype("int64").tolist(), []
-            for doc, text in zip(ids, batch["text"], strict=True):
-                h, at, first, last = anchors((text or "").encode(), length, k)
-                parts.append((h.view(np.int64), np.full(len(h), doc), at << 16 | (at - first) << 8 | (at - last)))
-            h, doc, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+            ids, texts = batch["id"].fillna(NO_ID).astype("int64").to_numpy(), [(t or "").encode() for t in batch["text"]]
+            parts = [(np.zeros(0, np.int64),) * 3]
+            for start, chunk in _chunks(texts):
+                text, h, at, first, last = anchors(chunk, length, k)
+                parts.append((h.view(np.int64), ids[start + text], at << 16 | (at - first) << 8 | (at - last)))
+            h, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((doc, h))
             h, doc, place = h[order], doc[order], place[order]
             new = np.ones(len(h), bool)
@@ -134,42 +160,75 @@ def shared_places(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFram
     return rows.where("known or (kind = 0 and lo < hi)").select("doc", "h", "place")
 
 
-def _context_rows(length: int):
+def _merged_ranges(rows: np.ndarray) -> np.ndarray:
+    """(doc, start, size) rows with those joined that touch or overlap."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    out: list[list[int]] = []
+    for doc, start, size in rows.tolist():
+        if out and out[-1][0] == doc and start <= out[-1][1] + out[-1][2]:
+            out[-1][2] = max(out[-1][2], start + size - out[-1][1])
+        else:
+            out.append([doc, start, size])
+    return np.array(out, np.int64)
+
+
+class _Least:
+    """Smallest id of each key of a batch; other ids that bring an equal key are decided."""
+
+    def __init__(self) -> None:
+        self.least: dict[tuple[int, bytes], tuple[int, int]] = {}
+        self.gone: list[tuple[int, int, int]] = []
+        self.again: list[tuple[int, bytes, int, int]] = []
+
+    def take(self, key: tuple[int, bytes], doc: int, start: int) -> None:
+        was = self.least.setdefault(key, (doc, start))
+        if doc > was[0]:
+            self.gone.append((doc, start, len(key[1])))
+        elif doc < was[0]:
+            self.gone.append((*was, len(key[1])))
+            self.least[key] = (doc, start)
+        elif start != was[1]:  # the same bytes again in one document
+            self.again.append((*key, doc, start))
+
+    def first(self) -> Iterator[tuple[int, bytes, int, int]]:
+        for (h, body), (doc, start) in self.least.items():
+            yield h, body, doc, start
+        yield from self.again
+
+
+def _context_rows(length: int, k: int):
     """Contexts of shared anchors. Rows with ``size`` and no ``bytes`` are ranges to remove."""
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            least: dict[tuple[int, bytes], tuple[int, int]] = {}
-            out: list[tuple[int, bytes | None, int, int, int]] = []
-
-            def take(key, doc, start, least=least, out=out):
-                was = least.get(key)
-                if was is None:
-                    least[key] = (doc, start)
-                elif doc > was[0]:
-                    out.append((doc * 31, None, doc, start, len(key[1])))
-                else:
-                    if was[0] > doc:
-                        out.append((was[0] * 31, None, *was, len(key[1])))
-                        least[key] = (doc, start)
-                    elif start != was[1]:  # the same context again in one document
-                        out.append((key[0], key[1], doc, start, len(key[1])))
-
-            for doc, text, hs, places, hots in zip(batch["doc"].tolist(), batch["text"], batch["h"], batch["place"], batch["hot"], strict=True):
-                data = (text or "").encode()
-                for h, place, hot in zip(hs.tolist(), places.tolist(), hots.tolist(), strict=True):
-                    at = place >> 16
-                    first, last = at - (place >> 8 & 255), at - (place & 255)
+            found, frequent = _Least(), set()
+            for doc, text, places, hots in zip(batch["doc"].tolist(), batch["text"], batch["place"], batch["hot"], strict=True):
+                data, take = (text or "").encode(), found.take
+                at = places >> 16
+                for hot, p, a, b in zip(hots.tolist(), at.tolist(), (at - (places >> 8 & 255)).tolist(), (at - (places & 255) + length).tolist(), strict=True):
+                    h = xxhash.xxh64_intdigest(data[p : p + k]) - 2**63
                     if hot:
-                        for w in range(first, last + 1):
-                            window = data[w : w + length]
-                            take((h * 31 + int.from_bytes(hashlib.blake2b(window, digest_size=7).digest(), "little"), window), doc, w)
-                    else:
-                        take((h, data[first : last + length]), doc, first)
-            out += [(h, context, doc, start, len(context)) for (h, context), (doc, start) in least.items()]
-            frame = pd.DataFrame(out, columns=["route", "bytes", "doc", "start", "size"])
-            frame["route"] = [((x + 2**63) % 2**64) - 2**63 for x in frame["route"]]
-            yield frame
+                        frequent.add(h)
+                    take((h, data[a:b]), doc, a)
+            split = _Least()
+            keep = []
+            for h, body, doc, start in found.first():
+                if h not in frequent:
+                    keep.append((h, body, doc, start))
+                    continue
+                for w in range(len(body) - length + 1):
+                    window = body[w : w + length]
+                    key = int.from_bytes(hashlib.blake2b(window, digest_size=8, salt=b"window").digest(), "little", signed=True)
+                    split.take((key, window), doc, start + w)
+            for rows in (keep, split.first()):
+                rows = list(rows)
+                for n in range(0, len(rows), 50_000):
+                    h, body, doc, start = zip(*rows[n : n + 50_000], strict=True)
+                    yield pd.DataFrame({"route": h, "bytes": body, "doc": doc, "start": start, "size": [len(b) for b in body]})
+            gone = _merged_ranges(np.array(found.gone + split.gone, np.int64).reshape(-1, 3))
+            yield pd.DataFrame({"route": gone[:, 0] * 31, "bytes": None, "doc": gone[:, 0], "start": gone[:, 1], "size": gone[:, 2]})
 
     return contexts
 
@@ -185,13 +244,14 @@ def _decide(rows: pd.DataFrame, length: int) -> Iterator[tuple[np.ndarray, np.nd
         return
     route = rows["route"].to_numpy()
     group = np.cumsum(np.concatenate([[True], route[1:] != route[:-1]])) - 1
-    context, texts = pd.factorize(pd.Series(list(zip(group.tolist(), rows["bytes"], strict=True)), dtype=object))
+    code = pd.factorize(rows["bytes"])[0]
+    _, where, context = np.unique(group * (len(code) + 1) + code, return_index=True, return_inverse=True)
+    texts, of = rows["bytes"].to_numpy()[where], group[where]
     least = np.full(len(texts), NO_ID)
     np.minimum.at(least, context, doc)
     later = doc > least[context]
     yield doc[later], start[later], size[later]
     # What is left are the first documents of each distinct context.
-    of = np.fromiter((g for g, _ in texts), np.int64, len(texts))
     many = np.bincount(of, minlength=group[-1] + 1)
     strings: list[list[tuple[int, int]]] = []  # pieces of (context, offset in it) by string
     loose: dict[tuple[int, bytes], int] = {}
@@ -204,14 +264,14 @@ def _decide(rows: pd.DataFrame, length: int) -> Iterator[tuple[np.ndarray, np.nd
                 strings.append([(c, 0)])
         else:
             split.append(c)
-            body = texts[c][1]
+            body = texts[c]
             for w in range(len(body) - length + 1):
                 key = (of[c], body[w : w + length])
                 loose[key] = min(loose.get(key, NO_ID), least[c])
     hit_context: list[np.ndarray] = []
     hit_offset: list[np.ndarray] = []
     for c in split:
-        body = texts[c][1]
+        body = texts[c]
         gone = np.array([w for w in range(len(body) - length + 1) if loose[of[c], body[w : w + length]] < least[c]], np.int64)
         hit_context.append(np.full(len(gone), c))
         hit_offset.append(gone)
@@ -238,8 +298,8 @@ def _sorted_hits(strings, texts, least, length):
     owner: list[np.ndarray] = []
     for pieces in strings:
         for c, _ in pieces:
-            body += [np.frombuffer(texts[c][1], np.uint8).astype(np.int64) + 2, np.ones(1, np.int64)]
-            owner.append(np.full(len(texts[c][1]) + 1, c))
+            body += [np.frombuffer(texts[c], np.uint8).astype(np.int64) + 2, np.ones(1, np.int64)]
+            owner.append(np.full(len(texts[c]) + 1, c))
         body.append(np.zeros(1, np.int64))
         owner.append(np.full(1, -1))
     text, owner = np.concatenate(body), np.concatenate(owner)
@@ -268,16 +328,19 @@ def _sorted_hits(strings, texts, least, length):
 def _range_rows(length: int):
     def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Batches come sorted by route; the last route of a batch waits for the next one."""
-        rest = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            held.append(batch)
+            if sum(map(len, held)) < TOGETHER:
+                continue
+            rows = pd.concat(held, ignore_index=True)
             route = rows["route"].to_numpy()
-            cut = int(np.searchsorted(route, route[-1])) if len(route) else 0
-            rest = rows.iloc[cut:]
+            cut = int(np.searchsorted(route, route[-1]))
+            held = [rows.iloc[cut:]]
             if cut:
                 yield from frames(rows.iloc[:cut])
-        if rest is not None and len(rest):
-            yield from frames(rest)
+        if held:
+            yield from frames(pd.concat(held, ignore_index=True))
 
     def frames(rows):
         for doc, start, size in _decide(rows.reset_index(drop=True), length):
@@ -290,22 +353,30 @@ def _range_rows(length: int):
 def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
     """``(doc, spans)``: the merged byte ranges (start, end) to remove, of documents that have some."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    doc = F.coalesce("id", F.lit(NO_ID)).alias("doc")
     shared = store(shared_places(plain, length, k), "shared-anchors")
+    # Whole copies are decided by their hash: all of a later copy goes, and the first one
+    # stands for it everywhere else.
+    texts = plain.where(F.octet_length("text") >= length).select(doc, F.xxhash64("text").alias("t"), F.hash("text").alias("u"), F.octet_length("text").cast("long").alias("size"))
+    firsts = texts.groupBy("t", "u", "size").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    copies = store(texts.join(firsts, ["t", "u", "size"]).where("doc > first").select("doc", "size").distinct(), "text-copies")
     places = shared.count()
     limit = max(HOT, places // HOT_KEYS)
     # At most HOT_KEYS hashes are so frequent, which bounds what is broadcast.
     hot = shared.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("hot"))
-    marked = shared.join(F.broadcast(hot), "h", "left")
-    by_doc = marked.groupBy("doc").agg(F.collect_list(F.struct("h", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("p"))
-    texts = plain.select(F.coalesce("id", F.lit(NO_ID)).alias("doc"), "text").join(by_doc, "doc")
-    texts = texts.select("doc", "text", F.col("p.h").alias("h"), F.col("p.place").alias("place"), F.col("p.hot").alias("hot"))
-    found = texts.mapInPandas(_context_rows(length), "route long, bytes binary, doc long, start long, size long")
+    marked = shared.join(F.broadcast(hot), "h", "left").select("doc", "place", F.coalesce("hot", F.lit(False)).alias("hot"))
+    by_doc = marked.groupBy("doc").agg(F.collect_list("place").alias("place"), F.collect_list("hot").alias("hot"))
+    by_doc = by_doc.join(copies.select("doc"), "doc", "left_anti")
+    texts = plain.select(doc, "text").join(by_doc, "doc").select("doc", "text", "place", "hot")
+    found = texts.mapInPandas(_context_rows(length, k), "route long, bytes binary, doc long, start long, size long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found.repartition(parts, "route").sortWithinPartitions("route")
     gone = found.mapInPandas(_range_rows(length), "doc long, start long, size long")
+    gone = gone.unionByName(copies.select("doc", F.lit(0).cast("long").alias("start"), "size"))
     spans = gone.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("s"))
     out = store(spans, "cuts")
     discard(shared)
+    discard(copies)
     return out
 
 
