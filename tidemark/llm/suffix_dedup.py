@@ -204,8 +204,9 @@ def _context_rows(length: int, k: int):
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found, frequent = _Least(), set()
-            for doc, text, places, hots in zip(batch["doc"].tolist(), batch["text"], batch["place"], batch["hot"], strict=True):
+            for doc, text, places in zip(batch["doc"].tolist(), batch["text"], batch["place"], strict=True):
                 data, take = (text or "").encode(), found.take
+                hots, places = places & 1, places >> 1
                 at = places >> 16
                 for hot, p, a, b in zip(hots.tolist(), at.tolist(), (at - (places >> 8 & 255)).tolist(), (at - (places & 255) + length).tolist(), strict=True):
                     h = xxhash.xxh64_intdigest(data[p : p + k]) - 2**63
@@ -253,35 +254,15 @@ def _decide(rows: pd.DataFrame, length: int) -> Iterator[tuple[np.ndarray, np.nd
     yield doc[later], start[later], size[later]
     # What is left are the first documents of each distinct context.
     many = np.bincount(of, minlength=group[-1] + 1)
-    strings: list[list[tuple[int, int]]] = []  # pieces of (context, offset in it) by string
-    loose: dict[tuple[int, bytes], int] = {}
-    split: list[int] = []
-    for c in np.nonzero(many[of] > 1)[0].tolist():
-        if many[of[c]] <= SPLIT:
-            if strings and of[strings[-1][0][0]] == of[c]:
-                strings[-1].append((c, 0))
-            else:
-                strings.append([(c, 0)])
-        else:
-            split.append(c)
-            body = texts[c]
-            for w in range(len(body) - length + 1):
-                key = (of[c], body[w : w + length])
-                loose[key] = min(loose.get(key, NO_ID), least[c])
-    hit_context: list[np.ndarray] = []
-    hit_offset: list[np.ndarray] = []
-    for c in split:
-        body = texts[c]
-        gone = np.array([w for w in range(len(body) - length + 1) if loose[of[c], body[w : w + length]] < least[c]], np.int64)
-        hit_context.append(np.full(len(gone), c))
-        hit_offset.append(gone)
-    if strings:
-        for c, w in _sorted_hits(strings, texts, least, length):
-            hit_context.append(c)
-            hit_offset.append(w)
-    if not hit_context:
+    small = np.nonzero((many[of] > 1) & (many[of] <= SPLIT))[0]
+    hits = []
+    if len(small):
+        hits.append(_sorted_hits(np.split(small, np.nonzero(np.diff(of[small]))[0] + 1), texts, least, length))
+    if len(large := np.nonzero(many[of] > SPLIT)[0]):
+        hits.append(_single_hits(large, of[large], texts, least, length))
+    if not hits:
         return
-    hit_context, hit_offset = np.concatenate(hit_context), np.concatenate(hit_offset)
+    hit_context, hit_offset = (np.concatenate(x) for x in zip(*hits, strict=True))
     # Join to the rows of each context's smallest id.
     first = np.nonzero(~later)[0]
     first = first[np.argsort(context[first], kind="stable")]
@@ -297,7 +278,7 @@ def _sorted_hits(strings, texts, least, length):
     body: list[np.ndarray] = []
     owner: list[np.ndarray] = []
     for pieces in strings:
-        for c, _ in pieces:
+        for c in pieces.tolist():
             body += [np.frombuffer(texts[c], np.uint8).astype(np.int64) + 2, np.ones(1, np.int64)]
             owner.append(np.full(len(texts[c]) + 1, c))
         body.append(np.zeros(1, np.int64))
@@ -311,7 +292,7 @@ def _sorted_hits(strings, texts, least, length):
     room = stop[np.searchsorted(stop, array)] - array
     array = array[room >= length]
     if len(array) < 2:
-        return
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     string = np.searchsorted(ends, array, "right")
     same = np.ones(len(array) - 1, bool)
     for t in range(length):
@@ -322,7 +303,33 @@ def _sorted_hits(strings, texts, least, length):
     hit = array[low < least[owner[array]]]
     c = owner[hit]
     first = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[0]
-    yield c, hit - first[np.searchsorted(first, hit, "right") - 1]
+    return c, hit - first[np.searchsorted(first, hit, "right") - 1]
+
+
+def _single_hits(large, of, texts, least, length):
+    """The same for contexts whose every window is a string of its own: equal strings are
+    found by a hash, and a hit is compared with the string of the smallest id."""
+    size = np.array([len(texts[c]) for c in large], np.int64)
+    data = np.frombuffer(b"".join(texts[c] for c in large), np.uint8)
+    count = size - length + 1
+    context = np.repeat(np.arange(len(large)), count)
+    offset = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(size) - size)[context] + offset
+    word = np.lib.stride_tricks.sliding_window_view(data, 8)
+    h = of[context].astype(np.uint64)
+    for step in [*range(0, length - 8, 8), length - 8]:
+        h = _mix(h ^ np.ascontiguousarray(word[at + step]).view("<u8").ravel())
+    low = least[large][context]
+    order = np.lexsort((low, h))
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    first = order[np.nonzero(new)[0][np.cumsum(new) - 1]]
+    hit = low[order] > low[first]
+    window = np.lib.stride_tricks.sliding_window_view(data, length)
+    mine, other = order[hit], first[hit]
+    same = np.ones(len(mine), bool)
+    for k in range(0, len(mine), 20_000):
+        same[k : k + 20_000] = (window[at[mine[k : k + 20_000]]] == window[at[other[k : k + 20_000]]]).all(axis=1)
+    return large[context[mine[same]]], offset[mine[same]]
 
 
 def _range_rows(length: int):
@@ -364,10 +371,10 @@ def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     limit = max(HOT, places // HOT_KEYS)
     # At most HOT_KEYS hashes are so frequent, which bounds what is broadcast.
     hot = shared.groupBy("h").count().where(F.col("count") > limit).select("h", F.lit(True).alias("hot"))
-    marked = shared.join(F.broadcast(hot), "h", "left").select("doc", "place", F.coalesce("hot", F.lit(False)).alias("hot"))
-    by_doc = marked.groupBy("doc").agg(F.collect_list("place").alias("place"), F.collect_list("hot").alias("hot"))
+    marked = shared.join(F.broadcast(hot), "h", "left").select("doc", (2 * F.col("place") + F.when(F.col("hot"), 1).otherwise(0)).alias("place"))
+    by_doc = marked.groupBy("doc").agg(F.collect_list("place").alias("place"))
     by_doc = by_doc.join(copies.select("doc"), "doc", "left_anti")
-    texts = plain.select(doc, "text").join(by_doc, "doc").select("doc", "text", "place", "hot")
+    texts = plain.select(doc, "text").join(by_doc, "doc").select("doc", "text", "place")
     found = texts.mapInPandas(_context_rows(length, k), "route long, bytes binary, doc long, start long, size long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = found.repartition(parts, "route").sortWithinPartitions("route")
