@@ -47,3 +47,42 @@ def test_normalisers(spark):
 
 def test_hours():
     assert [serving.resolve_hours(x) for x in ("24", "7d", "bad", 0, 9999, None)] == [24, 168, 24, 24, 720, None]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from tidemark.streaming import jobs
+
+    schema = "event_id long, entity_id string, metric_name string, value double, ts timestamp, is_error boolean"
+    rows = [(k, "e", "m", float(k), T0 + dt.timedelta(seconds=70 * k), k % 3 == 0) for k in range(60)]
+    batch = spark.createDataFrame(rows, schema)
+    sentinel = spark.createDataFrame([(99, "e", "m", 0.0, T0 + dt.timedelta(days=1), False)], schema)
+    batch.coalesce(1).write.parquet(f"{tmp_path}/in")
+    sentinel.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    jobs.feature_job(jobs.read_stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got, want = spark.read.parquet(f"{tmp_path}/out"), features.tumbling_features(batch)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_otlp(spark):
+    from tidemark.sources import otlp
+
+    res = '"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"web"}}]}'
+    metric = f'{{"resourceMetrics":[{{{res},"scopeMetrics":[{{"metrics":[{{"name":"m","unit":"1","gauge":{{"dataPoints":[{{"timeUnixNano":"1715000000000000000","asDouble":42.5}},{{"timeUnixNano":"1715000001000000000","asInt":"7"}}]}}}}]}}]}}]}}'
+    log = f'{{"resourceLogs":[{{{res},"scopeLogs":[{{"logRecords":[{{"observedTimeUnixNano":"1715000000000000000","severityNumber":9,"body":{{"stringValue":"hi"}}}}]}}]}}]}}'
+    span = f'{{"resourceSpans":[{{{res},"scopeSpans":[{{"spans":[{{"traceId":"t","spanId":"s","name":"op","startTimeUnixNano":"1715000000000000000","endTimeUnixNano":"1715000000000500000","status":{{"code":1}},"attributes":[{{"key":"http.method","value":{{"stringValue":"GET"}}}}]}}]}}]}}]}}'
+    raw = spark.createDataFrame([(metric,), (log,), (span,), ("{}",)], "value string")
+    assert [(r.entity_id, r.value, r.ts.timestamp() > 0) for r in otlp.parse_otlp_metrics(raw).orderBy("ts").collect()] == [("web", 42.5, True), ("web", 7.0, True)]
+    assert [(r.log_level, r.message) for r in otlp.parse_otlp_logs(raw).collect()] == [("INFO", "hi")]
+    assert [(r.duration_ms, r.status, r.attributes) for r in otlp.parse_otlp_traces(raw).collect()] == [(0, "OK", {"span.http.method": "GET"})]
+    assert [r.signal for r in otlp.route_signal_type(raw).collect()] == ["metrics", "logs", "traces", "events"]
+
+
+def test_sinks(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    rows = spark.createDataFrame([("a", 1, T0), ("b", 2, T0 + dt.timedelta(days=1))], "entity_id string, v int, ts timestamp")
+    sinks.write_table(rows, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    new = sinks.upsert_latest(rows, spark.createDataFrame([("a", 9, T0)], rows.schema), "entity_id", "ts")
+    assert sorted((r.entity_id, r.v) for r in new.collect()) == [("a", 9), ("b", 2)]
+    assert sinks.apply_retention(rows, "ts", 1, T0 + dt.timedelta(days=2)).count() == 1

@@ -52,3 +52,16 @@ def score_root_causes(paths: DataFrame, causal: bool = False) -> DataFrame:
     score = F.round(anchor * (0.6 + 0.4 * F.greatest(F.lit(0.0), 1 - 0.12 * (n - 1))), 3)
     best = paths.select("symptom", "root", score.alias("confidence")).groupBy("symptom", "root").agg(F.max("confidence").alias("confidence")).where("confidence >= 0.3")
     return best.withColumn("rank", F.row_number().over(W.partitionBy("symptom").orderBy(F.desc("confidence"), "root")))
+
+
+def lagged_correlation_edges(series: DataFrame, max_lag: int = 15, least: float = 0.5, least_rows: int = 4) -> DataFrame:
+    """For each entity and ordered pair of its metrics (entity, metric, idx, value) the lag with the strongest correlation."""
+    cause = series.select("entity_id", F.col("metric_name").alias("cause"), F.col("idx").alias("at"), F.col("value").alias("x"))
+    cause = cause.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("idx", F.col("at") + F.col("lag"))
+    effect = series.select("entity_id", F.col("metric_name").alias("effect"), "idx", F.col("value").alias("y"))
+    pairs = cause.join(effect, ["entity_id", "idx"]).where("cause != effect")
+    # A constant side has no correlation.
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    found = pairs.groupBy("entity_id", "cause", "effect", "lag").agg(r.alias("r"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least_rows) & F.col("r").isNotNull())
+    best = found.groupBy("entity_id", "cause", "effect").agg(F.max_by(F.struct("lag", "r", "n"), F.struct(F.round(F.abs("r"), 9), -F.col("lag"))).alias("b"))
+    return best.select("entity_id", "cause", "effect", "b.lag", "b.r", "b.n").where(F.abs("r") >= least)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import normalize as N
-from .operators import detect, features, graph, incidents, security, serving
+from .operators import detect, entities, features, graph, incidents, security, serving
 from .sources import tables
 
 QUERIES: dict = {}
@@ -15,7 +15,7 @@ SQL: dict[str, str] = {}
 #: The tables of ``sources.tables`` as SQL.
 VIEWS = {
     "metrics": "SELECT event_id, CAST(user_id AS VARCHAR) AS entity_id, event_type AS metric_name, value, ts, event_type = 'error' AS is_error FROM events",
-    "traces": "SELECT l_orderkey AS trace_id, n AS span_id, n - 1 AS parent_span_id, 'svc-' || l_suppkey AS service_name, l_quantity AS duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)",
+    "traces": "SELECT l_orderkey AS trace_id, n AS span_id, n - 1 AS parent_span_id, 'svc-' || l_suppkey AS service_name, l_quantity AS duration_ms, l_shipdate AS ts FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)",
     "incidents": "SELECT o_orderkey AS incident_id, CASE WHEN o_orderpriority[1] IN ('1', '2', '3') THEN 'P' || o_orderpriority[1] ELSE 'P4' END AS severity, CAST(o_custkey AS VARCHAR) AS root_cause_entity, o_totalprice / 5000 AS impact, o_orderstatus AS status, o_orderdate AS created_at FROM orders",
     "knowledge": "SELECT CAST(l_suppkey AS VARCHAR) AS root_cause_entity, l_returnflag AS outcome, l_linestatus AS action_type, l_linenumber AS success_count FROM lineitem",
 }
@@ -182,4 +182,17 @@ def normalize_metric_units(spark, d):
     return _micros(tables.table(spark, d, "part").select("p_partkey", N.metric_value(F.col("p_retailprice"), F.col("p_type")).alias("value")))
 
 
+@query("SELECT c.trace_id, c.span_id AS child_span, p.service_name AS src, c.service_name AS dst, 'CALLS' AS type, c.duration_ms AS latency_ms FROM traces c JOIN traces p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE c.service_name <> p.service_name AND abs(epoch_us(c.ts) - epoch_us(p.ts)) <= 2592000000000")
+def build_relationships(spark, d):
+    found = entities.build_relationships(tables.traces(spark, d), 2_592_000)
+    return found.withColumn("child_span", F.col("child_span").cast("long"))
+
+
+@query("WITH h AS (SELECT entity_id, metric_name, CAST(epoch_us(date_trunc('day', ts)) // 86400000000 AS BIGINT) AS idx, sum(value) AS v FROM metrics GROUP BY 1, 2, 3), p AS (SELECT a.entity_id, a.metric_name AS cause, b.metric_name AS effect, b.idx - a.idx AS lag, a.v AS x, b.v AS y FROM h a JOIN h b ON a.entity_id = b.entity_id AND b.idx - a.idx BETWEEN 1 AND 15 AND a.metric_name <> b.metric_name), c AS (SELECT entity_id, cause, effect, lag, corr(x, y) AS r, count(*) AS n FROM p GROUP BY 1, 2, 3, 4 HAVING count(*) > 5) SELECT entity_id, cause, effect, n, round(r, 6) AS r, lag FROM c WHERE abs(r) >= 0.5 AND NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY entity_id, cause, effect ORDER BY round(abs(r), 9) DESC, lag) = 1")
+def lagged_correlation_edges(spark, d):
+    day = (F.unix_micros(F.date_trunc("day", "ts")) / 86_400_000_000).cast("long")
+    series = tables.metrics(spark, d).groupBy("entity_id", "metric_name", day.alias("idx")).agg(F.sum("value").alias("value"))
+    return _micros(graph.lagged_correlation_edges(series, least_rows=6)).withColumn("lag", F.col("lag").cast("long"))
+
+
 FLAGSHIP = tumbling_features
