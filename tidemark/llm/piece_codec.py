@@ -78,8 +78,8 @@ class Pieces:
         rank = np.unique([-model.get_score(i) for i in pairs.values()], return_inverse=True)[1]
         self.pairs = PairTable([a for a, _ in pairs], [b for _, b in pairs], rank, list(pairs.values()))
 
-    def encode_units(self, units: list[str], dropout: float = 0.0, seed: int = 0, variant: int = 0) -> list[list[int]]:
-        """Ids of each (not empty) unit."""
+    def encode_units(self, units: list[str], dropout: float = 0.0, seed: int = 0, variant: int = 0) -> list[bytes]:
+        """Ids of each (not empty) unit, as 32-bit numbers in bytes, which take a quarter of a list's memory."""
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, units), np.int64, len(units))
         last = np.cumsum(size)
@@ -126,15 +126,16 @@ class Pieces:
             look(follows)
             look(before[i][before[i] >= 0])
         keep = symbol != -2
-        ids, where = symbol[keep].tolist(), np.nonzero(keep)[0]
+        ids, where = symbol[keep].astype(np.int32), np.nonzero(keep)[0]
         cut = np.searchsorted(where, np.append(first, n)).tolist()
-        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        body = ids.tobytes()
+        out = [body[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         raw = where[symbol[keep] == -1]
         for u in np.unique(np.searchsorted(last, raw, "right")).tolist():
             row: list[int] = []
-            for i, k in zip(out[u], where[cut[u] : cut[u + 1]].tolist(), strict=True):
+            for i, k in zip(ids[cut[u] : cut[u + 1]].tolist(), where[cut[u] : cut[u + 1]].tolist(), strict=True):
                 row += [i] if i >= 0 else self.byte[list(chr(points[k]).encode() if points[k] != 0x20 else MARK.encode())].tolist()
-            out[u] = row
+            out[u] = np.array(row, np.int32).tobytes()
         return out
 
     def decode(self, ids) -> str:
@@ -161,10 +162,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, var
                         part = new[a : a + CHUNK]
                         cache.update(zip(part, pieces.encode_units(part, dropout, seed, kind), strict=True))
                     for i, units in cut:
-                        row: list[int] = []
-                        for u in units:
-                            row += cache[u]
-                        out[i] = np.array(row, np.int32)
+                        out[i] = np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32)
             yield pd.Series(out, dtype=object)
 
     variant = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(variants)).cast("int")
