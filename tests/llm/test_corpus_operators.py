@@ -198,6 +198,8 @@ def test_pieces(spark, docs, nothing):
     noisy = piece_codec.decode(piece_codec.encode(docs, path, dropout=0.3, seed=1), path).collect()
     assert all(r.decoded == r.text for r in noisy)
     assert {r.doc_id: r.ids for r in noisy}[0] != {r.doc_id: r.ids for r in plain}[0]
+    both = piece_codec.round_trip(docs, path, dropout=0.3, seed=1).collect()
+    assert sorted(map(repr, both)) == sorted(map(repr, noisy))
     again = piece_codec.encode(docs.repartition(2), path, dropout=0.3, seed=1).collect()
     assert {r.doc_id: r.ids for r in noisy} == {r.doc_id: r.ids for r in again}
     odd = spark.createDataFrame([(1, "▁ x ▁▁"), (2, "  \n\x00🤗é\t")], "doc_id long, text string")

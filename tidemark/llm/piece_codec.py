@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import sentencepiece
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pair_table import NONE, PairTable
@@ -35,6 +35,8 @@ MARK = "▁"
 REMEMBERED = 80_000
 #: Units that are encoded together.
 CHUNK = 8_000
+#: Texts that are cut and encoded together.
+TOGETHER = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -142,6 +144,27 @@ class Pieces:
         return b"".join(map(self.decoded.__getitem__, ids)).decode()[1:]
 
 
+def _encoded(pieces: Pieces, known: list[dict], texts: list, kinds: list[int], dropout: float, seed: int) -> list[np.ndarray | None]:
+    """Ids of each text; ``known`` holds the units of each variant that the task remembers."""
+    out: list[np.ndarray | None] = [None] * len(texts)
+    for kind in sorted(set(kinds)):
+        cache = known[kind]
+        cut = [(i, pieces.unit.findall(" " + text) if text else []) for i, text in enumerate(texts) if kinds[i] == kind and text is not None]
+        if len(cache) > REMEMBERED:
+            cache.clear()
+        new = list(set().union(*(units for _, units in cut)) - cache.keys())
+        for a in range(0, len(new), CHUNK):
+            part = new[a : a + CHUNK]
+            cache.update(zip(part, pieces.encode_units(part, dropout, seed, kind), strict=True))
+        for i, units in cut:
+            out[i] = np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32)
+    return out
+
+
+def _variant(id_col: str, seed: int, variants: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(variants)).cast("int")
+
+
 def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the piece ids of each whole text. ``model``: a path that every executor can read."""
 
@@ -149,24 +172,26 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, var
     def ids(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         pieces, known = Pieces(model), [{} for _ in range(variants)]
         for texts, kinds in batches:
-            out: list[np.ndarray | None] = [None] * len(texts)
-            kinds = kinds.tolist()
-            for kind in sorted(set(kinds)):
-                cache, rows = known[kind], [i for i, k in enumerate(kinds) if k == kind and texts.iloc[i] is not None]
-                for k in range(0, len(rows), 128):
-                    cut = [(i, pieces.unit.findall(" " + texts.iloc[i]) if texts.iloc[i] else []) for i in rows[k : k + 128]]
-                    if len(cache) > REMEMBERED:
-                        cache.clear()
-                    new = list(set().union(*(units for _, units in cut)) - cache.keys())
-                    for a in range(0, len(new), CHUNK):
-                        part = new[a : a + CHUNK]
-                        cache.update(zip(part, pieces.encode_units(part, dropout, seed, kind), strict=True))
-                    for i, units in cut:
-                        out[i] = np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32)
-            yield pd.Series(out, dtype=object)
-
-    variant = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(variants)).cast("int")
-    return docs.withColumn(ids_col, ids(F.col(text_col), variant))
+            for k in range(0, len(texts), TOGETHER):
+                yield pd.Series(_encoded(pieces, known, texts[k : k + TOGETHER].tolist(), kinds[k : k + TOGETHER].tolist(), dropout, seed), dtype=object)
+
+    return docs.withColumn(ids_col, ids(F.col(text_col), _variant(id_col, seed, variants)))
+
+
+def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``decode(encode(docs))`` in one Python process for each task, which then loads one piece table and sends the ids once."""
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        pieces, known = Pieces(model), [{} for _ in range(variants)]
+        for texts, kinds in batches:
+            for k in range(0, len(texts), TOGETHER):
+                ids = _encoded(pieces, known, texts[k : k + TOGETHER].tolist(), kinds[k : k + TOGETHER].tolist(), dropout, seed)
+                decoded = [None if row is None else pieces.decode(row.tolist()) for row in ids]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+
+    coded = docs.withColumn("_coded", both(F.col(text_col), _variant(id_col, seed, variants)))
+    return coded.withColumns({ids_col: F.col("_coded.ids"), decoded_col: F.col("_coded.decoded")}).drop("_coded")
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

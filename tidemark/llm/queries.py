@@ -95,8 +95,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
-    coded = piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, dropout=0.1, seed=7)
-    found = piece_codec.decode(coded, model)
+    found = piece_codec.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), model, dropout=0.1, seed=7)
     return found.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
 
 
