@@ -39,7 +39,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids with merge-dropout; each row says whether they decode to its text."""
     model = vocabulary("piece_bpe_32k.model")
-    coded = piece_codec.decode(piece_codec.encode(docs, model, dropout=0.1, seed=7), model)
+    coded = piece_codec.round_trip(docs, model, dropout=0.1, seed=7)
     lossless = F.col("text").eqNullSafe(F.col("decoded"))
     return coded.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", lossless.alias("lossless"))
 
