@@ -22,6 +22,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 MIN_WORDS = 10
+#: Words whose paragraphs are signed together, and word hashes that a task remembers.
+TOGETHER = 200_000
 _GENERATOR = np.random.default_rng(17)
 _FACTOR = _GENERATOR.integers(1, 2**63, BANDS * ROWS, np.uint64) | np.uint64(1)
 _SHIFT = _GENERATOR.integers(0, 2**63, BANDS * ROWS, np.uint64)
@@ -61,28 +64,62 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + size])) for k in range(n)), np.uint64, n))
 
 
-def band_keys(words: list[bytes]) -> np.ndarray:
-    """One signed 64-bit key for each band."""
-    low = (shingles(words)[:, None] * _FACTOR + _SHIFT).min(axis=0).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+class _WordHashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def band_keys(paras: list[list[bytes]], hashes: dict | None = None) -> np.ndarray:
+    """One signed 64-bit key for each paragraph and band; all paragraphs are signed together."""
+    hashes = _WordHashes() if hashes is None else hashes
+    # Short paragraphs are filled up with empty words, which no text has.
+    paras = [w if len(w) >= SHINGLE else w + [b""] * (SHINGLE - len(w)) for w in paras]
+    size = np.fromiter(map(len, paras), np.int64, len(paras))
+    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(paras)), np.uint64, int(size.sum()))
+    n = len(flat) - SHINGLE + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    last = np.cumsum(size)
+    left = np.repeat(last, size)[:n] - np.arange(n)
+    h = h[left >= SHINGLE]
+    count = size - SHINGLE + 1
+    start = np.cumsum(count) - count
+    key = np.tile(np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(paras), 1))
     for k in range(ROWS):
-        key = (key ^ (low[:, k] >> np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93)
-        key ^= key >> np.uint64(32)
+        for band in range(BANDS):
+            f = band * ROWS + k
+            low = np.minimum.reduceat(h * _FACTOR[f] + _SHIFT[f], start)
+            mixed = (key[:, band] ^ (low >> np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93)
+            key[:, band] = mixed ^ (mixed >> np.uint64(32))
     return key.view(np.int64)
 
 
 def _band_rows(min_words: int):
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _WordHashes()
         for batch in batches:
             seen: set[int] = set()
-            keys, owners = [], []
+            paras, owners, words_held = [], [], 0
             for text in batch["text"]:
                 for _, words in paragraphs(text, min_words):
                     if (p := paragraph_key(words)) not in seen:
                         seen.add(p)
-                        keys.append(band_keys(words))
+                        paras.append(words)
                         owners.append(p)
-            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "p": np.repeat(np.array(owners, np.int64), BANDS)})
+                        words_held += len(words)
+                if words_held > TOGETHER:
+                    yield pd.DataFrame({"key": band_keys(paras, hashes).ravel(), "p": np.repeat(np.array(owners, np.int64), BANDS)})
+                    paras, owners, words_held = [], [], 0
+                    if len(hashes) > TOGETHER:
+                        hashes.clear()
+            if paras:
+                yield pd.DataFrame({"key": band_keys(paras, hashes).ravel(), "p": np.repeat(np.array(owners, np.int64), BANDS)})
 
     return bands
 
@@ -111,9 +148,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        # A text is in many pairs of a batch; its shingles are hashed once.
+        sets = {x: shingles(x.split()) for x in {*left, *right}}
         out = []
         for x, y in zip(left, right, strict=True):
-            s, t = shingles(x.split()), shingles(y.split())
+            s, t = sets[x], sets[y]
             common = len(np.intersect1d(s, t, assume_unique=True))
             out.append(common >= similarity * (len(s) + len(t) - common))
         return pd.Series(out, dtype=bool)
