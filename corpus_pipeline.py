@@ -17,10 +17,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The document with the smallest id of each component of texts with a five-word Jaccard similarity of 0.8; null ids come last."""
+    found = store(simhash.similar_documents(docs), "near-classes")
+    order = F.struct(F.col("id").isNull(), "id", "h")
+    first = found.groupBy("class").agg(F.min(order).alias("first"))
+    gone = found.join(first, "class").where(order != F.col("first")).select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h"))
+    kept = docs.join(gone, same, "left_anti")
+    # Copies without an id are equal in this order too; one of them stays.
+    nameless = kept.where("doc_id is null").withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h"]).drop("_h")
+    return kept.where("doc_id is not null").unionByName(nameless)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -290,3 +290,53 @@ def test_pipeline(spark, tmp_path):
     assert 0 < len(got) < docs.count() and all(r.lossless for r in got)
     bad = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/labels.parquet").where("quality = 0").collect()}
     assert not bad & {r.doc_id for r in got}
+
+
+def brute_components(rows, similarity=0.8):
+    cut = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in cut]
+    of = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if of[i] != of[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                of = [of[j] if x == of[i] else x for x in of]
+    return of
+
+
+def near_copies():
+    r = random.Random(11)
+    rows = []
+    for k in range(12):
+        base = words(90, 100 + k).split()
+        rows.append(" ".join(base))
+        for n in (1, 1, 2, 3, 5):
+            other = list(base)
+            for at in r.sample(range(90), n):
+                other[at] = f"new{r.randrange(10**6)}"
+            rows.append(" ".join(other))
+    return [*enumerate(rows), *((100 + i, t) for i, t in texts())]
+
+
+def test_pipeline_near_duplicates(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r.id, r["class"]) for r in simhash.similar_documents(docs).collect()}
+    of = brute_components(rows)
+    want = {}
+    for (i, _), c in zip(rows, of, strict=True):
+        want.setdefault(c, set()).add(i)
+    got = {}
+    for i, c in found:
+        got.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    left = pipeline.near_duplicates(spark, docs, "")
+    assert {r.doc_id for r in left.collect()} == {min(c) for c in want.values()}
+
+
+def test_pipeline_near_duplicates_without_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = words(60, 31), words(60, 32), words(60, 33)
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (None, b + " tail"), (1, c), (None, c)], "doc_id long, text string")
+    left = sorted((r.doc_id or 0, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect())
+    assert len(left) == 3 and left[-1] == (1, c) and a in {t for _, t in left} and {b, b + " tail"} & {t for _, t in left}

@@ -162,17 +162,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", alike("x", "y").alias("alike"))
 
 
-def similar_paragraphs(plain: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(node, root)`` of the paragraphs that have a similar one."""
+def similar_paragraphs(plain: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, candidates: DataFrame | None = None) -> DataFrame:
+    """``(node, root)`` of the paragraphs that have a similar one; ``candidates`` (a, b) are compared besides the bands'."""
     rows = plain.select("text").mapInPandas(_band_rows(min_words), "key long, p long")
     bucket = Window.partitionBy("key")
     met = rows.withColumn("lo", F.min("p").over(bucket)).withColumn("hi", F.max("p").over(bucket)).where("lo < hi").select("key", "p", "lo")
     met = store(met.distinct(), "band-buckets")
-    members = met.select("p").distinct()
+    stars = met.where("p != lo").select(F.col("lo").alias("a"), F.col("p").alias("b"))
+    members = met.select("p")
+    if candidates is not None:
+        stars = stars.unionByName(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        members = members.unionByName(candidates.select(F.explode(F.array("a", "b")).alias("p")))
+    members = members.distinct()
     texts = plain.mapInPandas(_place_rows(min_words, True), "p long, words binary").join(members, "p", "left_semi")
     texts = store(texts.groupBy("p").agg(F.first("words").alias("words")), "paragraph-words")
-    stars = met.where("p != lo").select(F.col("lo").alias("a"), F.col("p").alias("b")).distinct()
-    first = store(_verified(stars, texts, similarity), "paragraph-links")
+    first = store(_verified(stars.distinct(), texts, similarity), "paragraph-links")
     # Members that are unlike their bucket's smallest meet all others of the bucket.
     unlike = first.where("not alike").select(F.col("a").alias("lo"), F.col("b").alias("p"))
     lone = met.join(unlike, ["lo", "p"]).select("key", F.col("p").alias("q"))

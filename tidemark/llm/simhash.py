@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import paragraph_dedup
 from .components import connected_components
 from .storage import store
 
@@ -102,3 +103,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = classed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = classed.join(names, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _text_rows(shingle: int):
+    """Id, hash of the text, fingerprint and key of the folded words of each row."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [paragraph_dedup.paragraph_key((t or "").encode().lower().split()) for t in batch["text"]]
+            fps = [fingerprint(t, shingle) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "fp": np.array(fps, np.int64), "p": np.array(keys, np.int64)})
+
+    return rows
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``(id, h, class)`` per row: rows of one class are connected by texts of that exact Jaccard similarity of five-word shingles.
+
+    Candidates are texts with fingerprints at most two bits apart, and those that share a
+    MinHash band: at a similarity of 0.8, 64-bit fingerprints differ in about ten bits, for
+    which no segments of them are both few and selective. ``h`` is the hash of the row's text.
+    """
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    kind = plain.schema["id"].dataType.simpleString()
+    rows = store(plain.mapInPandas(_text_rows(paragraph_dedup.SHINGLE), f"id {kind}, h long, fp long, p long"), "simhash-texts")
+    texts = rows.select("fp", "p").distinct()
+    first = texts.groupBy("fp").agg(F.min("p").alias("least"))
+    equal = texts.join(first, "fp").where("p != least").select(F.col("least").alias("a"), F.col("p").alias("b"))
+    near = links(first.select("fp"))
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    candidates = store(equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))), "simhash-candidates")
+    # A whole text is one paragraph.
+    whole = plain.withColumn("text", F.translate("text", "\n", " ")).withColumnRenamed("id", "doc")
+    roots = paragraph_dedup.similar_paragraphs(whole, similarity, 0, candidates)
+    return rows.join(roots.withColumnRenamed("node", "p"), "p", "left").select("id", "h", F.coalesce("root", "p").alias("class"))
