@@ -340,3 +340,16 @@ def test_pipeline_near_duplicates_without_ids(spark):
     docs = spark.createDataFrame([(None, a), (None, a), (None, b), (None, b + " tail"), (1, c), (None, c)], "doc_id long, text string")
     left = sorted((r.doc_id or 0, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect())
     assert len(left) == 3 and left[-1] == (1, c) and a in {t for _, t in left} and {b, b + " tail"} & {t for _, t in left}
+
+
+def test_pieces_of_each_occurrence(spark):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(i, "international " * 30) for i in range(30)], "doc_id long, text string")
+    got = piece_codec.decode(piece_codec.encode(docs, path, dropout=0.3, seed=1), path).collect()
+    assert all(r.decoded == r.text for r in got)
+    pieces = piece_codec.Pieces(path)
+    cuts = [tuple(pieces.decoded[i] for i in r.ids) for r in got]
+    assert len(set(cuts)) == 30
+    # Within one document, the word is cut in more than one way.
+    ways = [{tuple(x.split(b"|")) for x in b"|".join(c).split(b"| ")} for c in cuts]
+    assert min(map(len, ways)) > 4

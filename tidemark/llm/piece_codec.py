@@ -3,11 +3,11 @@
 A text is the pieces of its units: a run of spaces with the characters that follow it, past
 whose ends no piece of the model reaches. Units are encoded together. In every round each
 unit takes the best candidate from its agenda (highest score, then leftmost) and merges it.
-A candidate is skipped if a hash keyed by seed, variant, unit and the candidate's span falls
-below the dropout rate, so that it never enters the agenda of that unit; other merges then
-lead to another segmentation. A document's variant is a hash of its id, so texts differ in
-how they cut the same word, and a repeated run gives the same ids. With dropout 0 the ids
-are those of the library.
+A candidate is skipped if a hash keyed by seed, document id, the unit's place in its text
+and the candidate's span falls below the dropout rate, so that it never enters the agenda of
+that unit; other merges then lead to another segmentation. Every occurrence of a unit is
+encoded by itself, so texts and places differ in how they cut the same word, and a repeated
+run gives the same ids. With dropout 0 the ids are those of the library.
 
 Characters that are no piece become byte pieces; so does U+2581 itself, which the library
 cannot tell from a space. Decoding therefore gives back every text exactly.
@@ -20,18 +20,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import sentencepiece
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pair_table import NONE, PairTable
 
 MARK = "▁"
-#: Units of each variant whose ids a task remembers.
+#: Units whose ids a task remembers without dropout.
 REMEMBERED = 80_000
 #: Units that are encoded together.
 CHUNK = 8_000
@@ -80,8 +80,8 @@ class Pieces:
         rank = np.unique([-model.get_score(i) for i in pairs.values()], return_inverse=True)[1]
         self.pairs = PairTable([a for a, _ in pairs], [b for _, b in pairs], rank, list(pairs.values()))
 
-    def encode_units(self, units: list[str], dropout: float = 0.0, seed: int = 0, variant: int = 0) -> list[bytes]:
-        """Ids of each (not empty) unit, as 32-bit numbers in bytes, which take a quarter of a list's memory."""
+    def encode_units(self, units: list[str], dropout: float = 0.0, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the (not empty) units, one behind the other, and where each starts and the last ends; ``keys`` has a hash for each unit, for dropout."""
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, units), np.int64, len(units))
         last = np.cumsum(size)
@@ -91,10 +91,9 @@ class Pieces:
         # Linked symbols: the next live one (n: none), and the one before (-1: none).
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         after[last - 1], before[first] = n, -1
-        salt = (seed * 0x9E3779B97F4A7C15 + variant * 0xD1B54A32D192ED03) % 2**64
         bound = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
         if dropout:
-            base = np.repeat(np.fromiter((xxhash.xxh64_intdigest(u, salt) for u in units), np.uint64, len(units)), size)
+            base = np.repeat(keys, size)
             end = np.repeat(last, size)
             offset = np.repeat(first, size)
         agenda, made = np.full(n, NONE << 32, np.int64) | np.arange(n), np.zeros(n, np.int32)
@@ -129,68 +128,83 @@ class Pieces:
             look(before[i][before[i] >= 0])
         keep = symbol != -2
         ids, where = symbol[keep].astype(np.int32), np.nonzero(keep)[0]
-        cut = np.searchsorted(where, np.append(first, n)).tolist()
-        body = ids.tobytes()
-        out = [body[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        raw = where[symbol[keep] == -1]
-        for u in np.unique(np.searchsorted(last, raw, "right")).tolist():
-            row: list[int] = []
-            for i, k in zip(ids[cut[u] : cut[u + 1]].tolist(), where[cut[u] : cut[u + 1]].tolist(), strict=True):
-                row += [i] if i >= 0 else self.byte[list(chr(points[k]).encode() if points[k] != 0x20 else MARK.encode())].tolist()
-            out[u] = np.array(row, np.int32).tobytes()
-        return out
+        cut = np.searchsorted(where, np.append(first, n))
+        raw = np.nonzero(ids == -1)[0]
+        if not len(raw):
+            return ids, cut
+        # Characters that are no piece become their bytes.
+        coded = [chr(c).encode() if c != 0x20 else MARK.encode() for c in points[where[raw]].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[raw] = list(map(len, coded))
+        start = np.append(0, np.cumsum(times))
+        out = np.repeat(ids, times)
+        out[np.repeat(ids == -1, times)] = self.byte[np.frombuffer(b"".join(coded), np.uint8)]
+        return out, start[cut]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.decoded.__getitem__, ids)).decode()[1:]
 
 
-def _encoded(pieces: Pieces, known: list[dict], texts: list, kinds: list[int], dropout: float, seed: int) -> list[np.ndarray | None]:
-    """Ids of each text; ``known`` holds the units of each variant that the task remembers."""
-    out: list[np.ndarray | None] = [None] * len(texts)
-    for kind in sorted(set(kinds)):
-        cache = known[kind]
-        cut = [(i, pieces.unit.findall(" " + text) if text else []) for i, text in enumerate(texts) if kinds[i] == kind and text is not None]
-        if len(cache) > REMEMBERED:
-            cache.clear()
-        new = list(set().union(*(units for _, units in cut)) - cache.keys())
-        for a in range(0, len(new), CHUNK):
-            part = new[a : a + CHUNK]
-            cache.update(zip(part, pieces.encode_units(part, dropout, seed, kind), strict=True))
-        for i, units in cut:
-            out[i] = np.frombuffer(b"".join(map(cache.__getitem__, units)), np.int32)
-    return out
-
-
-def _variant(id_col: str, seed: int, variants: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(variants)).cast("int")
-
-
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def _encoded(pieces: Pieces, known: dict[str, bytes], texts: list, docs: np.ndarray, dropout: float) -> list[np.ndarray | None]:
+    """Ids of each text; ``known`` holds the units that the task remembers, ``docs`` a hash of each text's document."""
+    cut = [pieces.unit.findall(" " + text) if text else [] for text in texts]
+    if dropout:
+        size = np.fromiter(map(len, cut), np.int64, len(cut))
+        last = np.cumsum(size)
+        place = np.arange(int(size.sum())) - np.repeat(last - size, size)
+        keys = _mix(np.repeat(docs, size) ^ _mix(place.astype(np.uint64) + np.uint64(1)))
+        units = list(chain.from_iterable(cut))
+        ids, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(units), CHUNK):
+            part, bounds = pieces.encode_units(units[a : a + CHUNK], dropout, keys[a : a + CHUNK])
+            ids.append(part)
+            count.append(np.diff(bounds))
+        ends = np.append(0, np.cumsum(np.concatenate(count)))[np.append(0, last)]
+        rows = np.split(np.concatenate(ids), ends[1:-1])
+        return [None if text is None else row for text, row in zip(texts, rows, strict=True)]
+    if len(known) > REMEMBERED:
+        known.clear()
+    new = list(set().union(*cut) - known.keys())
+    for a in range(0, len(new), CHUNK):
+        part, bounds = pieces.encode_units(new[a : a + CHUNK])
+        # Bytes take a quarter of a list's memory.
+        body, bounds = part.tobytes(), (4 * bounds).tolist()
+        known.update(zip(new[a : a + CHUNK], (body[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)), strict=True))
+    return [None if text is None else np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32) for text, units in zip(texts, cut, strict=True)]
+
+
+def _document(id_col: str, seed: int) -> Column:
+    return F.xxhash64(F.col(id_col), F.lit(seed))
+
+
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the piece ids of each whole text. ``model``: a path that every executor can read."""
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        pieces, known = Pieces(model), [{} for _ in range(variants)]
-        for texts, kinds in batches:
+        pieces, known = Pieces(model), {}
+        for texts, hashes in batches:
+            keys = hashes.to_numpy(np.int64).view(np.uint64)
             for k in range(0, len(texts), TOGETHER):
-                yield pd.Series(_encoded(pieces, known, texts[k : k + TOGETHER].tolist(), kinds[k : k + TOGETHER].tolist(), dropout, seed), dtype=object)
+                yield pd.Series(_encoded(pieces, known, texts[k : k + TOGETHER].tolist(), keys[k : k + TOGETHER], dropout), dtype=object)
 
-    return docs.withColumn(ids_col, ids(F.col(text_col), _variant(id_col, seed, variants)))
+    return docs.withColumn(ids_col, ids(F.col(text_col), _document(id_col, seed)))
 
 
-def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """``decode(encode(docs))`` in one Python process for each task, which then loads one piece table and sends the ids once."""
 
     @F.pandas_udf("ids array<int>, decoded string")
     def both(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        pieces, known = Pieces(model), [{} for _ in range(variants)]
-        for texts, kinds in batches:
+        pieces, known = Pieces(model), {}
+        for texts, hashes in batches:
+            keys = hashes.to_numpy(np.int64).view(np.uint64)
             for k in range(0, len(texts), TOGETHER):
-                ids = _encoded(pieces, known, texts[k : k + TOGETHER].tolist(), kinds[k : k + TOGETHER].tolist(), dropout, seed)
+                ids = _encoded(pieces, known, texts[k : k + TOGETHER].tolist(), keys[k : k + TOGETHER], dropout)
                 decoded = [None if row is None else pieces.decode(row.tolist()) for row in ids]
                 yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
 
-    coded = docs.withColumn("_coded", both(F.col(text_col), _variant(id_col, seed, variants)))
+    coded = docs.withColumn("_coded", both(F.col(text_col), _document(id_col, seed)))
     return coded.withColumns({ids_col: F.col("_coded.ids"), decoded_col: F.col("_coded.decoded")}).drop("_coded")
 
 
