@@ -79,6 +79,12 @@ def test_paragraphs(spark, docs, nothing):
     assert left[2] == "short" and left[3] == "" and left[5] is None
 
 
+def test_short_paragraphs(spark):
+    rows = [(1, "Read more about this story\n" + words(30, 41).replace("\n", " ")), (2, "one line of its own\nread MORE about this story"), (3, "all seven words of this line stay"), (4, "Read more about this story")]
+    got = {r.doc_id: r for r in paragraph_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].lines for k in (1, 2, 3, 4)] == [[], [1], [], [0]] and got[4].kept_in == [1] and got[2].n_paragraphs == 2
+
+
 PAGE = """<html><head><title>t</title></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><header>Site</header>
 <div class="cookie-notice">We use cookies on this site</div><div class="ad">Buy this now and be glad of it.</div>
 <article><h1>Title &amp; more</h1><p>First <b>bold</b>  text&nbsp;here.<p>Second<br>line<script>var a="<p>";</script></article>

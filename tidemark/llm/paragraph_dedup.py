@@ -36,7 +36,7 @@ from .storage import discard, store
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-MIN_WORDS = 10
+MIN_WORDS = SHINGLE
 #: Words whose paragraphs are signed together, and word hashes that a task remembers.
 TOGETHER = 200_000
 _GENERATOR = np.random.default_rng(17)
