@@ -67,22 +67,103 @@ def test_marginals_equal_enumeration():
     assert np.allclose(1 / (1 + np.exp(-(ahead + back))), want)
 
 
-def test_paragraphs(spark, docs, nothing):
-    one = "the quick brown fox jumps over the lazy dog near the river bank while seven small birds sing old songs about summer rain and distant hills far away"
-    near = one.replace("away", "off")
-    rows = [(1, one + "\n" + words(30, 7).replace("\n", " ")), (2, "short\n" + near), (3, one.upper()), (4, words(40, 8).replace("\n", " ")), (5, None)]
-    got = {r.doc_id: r for r in paragraph_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[k].lines for k in (1, 2, 3, 4, 5)] == [[], [1], [0], [], []]
-    assert got[2].kept_in == [1] and got[5].n_paragraphs == 0
+def near_rows():
+    """Documents with copied, edited, embedded and short passages, rows without an id, and repeated rows."""
+    r = random.Random(5)
+    fresh = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(n))
+    base, passage, title = fresh(60), fresh(70), fresh(6)
+    edited = base.split()
+    edited[30] = "other"
+    far = base.split()
+    for k in range(2, 60, 9):
+        far[k] = "far" + str(k)
+    rows = [(1, base + "\n" + title), (2, title + "\n" + " ".join(edited)), (3, base.upper()), (4, " ".join(far)), (5, fresh(40) + " " + passage + " " + fresh(40)), (6, fresh(30) + " " + passage + " " + fresh(50) + "\n" + fresh(8)), (7, None), (8, ""), (9, title)]
+    rows += [(10, fresh(25) + "\n" + fresh(25)), (None, base), (None, passage), (11, passage + "\n" + passage), (11, passage + "\n" + passage), (12, fresh(22)), (13, " \n\t\n")]
+    chain = base.split()
+    for k in range(14, 22):  # each like the one before it, not like the first
+        chain = [*chain[3:], *fresh(3).split()]
+        rows.append((k, " ".join(chain)))
+    return rows
+
+
+def brute_passages(rows, min_words=20):
+    """What ``repeats`` is to find, by comparing all pairs of paragraphs."""
+    cut = lambda words: [0] if len(words) <= paragraph_dedup.LONG else paragraph_dedup.Hashed([words]).cuts()[0]
+    order = lambda row: (row[0] is None, row[0] or 0)
+    docs = sorted({(i, t) for i, t in rows}, key=order)
+    lines, pieces = {}, {}
+    for d, (_, t) in enumerate(docs):
+        at = 0
+        for words in paragraph_dedup.lines_of(t):
+            lines.setdefault(b" ".join(words), []).append((d, at, len(words)))
+            bounds = cut(words)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True) if len(bounds) > 2 else ():
+                pieces.setdefault(b" ".join(words[a:b]), []).append((d, at + a, b - a))
+            at += len(words)
+    sets = {x: {tuple(x.split()[k : k + 5]) for k in range(max(1, len(x.split()) - 4))} for x in lines}
+    group = {x: x for x in lines}
+    find = lambda x: x if group[x] == x else find(group[x])
+    for x in lines:
+        for y in lines:
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                group[find(x)] = find(y)
+    classes = {}
+    for x, places in lines.items():
+        classes.setdefault(find(x), []).extend(places)
+    covered = {d: set() for d in range(len(docs))}
+    for places in [*classes.values(), *pieces.values()]:
+        first = min(places)
+        for d, at, n in places:
+            if docs[d][0] != docs[first[0]][0] or docs[d] != docs[first[0]]:
+                covered[d] |= set(range(at, at + n))
+    out = {}
+    for d, (i, t) in enumerate(docs):
+        runs, start = [], None
+        for k in [*sorted(covered[d]), None]:
+            if start is not None and k != last + 1:
+                if last + 1 - start >= min_words:
+                    runs.append((start, last + 1))
+                start = None
+            start, last = (k if start is None else start), k
+        out[i, t] = runs
+    return out
+
+
+def test_paragraphs(spark, nothing):
+    rows = near_rows()
+    plain = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, id string, h int").repartition(3)
+    want = brute_passages([row for row in rows if row[0] is not None])
+    got = {r.doc_id: r for r in paragraph_dedup.repeats(plain.where("doc_id is not null")).collect()}
+    assert {k: [tuple(x) for x in r.passages] for k, r in got.items()} == {i: v for (i, _), v in want.items()}
+    assert got[2].passages and not got[4].passages and got[6].passages and not got[9].passages and got[9].n_repeated == 1
+    assert got[7].n_paragraphs == got[8].n_paragraphs == got[13].n_paragraphs == 0 and got[3].kept_in == [1]
+    # Rows without an id come last, each as a document of its own.
+    nameless = paragraph_dedup.repeats(plain).where("doc_id is null").collect()
+    assert len(nameless) == 2 and all(r.passages for r in nameless)
     assert paragraph_dedup.repeats(nothing).count() == 0
-    left = {r.doc_id: r.text for r in paragraph_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert left[2] == "short" and left[3] == "" and left[5] is None
-
-
-def test_short_paragraphs(spark):
-    rows = [(1, "Read more about this story\n" + words(30, 41).replace("\n", " ")), (2, "one line of its own\nread MORE about this story"), (3, "all seven words of this line stay"), (4, "Read more about this story")]
-    got = {r.doc_id: r for r in paragraph_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[k].lines for k in (1, 2, 3, 4)] == [[], [1], [], [0]] and got[4].kept_in == [1] and got[2].n_paragraphs == 2
+    left = paragraph_dedup.deduplicated(plain)
+    assert left.columns == plain.columns and left.count() == len(rows)
+    texts = {r.doc_id: r.text for r in left.collect()}
+    assert texts[3] == "" and texts[7] is None and texts[1] == rows[0][1] and texts[9] == rows[8][1]
+    # A passage goes up to the edges of its pieces.
+    before, after = dict(rows)[6].split(), texts[6].split()
+    assert 0 < len(before) - len(after) <= 70 and set(before[:30]) | set(before[100:]) <= set(after)
+    inside = {r.doc_id: r.passages for r in paragraph_dedup.repeats(plain, inside=True).collect()}
+    assert (70, 140) in [tuple(x) for x in inside[11]] and not got[11].passages[0][0] == 70
+
+
+def test_many_unlike_paragraphs(spark):
+    """Versions of one paragraph that share bands and are like others of their bucket, but not like its centre."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(60):
+        version = base[:]
+        for _ in range(r.randrange(1, 5)):
+            version[r.randrange(40)] = f"x{r.randrange(3)}"
+        rows.append((k, " ".join(version)))
+    got = {r.doc_id: [tuple(x) for x in r.passages] for r in paragraph_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: v for (i, _), v in brute_passages(rows).items()}
 
 
 PAGE = """<html><head><title>t</title></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><header>Site</header>

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back, tidy
+
 SAMPLE = 6_000
 ROUNDS = 250
 RIDGE = 1e-3
@@ -155,6 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     rows = labels.where(use & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     chosen = rows.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)  # bounded, so it may be broadcast
 
+    @tidy
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [describe([(t or "").encode()])[0] for t in batch["text"]]
@@ -188,5 +191,6 @@ def scored(docs: DataFrame, field: Field | None, prior: float = 0.5, text_col: s
             if chunk:
                 parts.append(score_texts(chunk, *shared.value))
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        give_back()
 
     return docs.withColumn(score_col, score(F.col(text_col)))

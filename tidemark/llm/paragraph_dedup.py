@@ -1,225 +1,315 @@
-"""Removal of repeated paragraphs, exact and near, by MinHash bands.
+"""Removal of repeated passages: paragraphs, exact and near, by MinHash bands.
 
-A paragraph is a line of at least ``min_words`` words. Its set of five-word shingles (case
-folded, A-Z) is signed with ``BANDS`` x ``ROWS`` MinHash values. For a Jaccard similarity s
-a band collides with probability s^ROWS, so at s = 0.8 the bands miss a pair with
-probability (1 - 0.8^3)^12 = 0.00018, before a cluster's other pairs are counted.
+Every line with a word is a paragraph. Its set of five-word shingles (case folded, A-Z) is
+signed with ``BANDS`` x ``ROWS`` MinHash values; a line of fewer words is one shingle, so
+that only its copies are like it. For a Jaccard similarity s a band collides with
+probability s^ROWS, so at s = 0.8 the bands miss a pair with probability
+(1 - 0.8^2)^8 = 0.0003, before a cluster's other pairs are counted.
+
+A passage may also stand inside longer lines. So a line of more than ``LONG`` words is
+besides cut into pieces: a cut is where the hash of a pair of words is the smallest of the
+``REACH`` before and after, which depends on the words around only, so that a passage is cut
+alike in all lines that hold it. Pieces are compared for equality.
 
 Paragraphs are known by a hash of their folded words, so exact copies are one paragraph
-throughout and each batch sends it once. In a band bucket every paragraph is compared with
-the bucket's smallest; those that are similar to it are in one component whatever else they
-are similar to. The few that are not are compared with all others of the bucket, so that no
-link between components is lost, and a bucket of m alike paragraphs costs m comparisons. All
-comparisons take the exact Jaccard similarity of the shingle sets. Of each component, the
-first paragraph (by document id, then place) stays; all others go.
-
-Defined cases: a null or empty text has no paragraphs; shorter lines are never removed;
-repeats inside one document count; rows with an equal id are one document each and keep a
-row each if their texts differ (equal rows are merged); a null id sorts last; other columns
-are ignored.
+throughout. In a band bucket every paragraph is compared with the bucket's most frequent
+one; those that are similar to it are in one component whatever else they are similar to.
+Those that are not are compared with the others of the bucket, so that no link is lost, but
+for paragraphs that cannot have one: if over a fifth of a paragraph's shingles stand in no
+other paragraph, no set can reach a similarity of 0.8 with it. All comparisons take the
+exact Jaccard similarity of the shingle sets. Of each component, the first paragraph (by
+document id, then text, then place) stays; the others are repeated. Repeated words that
+follow each other are a passage, and it is removed if it has ``MIN_WORDS`` words or more:
+the definition of a passage (a title or licence line of a few words is none), not a limit of
+the search.
+
+Defined cases: a null or empty text has no paragraphs; repeats inside one document are left
+alone unless ``inside`` asks for them; rows with an equal id are one document each and keep a row each if their texts differ (equal
+rows are merged); a null id sorts last; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .memory import give_back, tidy
 from .storage import discard, store
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 3
-MIN_WORDS = SHINGLE
-#: Words whose paragraphs are signed together, and word hashes that a task remembers.
+BANDS, ROWS = 8, 2
+LONG, REACH = 24, 5
+MIN_WORDS = 20
+#: Words whose paragraphs are signed together.
 TOGETHER = 200_000
+#: Places of a paragraph above which (and above a HOT_KEYS-th of all places) it is joined by broadcast.
+HOT, HOT_KEYS = 10_000, 10_000
 _GENERATOR = np.random.default_rng(17)
 _FACTOR = _GENERATOR.integers(1, 2**63, BANDS * ROWS, np.uint64) | np.uint64(1)
 _SHIFT = _GENERATOR.integers(0, 2**63, BANDS * ROWS, np.uint64)
+_GOLDEN, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def paragraphs(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, list[bytes]]]:
-    """(line number, folded words) of each paragraph."""
-    out = []
-    for k, line in enumerate((text or "").encode().lower().split(b"\n")):
-        words = line.split()
-        if len(words) >= min_words:
-            out.append((k, words))
-    return out
-
-
-def paragraph_key(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words)) - 2**63
+def lines_of(text: str | None) -> list[list[bytes]]:
+    """The folded words of each line that has some."""
+    return [words for line in (text or "").encode().lower().split(b"\n") if (words := line.split())]
 
 
-def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Distinct shingle hashes; of fewer words than ``size``, the whole."""
-    n = max(1, len(words) - size + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + size])) for k in range(n)), np.uint64, n))
+def paragraph_key(words: bytes) -> tuple[int, int]:
+    """128 bits of the joined words, as two signed numbers."""
+    digest = xxhash.xxh3_128_intdigest(words)
+    return (digest & 2**64 - 1) - 2**63, (digest >> 64) - 2**63
 
 
 class _WordHashes(dict):
     """Hashes of words, each computed once."""
 
     def __missing__(self, word: bytes) -> int:
+        if len(self) > TOGETHER:
+            self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
-def band_keys(paras: list[list[bytes]], hashes: dict | None = None) -> np.ndarray:
-    """One signed 64-bit key for each paragraph and band; all paragraphs are signed together."""
-    hashes = _WordHashes() if hashes is None else hashes
-    # Short paragraphs are filled up with empty words, which no text has.
-    paras = [w if len(w) >= SHINGLE else w + [b""] * (SHINGLE - len(w)) for w in paras]
-    size = np.fromiter(map(len, paras), np.int64, len(paras))
-    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(paras)), np.uint64, int(size.sum()))
-    n = len(flat) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + n]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    last = np.cumsum(size)
-    left = np.repeat(last, size)[:n] - np.arange(n)
-    h = h[left >= SHINGLE]
-    count = size - SHINGLE + 1
-    start = np.cumsum(count) - count
-    key = np.tile(np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(paras), 1))
-    for k in range(ROWS):
-        for band in range(BANDS):
-            f = band * ROWS + k
-            low = np.minimum.reduceat(h * _FACTOR[f] + _SHIFT[f], start)
-            mixed = (key[:, band] ^ (low >> np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93)
-            key[:, band] = mixed ^ (mixed >> np.uint64(32))
-    return key.view(np.int64)
-
-
-def _band_rows(min_words: int):
-    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
-        for batch in batches:
-            seen: set[int] = set()
-            paras, owners, words_held = [], [], 0
-            for text in batch["text"]:
-                for _, words in paragraphs(text, min_words):
-                    if (p := paragraph_key(words)) not in seen:
-                        seen.add(p)
-                        paras.append(words)
-                        owners.append(p)
-                        words_held += len(words)
-                if words_held > TOGETHER:
-                    yield pd.DataFrame({"key": band_keys(paras, hashes).ravel(), "p": np.repeat(np.array(owners, np.int64), BANDS)})
-                    paras, owners, words_held = [], [], 0
-                    if len(hashes) > TOGETHER:
-                        hashes.clear()
-            if paras:
-                yield pd.DataFrame({"key": band_keys(paras, hashes).ravel(), "p": np.repeat(np.array(owners, np.int64), BANDS)})
-
-    return bands
-
-
-def _place_rows(min_words: int, words_too: bool):
-    """Places of paragraphs; with ``words_too``, the folded words of those new to the batch."""
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, seen = [], set()
-            for doc, h, text in zip(batch["doc"], batch["h"], batch["text"], strict=True):
-                for k, words in paragraphs(text, min_words):
-                    p = paragraph_key(words)
-                    if not words_too:
-                        rows.append((doc, h, k, p))
-                    elif p not in seen:
-                        seen.add(p)
-                        rows.append((p, b" ".join(words)))
-            yield pd.DataFrame(rows, columns=["p", "words"] if words_too else ["doc", "h", "line", "p"])
-
-    return places
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) with ``alike``."""
-
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        # A text is in many pairs of a batch; its shingles are hashed once.
-        sets = {x: shingles(x.split()) for x in {*left, *right}}
+class Hashed:
+    """Word hashes of paragraphs, one behind the other."""
+
+    def __init__(self, paras: list[list[bytes]], hashes: dict | None = None) -> None:
+        hashes = _WordHashes() if hashes is None else hashes
+        self.size = np.fromiter(map(len, paras), np.int64, len(paras))
+        self.flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(paras)), np.uint64, int(self.size.sum()))
+
+    def shingles(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+        """Shingle hashes of all paragraphs, and where each one's start; one shingle for fewer words than ``size``."""
+        full = np.maximum(self.size, size)
+        flat = self.flat
+        if (self.size < size).any():
+            # Short paragraphs are filled up with the hash of the empty word, which no text has.
+            at = np.arange(len(flat)) + np.repeat(np.cumsum(full - self.size) - (full - self.size), self.size)
+            flat = np.full(int(full.sum()), xxhash.xxh64_intdigest(b""), np.uint64)
+            flat[at] = self.flat
+        n = max(0, len(flat) - size + 1)
+        h = np.zeros(n, np.uint64)
+        for k in range(size):
+            h = h * _GOLDEN + flat[k : k + n]
+        h = (h ^ (h >> np.uint64(32))) * _OTHER
+        h ^= h >> np.uint64(32)
+        left = np.repeat(np.cumsum(full), full)[:n] - np.arange(n)
+        count = full - size + 1
+        return h[left >= size], np.cumsum(count) - count
+
+    def keys(self) -> np.ndarray:
+        """One signed 64-bit key for each paragraph and band."""
+        h, start = self.shingles()
+        key = np.tile(np.arange(BANDS, dtype=np.uint64) * _GOLDEN, (len(self.size), 1))
+        for k in range(ROWS):
+            for band in range(BANDS):
+                f = band * ROWS + k
+                low = np.minimum.reduceat(h * _FACTOR[f] + _SHIFT[f], start) if len(start) else start.astype(np.uint64)
+                mixed = (key[:, band] ^ (low >> np.uint64(7))) * _OTHER
+                key[:, band] = mixed ^ (mixed >> np.uint64(32))
+        return key.view(np.int64)
+
+    def cuts(self) -> list[list[int]]:
+        """Places before which each paragraph is cut, 0 and its end included."""
+        # Paragraphs stand apart by more than REACH, so that none sees another.
+        line = np.repeat(np.arange(len(self.size)), self.size)
+        at = np.arange(len(line)) + (line + 1) * (REACH + 1)
+        pair = np.full(len(line) + (len(self.size) + 2) * (REACH + 1), np.iinfo(np.uint64).max)
+        two = (self.flat[:-1] * _GOLDEN + self.flat[1:]) * _OTHER
+        inside = line[1:] == line[:-1]
+        pair[at[1:][inside]] = (two ^ (two >> np.uint64(29)))[inside]
+        low, n = pair, 1
+        while 2 * n <= 2 * REACH + 1:
+            low, n = np.minimum(low[:-n], low[n:]), 2 * n
+        low = np.minimum(low[: len(pair) - 2 * REACH], low[2 * REACH + 1 - n :][: len(pair) - 2 * REACH])
+        cut = np.nonzero((pair[at] == low[at - REACH]) & (pair[at] < np.iinfo(np.uint64).max))[0]
+        end = np.cumsum(self.size)
+        begin = end - self.size
+        parts = np.split(cut, np.searchsorted(cut, end[:-1])) if len(end) else []
+        return [[0, *(part - b).tolist(), s] for part, b, s in zip(parts, begin.tolist(), self.size.tolist(), strict=True)]
+
+
+_UNIT = "h long, start int, n int, k int, p long, q long, c int, keys array<long>, words binary"
+
+
+def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each paragraph and piece, and one for each document, with ``k``, the number of its paragraphs.
+
+    ``keys``, ``words`` and ``c`` (the number of its places) stand at the first place of a paragraph among documents that are handled together.
+    """
+    hashes = _WordHashes()
+
+    def rows(docs: list[tuple]) -> pd.DataFrame:
+        known: dict[bytes, int] = {}
+        paras: list[list[bytes]] = []
+        places: list[tuple] = []
+        seen: Counter[int] = Counter()
+        for doc, h, lines in docs:
+            places.append((doc, h, None, None, len(lines), None, None, -1))
+            at = 0
+            for words in lines:
+                joined = b" ".join(words)
+                number = known.setdefault(joined, len(paras))
+                if number == len(paras):
+                    paras.append(words)
+                seen[number] += 1
+                places.append((doc, h, at, len(words), None, None, None, number))
+                at += len(words)
+        joined = list(known)
+        ids = list(map(paragraph_key, joined))
+        signed = [x for x, words in enumerate(paras) if len(words) >= SHINGLE]
+        keys = dict(zip(signed, Hashed([paras[x] for x in signed], hashes).keys(), strict=True)) if signed else {}
+        long = [x for x, words in enumerate(paras) if len(words) > LONG]
+        pieces: dict[int, list[tuple]] = {}
+        for x, cut in zip(long, Hashed([paras[x] for x in long], hashes).cuts(), strict=True) if long else ():
+            if len(cut) > 2:
+                pieces[x] = [(a, b - a, *paragraph_key(b" ".join(paras[x][a:b]))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         out = []
-        for x, y in zip(left, right, strict=True):
-            s, t = sets[x], sets[y]
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(common >= similarity * (len(s) + len(t) - common))
-        return pd.Series(out, dtype=bool)
-
-    left = texts.select(F.col("p").alias("a"), F.col("words").alias("x"))
-    right = texts.select(F.col("p").alias("b"), F.col("words").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", alike("x", "y").alias("alike"))
-
-
-def similar_paragraphs(plain: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, candidates: DataFrame | None = None) -> DataFrame:
-    """``(node, root)`` of the paragraphs that have a similar one; ``candidates`` (a, b) are compared besides the bands'."""
-    rows = plain.select("text").mapInPandas(_band_rows(min_words), "key long, p long")
-    bucket = Window.partitionBy("key")
-    met = rows.withColumn("lo", F.min("p").over(bucket)).withColumn("hi", F.max("p").over(bucket)).where("lo < hi").select("key", "p", "lo")
-    met = store(met.distinct(), "band-buckets")
-    stars = met.where("p != lo").select(F.col("lo").alias("a"), F.col("p").alias("b"))
+        for doc, h, at, n, k, _, _, x in places:
+            if x < 0:
+                out.append((doc, h, None, None, k, None, None, None, None, None))
+                continue
+            first = keys.pop(x, None)
+            out.append((doc, h, at, n, None, *ids[x], *((seen[x], first, joined[x]) if first is not None else (None, None, None))))
+            for a, size, p, q in pieces.get(x, ()):
+                out.append((doc, h, at + a, size, None, p, q, None, None, None))
+        table = pd.DataFrame(out, columns=["doc", "h", "start", "n", "k", "p", "q", "c", "keys", "words"])
+        return table.astype({x: "Int64" for x in ("start", "n", "k", "p", "q", "c")})
+
+    for batch in batches:
+        held, docs = 0, []
+        for doc, h, text in zip(batch["doc"], batch["h"], batch["text"], strict=True):
+            docs.append((doc, h, lines_of(text)))
+            held += sum(map(len, docs[-1][2]))
+            if held > TOGETHER:
+                yield rows(docs)
+                held, docs = 0, []
+        if docs:
+            yield rows(docs)
+
+
+def _shingle_sets(words: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            out = []
+            for text in column:
+                h, _ = Hashed([text.split()]).shingles()
+                out.append(np.unique(h).view(np.int64))
+            yield pd.Series(out, dtype=object)
+        give_back()
+
+    return sets(words)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) with ``alike``."""
+    left = sets.select(F.col("p").alias("a"), F.col("s").alias("x"))
+    right = sets.select(F.col("p").alias("b"), F.col("s").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", (common >= similarity * (F.size("x") + F.size("y") - common)).alias("alike"))
+
+
+def similar(units: DataFrame, similarity: float = SIMILARITY, candidates: DataFrame | None = None) -> DataFrame:
+    """``(node, root)`` of the paragraphs of ``units`` (p, c, keys, words) that have a similar one; ``candidates`` (a, b) are compared besides the bands'."""
+    rows = units.select("p", "c", F.explode_outer("keys").alias("key")).where("key is not null")
+    order = F.struct((-F.col("c")).alias("c"), "p")
+    buckets = rows.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.min(order).alias("centre")).where("lo < hi").select("key", F.col("centre.p").alias("centre"))
+    met = store(rows.join(buckets, "key").select("key", "p", "centre").distinct(), "band-buckets")
+    stars = met.where("p != centre").select(F.col("centre").alias("a"), F.col("p").alias("b"))
     members = met.select("p")
     if candidates is not None:
-        stars = stars.unionByName(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        stars = stars.unionByName(candidates.select("a", "b"))
         members = members.unionByName(candidates.select(F.explode(F.array("a", "b")).alias("p")))
-    members = members.distinct()
-    texts = plain.mapInPandas(_place_rows(min_words, True), "p long, words binary").join(members, "p", "left_semi")
-    texts = store(texts.groupBy("p").agg(F.first("words").alias("words")), "paragraph-words")
-    first = store(_verified(stars.distinct(), texts, similarity), "paragraph-links")
-    # Members that are unlike their bucket's smallest meet all others of the bucket.
-    unlike = first.where("not alike").select(F.col("a").alias("lo"), F.col("b").alias("p"))
-    lone = met.join(unlike, ["lo", "p"]).select("key", F.col("p").alias("q"))
-    rest = lone.join(met.where("p != lo"), "key").where("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    links = first.unionByName(_verified(rest, texts, similarity)).where("alike").select("a", "b")
+    sets = units.where("words is not null").select("p", "words").join(members.distinct(), "p", "left_semi")
+    sets = store(sets.groupBy("p").agg(F.first("words").alias("words")).select("p", _shingle_sets(F.col("words")).alias("s")), "paragraph-shingles")
+    first = store(_verified(stars.distinct(), sets, similarity), "paragraph-links")
+    # Members that are unlike their bucket's centre meet the others of the bucket.
+    lone = met.join(first.where("not alike").select(F.col("a").alias("centre"), F.col("b").alias("p")), ["centre", "p"]).select("key", "p")
+    crowd = met.join(lone.select("key").distinct(), "key", "left_semi").where("p != centre").select("key", "p")
+    sizes = crowd.select("p").distinct().join(sets, "p")
+    # Shingles of one paragraph only; with more than a (1 - similarity)-th of them it is like no other.
+    alone = sizes.select("p", F.explode("s").alias("x")).groupBy("x").agg(F.min("p").alias("p"), F.max("p").alias("hi")).where("p = hi").groupBy("p").agg(F.count("x").alias("alone"))
+    able = sizes.select("p", F.size("s").alias("size")).join(alone, "p", "left").where(F.col("size") - F.coalesce("alone", F.lit(0)) >= similarity * F.col("size"))
+    able = store(able.select("p", "size"), "paragraph-able")
+    one = lone.join(able, "p").select("key", F.col("p").alias("a"), F.col("size").alias("m"))
+    two = crowd.join(able, "p").select("key", F.col("p").alias("b"), F.col("size").alias("n"))
+    fits = (F.col("a") != F.col("b")) & (F.least("m", "n") >= similarity * F.greatest("m", "n"))
+    rest = one.join(two, "key").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = first.unionByName(_verified(rest, sets, similarity)).where("alike").select("a", "b")
     roots = connected_components(links)
-    for table in (met, texts, first):
+    for table in (met, sets, first, able):
         discard(table)
     return roots
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document: ``id_col, n_paragraphs``, ``lines`` to remove, and ``kept_in``, the ids of the documents that keep them."""
+def _passages(spans: Column, min_words: int) -> Column:
+    """Runs (start, end) of at least ``min_words`` words that sorted (start, end) spans cover."""
+    run = lambda acc: F.when(acc["b"] - acc["a"] >= min_words, F.array(F.struct(acc["a"].alias("start"), acc["b"].alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    step = lambda acc, x: F.when(
+        x["start"] <= acc["b"], F.struct(acc["done"].alias("done"), acc["a"].alias("a"), F.greatest(acc["b"], x["end"]).alias("b"))
+    ).otherwise(F.struct(F.concat(acc["done"], run(acc)).alias("done"), x["start"].alias("a"), x["end"].alias("b")))
+    zero = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["done"], run(acc)))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS, inside: bool = False) -> DataFrame:
+    """Per document: ``id_col, text_hash, n_paragraphs``, ``n_repeated`` (paragraphs and pieces that an earlier place has),
+    ``passages`` (start, end) of words to remove, and ``kept_in``, the ids of the documents that keep what repeats. With ``inside``, what an earlier place of the same document has repeats too."""
     plain = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     kind = plain.schema["doc"].dataType.simpleString()
-    roots = similar_paragraphs(plain, similarity, min_words)
-    places = store(plain.mapInPandas(_place_rows(min_words, False), f"doc {kind}, h long, line int, p long").distinct(), "paragraph-places")
-    counts = places.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    known = counts.join(roots.withColumnRenamed("node", "p"), "p", "left").select("p", "n", F.coalesce("root", "p").alias("class"))
-    many = known.groupBy("class").agg(F.sum("n").alias("n")).where("n > 1").select("class")
-    classed = places.join(known.join(many, "class").select("p", "class"), "p")
-    classed = store(classed.select("doc", "h", "line", "class"), "paragraph-classes")
-    order = F.struct(F.col("doc").isNull(), "doc", "h", "line")
-    kept = classed.groupBy("class").agg(F.min(order).alias("first"))
-    gone = classed.join(kept, "class").where(order != F.col("first")).select("doc", "h", "line", F.col("first.doc").alias("keeper"))
-    per = places.select("doc", "h", F.lit(None).cast("int").alias("line"), F.lit(None).cast(kind).alias("keeper")).unionByName(gone)
-    per = per.groupBy("doc", "h").agg(
-        F.count_if(F.col("line").isNull()).alias("n_paragraphs"),
-        F.sort_array(F.collect_set("line")).alias("lines"),
+    units = store(plain.mapInPandas(tidy(_unit_rows), f"doc {kind}, {_UNIT}"), "paragraphs")
+    places = units.where("p is not null").select("doc", "h", "start", "n", "p", "q")
+    roots = similar(units.where("keys is not null"), similarity)
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "h", "start")
+    # One row for each paragraph; what follows is joined to it and not to all of its places.
+    counts = store(places.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")), "paragraph-counts")
+    # Of paragraphs with equal first 64 bits, the first one only was compared with others.
+    known = counts.join(roots.withColumnRenamed("node", "p"), "p")
+    known = known.groupBy("p").agg(F.min(F.struct("q", "n", "first", "root")).alias("x")).select("p", "x.*")
+    classes = known.groupBy("root").agg(F.min("first").alias("least"))
+    near = known.join(classes, "root").select("p", "q", "n", F.col("least").alias("first"))
+    alone = counts.where("n > 1").join(known.select("p", "q"), ["p", "q"], "left_anti").select("p", "q", "n", "first")
+    many = store(near.unionByName(alone), "paragraph-firsts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # At most HOT_KEYS paragraphs are so frequent, which bounds what is broadcast.
+    hot = F.col("n") > max(HOT, total // HOT_KEYS)
+    frequent = F.broadcast(many.where(hot).select("p", "q", F.col("first").alias("often")))
+    marked = places.join(frequent, ["p", "q"], "left")
+    rest = marked.where("often is null").drop("often").join(many.where(~hot).select("p", "q", "first"), ["p", "q"])
+    found = rest.unionByName(marked.where("often is not null").withColumnRenamed("often", "first"))
+    later = order != F.col("first")
+    if not inside:
+        later = later & ~(F.col("doc").eqNullSafe(F.col("first.doc")) & F.col("h").eqNullSafe(F.col("first.h")))
+    gone = found.where(later).select("doc", "h", "start", (F.col("start") + F.col("n")).alias("end"), F.col("first.doc").alias("keeper"))
+    per = units.where("k is not null").select("doc", "h", "k").unionByName(gone, allowMissingColumns=True).groupBy("doc", "h").agg(
+        F.max("k").alias("n_paragraphs"),
+        F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end")))).alias("spans"),
         F.sort_array(F.collect_set("keeper")).alias("kept_in"),
-    )
-    none = F.array()
-    base = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("h")).distinct().withColumnsRenamed({"doc": "_doc", "h": "_h"})
-    out = base.join(per, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_h") == F.col("h")), "left")
-    return out.select(
-        F.col("_doc").alias(id_col), F.col("_h").alias("text_hash"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"),
-        F.coalesce("lines", none.cast("array<int>")).alias("lines"), F.coalesce("kept_in", none.cast(f"array<{kind}>")).alias("kept_in"),
     )
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated paragraphs cut out of every text."""
-    found = repeats(docs, id_col, text_col, similarity, min_words).where(F.size("lines") > 0).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"), F.col("lines").alias("_lines"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_h")), "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda _, k: ~F.array_contains(F.col("_lines"), k))
-    return joined.withColumn(text_col, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    return per.select(F.col("doc").alias(id_col), F.col("h").alias("text_hash"), "n_paragraphs", F.size("spans").alias("n_repeated"), _passages(F.col("spans"), min_words).alias("passages"), "kept_in")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS, inside: bool = False) -> DataFrame:
+    """``docs`` with the repeated passages, and the white space behind them, cut out of every text."""
+    found = repeats(docs, id_col, text_col, similarity, min_words, inside).where(F.size("passages") > 0).select(F.col(id_col).alias("id"), F.col("text_hash").alias("h"), "passages")
+    # One column holds the row, so that no name inside can meet one outside.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    same = F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.xxhash64(F.col("row")[text_col]) == F.col("h"))
+    # Words with the white space behind them; white space in front is a word of its own, and always stays.
+    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(r"(^[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
+    front = F.when(F.col("row")[text_col].rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    kept = F.filter(words, lambda _, k: (k < front) | ~F.exists("passages", lambda x: (x["start"] <= k - front) & (k - front < x["end"])))
+    text = F.when(F.col("passages").isNull(), F.col("row")[text_col]).otherwise(F.array_join(kept, ""))
+    joined = rows.join(found, same, "left").select("row", text.alias("text"))
+    return joined.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

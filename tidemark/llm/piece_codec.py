@@ -28,6 +28,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back
 from .pair_table import NONE, PairTable
 
 MARK = "▁"
@@ -187,6 +188,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_
             keys = hashes.to_numpy(np.int64).view(np.uint64)
             for k in range(0, len(texts), TOGETHER):
                 yield pd.Series(_encoded(pieces, known, texts[k : k + TOGETHER].tolist(), keys[k : k + TOGETHER], dropout), dtype=object)
+        give_back()
 
     return docs.withColumn(ids_col, ids(F.col(text_col), _document(id_col, seed)))
 
@@ -203,6 +205,7 @@ def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0,
                 ids = _encoded(pieces, known, texts[k : k + TOGETHER].tolist(), keys[k : k + TOGETHER], dropout)
                 decoded = [None if row is None else pieces.decode(row.tolist()) for row in ids]
                 yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+        give_back()
 
     coded = docs.withColumn("_coded", both(F.col(text_col), _document(id_col, seed)))
     return coded.withColumns({ids_col: F.col("_coded.ids"), decoded_col: F.col("_coded.decoded")}).drop("_coded")

@@ -26,7 +26,8 @@ def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraph_dedup.repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_paragraphs", F.size("lines").cast("long").alias("n_removed"), "lines", "kept_in")
+    words = F.aggregate("passages", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_paragraphs", "n_repeated", words.alias("n_removed"), "passages", "kept_in")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ component id; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from . import paragraph_dedup
 from .components import connected_components
-from .storage import store
+from .memory import give_back, tidy
+from .storage import discard, store
 
 SEED = 42
 #: Distinct fingerprints under one variant up to which all pairs are compared.
@@ -59,6 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+        give_back()
 
     return docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp"))
 
@@ -106,13 +109,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _text_rows(shingle: int):
-    """Id, hash of the text, fingerprint and key of the folded words of each row."""
+    """Id, hash of the text, fingerprint and key of the folded words of each row, and what ``paragraph_dedup.similar`` takes of texts new to the batch."""
 
+    @tidy
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = [paragraph_dedup.paragraph_key((t or "").encode().lower().split()) for t in batch["text"]]
-            fps = [fingerprint(t, shingle) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "fp": np.array(fps, np.int64), "p": np.array(keys, np.int64)})
+            for k in range(0, len(batch), 256):
+                part = batch.iloc[k : k + 256]
+                folded = [(t or "").encode().lower().split() for t in part["text"]]
+                joined = [b" ".join(words) for words in folded]
+                ids = [paragraph_dedup.paragraph_key(x) for x in joined]
+                count, new = Counter(ids), {x: k for k, x in enumerate(ids) if folded[k]}
+                keys: list = [None] * len(part)
+                for at, key in zip(new.values(), paragraph_dedup.Hashed([folded[k] for k in new.values()]).keys() if new else (), strict=True):
+                    keys[at] = key
+                fps = [fingerprint(t, shingle) for t in part["text"]]
+                yield pd.DataFrame({
+                    "id": part["id"].to_numpy(), "h": part["h"].to_numpy(), "fp": np.array(fps, np.int64),
+                    "p": [p for p, _ in ids], "q": [q for _, q in ids], "c": [count[x] for x in ids],
+                    "keys": pd.Series(keys, dtype=object), "words": [None if key is None else x for key, x in zip(keys, joined, strict=True)],
+                })
 
     return rows
 
@@ -126,14 +142,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    rows = store(plain.mapInPandas(_text_rows(paragraph_dedup.SHINGLE), f"id {kind}, h long, fp long, p long"), "simhash-texts")
+    schema = f"id {kind}, h long, fp long, p long, q long, c int, keys array<long>, words binary"
+    rows = store(plain.mapInPandas(_text_rows(paragraph_dedup.SHINGLE), schema), "simhash-texts")
     texts = rows.select("fp", "p").distinct()
-    first = texts.groupBy("fp").agg(F.min("p").alias("least"))
+    first = store(texts.groupBy("fp").agg(F.min("p").alias("least")), "simhash-prints")
     equal = texts.join(first, "fp").where("p != least").select(F.col("least").alias("a"), F.col("p").alias("b"))
     near = links(first.select("fp"))
     near = near.join(first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
-    candidates = store(equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))), "simhash-candidates")
-    # A whole text is one paragraph.
-    whole = plain.withColumn("text", F.translate("text", "\n", " ")).withColumnRenamed("id", "doc")
-    roots = paragraph_dedup.similar_paragraphs(whole, similarity, 0, candidates)
-    return rows.join(roots.withColumnRenamed("node", "p"), "p", "left").select("id", "h", F.coalesce("root", "p").alias("class"))
+    candidates = equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a != b")
+    # Texts without a word have no shingles; they are all alike.
+    candidates = store(candidates, "simhash-candidates")
+    roots = paragraph_dedup.similar(rows.where("keys is not null"), similarity, candidates)
+    found = rows.select("id", "h", "p", "q").join(roots.withColumnRenamed("node", "p"), "p", "left")
+    found = store(found.select("id", "h", F.struct(F.coalesce("root", "p").alias("root"), F.when(F.col("root").isNull(), F.col("q")).alias("q")).alias("class")), "near-classes")
+    for table in (rows, first, candidates):
+        discard(table)
+    return found

@@ -442,7 +442,8 @@ def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     limit = max(HOT, (counts.agg(F.sum("count")).first()[0] or 0) // HOT_KEYS)
     hot = counts.where(F.col("count") > limit).select("h", F.lit(True).alias("hot"))
     marked = shared.where("kind < 2").join(F.broadcast(hot), "h", "left").select("doc", (2 * F.col("place") + F.when(F.col("hot"), 1).otherwise(0)).alias("place"))
-    by_doc = marked.groupBy("doc").agg(F.collect_list("place").alias("place"))
+    by_doc = store(marked.groupBy("doc").agg(F.collect_list("place").alias("place")), "anchor-places")
+    discard(shared)
     found = texts.select(F.col("n").alias("doc"), "text").join(by_doc, "doc").select("doc", "text", "place")
     found = found.mapInPandas(_context_rows(length, k), "route long, bytes binary, at int, doc long, start long, size long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -451,7 +452,7 @@ def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     spans = gone.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("s"))
     known = texts.select("n", "t", "u", "first", "last").join(spans, F.col("n") == F.col("doc"), "left")
     out = store(known.where(F.col("s").isNotNull() | (F.col("first") < F.col("last"))).select("t", "u", "first", "last", "s"), "cuts")
-    discard(shared)
+    discard(by_doc)
     discard(texts)
     return out
 

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back
 from .pair_table import NONE, PairTable
 
 #: Fixed values of the vocabulary format: white space of its pattern, and the pre-token pattern.
@@ -116,5 +117,6 @@ def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text", count
                     known.update(zip(new, vocab.counts([w.encode() for w in new]).tolist(), strict=True))
                 out += [sum(map(known.__getitem__, words)) + special for words, special in cut]
             yield pd.Series(out, dtype="int64")
+        give_back()
 
     return docs.withColumn(count_col, count(F.col(text_col)))
