@@ -18,7 +18,7 @@ def con():
     return out
 
 
-@pytest.mark.parametrize("name", queries.QUERIES)
+@pytest.mark.parametrize("name", queries.SQL)
 def test_query_matches_sql(spark, con, name):
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), con.execute(queries.SQL[name]).df()
     columns = sorted(want.columns)

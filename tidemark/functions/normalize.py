@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..rules import SERVICE_TYPES
+
 #: The levels that log severities are folded to.
 SEVERITY = {
     "TRACE": "TRACE", "TRACE2": "TRACE", "TRACE3": "TRACE", "TRACE4": "TRACE", "DEBUG": "DEBUG", "DEBUG2": "DEBUG", "DEBUG3": "DEBUG", "DEBUG4": "DEBUG",
@@ -13,10 +15,13 @@ SEVERITY = {
 }
 
 
-def metric_value(value: Column, unit: Column) -> Column:
-    """Bytes to MiB and sub-second times to seconds; the first unit that is contained wins."""
+def metric_value(value: Column, unit: Column, exact: bool = False) -> Column:
+    """Bytes to MiB and sub-second times to seconds; the first unit that is contained wins.
+
+    ``exact`` compares whole units, so that ``transactions`` is no nanosecond.
+    """
     u = F.lower(F.coalesce(unit, F.lit("1")))
-    has = lambda *words: [u.contains(w) for w in words]
+    has = lambda *words: [u == w if exact else u.contains(w) for w in words]
     byte, milli, micro, nano = (has(*w) for w in (("byte", "by"), ("ms", "milli"), ("us", "micro"), ("ns", "nano")))
     return F.when(byte[0] | byte[1], value / 1048576).when(milli[0] | milli[1], value / 1e3).when(micro[0] | micro[1], value / 1e6).when(nano[0] | nano[1], value / 1e9).otherwise(value)
 
@@ -48,3 +53,35 @@ def confidence(v: Column) -> Column:
 
 def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(3 - z))
+
+
+def entity_type(given: Column, service: Column) -> Column:
+    """The type named by the first known part of a service name, where none but API_NODE is given."""
+    name = F.lower(service)
+    found = F.coalesce(*[F.when(name.contains(part), F.lit(kind)) for part, kind in SERVICE_TYPES], F.lit("API_NODE"))
+    return F.when((given.isNull() | (given == "API_NODE")) & service.isNotNull(), found).otherwise(given)
+
+
+def validated(rows, now: Column, source: str = "performance"):
+    """Rows with an entity; types, source and times that are missing get their defaults."""
+    rows = rows.where(F.coalesce(F.col("entity_id"), F.lit("")) != "")
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    time = F.when(F.unix_micros("ts") > 0, F.col("ts")).otherwise(now)
+    return rows.withColumns({"entity_type": F.coalesce(has("entity_type"), F.lit("API_NODE")), "source_type": F.coalesce(has("source_type"), F.lit(source)), "ts": time})
+
+
+def k8s_context(attributes: Column) -> Column:
+    """``k8s.namespace``, ``pod``, ``container`` and ``node`` from the attributes that end in ``name``, unless they are there."""
+    base = F.coalesce(attributes, F.create_map().cast("map<string,string>"))
+    for part in ("namespace", "pod", "container", "node"):
+        key, name = F.lit(f"k8s.{part}"), F.element_at(base, f"k8s.{part}.name")
+        base = F.when(F.map_contains_key(base, key) | name.isNull(), base).otherwise(F.map_concat(base, F.create_map(key, name)))
+    return base
+
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution, by the rational approximation 26.2.17 of Abramowitz and Stegun (error below 1e-7)."""
+    t = 1 / (1 + 0.2316419 * F.abs(x))
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-x * x / 2) / 2.5066282746310002 * poly
+    return F.when(x >= 0, 1 - tail).otherwise(tail)

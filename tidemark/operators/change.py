@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..rules import APPROVED_FIELDS, DRIFT_FIELDS, DRIFT_PATTERNS
+
 #: The order in which detectors answer for an event.
 PRIORITY = ("CONFIG_DRIFT", "BRUTE_FORCE", "PRIVILEGE_ESCALATION", "DATA_EXFILTRATION")
 
 
-def detect_config_drift(events: DataFrame, approved: DataFrame, patterns: tuple[str, ...], fields: tuple[str, ...] = ("message",)) -> DataFrame:
-    """Events in which a pattern is found, in a field or an attribute, unless their ``change_id`` is an approved one."""
-    text = F.concat_ws("\n", *fields, F.map_values("attributes"))
-    hit = F.lower(text).rlike("|".join(f"(?:{p})" for p in patterns))
+def detect_config_drift(events: DataFrame, approved: DataFrame, patterns: tuple[str, ...] = DRIFT_PATTERNS, fields: tuple[str, ...] = DRIFT_FIELDS) -> DataFrame:
+    """Events (with ``event_id``) in which a pattern is found, in a field or an attribute, unless a field or attribute names an approved change (``change_id``)."""
+    attributes = "attributes" in events.columns
+    text = F.concat_ws("\n", *[c for c in fields if c in events.columns], *([F.map_values("attributes")] if attributes else []))
+    hits = events.where(F.lower(text).rlike("|".join(f"(?:{p})" for p in patterns)))
+    named = [F.col(c).cast("string") for c in APPROVED_FIELDS if c in events.columns]
+    named += [F.element_at("attributes", c) for c in APPROVED_FIELDS[:4]] if attributes else []
     ids = approved.select(F.col("change_id").alias("_approved")).distinct()
-    rows = events.where(hit).join(ids, F.col("change_id") == F.col("_approved"), "left_anti")
+    # One row for each name of a hit, so that approvals meet it by an equality.
+    names = hits.select(F.col("event_id").alias("_event"), F.explode(F.array(*named)).alias("_name")).where("_name is not null") if named else None
+    rows = hits if names is None else hits.join(names.join(ids, F.col("_name") == F.col("_approved"), "left_semi"), F.col("event_id") == F.col("_event"), "left_anti")
     return rows.withColumn("severity", F.lit("CRITICAL")).withColumn("confidence", F.lit(90))
 
 
@@ -31,6 +38,15 @@ def classify_security(events: DataFrame, found: dict[str, DataFrame]) -> DataFra
     return events.drop("attack_type").join(best, "event_id").withColumn("source_type", F.lit("security"))
 
 
-def workspace_filter(df: DataFrame, workspace: str) -> DataFrame:
-    """Rows of one workspace; rows from before there were any belong to ``default``."""
+def workspace_graph(nodes: DataFrame, edges: DataFrame, workspace: str, asked_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes of one workspace and the edges between them."""
+    own = workspace_filter(nodes, workspace, asked_by)
+    ids = own.select("id").distinct()
+    return own, edges.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
+
+
+def workspace_filter(df: DataFrame, workspace: str, asked_by: str | None = None) -> DataFrame:
+    """Rows of one workspace; rows from before there were any belong to ``default``. Who asks from another workspace is denied."""
+    if asked_by is not None and asked_by != workspace:
+        raise PermissionError(f"{asked_by} may not read {workspace}")
     return df.where(F.coalesce("workspace", F.lit("default")) == workspace)

@@ -21,7 +21,7 @@ def sliding_features(metrics: DataFrame, size: str = "5 minutes", slide: str = "
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"), F.count("value").alias("count"),
         *[F.percentile("value", F.lit(p)).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.stddev_pop("value").alias("stddev"),
     )
-    return out.select(*KEYS, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "min", "max", "avg", "count", "p50", "p95", "p99", "stddev", (F.col("count") / seconds).alias("rate"))
+    return out.select(*KEYS, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), F.lit(size).alias("window_size"), "min", "max", "avg", "count", "p50", "p95", "p99", "stddev", (F.col("count") / seconds).alias("rate"))
 
 
 def session_bursts(metrics: DataFrame, gap: str = "30 seconds", threshold: int = 3) -> DataFrame:
@@ -31,19 +31,46 @@ def session_bursts(metrics: DataFrame, gap: str = "30 seconds", threshold: int =
 
 
 def feature_vectors(windowed: DataFrame) -> DataFrame:
-    """Running merge of windows per entity: count-weighted mean, extremes, volume and version."""
-    w = W.partitionBy("entity_id").orderBy("window_end", "metric_name").rowsBetween(W.unboundedPreceding, 0)
+    """Running merge of the windows of an entity and size: count-weighted mean, extremes, volume, the
+    latest percentiles (null where windows have none) and error rate. The version counts the
+    merges of the entity. Windows of 5 minutes should come from ``sliding_features``, which have percentiles.
+    """
+    order = ("window_end", "window_start", "metric_name")
+    w = W.partitionBy("entity_id", "window_size").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    of_entity = W.partitionBy("entity_id").orderBy(*order, "window_size").rowsBetween(W.unboundedPreceding, 0)
+    given = lambda c: F.last(c, ignorenulls=True).over(w) if c in windowed.columns else F.lit(None).cast("double")
     return windowed.select(
-        "entity_id", "metric_name", "window_end", F.min("window_start").over(w).alias("first_start"),
+        "entity_id", "window_size", "metric_name", "window_end", F.min("window_start").over(w).alias("first_start"),
+        *[given(c).alias(f"latency_{c}") for c in ("p50", "p95", "p99")], given("error_rate").alias("error_rate"),
         (F.sum(F.col("avg") * F.col("count")).over(w) / F.sum("count").over(w)).alias("latency_avg"),
         F.min("min").over(w).alias("latency_min"), F.max("max").over(w).alias("latency_max"), F.sum("count").over(w).alias("request_volume"),
-        F.count(F.lit(1)).over(w).alias("feature_version"), F.lit(90).alias("ttl"),
+        F.count(F.lit(1)).over(of_entity).alias("feature_version"), F.lit(90).alias("ttl"),
     )
 
 
-def metrics_baseline(metrics: DataFrame) -> DataFrame:
+def metrics_baseline(metrics: DataFrame, start=None, end=None) -> DataFrame:
+    """Statistics of each series, of its points from ``start`` to ``end``, both included."""
+    if start is not None:
+        metrics = metrics.where(F.col("ts") >= start)
+    if end is not None:
+        metrics = metrics.where(F.col("ts") <= end)
     return metrics.groupBy(*KEYS).agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("stddev"), F.percentile("value", F.lit(0.95)).alias("p95"), F.count("value").alias("count"))
 
 
+def baseline_of(metrics: DataFrame, entity_id: str, metric_name: str, start=None, end=None) -> DataFrame:
+    """The baseline of one series as one row; zeros where it has no points."""
+    rows = metrics.where((F.col("entity_id") == entity_id) & (F.col("metric_name") == metric_name))
+    if start is not None:
+        rows = rows.where(F.col("ts") >= start)
+    if end is not None:
+        rows = rows.where(F.col("ts") <= end)
+    zero = F.lit(0.0)
+    return rows.agg(F.coalesce(F.avg("value"), zero).alias("mean"), F.coalesce(F.stddev_samp("value"), zero).alias("stddev"), F.coalesce(F.percentile("value", F.lit(0.95)), zero).alias("p95"), F.count("value").alias("count"))
+
+
+def list_entities(features: DataFrame) -> DataFrame:
+    return features.select("entity_id").where("entity_id is not null").distinct()
+
+
 def hourly_timeseries(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy(*KEYS, F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count"))

@@ -56,3 +56,42 @@ def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
     inside = (F.col("count") >= F.col("rank")) & (F.col("below") < F.col("rank"))
     value = F.col("low") + (F.col("le") - F.col("low")) * (F.col("rank") - F.col("below")) / (F.col("count") - F.col("below"))
     return rows.where(inside).select("entity_id", value.alias("quantile"))
+
+
+def slo_latency(samples: DataFrame, objective_ms: float = 5000.0, since=None) -> DataFrame:
+    """p99 latency of each entity (``entity_id, ts, duration_ms``) at or after ``since``, and whether it stays below the objective."""
+    rows = samples if since is None else samples.where(F.col("ts") >= since)
+    return rows.groupBy("entity_id").agg(F.percentile("duration_ms", F.lit(0.99)).alias("p99"), F.count("duration_ms").alias("samples")).withColumn("met", F.col("p99") < objective_ms)
+
+
+def counter_rate(samples: DataFrame, seconds: int = 300) -> DataFrame:
+    """``rate`` of a counter: its increase over the last ``seconds`` before each sample, per second."""
+    w = W.partitionBy("entity_id", "metric_name").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    rows = counter_increase(samples).withColumn("_at", F.unix_micros("ts"))
+    return rows.withColumn("rate", F.sum("increase").over(w) / seconds).drop("_at")
+
+
+def evaluate_alert_rules(metrics: DataFrame, rules: list[dict]) -> DataFrame:
+    """``rule, entity_id, metric_name, started, ended``: when a rule held for its whole ``for`` time.
+
+    A rule has ``name``, ``metric``, ``kind`` and ``seconds``. ``equals`` compares values with
+    ``limit``; ``absent`` looks for gaps; ``rate_zero`` and ``rate_above`` compare the rate of a
+    counter over ``window`` seconds (300) with 0 and ``limit``.
+    """
+    found = None
+    for rule in rules:
+        series = metrics.where(F.col("metric_name") == rule["metric"])
+        if rule["kind"] == "absent":
+            spans = absence_alerts(series, rule["seconds"]).select("entity_id", "metric_name", F.col("since").alias("started"), F.col("until").alias("ended"))
+        else:
+            if rule["kind"] == "equals":
+                breach = F.col("value") == rule["limit"]
+            else:
+                series = counter_rate(series, rule.get("window", 300))
+                breach = F.col("rate") == 0 if rule["kind"] == "rate_zero" else F.col("rate") > rule["limit"]
+            spans = threshold_alerts(series, breach, rule["seconds"]).select("entity_id", "metric_name", "started", "ended")
+        spans = spans.select(F.lit(rule["name"]).alias("rule"), "*")
+        found = spans if found is None else found.unionByName(spans)
+    if found is None:
+        raise ValueError("no rules")
+    return found

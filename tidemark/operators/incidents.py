@@ -34,10 +34,13 @@ def dedup_incidents(incidents: DataFrame, ttl_seconds: int = 300) -> DataFrame:
     rows = incidents.withColumn("opens", F.coalesce((gap > ttl_seconds * 1_000_000).cast("int"), F.lit(1)))
     rows = rows.withColumn("island", F.sum("opens").over(w))
     order = F.struct("created_at", "incident_id")
-    return rows.groupBy("root_cause_entity", "island").agg(F.min(order)["incident_id"].alias("incident_id"), F.min("created_at").alias("created_at"), F.count(F.lit(1)).alias("deduplicated_count"), F.max("impact").alias("impact"))
+    return rows.groupBy("root_cause_entity", "island").agg(F.min(order)["incident_id"].alias("incident_id"), F.min("created_at").alias("created_at"), F.count(F.lit(1)).alias("deduplicated_count"), F.max("impact").alias("impact"), F.sort_array(F.collect_list("incident_id")).alias("related_incidents"))
 
 
-def mine_patterns(incidents: DataFrame, min_count: int = 2) -> DataFrame:
+def mine_patterns(incidents: DataFrame, min_count: int = 2, since=None) -> DataFrame:
+    """Repeated (entity, severity, hour) of the incidents at or after ``since``."""
+    if since is not None:
+        incidents = incidents.where(F.col("created_at") >= since)
     bucket = F.date_trunc("hour", "created_at")
     out = incidents.groupBy("root_cause_entity", "severity", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("pattern_count"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen")).where(F.col("pattern_count") >= min_count)
     name = F.concat_ws("|", "root_cause_entity", "severity", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..rules import ACTIONS, SAFE_ACTIONS
+from ..rules import SENSITIVE_ACTIONS as SENSITIVE
 from .incidents import assign_owner, classify_severity, impact_score, sla_risk
 
-#: Actions that always need a person's approval.
-SENSITIVE = ("block_ip", "rotate_credentials")
+
+def action_registry(spark: SparkSession) -> DataFrame:
+    """The known actions: ``entity_type, action_type, safe, position``."""
+    rows = [(kind, name, name in SAFE_ACTIONS, k) for kind, names in ACTIONS for k, name in enumerate(names)]
+    return spark.createDataFrame(rows, "entity_type string, action_type string, safe boolean, position int")
 
 
 def build_incidents(root_causes: DataFrame) -> DataFrame:
@@ -51,6 +57,27 @@ def pending_approvals(decided: DataFrame, proposer: str = "orchestrator") -> Dat
     return rows.select(F.concat(F.lit("apr-"), F.substring(F.sha2(name.cast("binary"), 256), 1, 12)).alias("approval_id"), "incident_id", "action_type", F.lit(proposer).alias("proposed_by"), F.lit("pending").alias("status"))
 
 
+def list_approvals(approvals: DataFrame, n: int = 100) -> DataFrame:
+    """The newest pending approvals."""
+    return approvals.where("status = 'pending'").orderBy(F.desc("created_at"), "approval_id").limit(n)
+
+
+def decide_approvals(approvals: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``approvals`` with the latest decision (``approval_id, status, decided_at``) of each that is pending."""
+    rank = F.row_number().over(W.partitionBy("approval_id").orderBy(F.desc("decided_at"), "status"))
+    last = decisions.withColumn("rank", rank).where("rank = 1").select("approval_id", F.col("status").alias("new_status"), F.col("decided_at").alias("new_time"))
+    rows = approvals.join(last, "approval_id", "left")
+    now = (F.col("status") == "pending") & F.col("new_status").isNotNull()
+    old = F.col("decided_at") if "decided_at" in approvals.columns else F.lit(None).cast("timestamp")
+    return rows.withColumn("decided_at", F.when(now, F.col("new_time")).otherwise(old)).withColumn("status", F.when(now, F.col("new_status")).otherwise(F.col("status"))).drop("new_status", "new_time")
+
+
+def artefact_names(artefacts: DataFrame) -> DataFrame:
+    """Names in the JSON text of generated artefacts (``incident_id, body``): words with a digit, ``-`` or ``_`` inside."""
+    words = F.regexp_extract_all("body", F.lit(r"([A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)+|[A-Za-z]+[0-9]+)"), 1)
+    return artefacts.select("incident_id", F.explode(words).alias("name")).distinct()
+
+
 def feedback_to_knowledge(results: DataFrame) -> DataFrame:
     """Action results as knowledge rows."""
     ok = F.col("success")

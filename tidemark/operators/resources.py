@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import rules as R
 
-def parse_resource_id(raw: Column, rules: list[tuple[str, str, int, str, int]], regions: dict[str, str]) -> Column:
+
+def parse_resource_id(raw: Column, rules: list[tuple[str, str, int, str, int]] = R.RESOURCE_IDS, regions: dict[str, str] = R.ZONES) -> Column:
     """Struct ``provider, region, entity_type, name, matched`` of the first rule whose pattern matches the whole id.
 
     A rule: provider, anchored pattern, group of the zone or region (0: none), entity type,
@@ -37,7 +39,7 @@ def _over(base: Column, top: Column) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(top, k)), top)
 
 
-def business_tags(entity_type: Column, name: Column, defaults: dict[str, str], by_type: dict[str, dict[str, str]], rules: list[tuple[str | None, str, dict[str, str]]]) -> Column:
+def business_tags(entity_type: Column, name: Column, defaults: dict[str, str] = R.TAG_DEFAULTS, by_type: dict[str, dict[str, str]] = R.TAGS_BY_TYPE, rules: list[tuple[str | None, str, dict[str, str]]] = R.TAG_RULES) -> Column:
     """Defaults, over them the tags of the type, over them those of the first rule (type or None, pattern found in the name, tags)."""
     kinds = F.coalesce(*[F.when(entity_type == kind, _map(tags)) for kind, tags in by_type.items()], _map({}))
     hits = [F.when((F.lit(True) if kind is None else entity_type == kind) & name.rlike(pattern), _map(tags)) for kind, pattern, tags in rules]

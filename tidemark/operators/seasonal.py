@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..rules import RELEVANT_REASONS, RELEVANT_WORDS
+
 SERIES = ["entity_id", "metric_name"]
 
 
@@ -60,10 +62,41 @@ def fuse_scores(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def enrich_signals(signals: DataFrame, nodes: DataFrame) -> DataFrame:
     """``signals`` with name, label and criticality of their node."""
-    known = nodes.select(F.col("id").alias("_id"), F.col("name").alias("node_name"), F.col("label").alias("node_label"), "criticality")
+    extra = [F.col(c).alias(f"node_{c}") for c in ("anomaly_score", "last_seen") if c in nodes.columns]
+    known = nodes.select(F.col("id").alias("_id"), F.col("name").alias("node_name"), F.col("label").alias("node_label"), "criticality", *extra)
     return signals.join(known, F.col("entity_id") == F.col("_id"), "left").withColumn("enriched", F.col("_id").isNotNull()).drop("_id")
 
 
+def relevant_k8s_events(events: DataFrame) -> DataFrame:
+    """Events (``reason, message``) that speak of pressure, restarts or evictions."""
+    said = reduce(lambda a, b: a | b, [F.lower("message").contains(w) for w in RELEVANT_WORDS])
+    return events.where(F.coalesce(F.lower("reason").isin(*RELEVANT_REASONS), F.lit(False)) | F.coalesce(said, F.lit(False)))
+
+
+def fit_fusion(scores: DataFrame, detectors: tuple[str, ...], label: str = "label"):
+    """A logistic regression from detector scores to ``label`` (0/1); None with fewer than two rows or one class."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = scores.where(F.col(label).isin(0, 1)).fillna(0.0, list(detectors))
+    counts = rows.agg(F.count_if(F.col(label) == 1).alias("one"), F.count_if(F.col(label) == 0).alias("zero")).first()
+    if not counts["one"] or not counts["zero"]:
+        return None
+    vectors = VectorAssembler(inputCols=list(detectors), outputCol="_x").transform(rows.withColumn(label, F.col(label).cast("double")))
+    fit = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1 / (counts["one"] + counts["zero"]), standardization=False)
+    model = fit.fit(vectors)
+    return dict(zip(detectors, map(float, model.coefficients), strict=True)), float(model.intercept), counts["one"] + counts["zero"]
+
+
+def fuse_fitted(scores: DataFrame, model, weights: dict[str, float], temperature: float = 1.0) -> DataFrame:
+    """``fused`` and its ``fusion_confidence``: the fitted logit over the temperature, or the weighted mean where ``model`` is None."""
+    if model is None:
+        return fuse_scores(scores, weights).withColumn("fusion_confidence", F.lit(0.0))
+    factors, intercept, n = model
+    logit = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in factors.items()]) + intercept
+    return scores.withColumn("fused", 1 / (1 + F.exp(-logit / temperature))).withColumn("fusion_confidence", F.lit(min(1.0, n / 100)))
+
+
 def adjusted_baselines(points: DataFrame, events: DataFrame, seconds: int = 300, factor: float = 1.5) -> DataFrame:
     """``points`` with a wider ``factor`` where an event of the entity lies at most ``seconds`` back: the latest one before decides."""
     both = points.select("entity_id", "ts", F.lit(1).alias("_point"), F.struct(*points.columns).alias("_row"))

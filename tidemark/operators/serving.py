@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
+from functools import reduce
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Statements that user SQL may not contain.
-DENIED = ("DROP", "ALTER", "TRUNCATE", "DETACH", "REVOKE", "GRANT", "CREATE")
-
 
 def resolve_hours(value: str | int | None) -> int | None:
     """``24``, ``24h`` or ``7d`` as hours; bad values give 24, more than 720 gives 720."""
@@ -21,14 +21,14 @@ def resolve_hours(value: str | int | None) -> int | None:
     return min(hours, 720) if hours > 0 else 24
 
 
-def newest(table: DataFrame, ts: str, limit: int = 50, since=None, **equal) -> DataFrame:
-    """Newest rows under equality filters that are not None; filters reach the scan."""
+def newest(table: DataFrame, ts: str, limit: int = 50, since=None, most: int = 500, **equal) -> DataFrame:
+    """Newest rows, ``most`` at most, under equality filters that are not None; filters reach the scan."""
     for name, value in equal.items():
         if value is not None:
             table = table.where(F.col(name) == value)
     if since is not None:
         table = table.where(F.col(ts) >= since)
-    return table.orderBy(F.desc(ts), *sorted(c for c in table.columns if c != ts)).limit(max(1, min(limit, 1000)))
+    return table.orderBy(F.desc(ts), *sorted(c for c, kind in table.dtypes if c != ts and not kind.startswith("map"))).limit(max(1, min(limit, most)))
 
 
 def severity_distribution(incidents: DataFrame) -> DataFrame:
@@ -46,7 +46,58 @@ def knowledge_stats(knowledge: DataFrame) -> DataFrame:
 
 
 def last_seen(events: DataFrame) -> DataFrame:
-    return events.groupBy("entity_id", "metric_name").agg(F.max("ts").alias("last_seen"))
+    """Latest time of each workspace (where there is one), entity and kind of telemetry, newest first."""
+    keys = [c for c in ("workspace", "entity_id", "metric_name") if c in events.columns]
+    return events.groupBy(*keys).agg(F.max("ts").alias("last_seen")).orderBy(F.desc("last_seen"), *keys)
+
+
+def select_by_entity(tables: dict[str, DataFrame], name: str, entity_id: str, limit: int = 50) -> DataFrame:
+    """Newest rows of an entity from one of the ``tables`` that may be asked for."""
+    if name not in tables:
+        raise PermissionError(f"no table {name}")
+    table = tables[name]
+    key = "entity_id" if "entity_id" in table.columns else "root_cause_entity"
+    ts = next(c for c in ("ts", "created_at", "window_start") if c in table.columns)
+    return newest(table, ts, limit, **{key: entity_id})
+
+
+def summary_counts(incidents: DataFrame, anomalies: DataFrame, knowledge: DataFrame, since=None) -> DataFrame:
+    """One row: incidents, active anomalies and knowledge rows, at or after ``since``."""
+    counts = []
+    for name, table, ts in (("total_incidents", incidents, "created_at"), ("active_anomalies", anomalies.where("status = 'active'"), "ts"), ("knowledge_base_entries", knowledge, "created_at")):
+        rows = table if since is None else table.where(F.col(ts) >= since)
+        counts.append(rows.agg(F.count(F.lit(1)).alias(name)))
+    return counts[0].join(counts[1]).join(counts[2])  # one row each
+
+
+def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    rows = [table.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows") for name, table in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def security_anomalies(anomalies: DataFrame, limit: int = 50, since=None) -> DataFrame:
+    return newest(anomalies, "ts", limit, since, source_type="security")
+
+
+def attack_sources(anomalies: DataFrame, limit: int = 50, since=None) -> DataFrame:
+    """Security anomalies by source; of attack types and severities the first in order."""
+    rows = anomalies.where("source_type = 'security'").where(~F.coalesce("source_ip", F.lit("")).isin("", "unknown"))
+    if since is not None:
+        rows = rows.where(F.col("ts") >= since)
+    found = rows.groupBy("source_ip").agg(F.count(F.lit(1)).alias("n"), F.min("attack_type").alias("attack_type"), F.min("severity").alias("severity"), F.max("ts").alias("last_seen"))
+    return found.orderBy(F.desc("n"), "source_ip").limit(max(1, min(limit, 200)))
+
+
+def search_knowledge(knowledge: DataFrame, text: str = "", limit: int = 50, since=None) -> DataFrame:
+    """Newest knowledge rows whose entity or summary contains ``text``; a blank text finds all."""
+    if text.strip():
+        knowledge = knowledge.where(F.col("root_cause_entity").contains(text) | F.col("resolution_summary").contains(text))
+    return newest(knowledge, "created_at", limit, since)
+
+
+def remediation_history(knowledge: DataFrame, approvals: DataFrame, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The newest knowledge rows and the newest decided approvals."""
+    return newest(knowledge, "created_at", limit), newest(approvals.where("status != 'pending'"), "decided_at", limit)
 
 
 def recent_per_entity(logs: DataFrame, n: int = 150) -> DataFrame:
@@ -55,7 +106,18 @@ def recent_per_entity(logs: DataFrame, n: int = 150) -> DataFrame:
     return logs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 
 
-def safe_sql(spark: SparkSession, sql: str, limit: int = 100) -> DataFrame:
-    if re.search(rf"\b({'|'.join(DENIED)})\b", sql, re.I):
-        raise PermissionError("read-only queries only")
-    return spark.sql(sql).limit(max(1, min(limit, 500)))
+def safe_sql(spark: SparkSession, sql: str, limit: int = 100) -> tuple[DataFrame, bool]:
+    """The first rows of a query, and whether it has more. Anything but a query is denied.
+
+    As a view's body the text can only be a query: Spark's own parser refuses commands there,
+    and nothing is run but the query.
+    """
+    limit = max(1, min(limit, 500))
+    name = f"asked_{uuid.uuid4().hex}"
+    try:
+        spark.sql(f"CREATE TEMPORARY VIEW {name} AS {sql}")
+    except ParseException as error:
+        raise PermissionError("read-only queries only") from error
+    found = spark.table(name)
+    spark.catalog.dropTempView(name)
+    return found.limit(limit), found.limit(limit + 1).count() > limit

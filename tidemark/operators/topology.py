@@ -47,17 +47,24 @@ def resolve_symptoms(signals: DataFrame, nodes: DataFrame) -> DataFrame:
 def build_root_causes(signals: DataFrame, ranked: DataFrame) -> DataFrame:
     """Per symptom its best root, or the symptom itself with confidence 0, and its signals in time order as evidence."""
     evidence = F.sort_array(F.collect_list(F.struct("ts", "metric_name", "score"))).alias("evidence")
-    found = signals.groupBy("symptom").agg(evidence, F.max("score").alias("anomaly_score"))
+    logs = [F.array_compact(F.sort_array(F.collect_list(F.struct("ts", "message")))["message"]).alias("log_snippets")] if "message" in signals.columns else []
+    found = signals.groupBy("symptom").agg(evidence, *logs, F.max("score").alias("anomaly_score"))
     best = ranked.where("rank = 1").select("symptom", "root", "confidence")
-    return found.join(best, "symptom", "left").select("symptom", F.coalesce("root", "symptom").alias("root_cause_entity"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "anomaly_score", "evidence")
+    extra = ["log_snippets"] if logs else []
+    return found.join(best, "symptom", "left").select("symptom", F.coalesce("root", "symptom").alias("root_cause_entity"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "anomaly_score", "evidence", *extra)
 
 
-def align_by_lag(series: DataFrame, edges: DataFrame) -> DataFrame:
+def align_by_lag(series: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:
     """Each cause moved onto its effect's index (``entity_id, metric_name, idx, value`` with ``cause, effect, lag``)."""
     cause = series.select("entity_id", F.col("metric_name").alias("cause"), F.col("idx").alias("_at"), F.col("value").alias("x"))
     effect = series.select("entity_id", F.col("metric_name").alias("effect"), "idx", F.col("value").alias("y"))
     moved = cause.join(edges.select("entity_id", "cause", "effect", "lag"), ["entity_id", "cause"]).withColumn("idx", F.col("_at") + F.col("lag")).drop("_at")
-    return moved.join(effect, ["entity_id", "effect", "idx"]).select("entity_id", "cause", "effect", "lag", "idx", "x", "y")
+    found = moved.join(effect, ["entity_id", "effect", "idx"]).select("entity_id", "cause", "effect", "lag", "idx", "x", "y")
+    # Pairs that fewer than least rows align stay on their own index, with lag 0.
+    few = found.groupBy("entity_id", "cause", "effect").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("entity_id", "cause", "effect")
+    raw = edges.select("entity_id", "cause", "effect").distinct().join(few, ["entity_id", "cause", "effect"], "left_anti")
+    raw = cause.withColumnRenamed("_at", "idx").join(raw, ["entity_id", "cause"]).join(effect, ["entity_id", "effect", "idx"])
+    return found.join(few, ["entity_id", "cause", "effect"], "left_semi").unionByName(raw.select("entity_id", "cause", "effect", F.lit(0).cast(edges.schema["lag"].dataType).alias("lag"), "idx", "x", "y"))
 
 
 def correlation_ranking(series: DataFrame, anomalous: DataFrame, k: int = 5) -> DataFrame:

@@ -1 +1 @@
-"""Compositions of operators: the detection and incident chains."""
+"""Chains of operators: from features to signals, and from signals to routed incidents."""

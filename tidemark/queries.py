@@ -28,7 +28,9 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql:
             used = [v for v in VIEWS if f" {v}" in sql]
-            SQL[f.__name__] = ("WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in used) + (", " if sql.startswith("WITH ") else " ") + sql.removeprefix("WITH ")) if used else sql
+            head = "WITH RECURSIVE " if sql.startswith("WITH RECURSIVE ") else "WITH "
+            views = head + ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
+            SQL[f.__name__] = (views + (", " if sql.startswith(head) else " ") + sql.removeprefix(head)) if used else sql
         return f
 
     return add
@@ -47,7 +49,7 @@ def tumbling_features(spark, d):
     return _micros(features.tumbling_features(tables.metrics(spark, d)))
 
 
-@query("WITH w AS (SELECT *, unnest(generate_series(0, 4)) AS k FROM metrics), x AS (SELECT *, epoch_us(time_bucket(INTERVAL 1 MINUTE, ts)) - k * 60000000 AS s FROM w) SELECT entity_id, metric_name, s AS window_start, s + 300000000 AS window_end, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS avg, count(value) AS count, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(stddev_pop(value), 6) AS stddev, round(count(value) / 300, 6) AS rate FROM x GROUP BY entity_id, metric_name, s")
+@query("WITH w AS (SELECT *, unnest(generate_series(0, 4)) AS k FROM metrics), x AS (SELECT *, epoch_us(time_bucket(INTERVAL 1 MINUTE, ts)) - k * 60000000 AS s FROM w) SELECT entity_id, metric_name, s AS window_start, s + 300000000 AS window_end, '5 minutes' AS window_size, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS avg, count(value) AS count, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(stddev_pop(value), 6) AS stddev, round(count(value) / 300, 6) AS rate FROM x GROUP BY entity_id, metric_name, s")
 def sliding_features(spark, d):
     return _micros(features.sliding_features(tables.metrics(spark, d)))
 
@@ -57,9 +59,13 @@ def session_bursts(spark, d):
     return _micros(features.session_bursts(tables.metrics(spark, d), "1 hour"))
 
 
-@query("WITH t AS (SELECT entity_id, metric_name, epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS s, min(value) AS lo, max(value) AS hi, avg(value) AS a, count(value) AS c FROM metrics GROUP BY 1, 2, 3) SELECT entity_id, metric_name, s + 300000000 AS window_end, min(s) OVER w AS first_start, round(sum(a * c) OVER w / sum(c) OVER w, 6) AS latency_avg, round(min(lo) OVER w, 6) AS latency_min, round(max(hi) OVER w, 6) AS latency_max, CAST(sum(c) OVER w AS BIGINT) AS request_volume, count(*) OVER w AS feature_version, 90 AS ttl FROM t WINDOW w AS (PARTITION BY entity_id ORDER BY s, metric_name ROWS UNBOUNDED PRECEDING)")
+_WINDOWS = "t AS (SELECT entity_id, metric_name, '{n} minutes' AS window_size, epoch_us(time_bucket(INTERVAL {n} MINUTE, ts)) AS s, epoch_us(time_bucket(INTERVAL {n} MINUTE, ts)) + {n} * 60000000 AS e, min(value) AS lo, max(value) AS hi, avg(value) AS a, count(value) AS c, sum(is_error::INT) / count(value) AS er FROM metrics GROUP BY 1, 2, 4)"
+
+
+@query("WITH " + _WINDOWS.format(n=5) + ", " + _WINDOWS.format(n=15).replace("t AS", "l AS") + ", b AS (FROM t UNION ALL FROM l) SELECT entity_id, window_size, metric_name, e AS window_end, min(s) OVER w AS first_start, CAST(NULL AS DOUBLE) AS latency_p50, CAST(NULL AS DOUBLE) AS latency_p95, CAST(NULL AS DOUBLE) AS latency_p99, round(last_value(er IGNORE NULLS) OVER w, 6) AS error_rate, round(sum(a * c) OVER w / sum(c) OVER w, 6) AS latency_avg, round(min(lo) OVER w, 6) AS latency_min, round(max(hi) OVER w, 6) AS latency_max, CAST(sum(c) OVER w AS BIGINT) AS request_volume, count(*) OVER v AS feature_version, 90 AS ttl FROM b WINDOW w AS (PARTITION BY entity_id, window_size ORDER BY e, s, metric_name ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY entity_id ORDER BY e, s, metric_name, window_size ROWS UNBOUNDED PRECEDING)")
 def feature_vectors(spark, d):
-    return _micros(features.feature_vectors(features.tumbling_features(tables.metrics(spark, d))))
+    rows = tables.metrics(spark, d)
+    return _micros(features.feature_vectors(features.tumbling_features(rows).unionByName(features.tumbling_features(rows, "15 minutes"))))
 
 
 @query("SELECT entity_id, metric_name, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS stddev, round(quantile_cont(value, 0.95), 6) AS p95, count(value) AS count FROM metrics GROUP BY entity_id, metric_name")
@@ -143,7 +149,7 @@ def suppress_noise(spark, d):
     return detect.suppress_noise(detect.zscore_score(rows, detect.zscore_baselines(rows))).select("event_id", "keep")
 
 
-@query(_SCORES + ", c AS (SELECT *, CASE WHEN max(score) OVER w < 0.5 AND count(score) OVER w = 3 THEN 1 ELSE 0 END AS closes FROM z WINDOW w AS (PARTITION BY entity_id, metric_name ORDER BY ts, event_id ROWS 2 PRECEDING)), s AS (SELECT *, coalesce(sum(closes) OVER (PARTITION BY entity_id, metric_name ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session FROM c) SELECT entity_id, metric_name, CAST(session AS BIGINT) AS session, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, round(max(score), 6) AS peak, count(*) AS points, max(closes) = 1 AS resolved FROM s GROUP BY entity_id, metric_name, session")
+@query(_SCORES + ", c AS (SELECT *, CASE WHEN max(score) OVER w < 0.5 AND count(score) OVER w = 3 THEN 1 ELSE 0 END AS closes FROM z WINDOW w AS (PARTITION BY entity_id, metric_name ORDER BY ts, event_id ROWS 2 PRECEDING)), s AS (SELECT *, coalesce(sum(closes) OVER (PARTITION BY entity_id, metric_name ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session FROM c) SELECT entity_id, metric_name, CAST(session AS BIGINT) AS session, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, round(max(score), 6) AS peak, count(*) AS points, max(closes) = 1 AS resolved, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration_s FROM s GROUP BY entity_id, metric_name, session")
 def anomaly_sessions(spark, d):
     rows = tables.metrics(spark, d)
     return _micros(detect.anomaly_sessions(detect.zscore_score(rows, detect.zscore_baselines(rows))))
@@ -167,9 +173,9 @@ def sla_risk(spark, d):
     return _micros(rows.select("incident_id", "impact", incidents.sla_risk(F.col("severity"), F.col("impact")).alias("risk"), incidents.assign_owner(F.col("severity"), F.col("impact")).alias("owner")))
 
 
-@query("WITH g AS (SELECT *, CASE WHEN epoch_us(created_at) - lag(epoch_us(created_at)) OVER w <= 864000000000 THEN 0 ELSE 1 END AS o FROM incidents WINDOW w AS (PARTITION BY root_cause_entity ORDER BY created_at, incident_id)), i AS (SELECT *, sum(o) OVER (PARTITION BY root_cause_entity ORDER BY created_at, incident_id ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT root_cause_entity, arg_min(incident_id, (created_at, incident_id)) AS incident_id, epoch_us(min(created_at)) AS created_at, count(*) AS deduplicated_count, round(max(impact), 6) AS impact FROM i GROUP BY root_cause_entity, s")
+@query("WITH g AS (SELECT *, CASE WHEN epoch_us(created_at) - lag(epoch_us(created_at)) OVER w <= 864000000000 THEN 0 ELSE 1 END AS o FROM incidents WINDOW w AS (PARTITION BY root_cause_entity ORDER BY created_at, incident_id)), i AS (SELECT *, sum(o) OVER (PARTITION BY root_cause_entity ORDER BY created_at, incident_id ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT root_cause_entity, arg_min(incident_id, (created_at, incident_id)) AS incident_id, epoch_us(min(created_at)) AS created_at, count(*) AS deduplicated_count, round(max(impact), 6) AS impact, array_to_string(list_sort(list(incident_id)), ',') AS related_incidents FROM i GROUP BY root_cause_entity, s")
 def dedup_incidents(spark, d):
-    return _micros(incidents.dedup_incidents(tables.incidents(spark, d), 864_000).drop("island"))
+    return _micros(incidents.dedup_incidents(tables.incidents(spark, d), 864_000).drop("island")).withColumn("related_incidents", F.array_join(F.col("related_incidents").cast("array<string>"), ","))
 
 
 @query("SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM conversations")
@@ -188,11 +194,13 @@ def build_relationships(spark, d):
     return found.withColumn("child_span", F.col("child_span").cast("long"))
 
 
-@query("WITH h AS (SELECT entity_id, metric_name, CAST(epoch_us(date_trunc('day', ts)) // 86400000000 AS BIGINT) AS idx, sum(value) AS v FROM metrics GROUP BY 1, 2, 3), p AS (SELECT a.entity_id, a.metric_name AS cause, b.metric_name AS effect, b.idx - a.idx AS lag, a.v AS x, b.v AS y FROM h a JOIN h b ON a.entity_id = b.entity_id AND b.idx - a.idx BETWEEN 1 AND 15 AND a.metric_name <> b.metric_name), c AS (SELECT entity_id, cause, effect, lag, corr(x, y) AS r, count(*) AS n FROM p GROUP BY 1, 2, 3, 4 HAVING count(*) > 5) SELECT entity_id, cause, effect, n, round(r, 6) AS r, lag FROM c WHERE abs(r) >= 0.5 AND NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY entity_id, cause, effect ORDER BY round(abs(r), 9) DESC, lag) = 1")
+@query("WITH h AS (SELECT entity_id, metric_name, CAST(epoch_us(date_trunc('day', ts)) // 86400000000 AS BIGINT) AS idx, sum(value) AS v FROM metrics GROUP BY 1, 2, 3), p AS (SELECT a.entity_id, a.metric_name AS cause, b.metric_name AS effect, b.idx - a.idx AS lag, a.v AS x, b.v AS y FROM h a JOIN h b ON a.entity_id = b.entity_id AND b.idx - a.idx BETWEEN 1 AND 15 AND a.metric_name <> b.metric_name), c AS (SELECT entity_id, cause, effect, lag, corr(x, y) AS r, count(*) AS n FROM p GROUP BY 1, 2, 3, 4 HAVING count(*) > 5), f AS (SELECT * FROM c WHERE NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY entity_id, cause, effect ORDER BY round(abs(r), 9) DESC, lag) = 1) SELECT entity_id, cause, effect, n, round(r, 6) AS r, lag FROM f WHERE abs(r) >= 0.5 AND atanh(least(abs(r), 1 - 1e-12)) * sqrt(n - 3) >= 1.959963984540054")
 def lagged_correlation_edges(spark, d):
     day = (F.unix_micros(F.date_trunc("day", "ts")) / 86_400_000_000).cast("long")
     series = tables.metrics(spark, d).groupBy("entity_id", "metric_name", day.alias("idx")).agg(F.sum("value").alias("value"))
-    return _micros(graph.lagged_correlation_edges(series, least_rows=6)).withColumn("lag", F.col("lag").cast("long"))
+    return _micros(graph.lagged_correlation_edges(series, least_rows=6).drop("p")).withColumn("lag", F.col("lag").cast("long"))
 
 
 FLAGSHIP = tumbling_features
+
+from . import operations_queries  # noqa: E402, F401

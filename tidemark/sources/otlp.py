@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string>>>"
-_POINT = f"struct<timeUnixNano:string,asDouble:double,asInt:string,attributes:{_ATTRIBUTES}>"
+_POINT = f"struct<timeUnixNano:string,asDouble:double,asInt:string,asLong:string,attributes:{_ATTRIBUTES}>"
 _METRIC = f"struct<name:string,unit:string,gauge:struct<dataPoints:array<{_POINT}>>,sum:struct<dataPoints:array<{_POINT}>>>"
 METRICS = f"resourceMetrics array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeMetrics:array<struct<metrics:array<{_METRIC}>>>>>"
 _LOG = f"struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:struct<stringValue:string>,traceId:string,spanId:string,attributes:{_ATTRIBUTES}>"
@@ -40,14 +40,14 @@ def parse_otlp_metrics(raw: DataFrame, value: str = "value") -> DataFrame:
     empty = F.array().cast(f"array<{_POINT}>")
     points = F.concat(F.coalesce("x.gauge.dataPoints", empty), F.coalesce("x.sum.dataPoints", empty))
     rows = rows.select("res", "x.name", "x.unit", F.explode(points).alias("p"))
-    return rows.select(_entity(F.col("res")).alias("entity_id"), F.col("name").alias("metric_name"), "unit", F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double")).alias("value"), _time(F.col("p.timeUnixNano")).alias("ts"), attributes(F.col("p.attributes")).alias("attributes"))
+    return rows.select(_entity(F.col("res")).alias("entity_id"), F.col("name").alias("metric_name"), "unit", F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"), F.col("p.asLong").cast("double")).alias("value"), _time(F.col("p.timeUnixNano")).alias("ts"), attributes(F.col("p.attributes")).alias("attributes"))
 
 
 def parse_otlp_logs(raw: DataFrame, value: str = "value") -> DataFrame:
     rows = _records(raw, LOGS, "resourceLogs", "scopeLogs", "logRecords", value)
     n = F.col("x.severityNumber")
     level = F.when(n.between(1, 4), "TRACE").when(n.between(5, 8), "DEBUG").when(n.between(9, 12), "INFO").when(n.between(13, 16), "WARN").when(n >= 17, "ERROR").otherwise(F.col("x.severityText"))
-    return rows.select(_entity(F.col("res")).alias("entity_id"), level.alias("log_level"), F.col("x.body.stringValue").alias("message"), F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("span_id"), _time(F.coalesce("x.timeUnixNano", "x.observedTimeUnixNano")).alias("ts"))
+    return rows.select(_entity(F.col("res")).alias("entity_id"), level.alias("log_level"), F.col("x.body.stringValue").alias("message"), F.col("x.traceId").alias("trace_id"), F.col("x.spanId").alias("span_id"), _time(F.coalesce("x.timeUnixNano", "x.observedTimeUnixNano")).alias("ts"), attributes(F.col("x.attributes")).alias("attributes"))
 
 
 def parse_otlp_traces(raw: DataFrame, value: str = "value") -> DataFrame:

@@ -6,15 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Fixed value: what a workspace name looks like.
 WORKSPACE = r"^[a-z0-9][a-z0-9\-_]{0,62}$"
 
 
 def write_table(df: DataFrame, path: str, ts: str = "ts", sort: tuple[str, ...] = ("entity_id",)) -> None:
     """Append by day, sorted inside files so that entity filters skip row groups; a busy day is split."""
-    dated = df.withColumn("dt", F.to_date(ts))
+    # Lists leave as JSON, times in text become times.
+    lists = {c: F.to_json(c) for c, kind in df.dtypes if kind.startswith("array")}
+    times = {ts: F.try_to_timestamp(ts)} if dict(df.dtypes)[ts] == "string" else {}
+    dated = df.withColumns(lists | times).withColumn("dt", F.to_date(ts))
     dated.repartition("dt", F.pmod(F.xxhash64(*sort), F.lit(16))).sortWithinPartitions("dt", *sort, ts).write.mode("append").partitionBy("dt").parquet(path)
 
 
+def topic_rows(df: DataFrame, key: str | None = None) -> DataFrame:
+    """``key, value`` of a topic: each row as JSON."""
+    name = F.lit(None).cast("string") if key is None else F.col(key).cast("string")
+    return df.select(name.alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def write_stream_topic(df: DataFrame, topic: str, checkpoint: str, kafka: dict | None = None, key: str | None = None):
+    """At-least-once sink: a topic where the connector is installed (``kafka`` options), else JSON lines in a folder of that name."""
+    rows = topic_rows(df, key)
+    if kafka is not None:
+        return rows.writeStream.format("kafka").options(topic=topic, checkpointLocation=checkpoint, **kafka).start()
+    return rows.select("value").writeStream.format("text").option("path", topic).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def archive_jsonl(df: DataFrame, path: str, ts: str = "ts") -> None:
     df.withColumn("dt", F.date_format(ts, "yyyy-MM-dd")).write.mode("append").partitionBy("dt").json(path)
 

@@ -1,11 +1,23 @@
-"""Structured Streaming jobs: the batch operators behind a watermark and a checkpoint."""
+"""Structured Streaming jobs: the batch operators behind a watermark and a checkpoint.
+
+A job that needs more than one result from a batch, or joins it with stored tables, runs
+its operators in ``foreachBatch``. A batch that is run again after a failure overwrites the
+folder of its number, so that results stay those of one run.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import features
+from ..functions import normalize as N
+from ..operators import change, entities, features, incidents, policy, resources, security
+from ..plans.detection import detect_pipeline
+from ..plans.response import incident_pipeline
+from ..sources import ingest, otlp
 
 
 def read_stream(spark: SparkSession, source: str, schema: str, kafka: dict | None = None) -> DataFrame:
@@ -15,7 +27,144 @@ def read_stream(spark: SparkSession, source: str, schema: str, kafka: dict | Non
     return spark.readStream.schema(schema).parquet(source)
 
 
+def _each_batch(stream: DataFrame, checkpoint: str, run: Callable[[DataFrame, int], None], trigger: dict | None = None) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _write(df: DataFrame, out: str, batch: int) -> None:
+    df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+
+def ingest_job(raw: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Telemetry JSON (``value``) to normalised tables for each signal, and a day-wise archive of them all."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch = otlp.route_signal_type(batch).persist()
+        of = lambda name: batch.where(F.col("signal") == name)
+        now = F.current_timestamp()
+        metrics = otlp.parse_otlp_metrics(of("metrics"))
+        metrics = metrics.withColumn("value", N.metric_value(F.col("value"), F.col("unit")))
+        logs = otlp.parse_otlp_logs(of("logs")).withColumns({"log_level": N.log_severity(F.col("log_level")), "message": N.log_body(F.col("message"))})
+        logs = logs.withColumn("entity_type", N.entity_type(F.lit(None).cast("string"), F.col("entity_id")))
+        traces = otlp.parse_otlp_traces(of("traces"))
+        traces = traces.withColumns({c: N.hex_id(F.col(c), n) for c, n in (("trace_id", 32), ("span_id", 16))})
+        events = ingest.parse_security_events(of("events"))
+        archive = None
+        for name, rows in (("metrics", metrics), ("logs", logs), ("traces", traces), ("events", events)):
+            rows = N.validated(rows, now).withColumn("attributes", N.k8s_context(F.col("attributes")))
+            _write(rows, f"{out}/{name}", number)
+            line = rows.select(F.date_format("ts", "yyyy-MM-dd").alias("dt"), F.to_json(F.struct(F.lit(name).alias("signal"), *rows.columns)).alias("value"))
+            archive = line if archive is None else archive.unionByName(line)
+        archive.write.mode("overwrite").partitionBy("dt").text(f"{out}/archive/batch={number}")
+        batch.unpersist()
+
+    return _each_batch(raw, checkpoint, run, trigger or {"availableNow": True})
+
+
 def feature_job(metrics: DataFrame, out: str, checkpoint: str, size: str = "5 minutes", lateness: str = "5 seconds") -> StreamingQuery:
     """Closed tumbling windows, appended once each; later rows than the lateness are dropped."""
     windows = features.tumbling_features(metrics.withWatermark("ts", lateness), size)
     return windows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def feature_jobs(metrics: DataFrame, out: str, checkpoint: str, sizes: tuple[str, ...] = ("1 minute", "5 minutes", "15 minutes"), lateness: str = "5 seconds") -> dict[str, StreamingQuery]:
+    """Tumbling windows of each size, sliding windows and sessions, one query each."""
+    late = metrics.withWatermark("ts", lateness)
+    tables = {f"tumbling-{size.replace(' ', '-')}": features.tumbling_features(late, size) for size in sizes}
+    tables |= {"sliding": features.sliding_features(late), "sessions": features.session_bursts(late)}
+    start = lambda name, df: df.writeStream.outputMode("append").format("parquet").option("path", f"{out}/{name}").option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+    return {name: start(name, df) for name, df in tables.items()}
+
+
+def vector_job(spark: SparkSession, windows: DataFrame, history: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Vectors of the entities in each batch of closed windows, merged over the windows in ``history``, which the batch joins."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        known = spark.read.parquet(history).where(F.col("batch") <= number).drop("batch")
+        own = known.join(batch.select("entity_id").distinct(), "entity_id", "left_semi")
+        _write(features.feature_vectors(own), out, number)
+
+    return _each_batch(windows, checkpoint, run)
+
+
+def entity_job(sightings: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Entities (``raw_id, ts``) by canonical id with tags, one row for each active window inside a batch."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("id", resources.parse_resource_id(F.col("raw_id"))).select("raw_id", "ts", "id.*")
+        rows = rows.withColumn("entity_id", entities.canonical_entity_id(F.col("provider"), F.col("entity_type"), F.col("name"), F.col("raw_id")))
+        windows = resources.dedup_entities(rows)
+        tags = rows.select("entity_id", resources.business_tags(F.col("entity_type"), F.col("name")).alias("tags")).groupBy("entity_id").agg(F.first("tags").alias("tags"))
+        _write(windows.join(tags, "entity_id"), out, number)
+
+    return _each_batch(sightings, checkpoint, run)
+
+
+def relationship_job(spans: DataFrame, out: str, checkpoint: str, within: str = "10 minutes", lateness: str = "5 seconds") -> StreamingQuery:
+    """Calls from a stream of spans joined with itself; state lasts for ``within`` beyond the watermark."""
+    late = spans.withWatermark("ts", lateness)
+    child = late.where("parent_span_id != ''").select(F.col("trace_id").alias("trace"), F.col("parent_span_id").alias("parent"), F.col("span_id").alias("child_span"), F.col("service_name").alias("dst"), F.col("duration_ms").alias("latency_ms"), F.col("ts").alias("child_ts"))
+    parent = late.select("trace_id", "span_id", F.col("service_name").alias("src"), F.col("ts").alias("parent_ts"))
+    span = F.expr(f"INTERVAL {within}")
+    same = (F.col("trace") == F.col("trace_id")) & (F.col("parent") == F.col("span_id")) & (F.col("src") != F.col("dst"))
+    near = F.col("child_ts").between(F.col("parent_ts") - span, F.col("parent_ts") + span)
+    calls = child.join(parent, same & near).select("trace_id", "child_span", "src", "dst", F.lit("CALLS").alias("type"), "latency_ms")
+    return calls.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def detect_job(points: DataFrame, history: DataFrame, nodes: DataFrame, out: str, checkpoint: str, edges: DataFrame | None = None, model=None) -> StreamingQuery:
+    """Signals and sessions of each batch of metric points against stored history."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        signals, sessions = detect_pipeline(batch, history, nodes, edges, model)
+        _write(signals, f"{out}/signals", number)
+        _write(sessions, f"{out}/sessions", number)
+
+    return _each_batch(points, checkpoint, run)
+
+
+def security_job(spark: SparkSession, events: DataFrame, approved: DataFrame, history: str, out: str, checkpoint: str, seconds: int = 300) -> StreamingQuery:
+    """Attacks in each batch of security events, with the events of the last ``seconds`` before it from ``history``, which the batch joins."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        first = batch.agg(F.min("ts")).first()[0]
+        if first is None:
+            return
+        known = spark.read.parquet(history).where(F.col("batch") <= number)
+        near = known.where(F.col("ts") >= F.lit(first) - F.expr(f"INTERVAL {int(seconds)} SECONDS")).drop("batch")
+        found = {
+            "BRUTE_FORCE": security.detect_brute_force(security.auth_failures(near), seconds=seconds),
+            "CONFIG_DRIFT": change.detect_config_drift(near, approved),
+            "PRIVILEGE_ESCALATION": security.detect_priv_escalation(near),
+        }
+        if "outbound_bytes" in near.columns:
+            found["DATA_EXFILTRATION"] = security.detect_data_exfil(near)
+        hits = change.classify_security(near, found)
+        _write(hits.join(batch.select("event_id"), "event_id", "left_semi"), out, number)
+
+    return _each_batch(events, checkpoint, run)
+
+
+def incident_job(signals: DataFrame, nodes: DataFrame, edges: DataFrame, actions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Incidents, routed actions and pending approvals of each batch of signals over the graph's tables."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        found, routed = incident_pipeline(batch, nodes, edges, actions)
+        _write(found, f"{out}/incidents", number)
+        _write(routed, f"{out}/actions", number)
+        _write(policy.pending_approvals(routed), f"{out}/approvals", number)
+
+    return _each_batch(signals, checkpoint, run)
+
+
+def learning_job(results: DataFrame, out: str, checkpoint: str, incident_table: DataFrame | None = None, since=None) -> StreamingQuery:
+    """Knowledge rows of each batch of action results; with ``incident_table``, the repeated incidents at the time too."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        _write(policy.feedback_to_knowledge(batch), f"{out}/knowledge", number)
+        if incident_table is not None:
+            _write(incidents.mine_patterns(incident_table, since=since), f"{out}/patterns", number)
+
+    return _each_batch(results, checkpoint, run)
