@@ -9,7 +9,9 @@ The vocabulary file names NFC, white-space folding, lower case, the pre-token pa
 symbols and the end-of-word suffix; its special strings inside a text are one token each.
 
 Defined cases: a null text is empty and has no tokens; repeated rows keep a row each;
-other columns are carried through.
+other columns are carried through, and one with the name of the result is replaced. A
+pre-token of n bytes takes up to n rounds over what is left of it, so one without a space
+or other cut costs the square of its length at worst.
 """
 
 from __future__ import annotations
@@ -30,6 +32,18 @@ from .pair_table import NONE, PairTable
 #: Fixed values of the vocabulary format: white space of its pattern, and the pre-token pattern.
 SPACE = r"\t\n\x0b\x0c\r \x85\p{Z}"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: Code points that the regex package counts as letters or numbers, and the
+#: library, whose Unicode tables are older, as neither.
+NEITHER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+#: Lower case of code points that the library knows and Python does not, one by one and in runs (first, last, step to the lower case).
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER_RUNS = [(0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
 #: Pre-tokens whose counts a task remembers.
 REMEMBERED = 300_000
 
@@ -56,6 +70,12 @@ class Vocabulary:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pre_token = regex.compile(PRE_TOKEN)
+        neither = "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in NEITHER)
+        self.lower = LOWER | {c: c + step for a, b, step in LOWER_RUNS for c in range(a, b + 1)}
+        self.newer = regex.compile(f"[{neither}{''.join(map(chr, self.lower))}]")
+        letter, number = (rf"[\p{{{kind}}}--[{neither}]]" for kind in "LN")
+        # Slower for its sets; only texts with such a character take it.
+        self.pre_token_newer = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|(?:[^{SPACE}\p{{L}}\p{{N}}]|[{neither}])+")
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Number of symbols that survive in each (not empty) word."""
@@ -95,6 +115,9 @@ class Vocabulary:
             if not part.isascii():
                 # Lower case works by character, without the final form of sigma.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                if self.newer.search(part):
+                    found += self.pre_token_newer.findall(part.translate(self.lower).lower())
+                    continue
             found += self.pre_token.findall(part.lower())
         return found, len(parts) - 1
 
