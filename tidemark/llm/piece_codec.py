@@ -13,11 +13,13 @@ Characters that are no piece become byte pieces; so does U+2581 itself, which th
 cannot tell from a space. Decoding therefore gives back every text exactly.
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids; a
-null document id is hashed like a value; other columns are carried through.
+null document id is hashed like a value; other columns are carried through, and those with
+the name of a result are replaced.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -34,6 +36,8 @@ from .pair_table import NONE, PairTable
 MARK = "▁"
 #: Units whose ids a task remembers without dropout.
 REMEMBERED = 80_000
+#: Characters above which a unit has a heap as its agenda, so that its time grows with n log n.
+LONG_UNIT = 256
 #: Units that are encoded together.
 CHUNK = 8_000
 #: Texts that are cut and encoded together.
@@ -46,6 +50,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _mix_one(x: int) -> int:
+    """``_mix`` of one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 2**64 - 1
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 2**64 - 1
+    return x ^ x >> 31
+
+
 class Pieces:
     """Piece table of a model file."""
 
@@ -53,6 +64,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(self.size)]
+        self.known: dict[int, tuple[int, int]] | None = None
         self.byte = np.zeros(256, np.int64)
         self.decoded: list[bytes] = []
         usable: dict[str, int] = {}
@@ -109,8 +121,12 @@ class Pieces:
                 rank = np.where(_mix(base[i] ^ _mix(span.astype(np.uint64))) < bound, NONE, rank)
             agenda[i] = rank.astype(np.int64) << 32 | i
 
-        look(np.nonzero(after < n)[0])
-        live, starts, sizes = np.arange(n), first, size
+        short = size <= LONG_UNIT
+        for u in np.nonzero(~short)[0].tolist():
+            a, b = int(first[u]), int(last[u])
+            symbol[a:b] = self._merge_long(symbol[a:b].tolist(), int(keys[u]) if dropout else 0, int(bound) if dropout else 0)
+        live, starts, sizes = np.nonzero(np.repeat(short, size))[0], first[short], size[short]
+        look(live[after[live] < n])
         while len(live):
             best = np.minimum.reduceat(agenda[live], np.cumsum(sizes) - sizes)
             open_ = best >> 32 != NONE
@@ -142,6 +158,42 @@ class Pieces:
         out[np.repeat(ids == -1, times)] = self.byte[np.frombuffer(b"".join(coded), np.uint8)]
         return out, start[cut]
 
+    def _merge_long(self, symbol: list[int], key: int, bound: int) -> list[int]:
+        """Symbols of one unit after all merges, -2 where one was absorbed: the same merges in the same order, from a heap."""
+        if self.known is None:
+            at = self.pairs._keys >= 0
+            self.known = dict(zip(self.pairs._keys[at].tolist(), zip(self.pairs._rank[at].tolist(), self.pairs._made[at].tolist(), strict=True), strict=True))
+        n, known = len(symbol), self.known
+        after, before, stamp, made = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n, [0] * n
+        heap: list[tuple[int, int, int]] = []
+
+        def enter(i: int) -> None:
+            stamp[i] += 1
+            j = after[i]
+            if j >= n or symbol[i] < 0 or symbol[j] < 0 or (found := known.get(symbol[i] << 20 | symbol[j])) is None:
+                return
+            if bound and _mix_one(key ^ _mix_one(i << 42 ^ j << 21 ^ after[j])) < bound:
+                return
+            made[i] = found[1]
+            heapq.heappush(heap, (found[0], i, stamp[i]))
+
+        for i in range(n - 1):
+            enter(i)
+        while heap:
+            _, i, when = heapq.heappop(heap)
+            if when != stamp[i]:
+                continue
+            j = after[i]
+            symbol[i], symbol[j] = made[i], -2
+            stamp[j] += 1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            enter(i)
+            if before[i] >= 0:
+                enter(before[i])
+        return symbol
+
     def decode(self, ids) -> str:
         return b"".join(map(self.decoded.__getitem__, ids)).decode()[1:]
 
