@@ -4,8 +4,10 @@ Only DataFrame functions are used. Each document becomes a row of whole-text sta
 From the labelled rows, rules are learned one after the other: a rule starts empty and
 grows by the threshold condition with the greatest FOIL gain on the rows that no earlier
 rule covers; conditions are then pruned, last first, while the Laplace precision on the
-pruning rows does not fall. Learning stops when the pruned rule is no better than
-``min_precision``. Each growth step is one aggregation over (feature, bin) counts, whose
+pruning rows does not fall. A rule is kept if the Laplace share of bad ones among all
+labelled rows that it covers is ``min_precision``, and the pruning rows do not speak against
+it. After one that fails, its first condition opens no other rule and learning goes on; it
+ends after ``patience`` failures in a row, or when no condition gains. Each growth step is one aggregation over (feature, bin) counts, whose
 result has features x bins rows whatever the input size. The list becomes one ordered
 ``CASE WHEN`` column.
 
@@ -114,7 +116,7 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
-def _best(counts: dict[tuple[int, int], list[int]], cuts: list[list[float]], bad: int, good: int, used: Rule) -> Condition | None:
+def _best(counts: dict[tuple[int, int], list[int]], cuts: list[list[float]], bad: int, good: int, used: tuple[Condition, ...] | list[Condition]) -> Condition | None:
     """The condition with the greatest FOIL gain, from the counts by feature and bin."""
     start, top, found = math.log2(bad / (bad + good)), 1e-9, None
     for f, edges in enumerate(cuts):
@@ -134,7 +136,7 @@ def _bin(feature: str, edges: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda edge: edge < F.col(feature)))
 
 
-def learn_rules(labelled: DataFrame, bins: int = 24, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.9, min_covered: int = 5) -> list[Rule]:
+def learn_rules(labelled: DataFrame, bins: int = 24, max_conditions: int = 3, min_precision: float = 0.9, min_covered: int = 3, patience: int = 4) -> list[Rule]:
     """Rules that reject, learned from all rows of ``labelled`` (id, bad 0/1 and FEATURES)."""
     data = store(labelled.select("bad", (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("prune"), *FEATURES).where("bad is not null"), "rule-rows")
     steps = F.array(*[F.lit((k + 1) / bins) for k in range(bins - 1)])
@@ -142,25 +144,32 @@ def learn_rules(labelled: DataFrame, bins: int = 24, max_rules: int = 8, max_con
     cuts = [sorted(set(quantiles[f] or [])) for f in FEATURES]
     binned = [F.struct(F.lit(f).alias("f"), _bin(FEATURES[f], edges).alias("b")) for f, edges in enumerate(cuts)]
     rules: list[Rule] = []
-    while len(rules) < max_rules:
+    failed: list[Condition] = []
+    misses = 0
+    while misses < patience:
         left, rule = data.where(verdict(rules).isNull()), ()
         while len(rule) < max_conditions:
             rows = left.where(~F.col("prune") & _holds(rule)).select("bad", F.explode(F.array(*binned)).alias("x"))
             got = rows.groupBy("x.f", "x.b").agg(F.count_if(F.col("bad") == 1).alias("bad"), F.count_if(F.col("bad") == 0).alias("good")).collect()
             counts = {(r["f"], r["b"]): [r["bad"], r["good"]] for r in got}
             bad, good = (sum(v[i] for (f, _), v in counts.items() if f == 0) for i in (0, 1))
-            if bad < min_covered or not good or (condition := _best(counts, cuts, bad, good, rule)) is None:
+            if bad < min_covered or not good or (condition := _best(counts, cuts, bad, good, rule or failed)) is None:
                 break
             rule = (*rule, condition)
         if not rule:
             break
         prefixes = [rule[: k + 1] for k in range(len(rule))]
-        hits = left.where("prune").agg(*[F.count_if(_holds(p) & (F.col("bad") == b)).alias(f"c{k}_{b}") for k, p in enumerate(prefixes) for b in (0, 1)]).first()
-        precision = [(hits[f"c{k}_1"] + 1) / (hits[f"c{k}_1"] + hits[f"c{k}_0"] + 2) for k in range(len(prefixes))]
-        best = max(range(len(prefixes)), key=lambda k: (precision[k], -k))
-        if precision[best] < min_precision:
-            break
+        kinds = {"prune": F.col("prune"), "all": F.lit(True)}
+        hits = left.agg(*[F.count_if(_holds(p) & (F.col("bad") == b) & rows).alias(f"{name}{k}_{b}") for k, p in enumerate(prefixes) for b in (0, 1) for name, rows in kinds.items()]).first()
+        share = lambda name, k: (hits[f"{name}{k}_1"] + 1) / (hits[f"{name}{k}_1"] + hits[f"{name}{k}_0"] + 2)
+        best = max(range(len(prefixes)), key=lambda k: (share("prune", k), -k))
+        against = hits[f"prune{best}_0"] > (1 - min_precision) * (hits[f"prune{best}_0"] + hits[f"prune{best}_1"])
+        if share("all", best) < min_precision or against:
+            failed.append(rule[0])
+            misses += 1
+            continue
         rules.append(prefixes[best])
+        misses = 0
     return rules
 
 
