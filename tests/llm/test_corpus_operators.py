@@ -294,6 +294,46 @@ def test_pieces(spark, docs, nothing):
     assert piece_codec.encode(nothing, path).count() == 0
 
 
+def test_long_units(monkeypatch):
+    """Units encoded by heap and together give the same ids, with and without dropout; time grows mildly with length."""
+    import time
+
+    import numpy as np
+
+    pieces = piece_codec.Pieces(queries.vocabulary("piece_bpe_32k.model"))
+    r = random.Random(6)
+    units = ["".join(r.choice("aeinrst") for _ in range(r.randrange(1, 300))) for _ in range(60)] + ["ab" * 150, "é" * 40, "n" * 290]
+    keys = np.array([r.getrandbits(64) for _ in units], np.uint64)
+    for dropout in (0.0, 0.3):
+        got = []
+        for bound in (0, 10**9):
+            monkeypatch.setattr(piece_codec, "LONG_UNIT", bound)
+            ids, cut = pieces.encode_units(units, dropout, keys)
+            got.append((ids.tolist(), cut.tolist()))
+        assert got[0] == got[1]
+    monkeypatch.setattr(piece_codec, "LONG_UNIT", 256)
+    start = time.process_time()
+    pieces.encode_units(["".join(r.choice("aeinrst") for _ in range(40_000))], 0.1, keys[:1])
+    assert time.process_time() - start < 3
+
+
+def test_token_classes():
+    """Every code point, inside letters, numbers and other characters, is cut and folded as the library does."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), token_count.Vocabulary(path)
+    symbols = token_count.byte_symbols()
+    points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 4096):
+        text = " ".join(f"a{c}a1{c}1?{c}?" for c in points[k : k + 4096])
+        want = [x for x, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+        got = ["".join(symbols[b] for b in x.encode()) for x in mine.pre_tokens(text)[0]]
+        assert got == want, (k, unicodedata.unidata_version)
+
+
 def brute_statistics(text):
     w = (text or "").encode().split()
     lines = [x for x in (text or "").split("\n") if x.encode().split()]
@@ -319,6 +359,56 @@ def test_rules_find_a_threshold(spark):
     assert rules and data.where((rule_list.verdict(rules).isNotNull()) != (F.col("bad") == 1)).count() <= 20
 
 
+def brute_rules(rows, cuts, min_precision=0.9, min_covered=3, patience=4):
+    """Sequential covering over plain rows (prune, bad, *features) as ``learn_rules`` describes it."""
+    names = rule_list.FEATURES
+    holds = lambda rule, row: all((row[2 + names.index(c.feature)] > c.threshold) == c.above for c in rule)
+    rules, failed, misses = [], [], 0
+    while misses < patience:
+        left, rule = [x for x in rows if not any(holds(done, x) for done in rules)], ()
+        while len(rule) < 3:
+            here = [x for x in left if not x[0] and holds(rule, x)]
+            bad, good = sum(x[1] for x in here), sum(1 - x[1] for x in here)
+            if bad < min_covered or not good:
+                break
+            top, best = 1e-9, None
+            for f, name in enumerate(names):
+                for edge in cuts[f]:
+                    for above in (False, True):
+                        c = rule_list.Condition(name, above, edge)
+                        p, n = (sum(x[1] == y for x in here if holds((c,), x)) for y in (1, 0))
+                        if p and p + n < bad + good and c not in (rule or failed) and (gain := p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good)))) > top:
+                            top, best = gain, c
+            if best is None:
+                break
+            rule = (*rule, best)
+        if not rule:
+            break
+        count = lambda part, only: [sum(x[1] == y for x in left if holds(part, x) and (x[0] or not only)) for y in (1, 0)]
+        share = lambda part, only: (count(part, only)[0] + 1) / (sum(count(part, only)) + 2)
+        part = max((rule[: k + 1] for k in range(len(rule))), key=lambda r: (share(r, True), -len(r)))
+        if share(part, False) < min_precision or count(part, True)[1] > (1 - min_precision) * sum(count(part, True)):
+            failed.append(rule[0])
+            misses += 1
+            continue
+        rules.append(part)
+        misses = 0
+    return rules
+
+
+def test_rules_equal_brute_force(spark):
+    r = random.Random(11)
+    rows = []
+    for k in range(300):
+        x = [r.randrange(8) / 8 for _ in rule_list.FEATURES]
+        rows.append((k, int(x[1] > 0.7 and x[3] < 0.4 or x[5] > 0.8 or r.random() < 0.03), *x))
+    data = spark.createDataFrame(rows, ["id", "bad", *rule_list.FEATURES])
+    got = rule_list.learn_rules(data)
+    prune = {x.id for x in data.where("pmod(xxhash64(id), 3) = 0").collect()}
+    cuts = [sorted({x[2 + f] for x in rows}) for f in range(len(rule_list.FEATURES))]
+    assert got and got == brute_rules([(x[0] in prune, *x[1:]) for x in rows], cuts)
+
+
 def test_suffix_tree(spark, nothing):
     rows = texts() + [(20 + k, "the cat sat on the mat and the dog sat on the rug " * 5) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
