@@ -180,6 +180,44 @@ def test_html(spark):
     assert html_extract.extracted(rows.limit(0)).count() == 0
 
 
+PLAIN = "The plain page of a site is read by the density of the words in it and of the links that are on it. " * 3
+ITALIAN = "Il gatto che non ha fame sta sul tetto della casa e non scende per il cibo che si trova nella ciotola della cucina. " * 3
+TEMPLATES = [
+    (f'<body class="single-post has-sidebar"><p>{PLAIN}</p></body>', PLAIN),
+    (f'<div class="no-sidebar"><article><p>{PLAIN}</p></article></div>', PLAIN),
+    (f'<div class="sidebar-layout"><main><p>{PLAIN}</p></main><div class="widget">{PLAIN.upper()}</div></div>', PLAIN),
+    (f'<article><div class="entry-header"><h1>Title</h1></div><p>{PLAIN}</p></article>', "Title " + PLAIN),
+    (f"<p title=don't>{PLAIN}</p>", PLAIN),
+    (f"<html><head><title>x</title><meta a=b><p>{PLAIN}</p>", PLAIN),
+    (f"<svg/><p>{PLAIN}</p><svg><text>drawn</text></svg>", PLAIN),
+    (f'<article data-id="sidebar"><p>{PLAIN}</p></article><section class="comments"><p>{PLAIN.upper()}</p></section>', PLAIN),
+    (f"<p>{ITALIAN}</p><p><a href=x>{ITALIAN.upper()}</a></p>", ITALIAN),
+    ("<p>" + "これは日本語の長い文章です。ここには本文が書かれています。" * 5 + "</p>", "これは日本語の長い文章です。ここには本文が書かれています。" * 5),
+    (f"<article><p>{PLAIN}</p><ul>" + "<li><a href=x>Another story that is not part of this one but linked to from here and read a lot</a></li>" * 3 + "</ul></article>", PLAIN),
+    (f"<p>{PLAIN}</p><p>So it goes.</p><p>{PLAIN}</p>", PLAIN + "So it goes. " + PLAIN),
+]
+
+
+def test_html_templates(spark):
+    rows = [(k, "u", page, "x", 1) for k, (page, _) in enumerate(TEMPLATES)] + [(0, "u", TEMPLATES[0][0], "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, id string, label int")
+    got = html_extract.extracted(pages).collect()
+    assert len(got) == len(rows) and all(r.id == "x" and r.label == 1 for r in got)
+    for r in got:
+        assert r.text == " ".join(TEMPLATES[r.page_id][1].split()), r.page_id
+
+
+def test_html_is_linear():
+    import time
+
+    long = f"<article>{'<p>' + PLAIN + '</p>'}" * 3000
+    start = time.process_time()
+    assert len(html_extract.main_text(long)) > 800_000
+    for page in ('<a "' * 20_000, "<a =" * 20_000, "<!--" * 20_000, '<a href="x' * 20_000, "<script>" * 20_000, "<" * 80_000):
+        html_extract.main_text(page)
+    assert time.process_time() - start < 10
+
+
 def brute_contamination(docs, items):
     import re
 

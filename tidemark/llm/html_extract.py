@@ -1,41 +1,65 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by where they
-stand (menus, footers, adverts, forms and the like are bad, an article's own blocks good)
-and else by link density, length and stop-word density. Short blocks that these leave open
-are ambiguous. In the second pass each takes the label of the nearest decided blocks: theirs
-if both sides agree, else that of the closer one, and bad where they tie or none is decided.
+A page is cut into blocks at block-level tags. The first pass decides blocks by link
+density, length and stop-word density. Where a block stands moves these limits: menus,
+footers, forms and the like, by tag or by name, are bad; in what is marked as the article
+only lists of links are bad. A name counts as a whole (``entry-header`` is part of an entry,
+``has-sidebar`` says something about the layout), never on html and body, and an article
+inside a wrapper with a wrong name is still one. Stop words are listed for four languages;
+short words that the page's long blocks repeat count too, and scripts without spaces need
+none. Short blocks that this leaves open are ambiguous. In the second pass each takes the
+label of the nearest decided blocks: theirs if both sides agree, else that of the closer
+one, and bad where they tie or none is decided.
 
 Defined cases: a null page or one without text gives the empty string; unclosed and crossed
-tags close at the next tag that ends them; an unclosed comment, script or tag runs to the
-end of the page; other columns are carried through.
+tags close at the next tag that ends them; a head without an end tag ends at the first
+block; an unclosed comment or script runs to the end of the page; a tag without an end is
+text; repeated rows keep a row each; other columns are carried through, and one with the
+name of the result is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|head)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*)|<![^>]*>|<\?[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|(?P<text>[^<]+|<)", re.S | re.I)
-_HINT = re.compile(r"(?:\b(?:class|id|role|aria-label)\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+from .memory import give_back
+
+#: Attributes: quotes count after an equals sign only, and what is taken is not given back, so that a page is read in linear time.
+_REST = r"(?>[^<>=]|=\s*+(?>\"[^\"]*+\"|'[^']*+'|))*+"
+_TOKEN = re.compile(
+    r"<!--(?:.*?-->|.*)|<svg\b" + _REST + r"(?<=/)>|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title)\b" + _REST + r">(?:.*?</(?P=raw)\s*>|.*)"
+    r"|<![^>]*>|<\?[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>" + _REST + r")>|(?P<text>[^<]+|<)",
+    re.S | re.I,
+)
+_HINT = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Tags that end a block.
-BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-OUTSIDE = frozenset("nav footer aside form menu button fieldset dialog".split())
+OUTSIDE = frozenset("head nav footer aside form menu button fieldset dialog".split())
 INSIDE = frozenset("article main".split())
 #: Words in class, id or role that name what is not the article.
 OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer header masthead cookie cookies consent notice notification alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments reply replies disqus pagination pager toolbar copyright legal disclaimer form complementary contentinfo".split())
 INSIDE_WORDS = frozenset("article content post story entry main body text".split())
+#: Words that turn a name into a statement about the layout around it (``has-sidebar``).
+LAYOUT = frozenset("has with without no not show hide is".split())
+#: Outside words that are part of an article where a name says so (``entry-header``).
+PARTS = frozenset("header masthead legal".split())
+#: Tags that may stand in a head; any other block ends a head without an end tag.
+HEAD = frozenset("base link meta".split())
+#: Letters of scripts that are written without spaces.
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0e7f]")
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset("the of and to in a is that it for on was be with as by this are from at or an der die das und ist von zu den mit sich des auf für im dem nicht ein eine als auch de la le et les des un une est pour que dans qui sur au par el los las en y del se por con su para al lo como más".split())
 SHORT, LONG = 70, 140
-LINKS, STOPS = 0.5, 0.2
+LINKS, LINKS_INSIDE, STOPS = 0.5, 0.9, 0.2
 
 
 class _Block:
@@ -47,15 +71,33 @@ class _Block:
         self.label = label
 
 
+def _hints(rest: str) -> tuple[bool, bool]:
+    """Whether names in class, id or role speak for the article, and against it."""
+    inside = outside = False
+    for value in _HINT.findall(rest):
+        for name in value.strip("\"'").lower().split():
+            words = _WORD.findall(name)
+            if not words or words[0] in LAYOUT:
+                continue
+            inside |= not INSIDE_WORDS.isdisjoint(words)
+            against = OUTSIDE_WORDS.intersection(words)
+            outside |= bool(against - PARTS if INSIDE_WORDS.intersection(words) else against)
+    return inside, outside
+
+
 def _place(tag: str, rest: str, outer: str) -> str:
-    """Where a tag puts its content: ``out``, ``in`` or ``?`` (undecided)."""
+    """Where a tag puts its content: ``out`` by its tag, ``-`` by its names only, ``in``, or ``?`` (undecided)."""
     if outer == "out" or tag in OUTSIDE or (tag == "header" and outer != "in"):
         return "out"
-    hints = {w for h in _HINT.findall(rest) for w in _WORD.findall(h.lower())}
-    # An element that names the article may also name its surroundings.
-    if hints & OUTSIDE_WORDS and not (hints & INSIDE_WORDS and tag in INSIDE):
-        return "out"
-    if tag in INSIDE or hints & INSIDE_WORDS and outer != "in" and tag in ("div", "section"):
+    if tag in ("html", "body"):
+        return outer
+    inside, outside = _hints(rest)
+    # An element that names the article may also name its surroundings, and an article inside a wrapper with a wrong name is one.
+    if tag in INSIDE and (inside or not outside):
+        return "in"
+    if outer == "-" or outside:
+        return "-"
+    if inside and outer != "in" and tag in ("div", "section"):
         return "in"
     return outer
 
@@ -87,8 +129,11 @@ def blocks(page: str) -> list[_Block]:
         if tag == "a":
             anchors = 0 if token["end"] else 1
             continue
+        if not token["end"] and stack[-1][0] == "head" and tag in BLOCK:
+            stack.pop()  # a head without an end tag
         if tag not in BLOCK:
-            hidden = not token["end"] and tag not in VOID and _place(tag, token["rest"], stack[-1][1]) == "out" != stack[-1][1]
+            now_at = stack[-1][1]
+            hidden = not token["end"] and tag not in VOID and now_at not in ("out", "-") and _place(tag, token["rest"], now_at) in ("out", "-")
             if hidden or token["end"] and any(t == tag for t, _ in stack[-4:]):
                 cut()
                 if hidden:
@@ -113,23 +158,38 @@ def blocks(page: str) -> list[_Block]:
     return found
 
 
-def _first_pass(block: _Block, text: str) -> str:
+def _density(text: str, common: frozenset[str]) -> float:
+    """Share of function words: of the listed ones and those that the page repeats; full for scripts without spaces."""
+    words = text.lower().split()
+    if len(_DENSE.findall(text)) > 0.3 * len(text):
+        return 1.0
+    return sum(w in STOP_WORDS or w in common for w in words) / len(words)
+
+
+def _first_pass(block: _Block, text: str, common: frozenset[str]) -> str:
+    links = block.links / max(block.chars, 1)
     if block.label == "out":
         return "bad"
-    density = block.links / max(block.chars, 1)
     if block.label == "in":
-        return "good"
-    if density > LINKS:
+        # Inside an article, only a list of links is none of its text.
+        return "bad" if links > LINKS_INSIDE and len(text) >= SHORT else "good"
+    if links > LINKS or block.label == "-":
         return "bad"
-    words = text.lower().split()
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
-    if len(text) < SHORT:
-        return "bad" if density > 0.2 else "?"
+    stops = _density(text, common)
+    if len(text) < SHORT and not (stops == 1.0 and len(text) >= SHORT // 3):
+        return "bad" if links > 0.2 else "?"
     if stops >= STOPS:
-        return "good" if len(text) >= LONG else "?"
+        return "good" if len(text) >= LONG or stops == 1.0 else "?"
     return "?" if stops > STOPS / 2 else "bad"
 
 
+def _common(texts: list[str]) -> frozenset[str]:
+    """Short words that make up much of the page's long blocks, as function words do in any language."""
+    words = [w for t in texts if len(t) >= LONG for w in t.lower().split()]
+    counts = Counter(w for w in words if len(w) <= 4 and w.isalpha())
+    return frozenset(w for w, n in counts.most_common(40) if n >= 2 and n >= 0.008 * len(words))
+
+
 def _second_pass(labels: list[str]) -> list[str]:
     n = len(labels)
     before, after, last = [-1] * n, [n] * n, -1
@@ -156,7 +216,8 @@ def main_text(page: str | None) -> str:
     """The article's text: white space folded inside a block, blocks joined by one space."""
     found = [(b, " ".join(html.unescape("".join(b.parts)).split())) for b in blocks(page or "")]
     found = [(b, t) for b, t in found if t]
-    labels = _second_pass([_first_pass(b, t) for b, t in found])
+    common = _common([t for b, t in found if b.label == "?"])
+    labels = _second_pass([_first_pass(b, t, common) for b, t in found])
     return " ".join(t for (_, t), label in zip(found, labels, strict=True) if label == "good")
 
 
@@ -167,5 +228,6 @@ def extracted(pages: DataFrame, html_col: str = "html", text_col: str = "text")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
             yield pd.Series([main_text(page) for page in column], dtype=object)
+        give_back()
 
     return pages.withColumn(text_col, extract(F.col(html_col)))
