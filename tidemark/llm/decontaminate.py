@@ -125,9 +125,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     """``docs`` without contaminated documents (``document``), or with the hit spans cut out of every text (``span``)."""
     found = contamination(docs, benchmark, id_col, text_col, item_col, n, one_in, broadcast_windows)
     found = found.where(F.col("contaminated") if mode == "document" else F.col("n_hit") > 0)
-    found = found.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h"), F.col("spans").alias("_spans"))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_h"))
+    found = found.select(F.col(id_col).alias("id"), F.col("text_hash").alias("h"), "spans")
+    # One column holds the row, so that no name inside can meet one outside.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.col("row")[text_col]
+    same = F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("h"))
     if mode == "document":
-        return docs.join(found, same, "left_anti")
-    cut = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("_spans")))
-    return docs.join(found, same, "left").withColumn(text_col, cut).select(*docs.columns)
+        return rows.join(found, same, "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    cut = F.when(F.col("spans").isNull(), text).otherwise(_without(text, F.col("spans")))
+    joined = rows.join(found, same, "left")
+    return joined.select(*[cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
