@@ -463,6 +463,61 @@ def test_suffix_tree(spark, nothing):
     assert suffix_tree_lm.scored(nothing, nothing).count() == 0
 
 
+def brute_tree_scores(rows, held):
+    """log10 probabilities of all texts from a suffix tree over plain tuples."""
+    cut = lambda t: [b" ", *(t or "").encode().lower().split(), b" "]
+    train = [cut(t) for i, t in rows if not held(i)]
+    counts = Counter(w for seq in train for w in seq[1:])
+    total, v = sum(counts.values()), len(counts)
+    root = lambda w: (counts[w] + 1) / (total + v + 1)
+    levels, kept = [], {}
+    at = lambda seq, t, d: tuple(seq[t - d : t]) if t >= d and b" " not in seq[t - d + 1 : t] else None
+
+    def chance(w, history):
+        p, spare = root(w), 1.0
+        for d in range(1, len(levels) + 1):
+            ctx = at([*history, None], len(history), d)
+            if ctx in kept:
+                left, own = kept[ctx]
+                p, spare = own.get(w, 0.0) + left * p, spare * left
+        return p
+
+    now = {(w,) for w in counts if counts[w] >= max(1, suffix_tree_lm.MIN_SHARE * total)}
+    while now and len(levels) < suffix_tree_lm.DEPTH:
+        d = len(levels) + 1
+        followers = {ctx: Counter() for ctx in now}
+        for seq in train:
+            for t in range(1, len(seq)):
+                if (ctx := at(seq, t, d)) in followers:
+                    followers[ctx][seq[t]] += 1
+        new, fresh = set(), {}
+        for ctx, c in followers.items():
+            n, stored = sum(c.values()), {w: k for w, k in c.items() if k >= 2}
+            parent = {w: chance(w, ctx) for w in stored}
+            gain = sum(k * math.log(k / n / parent[w]) for w, k in stored.items())
+            if (other := n - sum(stored.values())) > 0:
+                gain += other * math.log(other / n / max(1 - sum(parent.values()), 1e-12))
+            if stored and gain > 0.5 * math.log(total) * (len(stored) + 1):
+                own = {w: (k - 0.75) / n for w, k in stored.items()}
+                fresh[ctx] = max(1 - sum(own.values()), 1e-12), own
+            new |= {(*ctx, w) for w in stored if w != b" "}
+        levels.append(now)
+        kept |= fresh
+        now = new
+    assert any(len(ctx) > 2 for ctx in kept)
+    return {i: sum(math.log10(chance(w, seq[:t])) for t, w in enumerate(seq) if t) for i, t0 in rows for seq in [cut(t0)]}
+
+
+def test_suffix_tree_equals_brute_force(spark):
+    r = random.Random(12)
+    lines = ["ann likes hot tea", "bob likes hot soup", "eve likes hot milk", "the sea is wide"]
+    rows = [(k, " ".join(r.choice(lines) for _ in range(r.randrange(1, 9))) + f" {r.choice('xyz')}") for k in range(150)] + [(200, None), (201, "unseen words only"), (202, "red fox unseen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.score for x in suffix_tree_lm.scored(docs, F.col("doc_id") % 3 != 0).collect()}
+    want = brute_tree_scores(rows, lambda i: i % 3 == 0)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_suffix_arrays():
     r = random.Random(3)
     for _ in range(200):

@@ -102,7 +102,7 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = suffix_tree_lm.scored(docs, docs.where(_remainder(7) != 2))
+    found = suffix_tree_lm.scored(docs, _remainder(7) != 2)
     return found.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
