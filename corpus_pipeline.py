@@ -52,12 +52,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts that lose nothing stay as they are, null and empty ones too; of a character that a
     cut goes through, nothing stays.
     """
-    found = suffix_dedup.deduplicated(docs)
+    found = suffix_dedup.deduplicated(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
     text = F.when(F.col("_removed") == 0, F.col("text")).otherwise(suffix_dedup.whole_characters(F.col("_kept")))
     found = found.withColumn("text", text)
-    kept = (F.col("_removed") == 0) | (F.length("text") > 0)
-    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    return found.where(kept).select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
+    kept = found.where((F.col("_removed") == 0) | (F.length("text") > 0))
+    return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
