@@ -549,6 +549,50 @@ def test_suffix_dedup(docs, nothing, monkeypatch, limits):
     assert suffix_dedup.deduplicated(nothing).count() == 0
 
 
+def test_suffix_dedup_rows(spark, monkeypatch):
+    """Ids of any type and none, texts of one id, whole copies, pieces of long texts, names that meet those inside."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 120)
+    monkeypatch.setattr(suffix_dedup, "PART", 500)
+    monkeypatch.setattr(suffix_dedup, "PLACES", 5)
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 10**9)
+    a, b, c = (words(60, k) for k in (51, 52, 53))
+    rows = [("b", a), ("c", a), ("c", b), ("d", b[:100] + c), ("a", "short"), (None, a), (None, b), (None, c[:60] + "!" + c[61:]), ("e", a[30:140] + b[20:130])]
+    # Documents in order: by id, of one id by text, those without an id last.
+    order = {row: n for n, row in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1])))}
+    plain = spark.createDataFrame([(*row, "s", 1, 2) for row in rows], "doc_id string, text string, s string, doc int, t int").repartition(3)
+    got = suffix_dedup.deduplicated(plain)
+    assert got.columns == [*plain.columns, "_kept", "_removed", "_spans"]
+    found = {(r.doc_id, r.text): (r._removed, r._spans) for r in got.collect()}
+    assert len(found) == len(rows)
+    copies = {("c", a), (None, a), (None, b)}
+    assert all(found[row] == (len(row[1].encode()), 1) for row in copies)
+    rest = [row for row in rows if row not in copies]
+    nameless = [row for row in rest if row[0] is None]
+    want = {n: (gone, spans) for n, gone, spans, _ in brute_cuts([(order[row], row[1]) for row in rest])}
+    assert all(found[row] == want[order[row]] for row in rest) and len(nameless) == 1
+    twice = suffix_dedup.deduplicated(spark.createDataFrame([(1, a), (1, a)], "doc_id long, text string")).collect()
+    assert [r._removed for r in twice] == [0, 0]
+
+
+def test_pipeline_stages_carry_columns(spark, tmp_path):
+    """Clashing names, nulls, empty texts, repeated rows and an empty table in every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words(20, 61)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ("score", "_score", "row", "h", "t", "u", "id", "class", "spans", "_kept", "_id", "_h")
+    rows = [(1, words(80, 62), "en", "a"), (1, words(80, 62), "en", "a"), (2, "ab " * 300, "en", "a"), (3, None, None, None), (4, "", "en", "a"), (None, words(80, 63), "en", "a"), (5, words(20, 61), "en", "a")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in pipeline.STAGES[:4]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        assert all([r[n] for n in names] == list(range(len(names))) for r in got.collect()), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert sorted(r.doc_id or 0 for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [0, 1, 2, 3, 5]
+    assert sorted(r.doc_id or 0 for r in pipeline.benchmarks(spark, docs, str(tmp_path)).collect()) == [0, 1, 1, 2, 3, 4]
+    last = pipeline.pieces(spark, docs, str(tmp_path)).collect()
+    assert len(last) == len(rows) and all(r.lossless for r in last)
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     from pathlib import Path
