@@ -7,8 +7,8 @@ probability s^ROWS, so at s = 0.8 the bands miss a pair with probability
 (1 - 0.8^2)^8 = 0.0003, before a cluster's other pairs are counted.
 
 A passage may also stand inside longer lines. So a line of more than ``LONG`` words is
-besides cut into pieces: a cut is where the hash of a pair of words is the smallest of the
-``REACH`` before and after, which depends on the words around only, so that a passage is cut
+besides cut into pieces: a cut is where the hash of a pair of words is smaller than the
+``REACH`` before and no greater than those after (or ``MOST`` words after the last), which depends on the words around only, so that a passage is cut
 alike in all lines that hold it. Pieces are compared for equality.
 
 Paragraphs are known by a hash of their folded words, so exact copies are one paragraph
@@ -47,7 +47,7 @@ from .storage import discard, store
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 2
-LONG, REACH = 24, 5
+LONG, REACH, MOST = 24, 6, 32
 MIN_WORDS = 20
 #: Words whose paragraphs are signed together.
 TOGETHER = 200_000
@@ -80,6 +80,14 @@ class _WordHashes(dict):
         return h
 
 
+def _smallest_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of ``width`` values from each place on."""
+    n = 1
+    while 2 * n <= width:
+        x, n = np.minimum(x[:-n], x[n:]), 2 * n
+    return np.minimum(x[: len(x) - (width - n)], x[width - n :])
+
+
 class Hashed:
     """Word hashes of paragraphs, one behind the other."""
 
@@ -128,15 +136,20 @@ class Hashed:
         two = (self.flat[:-1] * _GOLDEN + self.flat[1:]) * _OTHER
         inside = line[1:] == line[:-1]
         pair[at[1:][inside]] = (two ^ (two >> np.uint64(29)))[inside]
-        low, n = pair, 1
-        while 2 * n <= 2 * REACH + 1:
-            low, n = np.minimum(low[:-n], low[n:]), 2 * n
-        low = np.minimum(low[: len(pair) - 2 * REACH], low[2 * REACH + 1 - n :][: len(pair) - 2 * REACH])
-        cut = np.nonzero((pair[at] == low[at - REACH]) & (pair[at] < np.iinfo(np.uint64).max))[0]
+        low = _smallest_of(pair, REACH)
+        # The first of equal pairs counts, so that a word said many times over is not cut at each.
+        cut = np.nonzero((pair[at] < low[at - REACH]) & (pair[at] <= low[at + 1]))[0]
         end = np.cumsum(self.size)
         begin = end - self.size
         parts = np.split(cut, np.searchsorted(cut, end[:-1])) if len(end) else []
-        return [[0, *(part - b).tolist(), s] for part, b, s in zip(parts, begin.tolist(), self.size.tolist(), strict=True)]
+        out = []
+        for part, b, s in zip(parts, begin.tolist(), self.size.tolist(), strict=True):
+            bounds = [0, *(part - b).tolist(), s]
+            if s > MOST and max(map(int.__sub__, bounds[1:], bounds)) > MOST:
+                # Words that repeat in a rhythm have no smallest pair: cut at equal steps from where they start.
+                bounds = [x for a, e in zip(bounds[:-1], bounds[1:], strict=True) for x in range(a, e, MOST)] + [s]
+            out.append(bounds)
+        return out
 
 
 _UNIT = "h long, start int, n int, k int, p long, q long, c int, keys array<long>, words binary"
