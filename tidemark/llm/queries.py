@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_crf, paragraph_dedup, piece_codec, rule_list, simhash, suffix_dedup, suffix_tree_lm, token_count
+from . import decontaminate, html_extract, line_crf, merkle, paragraph_dedup, periodic_runs, piece_codec, rule_list, simhash, suffix_dedup, suffix_tree_lm, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,5 +106,100 @@ def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_paragraph_dedup, op3_html_extract, op4_decontaminate, op5_token_counts, op6_simhash, op7_piece_codec, op8_quality_rules, op9_suffix_tree_lm, op10_suffix_dedup)}
-SQL = {"op4_decontaminate": OP4_SQL}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # One text in ten gets a period from some word on.
+    rows = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    n, g = F.size("words"), F.floor(h / 10)
+    a = F.when(n > 0, g % n)
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    rows = rows.select("doc_id", "text", "words", n.alias("n"), a.cast("int").alias("a"), p.cast("int").alias("p"))
+    k = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", k(i))), " ")
+    rows = rows.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+    found = rows.select("doc_id", periodic_runs.runs(F.col("text")).alias("found")).select("doc_id", "found.*")
+    run = F.arrays_zip("start", "length", "period")
+    lines = F.array_join(F.transform(run, lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))), "")
+    longer = lambda best, x: best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"])
+    best = F.aggregate(run, F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda best, x: F.when(longer(best, x), x).otherwise(best))
+    found = found.withColumn("best", best).withColumn("lines", lines)
+    milli = F.expr("(1000 * best.length) div best.period")
+    return found.select(
+        "doc_id", F.size("start").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def _runs_sql() -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32_sql('doc_id')} AS h FROM documents
+), e AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d
+), words AS MATERIALIZED (
+  SELECT r, n, i, w[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] AS word
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM e)
+), same AS (
+  SELECT x.r, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.r, y.i - x.i ORDER BY x.i) AS island
+  FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT r, q, min(i) AS s, count(*) + q AS len FROM same GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+), runs AS MATERIALIZED (SELECT r, s, len, min(q) AS q FROM stretches GROUP BY r, s, len
+), best AS (
+  SELECT DISTINCT ON (r) r, s, len, q FROM runs ORDER BY r, CAST(len AS DOUBLE) / q DESC, s, q
+), lines AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r
+), gone AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM runs
+), kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN lines USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in merkle.FIELDS}
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = merkle.digest(fields | {"text": F.replace("text", F.lit("\n"), F.lit(""))})
+    leaves = docs.select("doc_id", "source", merkle.digest(fields).alias("leaf"), F.when(odd, tampered).alias("claimed"))
+    return merkle.proofs(merkle.manifest(leaves))
+
+
+def _merkle_sql(depth: int, upper: int) -> str:
+    """Trees of at most ``depth`` levels over a source's rows and ``upper`` over the sources."""
+    part = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(part, ("doc_id", "source", "lang", "n_chars")), part(text)]) + ")"
+    out = [
+        f"d AS MATERIALIZED (SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('doc_id')} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS f0 FROM documents)",
+        "p0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, '' AS s0 FROM d)",
+        "a0 AS MATERIALIZED (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p0)",
+    ]
+
+    def level(name: str, k: int) -> str:
+        return f"{name}{k + 1} AS MATERIALIZED (SELECT g, i // 3 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (any_value(n) + 2) // 3 AS n FROM {name}{k} GROUP BY g, i // 3)"
+
+    def beside(name: str, k: int) -> str:
+        side = lambda rows: f"coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 3 ORDER BY i ROWS BETWEEN {rows}), '')"
+        return f"{name}s{k} AS MATERIALIZED (SELECT g, i, n, {side('3 PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND 3 FOLLOWING')} AS r FROM {name}{k})"
+
+    def fold(before: str, after: str, name: str, k: int, keep: str) -> str:
+        hashed = "CASE WHEN x.n = 1 THEN f0 ELSE sha256(l || f0 || r) END AS f0, CASE WHEN x.n = 1 THEN s0 ELSE s0 || l || r END AS s0"
+        return f"{after} AS MATERIALIZED (SELECT {keep}, p.i // 3 AS i, {hashed} FROM {before} p JOIN {name}s{k} x ON p.g = x.g AND p.i = x.i)"
+
+    for k in range(depth):
+        out += [level("a", k), beside("a", k), fold(f"p{k}", f"p{k + 1}", "a", k, "doc_id, leaf, p.g")]
+    out.append(f"b0 AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n, g AS of FROM a{depth})")
+    out.append(f"q0 AS MATERIALIZED (SELECT doc_id, leaf, b0.h AS subroot, '' AS g, b0.i, f0, s0 FROM p{depth} p JOIN b0 ON p.g = b0.of)")
+    for k in range(upper):
+        out += [level("b", k), beside("b", k), fold(f"q{k}", f"q{k + 1}", "b", k, "doc_id, leaf, subroot, p.g")]
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(s0) AS proof_sha256, f0 AS folded_root, f0 = h AS verified FROM q{upper} CROSS JOIN (SELECT h FROM b{upper})"
+
+
+def _crc32_sql(column: str) -> str:
+    """CRC-32 of the decimal text of a column: each character is followed by seven steps that mix in nothing."""
+    steps = f"[4294967295::BIGINT] || flatten(list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({steps}, lambda a, e: xor(xor(a, e) // 2, 3988292384 * (xor(a, e) % 2))), 4294967295::BIGINT)"
+
+
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_paragraph_dedup, op3_html_extract, op4_decontaminate, op5_token_counts, op6_simhash, op7_piece_codec, op8_quality_rules, op9_suffix_tree_lm, op10_suffix_dedup, op11_periodic_runs, op12_merkle_manifest)}
+SQL = {"op4_decontaminate": OP4_SQL, "op11_periodic_runs": _runs_sql(), "op12_merkle_manifest": _merkle_sql(14, 7)}
