@@ -12,12 +12,8 @@ besides cut into pieces: a cut is where the hash of a pair of words is smaller t
 alike in all lines that hold it. Pieces are compared for equality.
 
 Paragraphs are known by a hash of their folded words, so exact copies are one paragraph
-throughout. In a band bucket every paragraph is compared with the bucket's most frequent
-one; those that are similar to it are in one component whatever else they are similar to.
-Where a bucket is left with several components, all pairs across them are compared that
-share a shingle early enough in the order of rarity for a similarity of 0.8, so that no link
-is lost and versions of one text that cannot be linked do not meet. All comparisons take the
-exact Jaccard similarity of the shingle sets. Of each component, the first paragraph (by
+throughout. Paragraphs that meet in a band bucket are linked by the exact Jaccard similarity
+of their shingle sets (see ``set_links``). Of each component, the first paragraph (by
 document id, then text, then place) stays; the others are repeated. Repeated words that
 follow each other are a passage, and it is removed if it has ``MIN_WORDS`` words or more:
 the definition of a passage (a title or licence line of a few words is none), not a limit of
@@ -42,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .memory import give_back, tidy
-from .storage import discard, store
+from .set_links import linked
+from .storage import store
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -211,80 +208,21 @@ def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows(docs)
 
 
-def _shingle_sets(words: Column) -> Column:
+def shingle_sets(words: Column, size: int = SHINGLE) -> Column:
+    """The distinct shingles' hashes of folded words (binary), sorted."""
+
     @F.pandas_udf("array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
-            out = []
-            for text in column:
-                h, _ = Hashed([text.split()]).shingles()
-                out.append(np.unique(h).view(np.int64))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([np.unique(Hashed([text.split()]).shingles(size)[0]).view(np.int64) for text in column], dtype=object)
         give_back()
 
     return sets(words)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) with ``alike``."""
-    left = sets.select(F.col("p").alias("a"), F.col("s").alias("x"))
-    right = sets.select(F.col("p").alias("b"), F.col("s").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", (common >= similarity * (F.size("x") + F.size("y") - common)).alias("alike"))
-
-
-def _may_be_alike(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``sets`` (p, root, s) with other roots that may be alike; no alike pair is left out.
-
-    Shingles are ordered by the number of sets that hold them. With an intersection of
-    ``need`` = similarity / (1 + similarity) x (m + n) or more, the first common shingle of
-    two sets of m and n comes before place m - similarity x m of the one and n - similarity x
-    n of the other, and from it on both have ``need`` shingles left. Where sets differ by
-    what few others have, as versions of one text do, the first common shingle comes late.
-    """
-    tokens = sets.select("p", "root", F.size("s").alias("size"), F.explode("s").alias("x"))
-    often = tokens.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = tokens.join(often, "x").groupBy("p", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("l"))
-    # Shingles of one set only come first, and are in no intersection.
-    own = F.col("size") - F.size("l")
-    most = F.floor(F.col("size") * (1 - similarity) + 1e-9).cast("int") + 1
-    early = shared.withColumn("own", own).where(most > F.col("own")).select("p", "root", "size", "own", F.posexplode(F.slice("l", F.lit(1), most - F.col("own"))).alias("at", "t"))
-    early = early.select("p", "root", "size", (F.col("size") - F.col("own") - F.col("at")).alias("left"), F.col("t.x").alias("x"))
-    one = early.select(F.col("p").alias("a"), F.col("root").alias("r"), F.col("size").alias("m"), F.col("left").alias("u"), "x")
-    two = early.select(F.col("p").alias("b"), F.col("root").alias("t"), F.col("size").alias("n"), F.col("left").alias("v"), "x")
-    fits = (F.col("r") < F.col("t")) & (F.least("u", "v") >= similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-9)
-    return one.join(two, "x").where(fits).select("a", "b").distinct()
-
-
 def similar(units: DataFrame, similarity: float = SIMILARITY, candidates: DataFrame | None = None) -> DataFrame:
     """``(node, root)`` of the paragraphs of ``units`` (p, c, keys, words) that have a similar one; ``candidates`` (a, b) are compared besides the bands'."""
-    rows = units.select("p", "c", F.explode_outer("keys").alias("key")).where("key is not null")
-    order = F.struct((-F.col("c")).alias("c"), "p")
-    buckets = rows.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.min(order).alias("centre")).where("lo < hi").select("key", F.col("centre.p").alias("centre"))
-    met = store(rows.join(buckets, "key").select("key", "p", "centre").distinct(), "band-buckets")
-    stars = met.where("p != centre").select(F.col("centre").alias("a"), F.col("p").alias("b"))
-    members = met.select("p")
-    if candidates is not None:
-        stars = stars.unionByName(candidates.select("a", "b"))
-        members = members.unionByName(candidates.select(F.explode(F.array("a", "b")).alias("p")))
-    sets = units.where("words is not null").select("p", "words").join(members.distinct(), "p", "left_semi")
-    sets = store(sets.groupBy("p").agg(F.first("words").alias("words")).select("p", _shingle_sets(F.col("words")).alias("s")), "paragraph-shingles")
-    first = store(_verified(stars.distinct(), sets, similarity), "paragraph-links")
-    roots = store(connected_components(first.where("alike").select("a", "b")), "paragraph-roots")
-    rooted = met.select("key", "p").join(roots.withColumnRenamed("node", "p"), "p", "left").select("key", "p", F.coalesce("root", "p").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    crowd = store(rooted.join(mixed, "key", "left_semi").select("p", "root").distinct(), "paragraph-crowd")
-    rest = _may_be_alike(crowd.join(sets, "p"), similarity)
-    more = _verified(rest, sets, similarity).where("alike")
-    for end in ("a", "b"):
-        more = more.join(crowd.select(F.col("p").alias(end), F.col("root").alias(f"{end}_root")), end)
-    joined = connected_components(more.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-    known = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    # Nodes that had no link before have none in ``roots``.
-    found = store(known.unionByName(joined.join(roots, "node", "left_anti").select("node", "root")), "paragraph-classes")
-    for table in (met, sets, first, crowd, roots):
-        discard(table)
-    return found
+    return linked(units, shingle_sets, similarity, candidates)
 
 
 def _passages(spans: Column, min_words: int) -> Column:

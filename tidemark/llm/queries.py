@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_crf, merkle, paragraph_dedup, periodic_runs, piece_codec, rule_list, simhash, suffix_dedup, suffix_tree_lm, token_count
+from . import decontaminate, html_extract, line_crf, merkle, minhash, paragraph_dedup, periodic_runs, piece_codec, rule_list, simhash, suffix_dedup, suffix_tree_lm, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,6 +165,29 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(merkle.manifest(leaves))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (SELECT min(r) AS t, w, unnest(list(r)) AS r FROM d GROUP BY w
+), s AS MATERIALIZED (
+  SELECT DISTINCT t, array_to_string(list_slice(w, i, i + 2), ' ') AS s
+  FROM (SELECT DISTINCT t, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM t WHERE len(w) > 0)
+), n AS (SELECT t, count(*) AS n FROM s GROUP BY t
+), links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.t AS a, y.t AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.t <> y.t GROUP BY x.t, y.t)
+  JOIN n na ON na.t = a JOIN n nb ON nb.t = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)
+), reach AS (SELECT t AS a, t AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (SELECT a AS t, min(doc_id) AS component_id FROM reach JOIN t ON t.t = reach.b JOIN d ON d.r = t.r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE component_id END AS component_id,
+  coalesce(CASE WHEN n.n IS NULL THEN d.doc_id ELSE component_id END = d.doc_id, false) AS kept
+FROM d JOIN t ON t.r = d.r LEFT JOIN n ON n.t = t.t LEFT JOIN least ON least.t = t.t
+"""
+
+
 def _merkle_sql(depth: int, upper: int) -> str:
     """Trees of at most ``depth`` levels over a source's rows and ``upper`` over the sources."""
     part = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
@@ -201,5 +224,5 @@ def _crc32_sql(column: str) -> str:
     return f"xor(list_reduce({steps}, lambda a, e: xor(xor(a, e) // 2, 3988292384 * (xor(a, e) % 2))), 4294967295::BIGINT)"
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_paragraph_dedup, op3_html_extract, op4_decontaminate, op5_token_counts, op6_simhash, op7_piece_codec, op8_quality_rules, op9_suffix_tree_lm, op10_suffix_dedup, op11_periodic_runs, op12_merkle_manifest)}
-SQL = {"op4_decontaminate": OP4_SQL, "op11_periodic_runs": _runs_sql(), "op12_merkle_manifest": _merkle_sql(14, 7)}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_paragraph_dedup, op3_html_extract, op4_decontaminate, op5_token_counts, op6_simhash, op7_piece_codec, op8_quality_rules, op9_suffix_tree_lm, op10_suffix_dedup, op11_periodic_runs, op12_merkle_manifest, op13_minhash_dedup)}
+SQL = {"op4_decontaminate": OP4_SQL, "op11_periodic_runs": _runs_sql(), "op12_merkle_manifest": _merkle_sql(14, 7), "op13_minhash_dedup": OP13_SQL}
