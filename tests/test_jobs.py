@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect, forest, health, policy, seasonal, serving, topology
-from tidemark.plans.response import incident_pipeline
+from tidemark.plans.response import incident_pipeline, log_evidence
 from tidemark.sources import sinks
 from tidemark.streaming import jobs
 
@@ -50,13 +50,13 @@ def test_feature_and_vector_jobs(spark, tmp_path):
     closed = spark.read.parquet(str(tmp_path / "w/tumbling-1-minute"))
     assert {r["count"] for r in closed.collect()} == {3} and spark.read.parquet(str(tmp_path / "w/sliding")).count() > 0
     stream = spark.readStream.schema(closed.schema).parquet(str(tmp_path / "w/tumbling-1-minute"))
-    done(jobs.vector_job(spark, stream, str(tmp_path / "history"), str(tmp_path / "v"), str(tmp_path / "cv")))
+    done(jobs.vector_job(stream, str(tmp_path / "v"), str(tmp_path / "cv"), lateness="0 seconds"))
     last = spark.read.parquet(str(tmp_path / "v")).orderBy(F.desc("feature_version")).first()
     assert last.feature_version == closed.count() and last.request_volume == 3 * closed.count()
 
 
 def test_entity_and_relationship_jobs(spark, tmp_path):
-    seen = spark.createDataFrame([("k8s:pod:shop/frontend-1", at(0)), ("k8s:pod:shop/frontend-1", at(10)), ("odd", at(0))], "raw_id string, ts timestamp")
+    seen = spark.createDataFrame([("k8s:pod:shop/frontend-1", at(0)), ("k8s:pod:shop/frontend-1", at(10)), ("odd", at(0)), ("later", at(900))], "raw_id string, ts timestamp")
     done(jobs.entity_job(files(seen, tmp_path, "seen"), str(tmp_path / "e"), str(tmp_path / "c")))
     got = {r.entity_id: (r.sightings, r.tags["criticality"]) for r in spark.read.parquet(str(tmp_path / "e")).collect()}
     assert got == {"k8s:API_NODE/frontend-1": (2, "MEDIUM"), "unknown:UNKNOWN_NODE/odd": (1, "LOW")}
@@ -71,7 +71,11 @@ def test_detect_security_and_learning_jobs(spark, tmp_path):
     history = spark.createDataFrame([(k, "n1", "login_rate", r.gauss(10, 1), at(k)) for k in range(60)], schema)
     points = spark.createDataFrame([(100, "n1", "login_rate", 30.0, at(500)), (101, "n1", "login_rate", 10.0, at(501)), (102, "n1", "cold", 99.0, at(502))], schema)
     nodes = spark.createDataFrame([("n1", "name", "Service", "HIGH")], "id string, name string, label string, criticality string")
-    done(jobs.detect_job(files(points, tmp_path, "p"), history, nodes, str(tmp_path / "d"), str(tmp_path / "c")))
+    points = points.union(spark.createDataFrame([(103, "n2", "login_rate", 10.0, at(900))], schema))
+    done(jobs.detect_job(files(points, tmp_path, "p"), history, str(tmp_path / "scored"), str(tmp_path / "c"), spark.createDataFrame([("n1", "n2")], "src string, dst string")))
+    scored = spark.read.parquet(str(tmp_path / "scored")).drop("batch")
+    done(jobs.signal_job(spark.readStream.schema(scored.schema).parquet(str(tmp_path / "scored")), nodes, str(tmp_path / "d"), str(tmp_path / "c2")))
+    assert spark.read.parquet(str(tmp_path / "d/sessions")).where("entity_id = 'n1'").first().points == 2
     assert [(x.event_id, x.source_type, x.node_name) for x in spark.read.parquet(str(tmp_path / "d/signals")).collect()] == [(100, "security", "name")]
     events = spark.createDataFrame([(k, "u", "login failed", "1.2.3.4", at(k)) for k in range(10)] + [(50, "u", "sudo x", "", at(3))], "event_id int, entity_id string, message string, source_ip string, ts timestamp")
     none = spark.createDataFrame([], "change_id string")
@@ -91,8 +95,18 @@ def test_incident_job(spark, tmp_path):
     row = found.first()
     assert (row.root_cause_entity, row.entity_type, row.severity, row.deduplicated_count) == ("db", "DATABASE_NODE", "P2", 1)
     assert row.confidence == pytest.approx(85 * (0.6 + 0.4 * 0.88), abs=0.1) and routed.first().route == "approval"
-    done(jobs.incident_job(files(signals, tmp_path, "s"), nodes, edges, policy.action_registry(spark), str(tmp_path / "o"), str(tmp_path / "c")))
+    logs = spark.createDataFrame([("db", at(-k), f"line {k}") for k in range(8)] + [("db", at(-400), "old"), ("db", at(1), "later"), ("api", at(0), "other"), ("db", at(0), None)], "entity_id string, ts timestamp, message string")
+    more = incident_pipeline(signals, nodes, edges, policy.action_registry(spark), logs=logs)[0].first()
+    assert more.impact == row.impact + 5
+    snippets = log_evidence(found.select("incident_id", "root_cause_entity", "created_at"), logs).first().log_snippets
+    assert snippets == [f"line {k}" for k in (4, 3, 2, 1, 0)]
+    later = spark.createDataFrame([("zz", "gcp", "eu", "API_NODE", "m", 0.9, at(900))], signals.schema)
+    done(jobs.incident_job(files(signals.union(later), tmp_path, "s"), nodes, edges, str(tmp_path / "built"), str(tmp_path / "c"), logs))
+    built = spark.read.parquet(str(tmp_path / "built")).drop("batch")
+    done(jobs.response_job(spark.readStream.schema(built.schema).parquet(str(tmp_path / "built")), policy.action_registry(spark), str(tmp_path / "o"), str(tmp_path / "c2")))
     assert spark.read.parquet(str(tmp_path / "o/approvals")).count() == 1
+    kept = spark.read.parquet(str(tmp_path / "o/incidents"))
+    assert {(x.root_cause_entity, x.status) for x in kept.collect()} == {("db", "opened"), ("db", "closed")}
 
 
 def test_topic(spark, tmp_path):

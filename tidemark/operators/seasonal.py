@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..rules import RELEVANT_REASONS, RELEVANT_WORDS
+from ..rules import RELEVANT_REASONS, RELEVANT_WORDS, SECURITY_WORDS
 
 SERIES = ["entity_id", "metric_name"]
 
@@ -50,7 +50,7 @@ def composite_anomaly(scores: DataFrame, detectors: tuple[str, ...], least: floa
     top = F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in detectors]) if len(detectors) > 1 else F.coalesce(F.col(detectors[0]), F.lit(0.0))
     rows = scores.withColumn("top", top)
     best = rows.groupBy("entity_id", "ts").agg(F.max("top").alias("anomaly_score"), F.max_by("metric_name", F.struct("top", "metric_name")).alias("metric_name"))
-    security = reduce(lambda a, b: a | b, [F.lower("metric_name").contains(w) for w in ("auth", "login", "access", "crypto")])
+    security = reduce(lambda a, b: a | b, [F.lower("metric_name").contains(w) for w in SECURITY_WORDS])
     return best.where(F.col("anomaly_score") >= least).withColumn("confidence", F.col("anomaly_score") * 100).withColumn("source_type", F.when(security, "security").otherwise("performance"))
 
 

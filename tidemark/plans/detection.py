@@ -6,31 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detect, seasonal
+from ..rules import SECURITY_WORDS
 
 WEIGHTS = {"score": 0.6, "seasonal_score": 0.4}
 
 
-def detect_pipeline(points: DataFrame, history: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, model=None, threshold: float = 0.7, least_rows: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Signals (one row for each anomalous point that is not noise, with its node) and sessions of all scored points.
+def score_points(points: DataFrame, history: DataFrame, edges: DataFrame | None = None, model=None, threshold: float = 0.7, least_rows: int = 30) -> DataFrame:
+    """``points`` with ``score``, ``anomalous``, ``source_type`` and, with ``edges``, ``affected_neighbors``.
 
     Metrics with fewer than ``least_rows`` points of history are not scored yet. Points are
     scored by z-score and seasonal distance, fused (``model`` of ``fit_fusion``, else the
-    weighted mean), compared with the threshold, and filtered for noise.
+    weighted mean) and compared with the threshold.
     """
     warm = history.groupBy("metric_name").agg(F.count("value").alias("n")).where(F.col("n") >= least_rows).select("metric_name")
     rows = points.join(warm, "metric_name", "left_semi")
     rows = detect.zscore_score(rows, detect.zscore_baselines(history))
     rows = detect.seasonal_naive_score(rows, history)
     rows = seasonal.fuse_fitted(rows, model, WEIGHTS)
-    rows = rows.withColumn("anomalous", F.col("fused") >= threshold)
-    scored = rows.withColumn("score", F.col("fused"))
-    found = scored.where("anomalous")
+    scored = rows.withColumn("anomalous", F.col("fused") >= threshold).withColumn("score", F.col("fused"))
     security = F.lit(False)
-    for word in ("auth", "login", "access", "crypto"):
+    for word in SECURITY_WORDS:
         security = security | F.lower("metric_name").contains(word)
-    found = found.withColumn("source_type", F.when(security, "security").otherwise("performance"))
+    scored = scored.withColumn("source_type", F.when(security, "security").otherwise("performance"))
     if edges is not None:
-        found = detect.affected_neighbors(found, edges)
-    kept = detect.suppress_noise(found).where("keep").drop("keep")
-    signals = seasonal.enrich_signals(kept, nodes).withColumn("confidence", F.col("fused") * 100)
-    return signals, detect.anomaly_sessions(scored)
+        around = detect.affected_neighbors(scored.where("anomalous"), edges).select("entity_id", "affected_neighbors").distinct()
+        scored = scored.join(around, "entity_id", "left").withColumn("affected_neighbors", F.coalesce("affected_neighbors", F.lit(0)))
+    return scored
+
+
+def enriched(kept: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Signals with their node and confidence."""
+    return seasonal.enrich_signals(kept, nodes).withColumn("confidence", F.col("fused") * 100)
+
+
+def detect_pipeline(points: DataFrame, history: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, model=None, threshold: float = 0.7, least_rows: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Signals (one row for each anomalous point that is not noise, with its node) and sessions of all scored points."""
+    scored = score_points(points, history, edges, model, threshold, least_rows)
+    kept = detect.suppress_noise(scored.where("anomalous")).where("keep").drop("keep")
+    return enriched(kept, nodes), detect.anomaly_sessions(scored)

@@ -70,6 +70,8 @@ APPROVED_FIELDS = ("change_id", "config_file", "file", "path", "description", "m
 
 ESCALATION = r"(?i)\b(sudo|su|escalat|role_change)"
 ADMINS = ("root", "admin", "sysadmin", "sre", "platform-admin")
+#: A metric whose name holds one of these is a security metric.
+SECURITY_WORDS = ("auth", "login", "access", "crypto")
 AUTH_WORDS = ("auth", "login", "failed")
 
 RELEVANT_REASONS = (

@@ -15,9 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import normalize as N
 from ..operators import change, entities, features, incidents, policy, resources, security
-from ..plans.detection import detect_pipeline
-from ..plans.response import incident_pipeline
+from ..plans.detection import enriched, score_points
+from ..plans.response import built_incidents
 from ..sources import ingest, otlp
+from . import state
 
 
 def read_stream(spark: SparkSession, source: str, schema: str, kafka: dict | None = None) -> DataFrame:
@@ -31,6 +32,12 @@ def _each_batch(stream: DataFrame, checkpoint: str, run: Callable[[DataFrame, in
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _keyed(df: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """A query with keyed state that appends to a folder."""
+    with state.rocksdb(df.sparkSession):
+        return df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def _write(df: DataFrame, out: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
@@ -76,29 +83,19 @@ def feature_jobs(metrics: DataFrame, out: str, checkpoint: str, sizes: tuple[str
     return {name: start(name, df) for name, df in tables.items()}
 
 
-def vector_job(spark: SparkSession, windows: DataFrame, history: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Vectors of the entities in each batch of closed windows, merged over the windows in ``history``, which the batch joins."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        known = spark.read.parquet(history).where(F.col("batch") <= number).drop("batch")
-        own = known.join(batch.select("entity_id").distinct(), "entity_id", "left_semi")
-        _write(features.feature_vectors(own), out, number)
+def vector_job(windows: DataFrame, out: str, checkpoint: str, lateness: str = "5 seconds", trigger: dict | None = None) -> StreamingQuery:
+    """Vectors of closed windows, merged in keyed state over all windows of the entity so far."""
+    return _keyed(state.vectors(windows, lateness), out, checkpoint, trigger)
 
-    return _each_batch(windows, checkpoint, run)
 
-
-def entity_job(sightings: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Entities (``raw_id, ts``) by canonical id with tags, one row for each active window inside a batch."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("id", resources.parse_resource_id(F.col("raw_id"))).select("raw_id", "ts", "id.*")
-        rows = rows.withColumn("entity_id", entities.canonical_entity_id(F.col("provider"), F.col("entity_type"), F.col("name"), F.col("raw_id")))
-        windows = resources.dedup_entities(rows)
-        tags = rows.select("entity_id", resources.business_tags(F.col("entity_type"), F.col("name")).alias("tags")).groupBy("entity_id").agg(F.first("tags").alias("tags"))
-        _write(windows.join(tags, "entity_id"), out, number)
-
-    return _each_batch(sightings, checkpoint, run)
+def entity_job(sightings: DataFrame, out: str, checkpoint: str, ttl_seconds: int = 300, lateness: str = "5 seconds", trigger: dict | None = None) -> StreamingQuery:
+    """Entities (``raw_id, ts``) by canonical id with tags, one row for each active window, which may span batches."""
+    parsed = lambda df, raw: df.withColumn("id", resources.parse_resource_id(raw))
+    rows = parsed(sightings.select("raw_id", "ts"), F.col("raw_id")).select("raw_id", "ts", "id.*")
+    rows = rows.withColumn("entity_id", entities.canonical_entity_id(F.col("provider"), F.col("entity_type"), F.col("name"), F.col("raw_id")))
+    windows = parsed(state.entity_windows(rows, ttl_seconds, lateness), F.element_at("raw_ids", 1))
+    tagged = windows.withColumn("tags", resources.business_tags(F.col("id.entity_type"), F.col("id.name"))).drop("id")
+    return _keyed(tagged, out, checkpoint, trigger)
 
 
 def relationship_job(spans: DataFrame, out: str, checkpoint: str, within: str = "10 minutes", lateness: str = "5 seconds") -> StreamingQuery:
@@ -113,15 +110,29 @@ def relationship_job(spans: DataFrame, out: str, checkpoint: str, within: str =
     return calls.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def detect_job(points: DataFrame, history: DataFrame, nodes: DataFrame, out: str, checkpoint: str, edges: DataFrame | None = None, model=None) -> StreamingQuery:
-    """Signals and sessions of each batch of metric points against stored history."""
+def detect_job(points: DataFrame, history: DataFrame, out: str, checkpoint: str, edges: DataFrame | None = None, model=None, trigger: dict | None = None) -> StreamingQuery:
+    """Scores of each batch of metric points against stored history; ``signal_job`` reads what it writes."""
 
     def run(batch: DataFrame, number: int) -> None:
-        signals, sessions = detect_pipeline(batch, history, nodes, edges, model)
-        _write(signals, f"{out}/signals", number)
-        _write(sessions, f"{out}/sessions", number)
+        _write(score_points(batch, history, edges, model), out, number)
 
-    return _each_batch(points, checkpoint, run)
+    return _each_batch(points, checkpoint, run, trigger)
+
+
+def signal_job(scored: DataFrame, nodes: DataFrame, out: str, checkpoint: str, lateness: str = "5 seconds", trigger: dict | None = None) -> StreamingQuery:
+    """Signals that are no noise, and sessions as they grow, of a stream of scored points; what a series has seen is kept between batches."""
+    found = state.sessions_and_noise(scored, lateness=lateness)
+    schema = scored.schema
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        kept = batch.where("kind = 'signal' AND keep").select(F.from_json("payload", schema).alias("row")).select("row.*")
+        _write(enriched(kept, nodes), f"{out}/signals", number)
+        _write(batch.where("kind = 'session'").drop("kind", "event_id", "keep", "payload"), f"{out}/sessions", number)
+        batch.unpersist()
+
+    with state.rocksdb(scored.sparkSession):
+        return _each_batch(found, checkpoint, run, trigger)
 
 
 def security_job(spark: SparkSession, events: DataFrame, approved: DataFrame, history: str, out: str, checkpoint: str, seconds: int = 300) -> StreamingQuery:
@@ -147,16 +158,32 @@ def security_job(spark: SparkSession, events: DataFrame, approved: DataFrame, hi
     return _each_batch(events, checkpoint, run)
 
 
-def incident_job(signals: DataFrame, nodes: DataFrame, edges: DataFrame, actions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Incidents, routed actions and pending approvals of each batch of signals over the graph's tables."""
+def incident_job(signals: DataFrame, nodes: DataFrame, edges: DataFrame, out: str, checkpoint: str, logs: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Incidents of each batch of signals over the graph's tables; ``response_job`` reads what it writes."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        _write(built_incidents(batch, nodes, edges, logs), out, number)
+
+    return _each_batch(signals, checkpoint, run, trigger)
+
+
+def response_job(built: DataFrame, actions: DataFrame, out: str, checkpoint: str, ttl_seconds: int = 300, lateness: str = "5 seconds", trigger: dict | None = None) -> StreamingQuery:
+    """Open incidents with their duplicates counted over batches, and routed actions and approvals for those that have just been opened."""
+    found = state.open_incidents(built, ttl_seconds, lateness)
+    schema = built.schema
 
     def run(batch: DataFrame, number: int) -> None:
-        found, routed = incident_pipeline(batch, nodes, edges, actions)
-        _write(found, f"{out}/incidents", number)
+        batch = batch.persist()
+        _write(batch.drop("payload"), f"{out}/incidents", number)
+        opened = batch.where("status = 'opened'").select(F.from_json("payload", schema).alias("row"), F.col("impact").alias("most")).select("row.*", "most")
+        opened = opened.withColumn("impact", F.col("most").cast(schema["impact"].dataType)).drop("most")
+        routed = policy.route_actions(opened, policy.policy_decisions(opened, actions))
         _write(routed, f"{out}/actions", number)
         _write(policy.pending_approvals(routed), f"{out}/approvals", number)
+        batch.unpersist()
 
-    return _each_batch(signals, checkpoint, run)
+    with state.rocksdb(built.sparkSession):
+        return _each_batch(found, checkpoint, run, trigger)
 
 
 def learning_job(results: DataFrame, out: str, checkpoint: str, incident_table: DataFrame | None = None, since=None) -> StreamingQuery:

@@ -103,6 +103,11 @@ class InOrder(StatefulProcessor):
         return None
 
 
+def _once(due: list[tuple]) -> list[tuple]:
+    """Of rows with one time and id, the first: a batch that was written again upstream comes twice."""
+    return [row for k, row in enumerate(due) if k == 0 or row[:2] != due[k - 1][:2]]
+
+
 def _time(micros: int) -> pd.Timestamp:
     return pd.Timestamp(int(micros), unit="us")
 
@@ -160,7 +165,7 @@ class Sessions(InOrder):
         first, session, started, ended, peak, points, before, last, rows = state or (None, 0, None, None, None, 0, None, None, 0)
         made, grown = [], False
         episode = lambda done: made.append(("session", None, None, None, session, _time(started), _time(ended), peak, points, done))
-        for at, event, score, anomalous, passes, payload in due:
+        for at, event, score, anomalous, passes, payload in _once(due):
             if anomalous:
                 first = at if first is None else first
                 keep = bool(passes) or (score is not None and score >= self._strong) or at - first >= self._seconds
@@ -206,28 +211,35 @@ def latest_sessions(found: DataFrame) -> DataFrame:
 class OpenIncidents(InOrder):
     """The open incident of an entity; each hit moves the time at which it is closed."""
 
-    waiting = "at bigint, incident_id string, impact double"
-    held = "incident_id string, created bigint, last bigint, n bigint, impact double"
-    out = ["root_cause_entity", "incident_id", "created_at", "deduplicated_count", "impact", "related_incidents", "status"]
+    waiting = "at bigint, incident_id string, impact double, payload string"
+    held = "incident_id string, created bigint, last bigint, n bigint, impact double, payload string"
+    out = ["root_cause_entity", "incident_id", "created_at", "deduplicated_count", "impact", "related_incidents", "status", "payload"]
 
     def __init__(self, ttl_seconds: int) -> None:
         self._ttl = ttl_seconds * 1_000_000
 
     def walk(self, state, due, now):
         made, new = [], []
-        tell = lambda s, status: made.append((s[0], _time(s[1]), s[3], s[4], sorted(new), status))
-        for at, incident, impact in due:
+
+        def tell(s: tuple, closed: bool) -> None:
+            if new:
+                made.append((s[0], _time(s[1]), s[3], s[4], sorted(new), "opened" if s[3] == len(new) else "open", s[5]))
+                new.clear()
+            if closed:
+                made.append((s[0], _time(s[1]), s[3], s[4], [], "closed", s[5]))
+
+        for at, incident, impact, payload in _once(due):
             if state and at - state[2] > self._ttl:
-                tell(state, "closed")
-                state, new = None, []
-            name, created, _, n, most = state or (incident, at, at, 0, None)
+                tell(state, True)
+                state = None
+            name, created, _, n, most, first = state or (incident, at, at, 0, None, payload)
             most = impact if most is None or (impact is not None and impact > most) else most
-            state, new = (name, created, at, n + 1, most), [*new, incident]
-        if state and now >= self.ends(state):
-            tell(state, "closed")
-            state = None
-        elif state and new:
-            tell(state, "open")
+            state = (name, created, at, n + 1, most, first)
+            new.append(incident)
+        if state:
+            over = now >= self.ends(state)
+            tell(state, over)
+            state = None if over else state
         return state, made
 
     def ends(self, state):
@@ -239,11 +251,12 @@ def open_incidents(incidents: DataFrame, ttl_seconds: int = 300, lateness: str =
 
     Each batch that touches an incident gives it as it stands, with the ids that are new in
     ``related_incidents``; it is ``closed`` once ``ttl_seconds`` have passed without a hit.
-    Without an entity an incident is one of its own.
+    Without an entity an incident is one of its own. ``payload`` is the first incident's row as
+    JSON, ``status`` tells ``opened`` from ``open``.
     """
     entity = F.coalesce(F.when(F.col("root_cause_entity") != "", F.col("root_cause_entity")), F.col("incident_id").cast("string"))
-    rows = incidents.withWatermark("created_at", lateness).select(entity.alias("root_cause_entity"), F.col("created_at"), F.unix_micros("created_at").alias("at"), F.col("incident_id").cast("string"), F.col("impact").cast("double"))
-    out = "root_cause_entity string, incident_id string, created_at timestamp, deduplicated_count long, impact double, related_incidents array<string>, status string"
+    rows = incidents.withWatermark("created_at", lateness).select(entity.alias("root_cause_entity"), F.col("created_at"), F.unix_micros("created_at").alias("at"), F.col("incident_id").cast("string"), F.col("impact").cast("double"), F.to_json(F.struct(*incidents.columns)).alias("payload"))
+    out = "root_cause_entity string, incident_id string, created_at timestamp, deduplicated_count long, impact double, related_incidents array<string>, status string, payload string"
     return rows.groupBy("root_cause_entity").transformWithStateInPandas(OpenIncidents(ttl_seconds), out, "Append", "eventTime")
 
 
