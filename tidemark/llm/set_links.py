@@ -9,8 +9,9 @@ components, without comparing all pairs:
 * Elements that up to ``FEW`` sets of the crowd have early give pairs, less those that the
   places of the element rule out.
 * Elements that more sets have early (the words of a template) are first thinned: round after
-  round all sets under one are compared with a centre, one of a component picked by hash, as
-  long as that joins components. So lines of one template fall into few components.
+  round all sets under one are compared with centres, a set of each of ``CENTRES`` components
+  that a hash picks, as long as that joins components. So lines of one template fall into few
+  components.
 * What is left under such an element is coded by its difference from the largest of its sets.
   Two sets of which one at least is not alike to that set are themselves alike only if their
   differences share an element early enough, again in the order of rarity (``_by_difference``).
@@ -36,8 +37,8 @@ from .storage import discard, store
 
 #: Sets under one early element up to which their pairs are taken.
 FEW = 32
-#: Most rounds that compare with centres; they end sooner where nothing is joined any more.
-ROUNDS = 12
+#: Most rounds that compare with centres, and centres of one; rounds end sooner where nothing is joined any more.
+ROUNDS, CENTRES = 6, 4
 
 
 def _percent(similarity: float) -> int:
@@ -146,8 +147,9 @@ def crowd_roots(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFra
         rows = now()
         hot = _mixed(rows).where(F.col("n") > FEW).select("x")
         rows = rows.join(hot, "x", "left_semi").select("x", "p", "root")
-        pick = F.struct(F.xxhash64("x", "root", F.lit(turn)).alias("h"), F.xxhash64("x", "p", F.lit(turn)).alias("o"), "p", "root")
-        centres = rows.groupBy("x").agg(F.min(pick).alias("c")).select("x", F.col("c.p").alias("a"), F.col("c.root").alias("c_root"))
+        # The hash is the same under each element, so sets with many of them meet the same centres.
+        pick = F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), F.xxhash64("p", F.lit(turn)).alias("o"), "p", "root")
+        centres = rows.groupBy("x", F.pmod(pick["h"], F.lit(CENTRES)).alias("k")).agg(F.min(pick).alias("c")).select("x", F.col("c.p").alias("a"), F.col("c.root").alias("c_root"))
         pairs = rows.join(centres, "x").where("root != c_root").select("a", F.col("p").alias("b")).distinct()
         links = store(link(pairs), "set-stars")
         more = bool(links.take(1))
