@@ -165,13 +165,39 @@ def test_safe_sql(spark, tmp_path):
     spark.range(5).createOrReplaceTempView("five")
     rows, more = serving.safe_sql(spark, "SELECT id, 'DROP it' AS said FROM five", 3)
     assert rows.count() == 3 and more
+    rows, more = serving.safe_sql(spark, "SELECT id FROM five", 5)
+    assert rows.count() == 5 and not more
     path = str(tmp_path / "t")
-    for text in ("INSERT INTO five VALUES (1)", "DROP VIEW five", "SET a=b", f"CREATE TABLE t USING parquet LOCATION '{path}' AS SELECT 1", "ADD JAR x", "CACHE TABLE five", "SELECT 1; DROP VIEW five", "REFRESH TABLE five"):
+    for text in ("INSERT INTO five VALUES (1)", "DROP VIEW five", "SET a=b", f"CREATE TABLE t USING parquet LOCATION '{path}' AS SELECT 1", "ADD JAR x", "CACHE TABLE five", "SELECT 1; DROP VIEW five", "REFRESH TABLE five", "EXPLAIN SELECT 1", "SHOW TABLES"):
         with pytest.raises(PermissionError):
             serving.safe_sql(spark, text)
     assert spark.table("five").count() == 5
 
 
+ACTS = ["reflect('java.lang.System', 'setProperty', 'probe', 'set')", "java_method('java.lang.System', 'setProperty', 'probe', 'set')", "try_reflect('java.lang.System', 'setProperty', 'probe', 'set')", "input_file_name()", "system.builtin.reflect('java.lang.System', 'setProperty', 'probe', 'set')", "nothing_known(1)"]
+SHAPES = ["SELECT {}", "SELECT id FROM five WHERE {} = 'a'", "SELECT (SELECT max({}) FROM five) AS x", "WITH a AS (SELECT {} AS x) SELECT * FROM a", "SELECT id FROM five WHERE EXISTS (SELECT {} FROM five)", "SELECT id FROM five WHERE id IN (SELECT {} FROM five)", "SELECT transform(array(1), x -> {}) FROM five", "SELECT id FROM five ORDER BY {}", "SELECT count(*) FROM five GROUP BY {}", "SELECT 1 UNION ALL SELECT {}", "SELECT max(id) OVER (PARTITION BY {}) FROM five", "SELECT * FROM five JOIN five AS b ON five.id = {}", "SELECT CASE WHEN true THEN {} END", "SELECT * FROM VALUES ({}) AS t(x)", "SELECT * FROM five LATERAL VIEW explode(array({})) AS e"]
+
+
+def test_safe_sql_lets_nothing_act(spark, tmp_path):
+    spark.range(5).createOrReplaceTempView("five")
+    (tmp_path / "secret.txt").write_text("secret")
+    for act in ACTS:
+        for shape in SHAPES:
+            with pytest.raises(PermissionError):
+                serving.safe_sql(spark, shape.format(act))
+    assert spark._jvm.System.getProperty("probe") is None
+    for text in (f"SELECT * FROM text.`{tmp_path}/secret.txt`", f"SELECT (SELECT count(*) FROM text.`{tmp_path}/secret.txt`)", f"WITH a AS (SELECT * FROM csv.`{tmp_path}`) SELECT * FROM a", "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM five", "SELECT * FROM range(10)", "SELECT * FROM explode(array(1))", "SELECT * FROM spark_catalog.default.t"):
+        with pytest.raises(PermissionError):
+            serving.safe_sql(spark, text)
+    good = ["SELECT max(id) AS m FROM five GROUP BY id % 2 HAVING max(id) > 1 ORDER BY m LIMIT 3", "WITH a AS (SELECT id FROM five) SELECT a.id, row_number() OVER (ORDER BY a.id) AS n FROM a JOIN five b ON a.id = b.id", "SELECT id FROM five WHERE id IN (SELECT max(id) FROM five)", "SELECT x FROM five LATERAL VIEW explode(sequence(1, 2)) e AS x", "SELECT upper(concat('a', id)) AS u, CASE WHEN id > 2 THEN 1 ELSE 0 END AS c FROM five UNION SELECT 'b', 1", "SELECT * FROM five LEFT ANTI JOIN VALUES (1), (2) AS t(id) USING (id)", "SELECT DISTINCT date_trunc('day', timestamp '2024-01-01') AS d, percentile(id, 0.5) AS p FROM five"]
+    for text in good:
+        got, _ = serving.safe_sql(spark, text)
+        assert sorted(got.collect()) == sorted(spark.sql(text).collect())
+    with pytest.raises(PermissionError):
+        serving.safe_sql(spark, "SELECT * FROM five", tables=["other"])
+    assert serving.safe_sql(spark, "WITH other AS (SELECT * FROM five) SELECT * FROM other", tables=["FIVE"])[0].count() == 5
+
+
 def test_health_rules(spark):
     rows = [(k, "e", "c", float(min(k, 3)), at(60 * k)) for k in range(12)]
     series = spark.createDataFrame(rows, "event_id int, entity_id string, metric_name string, value double, ts timestamp")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.normalize import sigmoid
 from ..rules import METRIC_RULES
+from ..sources.lineage import cut
 
 SERIES = ["entity_id", "metric_name"]
 
@@ -65,17 +66,58 @@ def adaptive_threshold(metrics: DataFrame, k: float = 3.0) -> DataFrame:
     return metrics.withColumn("threshold", F.when(F.count("value").over(w) >= 2, limit)).withColumn("exceeds", F.col("value") > F.col("threshold"))
 
 
-def cusum_drift(metrics: DataFrame, baselines: DataFrame, slack: float = 0.5, limit: float = 4.0) -> DataFrame:
-    """Two-sided CUSUM in closed form: the running sum less its smallest value so far."""
-    w = W.partitionBy(*SERIES).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+def cusum_drift(metrics: DataFrame, baselines: DataFrame, slack: float = 0.5, limit: float = 4.0, block: int = 1_000_000) -> DataFrame:
+    """Two-sided CUSUM: ``s_pos`` and ``s_neg`` after each value, and ``drift``, whether one is above ``limit``.
+
+    A sum is the running sum of its series less the smallest so far (``_cusum``). Series of
+    more than ``block`` values are cut into pieces of time that many tasks handle: a piece is
+    the map S -> max(S + total, total - least) of the sum before it, so the pieces' totals and
+    least prefixes give the sum that each piece starts with, and only that is carried over.
+
+    Without a spread every step off the mean is infinite: the sum in the direction of the last
+    such step is, the other one is 0. Null values change nothing.
+    """
     gap = F.col("value") - F.col("mean")
-    # Without a spread every step off the mean is beyond all bounds.
-    dev = F.when(F.col("std") > 0, gap / F.col("std")).otherwise(F.signum(gap) * 1e12)
-    rows = metrics.join(baselines, "metric_name").select("event_id", *SERIES, "ts", dev.alias("dev"))
-    rows = rows.withColumn("up", F.sum(F.col("dev") - slack).over(w)).withColumn("down", F.sum(-F.col("dev") - slack).over(w))
-    pos = F.col("up") - F.least(F.lit(0.0), F.min("up").over(w))
-    neg = F.col("down") - F.least(F.lit(0.0), F.min("down").over(w))
-    return rows.select("event_id", *SERIES, pos.alias("s_pos"), neg.alias("s_neg")).withColumn("drift", (F.col("s_pos") > limit) | (F.col("s_neg") > limit))
+    flat = ~(F.col("std") > 0)
+    rows = metrics.join(baselines, "metric_name").select("event_id", *SERIES, "ts", F.when(~flat, gap / F.col("std")).alias("dev"), F.when(flat & (gap != 0), F.signum(gap)).alias("off"))
+    large = rows.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(*SERIES)
+    if large.isEmpty():
+        found = _cusum(rows, SERIES, slack)
+    else:
+        large = F.broadcast(large)  # every one of them has more than block rows
+        found = _cusum(rows.join(large, SERIES, "left_anti"), SERIES, slack).unionByName(_cusum_by_pieces(rows.join(large, SERIES, "left_semi"), slack))
+    inf = F.lit(float("inf"))
+    signed = lambda s, sign: F.when(F.col("off").isNotNull(), F.when(F.col("off") == sign, inf).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.coalesce(s, F.lit(0.0))))
+    found = found.select("event_id", *SERIES, signed(F.col("up") - F.least(F.lit(0.0), "up_in", "up_least"), 1.0).alias("s_pos"), signed(F.col("down") - F.least(F.lit(0.0), "down_in", "down_least"), -1.0).alias("s_neg"))
+    return found.withColumn("drift", (F.col("s_pos") > limit) | (F.col("s_neg") > limit))
+
+
+def _cusum(rows: DataFrame, by: list[str], slack: float) -> DataFrame:
+    """``rows`` with running sums and their least values (``up``, ``up_least``, ``down``, ``down_least``) and the last ``off``, under ``by``; ``up_in`` and ``down_in`` are 0."""
+    w = W.partitionBy(*by).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"up": F.sum(F.col("dev") - slack).over(w), "down": F.sum(-F.col("dev") - slack).over(w), "off": F.last("off", ignorenulls=True).over(w)})
+    rows = rows.withColumns({f"{c}_least": F.min(c).over(w) for c in ("up", "down")})
+    return rows.select("event_id", *by, "ts", "up", "up_least", "down", "down_least", "off", F.lit(0.0).alias("up_in"), F.lit(0.0).alias("down_in"))
+
+
+def _cusum_by_pieces(rows: DataFrame, slack: float) -> DataFrame:
+    """As ``_cusum``, with series cut by a range partitioning of time; ``up_in`` and ``down_in`` are the sums before a piece, negated."""
+    order = [*SERIES, "ts", "event_id"]
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    cut_rows = cut(rows.repartitionByRange(int(parts), *order).withColumn("piece", F.spark_partition_id()))
+    local = cut(_cusum(cut_rows, [*SERIES, "piece"], slack).drop("up_in", "down_in"))
+    newest = F.struct("ts", "event_id")
+    pieces = local.groupBy(*SERIES, "piece").agg(*[F.max_by(c, newest).alias(c) for c in ("up", "down", "off")], *[F.min(c).alias(c) for c in ("up_least", "down_least")])
+    w = W.partitionBy(*SERIES).orderBy("piece")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    total = {c: F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in ("up", "down")}
+    pieces = pieces.withColumns({f"{c}_sum": total[c] for c in total})
+    carried = {f"{c}_in": F.least(F.lit(0.0), F.min(F.col(f"{c}_sum") + F.col(f"{c}_least")).over(before)) - F.col(f"{c}_sum") for c in total}
+    pieces = pieces.withColumns(carried).withColumn("off_in", F.last("off", ignorenulls=True).over(before)).select(*SERIES, "piece", "up_in", "down_in", "off_in")
+    found = local.join(pieces, [*SERIES, "piece"]).withColumn("off", F.coalesce("off", "off_in"))
+    # Where a piece has had null values only, its sums are those before it.
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("up", "down", "up_least", "down_least")}
+    return found.withColumns(zero).drop("piece", "off_in")
 
 
 def suppress_noise(signals: DataFrame, seconds: int = 180, strong: float = 0.85, neighbors: int = 3) -> DataFrame:

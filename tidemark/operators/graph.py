@@ -39,17 +39,52 @@ def merge_layers(edges: DataFrame) -> DataFrame:
     return causal.unionByName(rest.join(causal.select(pair.alias("pair")).distinct(), "pair", "left_anti").drop("pair"))
 
 
+def _upstream(edges: DataFrame) -> DataFrame:
+    """``node, next, strong``: layer 1 edges lead from a caller to what it depends on, layer 2 edges from a cause to its effect; upstream follows the former and reverses the latter."""
+    one = F.col("layer") == 1
+    up = edges.select(F.when(one, F.col("src")).otherwise(F.col("dst")).alias("node"), F.when(one, F.col("dst")).otherwise(F.col("src")).alias("next"), (~one).alias("strong"))
+    return up.groupBy("node", "next").agg(F.max("strong").alias("strong"))
+
+
+def best_paths(edges: DataFrame, symptoms: DataFrame, max_depth: int = 10) -> DataFrame:
+    """Of the ``fault_paths`` of each symptom and root the shortest with and the shortest without a causal edge, as far as a score can tell them.
+
+    All symptoms advance together, and of all ways to a node with one ``causal`` flag only the
+    shortest (of equal ones, the first in order) goes on: as many rows as there are pairs of
+    symptom and node, where the number of paths grows with their length's power. The shortest
+    way is a path, but one that turns back to take a causal edge is not; such an end is looked
+    up among all paths, if its score could be the best of its root.
+    """
+    up = _upstream(edges)
+    now = symptoms.select("symptom", F.col("symptom").alias("node"), F.lit(False).alias("causal"), F.array("symptom").alias("path")).distinct()
+    seen = now
+    for _ in range(max_depth - 1):
+        steps = now.join(up, "node").select("symptom", F.col("next").alias("node"), (F.col("causal") | F.col("strong")).alias("causal"), F.concat(F.array("next"), "path").alias("path"))
+        steps = steps.groupBy("symptom", "node", "causal").agg(F.min("path").alias("path"))
+        now = cut(steps.join(seen, ["symptom", "node", "causal"], "left_anti"))
+        if now.isEmpty():
+            break
+        seen = seen.unionByName(now)
+    ends = cut(seen.join(up, "node", "left_anti").select("symptom", F.col("node").alias("root"), "path", "causal"))
+    simple = F.size(F.array_distinct("path")) == F.size("path")
+    good = ends.where(simple)
+    plain = good.groupBy("symptom", "root").agg(F.max(_path_score(F.col("path"), F.col("causal"))).alias("has"))
+    turns = ends.where(~simple).join(plain, ["symptom", "root"], "left").where(_path_score(F.col("path"), F.col("causal")) > F.coalesce("has", F.lit(0.0))).select("symptom", "root")
+    if turns.isEmpty():
+        return good
+    all_paths = fault_paths(edges, turns.select("symptom").distinct(), max_depth).where("causal").join(turns, ["symptom", "root"], "left_semi")
+    found = all_paths.groupBy("symptom", "root", "causal").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("path"))
+    return good.unionByName(found)
+
+
 def fault_paths(edges: DataFrame, symptoms: DataFrame, max_depth: int = 10) -> DataFrame:
     """Simple paths from each symptom up to nodes with nothing upstream, root first.
 
-    Layer 1 edges lead from a caller to what it depends on, layer 2 edges from a cause to its
-    effect, so upstream follows the former and reverses the latter. All symptoms advance
-    together, one join a step, for at most ``max_depth`` nodes; each step is written, as all
-    later ones read it. ``causal``: the path has a layer 2 edge.
+    All symptoms advance together, one join a step, for at most ``max_depth`` nodes; each step is
+    written, as all later ones read it. ``causal``: the path has a layer 2 edge. Their number can
+    grow with a power of the depth; scores need ``best_paths`` only.
     """
-    one = F.col("layer") == 1
-    up = edges.select(F.when(one, F.col("src")).otherwise(F.col("dst")).alias("node"), F.when(one, F.col("dst")).otherwise(F.col("src")).alias("next"), (~one).alias("strong"))
-    up = up.groupBy("node", "next").agg(F.max("strong").alias("strong"))
+    up = _upstream(edges)
     now = symptoms.select("symptom", F.col("symptom").alias("node"), F.array("symptom").alias("path"), F.lit(False).alias("causal"))
     done = None
     for depth in range(max_depth):
@@ -63,11 +98,15 @@ def fault_paths(edges: DataFrame, symptoms: DataFrame, max_depth: int = 10) -> D
     return done.select("symptom", F.element_at("path", -1).alias("root"), F.reverse("path").alias("path"), "causal")
 
 
+def _path_score(path, causal):
+    n = F.size(path)
+    anchor = F.when(causal, 0.85).otherwise(0.55)
+    return F.when(n < 2, 0.2).otherwise(F.round(anchor * (0.6 + 0.4 * F.greatest(F.lit(0.0), 1 - 0.12 * (n - 1))), 3))
+
+
 def score_root_causes(paths: DataFrame) -> DataFrame:
-    """Roots of each symptom by the confidence of their best path: more with a causal edge, less with its length, 0.2 without an edge."""
-    n = F.size("path")
-    anchor = F.when(F.col("causal"), 0.85).otherwise(0.55)
-    score = F.when(n < 2, 0.2).otherwise(F.round(anchor * (0.6 + 0.4 * F.greatest(F.lit(0.0), 1 - 0.12 * (n - 1))), 3))
+    """Roots of each symptom by the confidence of their best path (``fault_paths`` or ``best_paths``): more with a causal edge, less with its length, 0.2 without an edge."""
+    score = _path_score(F.col("path"), F.col("causal"))
     best = paths.select("symptom", "root", score.alias("confidence")).groupBy("symptom", "root").agg(F.max("confidence").alias("confidence")).where("confidence >= 0.3")
     return best.withColumn("rank", F.row_number().over(W.partitionBy("symptom").orderBy(F.desc("confidence"), "root")))
 

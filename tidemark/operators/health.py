@@ -39,22 +39,33 @@ def threshold_alerts(metrics: DataFrame, breach: Column, for_seconds: int) -> Da
     return spans.where(F.unix_micros("ended") - F.unix_micros("started") >= for_seconds * 1_000_000).drop("_island")
 
 
-def absence_alerts(metrics: DataFrame, for_seconds: int) -> DataFrame:
-    """Gaps of a series longer than ``for_seconds`` between one point and the next."""
+def absence_alerts(metrics: DataFrame, for_seconds: int, now=None) -> DataFrame:
+    """Gaps of a series longer than ``for_seconds``: between one point and the next and, with ``now``, between the last point and that time.
+
+    A gap that is still open at ``now`` has no ``until``. Points after ``now`` are left out.
+    """
+    if now is not None:
+        metrics = metrics.where(F.col("ts") <= F.lit(now))
     w = W.partitionBy("entity_id", "metric_name").orderBy("ts", "event_id")
     rows = metrics.withColumn("until", F.lead("ts").over(w))
-    gap = F.unix_micros("until") - F.unix_micros("ts")
-    return rows.where(gap > for_seconds * 1_000_000).select("entity_id", "metric_name", F.col("ts").alias("since"), "until")
+    end = F.col("until") if now is None else F.coalesce("until", F.lit(now).cast("timestamp"))
+    return rows.where(F.unix_micros(end) - F.unix_micros("ts") > for_seconds * 1_000_000).select("entity_id", "metric_name", F.col("ts").alias("since"), "until")
 
 
 def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
-    """Quantile of cumulative buckets (``entity_id, le, count``), linear inside the bucket that holds it."""
+    """Quantile of cumulative buckets (``entity_id, le, count``), linear inside the bucket that holds it.
+
+    In the bucket without an upper bound (``le`` infinite) it is that bucket's lower bound, and
+    null where there is no other bucket; an entity without a count has none.
+    """
     w = W.partitionBy("entity_id").orderBy("le")
     whole = W.partitionBy("entity_id")
-    rows = buckets.withColumn("low", F.coalesce(F.lag("le").over(w), F.lit(0.0))).withColumn("below", F.coalesce(F.lag("count").over(w), F.lit(0)))
+    rows = buckets.withColumn("low", F.lag("le").over(w)).withColumn("below", F.coalesce(F.lag("count").over(w), F.lit(0)))
     rows = rows.withColumn("rank", F.max("count").over(whole) * q)
     inside = (F.col("count") >= F.col("rank")) & (F.col("below") < F.col("rank"))
-    value = F.col("low") + (F.col("le") - F.col("low")) * (F.col("rank") - F.col("below")) / (F.col("count") - F.col("below"))
+    low = F.coalesce("low", F.lit(0.0))
+    value = low + (F.col("le") - low) * (F.col("rank") - F.col("below")) / (F.col("count") - F.col("below"))
+    value = F.when(F.col("le") == float("inf"), F.col("low")).otherwise(value)
     return rows.where(inside).select("entity_id", value.alias("quantile"))
 
 
@@ -71,21 +82,28 @@ def counter_rate(samples: DataFrame, seconds: int = 300) -> DataFrame:
     return rows.withColumn("rate", F.sum("increase").over(w) / seconds).drop("_at")
 
 
-def evaluate_alert_rules(metrics: DataFrame, rules: list[dict]) -> DataFrame:
+def evaluate_alert_rules(metrics: DataFrame, rules: list[dict], now=None) -> DataFrame:
     """``rule, entity_id, metric_name, started, ended``: when a rule held for its whole ``for`` time.
 
     A rule has ``name``, ``metric``, ``kind`` and ``seconds``. ``equals`` compares values with
-    ``limit``; ``absent`` looks for gaps; ``rate_zero`` and ``rate_above`` compare the rate of a
-    counter over ``window`` seconds (300) with 0 and ``limit``.
+    ``limit``; ``absent`` looks for gaps, with ``now`` for those that last until then too (``ended``
+    is null); ``rate_zero`` and ``rate_above`` compare the rate of a counter over ``window``
+    seconds (300) with 0 and ``limit``; ``quantile_above`` compares the ``quantile`` of the values
+    of each ``window`` (300 seconds) with ``limit``.
     """
     found = None
     for rule in rules:
         series = metrics.where(F.col("metric_name") == rule["metric"])
         if rule["kind"] == "absent":
-            spans = absence_alerts(series, rule["seconds"]).select("entity_id", "metric_name", F.col("since").alias("started"), F.col("until").alias("ended"))
+            spans = absence_alerts(series, rule["seconds"], now).select("entity_id", "metric_name", F.col("since").alias("started"), F.col("until").alias("ended"))
         else:
             if rule["kind"] == "equals":
                 breach = F.col("value") == rule["limit"]
+            elif rule["kind"] == "quantile_above":
+                window = F.window("ts", f"{rule.get('window', 300)} seconds")
+                series = series.groupBy("entity_id", "metric_name", window.alias("w")).agg(F.percentile("value", F.lit(rule["quantile"])).alias("q"), F.min("event_id").alias("event_id"))
+                series = series.withColumn("ts", F.col("w.start"))
+                breach = F.col("q") > rule["limit"]
             else:
                 series = counter_rate(series, rule.get("window", 300))
                 breach = F.col("rate") == 0 if rule["kind"] == "rate_zero" else F.col("rate") > rule["limit"]

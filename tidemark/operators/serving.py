@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -106,18 +105,72 @@ def recent_per_entity(logs: DataFrame, n: int = 150) -> DataFrame:
     return logs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 
 
-def safe_sql(spark: SparkSession, sql: str, limit: int = 100) -> tuple[DataFrame, bool]:
-    """The first rows of a query, and whether it has more. Anything but a query is denied.
-
-    As a view's body the text can only be a query: Spark's own parser refuses commands there,
-    and nothing is run but the query.
+#: Nodes of a parsed text that only read: what is not here (commands, scripts, table functions, time travel) is denied.
+_READS = frozenset({
+    "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot", "Project", "Sort", "SubqueryAlias",
+    "Union", "Unpivot", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "WithWindowDefinition", "Window",
+})
+#: Groups of built-in functions that compute from their arguments alone.
+_PURE = frozenset({
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "datetime_funcs", "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs",
+    "predicate_funcs", "sketch_funcs", "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs",
+})
+
+
+def _denied(spark: SparkSession, plan, tables: frozenset[str] | None) -> str | None:
+    """What in a parsed plan is not allowed, if anything is."""
+    seq = lambda x: [x.apply(k) for k in range(x.size())]
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+    plans, expressions, named, known = [plan], [], [], set()
+    while plans or expressions:
+        if plans:
+            node = plans.pop()
+            kind = node.getClass().getSimpleName()
+            if kind not in _READS:
+                return kind
+            if kind == "UnresolvedRelation":
+                named.append([str(x) for x in seq(node.multipartIdentifier())])
+            if kind == "UnresolvedWith":
+                inner = seq(node.innerChildren())
+                known |= {x.alias().lower() for x in inner}
+                plans += inner
+            plans += seq(node.children())
+            expressions += seq(node.expressions())
+            continue
+        node = expressions.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedFunction" or kind == "UnresolvedGenerator":
+            name = [str(x) for x in seq(node.nameParts())] if kind == "UnresolvedFunction" else [node.name().funcName()]
+            found = registry.lookupFunction(identifier(name[-1].lower())) if len(name) == 1 else None
+            if found is None or found.isEmpty() or found.get().getGroup() not in _PURE:
+                return ".".join(name)
+        if any(x in kind for x in ("Subquery", "Exists", "ListQuery")):
+            plans.append(node.plan()) if kind != "InSubquery" else expressions.append(node.query())
+        expressions += seq(node.children())
+    for name in named:
+        # Two parts could be a format and a path; a view or table of the session has one.
+        if len(name) != 1 or name[0].lower() not in known and tables is not None and name[0].lower() not in tables:
+            return ".".join(name)
+    return None
+
+
+def safe_sql(spark: SparkSession, sql: str, limit: int = 100, tables: Iterable[str] | None = None) -> tuple[DataFrame, bool]:
+    """The first rows of a query, and whether it has more. Whatever is not a plain query is denied.
+
+    The text is parsed, not run, and its plan is walked, subqueries and common table expressions
+    too: each node must be one that reads, each function a built-in that computes from its
+    arguments alone, each relation a view or table of the session (of ``tables``, where they are
+    given) and never a path. The query then runs once, for one row more than the limit.
     """
     limit = max(1, min(limit, 500))
-    name = f"asked_{uuid.uuid4().hex}"
     try:
-        spark.sql(f"CREATE TEMPORARY VIEW {name} AS {sql}")
-    except ParseException as error:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as error:
         raise PermissionError("read-only queries only") from error
-    found = spark.table(name)
-    spark.catalog.dropTempView(name)
-    return found.limit(limit), found.limit(limit + 1).count() > limit
+    denied = _denied(spark, plan, None if tables is None else frozenset(x.lower() for x in tables))
+    if denied:
+        raise PermissionError(f"read-only queries only: {denied}")
+    found = spark.sql(sql)
+    rows = found.limit(limit + 1).collect()
+    return spark.createDataFrame(rows[:limit], found.schema), len(rows) > limit

@@ -18,7 +18,7 @@ def built_incidents(signals: DataFrame, nodes: DataFrame, edges: DataFrame, logs
     the newest of the root cause are evidence.
     """
     marked = topology.resolve_symptoms(signals, nodes)
-    paths = graph.fault_paths(graph.merge_layers(edges), marked.select("symptom").distinct())
+    paths = graph.best_paths(graph.merge_layers(edges), marked.select("symptom").distinct())
     ranked = graph.score_root_causes(paths)
     causes = topology.build_root_causes(marked, ranked)
     best = paths.groupBy("symptom", "root").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("fault_path"))
