@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import detect, graph, health
+from tidemark.operators import detect, features, graph, health
+from tidemark.sources import otlp
 
 T0 = dt.datetime(2024, 1, 1)
 at = lambda s: T0 + dt.timedelta(seconds=s)
@@ -106,3 +107,29 @@ def test_quantile_rules_and_open_bucket(spark):
     slow = spark.createDataFrame([(k, "e", "ms", 100.0 if 300 <= k < 900 and k % 10 == 0 else 1.0, at(k)) for k in range(1500)], POINTS)
     rule = [{"name": "slow", "metric": "ms", "kind": "quantile_above", "quantile": 0.95, "limit": 50.0, "seconds": 300}]
     assert [(x.started, x.ended) for x in health.evaluate_alert_rules(slow, rule).collect()] == [(at(300), at(600))]
+
+
+def test_panes_keep_ranks(spark):
+    """Windows of more values than the sketch holds; nulls; a pane without a value."""
+    rows = spark.range(60_000).select(
+        F.col("id").alias("event_id"), F.lit("e").alias("entity_id"), F.lit("m").alias("metric_name"), F.when(F.col("id") % 100 > 0, F.pow(F.rand(5), F.lit(3)) * 1000 + 1e6).alias("value"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 600).alias("ts"), F.lit(False).alias("is_error"),
+    ).persist()
+    got = {x.window_start: x for x in features.sliding_by_panes(rows).collect()}
+    want = {x.window_start: x for x in features.sliding_features(rows).collect()}
+    assert got.keys() == want.keys() and len(got) == 14
+    for start, x in got.items():
+        y = want[start]
+        assert (x["count"], x["min"], x["max"]) == (y["count"], y["min"], y["max"]) and x["count"] >= 5900
+        assert x["avg"] == pytest.approx(y["avg"]) and x["stddev"] == pytest.approx(y["stddev"], rel=1e-9)
+        values = sorted(v.value for v in rows.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(start) + F.expr("INTERVAL 5 MINUTES")) & F.col("value").isNotNull()).select("value").collect())
+        for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+            assert abs(sum(v <= x[name] for v in values) / len(values) - q) < 0.008, (name, start)
+    none = spark.createDataFrame([(1, "e", "m", None, at(0), False)], POINTS + ", is_error boolean")
+    assert {(x["count"], x.p50, x.avg, x.stddev) for x in features.sliding_by_panes(none).collect()} == {(0, None, None, None)}
+
+
+def test_otlp_histogram_points(spark):
+    line = '{"resourceMetrics":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"user-service"}}]},"scopeMetrics":[{"metrics":[{"name":"g","unit":"1","gauge":{"dataPoints":[{"timeUnixNano":"1785307829000000000","asDouble":42.0,"attributes":[{"key":"method","value":{"stringValue":"GET"}}]}]}},{"name":"h","unit":"ms","histogram":{"dataPoints":[{"timeUnixNano":"1785307829000000000","count":100,"sum":5000.0,"explicitBounds":[10.0,50.0,100.0,500.0],"bucketCounts":["30",40,20,8,2]},{"timeUnixNano":"1785307829000000000"}]}}]}]}]}'
+    got = [(x.metric_name, x.value, x.attributes) for x in otlp.parse_otlp_metrics(spark.createDataFrame([(line,)], "value string")).collect()]
+    bucket = lambda b, n: ("h_bucket", float(n), {"bound": str(b), "count": str(n)})
+    assert got == [("g", 42.0, {"method": "GET"}), ("h_sum", 5000.0, {"count": "100"}), bucket(10.0, 30), bucket(50.0, 40), bucket(100.0, 20), bucket(500.0, 8), ("h_sum", 0.0, {"count": "0"})]

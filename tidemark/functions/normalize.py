@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from ..rules import SERVICE_TYPES
 
 #: The levels that log severities are folded to.
-SEVERITY = {
-    "TRACE": "TRACE", "TRACE2": "TRACE", "TRACE3": "TRACE", "TRACE4": "TRACE", "DEBUG": "DEBUG", "DEBUG2": "DEBUG", "DEBUG3": "DEBUG", "DEBUG4": "DEBUG",
-    "INFO": "INFO", "INFO2": "INFO", "INFO3": "INFO", "INFO4": "INFO", "NOTICE": "INFO", "WARN": "WARN", "WARN2": "WARN", "WARN3": "WARN", "WARN4": "WARN", "WARNING": "WARN",
-    "ERROR": "ERROR", "ERROR2": "ERROR", "ERROR3": "ERROR", "ERROR4": "ERROR", "FATAL": "FATAL", "CRITICAL": "FATAL", "ALERT": "FATAL", "EMERGENCY": "FATAL",
-}
+SEVERITY = {f"{level}{n}": level for level in ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL") for n in ("", 2, 3, 4)}
+SEVERITY |= {"NOTICE": "INFO", "WARNING": "WARN", "CRITICAL": "FATAL", "ALERT": "FATAL", "EMERGENCY": "FATAL"}
 
 
 def metric_value(value: Column, unit: Column, exact: bool = False) -> Column:

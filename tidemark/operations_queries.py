@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from .functions import normalize as N
@@ -42,6 +44,18 @@ def parse_otlp_metrics(spark, d):
     return _micros(otlp.parse_otlp_metrics(_otlp_metrics(spark, d)).select("entity_id", "metric_name", "value", "ts"))
 
 
+@query("WITH h AS (SELECT entity_id, metric_name, CAST(sum(value) AS DOUBLE) AS s, count(value) AS n, count(*) FILTER (value <= 5) AS a, count(*) FILTER (value <= 20) AS b FROM metrics WHERE entity_id IS NOT NULL AND metric_name IS NOT NULL GROUP BY 1, 2) SELECT entity_id, metric_name || '_sum' AS metric_name, round(coalesce(s, 0), 6) AS value, CAST(NULL AS VARCHAR) AS bound, CAST(n AS VARCHAR) AS count FROM h UNION ALL SELECT entity_id, metric_name || '_bucket', a, '5.0', CAST(a AS VARCHAR) FROM h UNION ALL SELECT entity_id, metric_name || '_bucket', b, '20.0', CAST(b AS VARCHAR) FROM h UNION ALL SELECT entity_id, metric_name || '_bucket', 0, '50.0', '0' FROM h")
+def parse_otlp_histograms(spark, d):
+    """Histogram points of each series; the last bound has no count."""
+    point = F.struct(F.lit("1700000000000000000").alias("timeUnixNano"), F.count("value").alias("count"), F.sum("value").alias("sum"), F.array(F.lit(5.0), F.lit(20.0), F.lit(50.0)).alias("explicitBounds"), F.array(F.count_if(F.col("value") <= 5), F.count_if(F.col("value") <= 20)).cast("array<string>").alias("bucketCounts"))
+    rows = tables.metrics(spark, d).where("entity_id is not null and metric_name is not null").groupBy("entity_id", "metric_name").agg(point.alias("p"))
+    metric = F.struct(F.col("metric_name").alias("name"), F.struct(F.array("p").alias("dataPoints")).alias("histogram"))
+    name = F.struct(F.lit("service.name").alias("key"), F.struct(F.col("entity_id").alias("stringValue")).alias("value"))
+    whole = F.struct(F.struct(F.array(name).alias("attributes")).alias("resource"), F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))
+    raw = rows.select(F.to_json(F.struct(F.array(whole).alias("resourceMetrics"))).alias("value"))
+    return _micros(otlp.parse_otlp_metrics(raw).select("entity_id", "metric_name", "value", F.col("attributes")["bound"].alias("bound"), F.col("attributes")["count"].alias("count")))
+
+
 @query("SELECT 'u' || user_id AS entity_id, CASE WHEN event_id % 25 BETWEEN 1 AND 4 THEN 'TRACE' WHEN event_id % 25 BETWEEN 5 AND 8 THEN 'DEBUG' WHEN event_id % 25 BETWEEN 9 AND 12 THEN 'INFO' WHEN event_id % 25 BETWEEN 13 AND 16 THEN 'WARN' WHEN event_id % 25 >= 17 THEN 'ERROR' ELSE 'odd' END AS log_level, event_type AS message, epoch_us(ts) AS ts FROM events WHERE event_type IS NOT NULL")
 def parse_otlp_logs(spark, d):
     e = tables.table(spark, d, "events").where("event_type is not null")
@@ -66,10 +80,10 @@ def route_signal_type(spark, d):
     return otlp.route_signal_type(raw).select("event_id", "signal")
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS entity_id, CASE event_id % 3 WHEN 0 THEN 'BRUTE_FORCE' WHEN 1 THEN 'DATA_EXFILTRATION' ELSE 'UNKNOWN_ATTACK' END AS attack_type, least(greatest(round(value, 2) / 10, 0), 1) AS confidence, epoch_us(ts) // 1000 AS at FROM events WHERE value IS NOT NULL")
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS entity_id, CASE event_id % 6 WHEN 0 THEN 'BRUTE_FORCE' WHEN 1 THEN 'DATA_EXFILTRATION' WHEN 2 THEN 'UNKNOWN_ATTACK' WHEN 3 THEN 'BRUTE_FORCE' WHEN 4 THEN 'PRIVILEGE_ESCALATION' ELSE 'PORT_SCAN' END AS attack_type, least(greatest(round(value, 2) / 10, 0), 1) AS confidence, epoch_us(ts) // 1000 AS at FROM events WHERE value IS NOT NULL")
 def parse_security_events(spark, d):
     e = tables.table(spark, d, "events").where("value is not null")
-    attack = F.element_at(F.array(F.lit('"attackType":"brute_force_attempt",'), F.lit('"attack_type":" Potential_Data_Exfiltration",'), F.lit("")), (F.col("event_id") % 3 + 1).cast("int"))
+    attack = F.element_at(F.array(F.lit('"attackType":"brute_force_attempt",'), F.lit('"attack_type":" Potential_Data_Exfiltration",'), F.lit(""), F.lit('"attackType":"Brute_Force_Attack",'), F.lit('"attackType":"privilege_escalation_attempt",'), F.lit('"attackType":"port_scan",')), (F.col("event_id") % 6 + 1).cast("int"))
     share = (F.round("value", 2) / 10).cast("string")
     raw = e.select(F.concat(F.lit('{"eventId":"'), "event_id", F.lit('","entity_id":"'), "user_id", F.lit('",'), attack, F.lit('"confidence":"'), share, F.lit('","timestamp":"'), F.unix_millis(F.col("ts").cast("timestamp")), F.lit('","x":"y"}')).alias("value"))
     return ingest.parse_security_events(raw).select("event_id", "entity_id", "attack_type", "confidence", F.unix_millis("ts").alias("at"))
@@ -127,9 +141,9 @@ def topic_rows(spark, d):
 # Normalisation and entities
 
 
-@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'TRACE' WHEN 1 THEN 'FATAL' WHEN 2 THEN 'INFO' WHEN 3 THEN 'WARN' WHEN 4 THEN 'INFO' WHEN 5 THEN 'INFO' WHEN 6 THEN 'DEBUG' ELSE 'FATAL' END AS level FROM events")
+@query("SELECT event_id, CASE event_id % 11 WHEN 0 THEN 'TRACE' WHEN 1 THEN 'FATAL' WHEN 2 THEN 'INFO' WHEN 3 THEN 'WARN' WHEN 4 THEN 'INFO' WHEN 5 THEN 'INFO' WHEN 6 THEN 'DEBUG' ELSE 'FATAL' END AS level FROM events")
 def normalize_log_severity(spark, d):
-    raw = F.element_at(F.array(*[F.lit(x) for x in ("trace2", "Critical", "NOTICE", " warning ", "odd", None, "DEBUG4", "EMERGENCY")]), (F.col("event_id") % 8 + 1).cast("int"))
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("trace2", "Critical", "NOTICE", " warning ", "odd", None, "DEBUG4", "EMERGENCY", "FATAL2", "fatal3", "Fatal4")]), (F.col("event_id") % 11 + 1).cast("int"))
     return tables.table(spark, d, "events").select("event_id", N.log_severity(raw).alias("level"))
 
 
@@ -268,6 +282,14 @@ def evaluate_alert_rules(spark, d):
     return _micros(health.evaluate_alert_rules(flagged, rules).drop("metric_name"))
 
 
+@query("SELECT 'silent' AS rule, entity_id, epoch_us(ts) AS started, epoch_us(until) AS ended FROM (SELECT *, lead(ts) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS until FROM metrics WHERE metric_name = 'error' AND ts <= TIMESTAMP '2024-02-01') WHERE epoch_us(coalesce(until, TIMESTAMP '2024-02-01')) - epoch_us(ts) > 432000000000")
+def absence_until_now(spark, d):
+    """Series that are silent for five days, at a given time; null ``ended``: they still are."""
+    rule = {"name": "silent", "metric": "error", "kind": "absent", "seconds": 432_000}
+    found = health.evaluate_alert_rules(tables.metrics(spark, d), [rule], now=dt.datetime(2024, 2, 1))
+    return _micros(found.drop("metric_name"))
+
+
 @query("WITH h AS (SELECT metric_name, arg_max(value, (ts, event_id)) AS last, CASE WHEN stddev_samp(value) > 0 THEN stddev_samp(value) ELSE 1 END AS s FROM metrics GROUP BY 1 HAVING count(value) >= 24) SELECT event_id, round(1 / (1 + exp(3 - abs(value - last) / s)), 6) AS seasonal_score FROM metrics LEFT JOIN h USING (metric_name)")
 def seasonal_naive_score(spark, d):
     rows = tables.metrics(spark, d)
@@ -417,6 +439,12 @@ def score_root_causes(spark, d):
     return graph.score_root_causes(_fault_paths(spark, d))
 
 
+@query(f"WITH {_PATHS} SELECT symptom, root, causal, min(n) AS n, arg_min(path, (n, path)) AS path FROM p GROUP BY symptom, root, causal")
+def best_paths(spark, d):
+    found = graph.best_paths(tables.edges(spark, d), tables.nodes(spark, d).select(F.col("id").alias("symptom")))
+    return found.select("symptom", "root", "causal", F.size("path").alias("n"), F.array_join("path", ">").alias("path"))
+
+
 @query(f"WITH {_PATHS}, s AS (SELECT 'n' || entity_id AS symptom, count(*) AS points, max(value) AS score FROM metrics GROUP BY 1) SELECT symptom, CASE WHEN n > 1 THEN root ELSE symptom END AS root_cause_entity, CASE WHEN n > 1 THEN round(CASE WHEN causal THEN 0.85 ELSE 0.55 END * (0.6 + 0.4 * greatest(0, 1 - 0.12 * (n - 1))), 3) ELSE 0 END AS confidence, score AS anomaly_score, points FROM s LEFT JOIN p USING (symptom)")
 def build_root_cause(spark, d):
     signals = tables.metrics(spark, d).select(F.concat(F.lit("n"), "entity_id").alias("symptom"), "ts", "metric_name", F.col("value").alias("score"))

@@ -54,6 +54,11 @@ def sliding_features(spark, d):
     return _micros(features.sliding_features(tables.metrics(spark, d)))
 
 
+@query("WITH w AS (SELECT *, unnest(generate_series(0, 4)) AS k FROM metrics), x AS (SELECT *, epoch_us(time_bucket(INTERVAL 1 MINUTE, ts)) - k * 60000000 AS s FROM w) SELECT entity_id, metric_name, s AS window_start, s + 300000000 AS window_end, '5 minutes' AS window_size, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS avg, count(value) AS count, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99, round(stddev_pop(value), 6) AS stddev, round(count(value) / 300, 6) AS rate FROM x GROUP BY entity_id, metric_name, s")
+def sliding_by_panes(spark, d):
+    return _micros(features.sliding_by_panes(tables.metrics(spark, d)))
+
+
 @query("WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY entity_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS o FROM metrics), i AS (SELECT *, sum(o) OVER (PARTITION BY entity_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT entity_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 3600000000 AS session_end, count(*) AS events, CAST(sum(is_error::INT) AS BIGINT) AS errors, sum(is_error::INT) > 3 AS burst FROM i GROUP BY entity_id, s")
 def session_bursts(spark, d):
     return _micros(features.session_bursts(tables.metrics(spark, d), "1 hour"))
@@ -140,6 +145,13 @@ def cusum_drift(spark, d):
     return _micros(detect.cusum_drift(rows, detect.zscore_baselines(rows)).select("event_id", "s_pos", "s_neg"))
 
 
+@query("WITH b AS (SELECT metric_name, avg(value) AS m, stddev_samp(value) AS s FROM metrics GROUP BY 1), r AS (SELECT event_id, metric_name, ts, sum((value - m) / s - 0.5) OVER w AS up, sum(-(value - m) / s - 0.5) OVER w AS down FROM metrics JOIN b USING (metric_name) WINDOW w AS (PARTITION BY metric_name ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, round(up - least(0, min(up) OVER v), 6) AS s_pos, round(down - least(0, min(down) OVER v), 6) AS s_neg FROM r WINDOW v AS (PARTITION BY metric_name ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def cusum_by_pieces(spark, d):
+    """One series for each metric, cut into pieces of time."""
+    rows = tables.metrics(spark, d).withColumn("entity_id", F.lit("all"))
+    return _micros(detect.cusum_drift(rows, detect.zscore_baselines(rows), block=1000).select("event_id", "s_pos", "s_neg"))
+
+
 _SCORES = "WITH b AS (SELECT metric_name, avg(value) AS m, stddev_samp(value) AS s FROM metrics GROUP BY 1), z AS (SELECT event_id, entity_id, metric_name, ts, 1 / (1 + exp(3 - abs(value - m) / s)) AS score FROM metrics JOIN b USING (metric_name))"
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Other names of attack types.
-ATTACKS = {"BRUTE_FORCE_ATTEMPT": "BRUTE_FORCE", "UNAUTHORIZED_CONFIG_CHANGE": "CONFIG_DRIFT", "POTENTIAL_DATA_EXFILTRATION": "DATA_EXFILTRATION"}
+ATTACKS = {
+    "BRUTE_FORCE_ATTEMPT": "BRUTE_FORCE", "BRUTE_FORCE_ATTACK": "BRUTE_FORCE", "PRIVILEGE_ESCALATION_ATTEMPT": "PRIVILEGE_ESCALATION",
+    "UNAUTHORIZED_CONFIG_CHANGE": "CONFIG_DRIFT", "POTENTIAL_DATA_EXFILTRATION": "DATA_EXFILTRATION",
+}
 #: Batch types whose log rows are errors unless they say otherwise.
 ERROR_TYPES = ("siem", "security_alerts")
 _FIELDS = {

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 _ATTRIBUTES = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string>>>"
 _POINT = f"struct<timeUnixNano:string,asDouble:double,asInt:string,asLong:string,attributes:{_ATTRIBUTES}>"
-_METRIC = f"struct<name:string,unit:string,gauge:struct<dataPoints:array<{_POINT}>>,sum:struct<dataPoints:array<{_POINT}>>>"
+_HISTOGRAM = f"struct<timeUnixNano:string,count:string,sum:double,explicitBounds:array<double>,bucketCounts:array<string>,attributes:{_ATTRIBUTES}>"
+_METRIC = f"struct<name:string,unit:string,gauge:struct<dataPoints:array<{_POINT}>>,sum:struct<dataPoints:array<{_POINT}>>,histogram:struct<dataPoints:array<{_HISTOGRAM}>>>"
 METRICS = f"resourceMetrics array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeMetrics:array<struct<metrics:array<{_METRIC}>>>>>"
 _LOG = f"struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:struct<stringValue:string>,traceId:string,spanId:string,attributes:{_ATTRIBUTES}>"
 LOGS = f"resourceLogs array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeLogs:array<struct<logRecords:array<{_LOG}>>>>>"
@@ -36,11 +37,24 @@ def _records(raw: DataFrame, schema: str, top: str, scope: str, record: str, val
 
 
 def parse_otlp_metrics(raw: DataFrame, value: str = "value") -> DataFrame:
+    """A row for each gauge and sum point, for each histogram's sum (``_sum``) and for each bucket with an explicit bound (``_bucket``, with ``bound`` and ``count`` among its attributes; a count that is missing is 0)."""
     rows = _records(raw, METRICS, "resourceMetrics", "scopeMetrics", "metrics", value)
-    empty = F.array().cast(f"array<{_POINT}>")
-    points = F.concat(F.coalesce("x.gauge.dataPoints", empty), F.coalesce("x.sum.dataPoints", empty))
-    rows = rows.select("res", "x.name", "x.unit", F.explode(points).alias("p"))
-    return rows.select(_entity(F.col("res")).alias("entity_id"), F.col("name").alias("metric_name"), "unit", F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"), F.col("p.asLong").cast("double")).alias("value"), _time(F.col("p.timeUnixNano")).alias("ts"), attributes(F.col("p.attributes")).alias("attributes"))
+    kind = "array<struct<name:string,value:double,at:string,attributes:map<string,string>>>"
+    none = F.array().cast(kind)
+    row = lambda suffix, value, at, own: F.struct(F.concat("x.name", F.lit(suffix)).alias("name"), value.cast("double").alias("value"), at.alias("at"), own.alias("attributes"))
+    point = lambda p: row("", F.coalesce(p["asDouble"], p["asInt"].cast("double"), p["asLong"].cast("double")), p["timeUnixNano"], attributes(p["attributes"]))
+    more = lambda p, **names: F.map_concat(F.map_filter(attributes(p["attributes"]), lambda k, _: ~k.isin(*names)), F.create_map(*[x for n, c in names.items() for x in (F.lit(n), c.cast("string"))]))
+
+    def histogram(p: Column) -> Column:
+        whole = row("_sum", F.coalesce(p["sum"], F.lit(0.0)), p["timeUnixNano"], more(p, count=F.coalesce(p["count"], F.lit("0"))))
+        pairs = F.arrays_zip(F.coalesce(p["explicitBounds"], F.array().cast("array<double>")).alias("bound"), F.slice(F.coalesce(p["bucketCounts"], F.array().cast("array<string>")), F.lit(1), F.greatest(F.lit(0), F.coalesce(F.size(p["explicitBounds"]), F.lit(0)))).alias("count"))
+        bucket = lambda b: row("_bucket", F.coalesce(b["count"], F.lit("0")), p["timeUnixNano"], more(p, bound=b["bound"], count=F.coalesce(b["count"], F.lit("0"))))
+        return F.concat(F.array(whole), F.transform(pairs, bucket))
+
+    each = lambda c, f: F.coalesce(F.transform(c, f).cast(kind), none)
+    points = F.concat(each("x.gauge.dataPoints", point), each("x.sum.dataPoints", point), F.coalesce(F.flatten(F.transform("x.histogram.dataPoints", histogram)).cast(kind), none))
+    rows = rows.select("res", "x.unit", F.explode(points).alias("p"))
+    return rows.select(_entity(F.col("res")).alias("entity_id"), F.col("p.name").alias("metric_name"), "unit", "p.value", _time(F.col("p.at")).alias("ts"), "p.attributes")
 
 
 def parse_otlp_logs(raw: DataFrame, value: str = "value") -> DataFrame:
