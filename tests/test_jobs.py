@@ -1,6 +1,7 @@
 """Streaming jobs, plans and detectors that SQL cannot express."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -110,8 +111,31 @@ def test_incident_job(spark, tmp_path):
 
 
 def test_topic(spark, tmp_path):
-    done(sinks.write_stream_topic(files(spark.createDataFrame([(1, "a")], "x int, y string"), tmp_path, "in"), str(tmp_path / "topic"), str(tmp_path / "c")))
+    rows = spark.createDataFrame([(1, "a")], "x int, y string")
+    done(sinks.write_stream_topic(files(rows, tmp_path, "in"), str(tmp_path / "topic"), str(tmp_path / "c")))
     assert [r.value for r in spark.read.text(str(tmp_path / "topic")).collect()] == ['{"x":1,"y":"a"}']
+    done(sinks.write_stream_topic(files(rows, tmp_path, "in2"), str(tmp_path / "log"), str(tmp_path / "c2"), key="x", writer="q"))
+    seen = []
+    query = jobs.read_stream(spark, str(tmp_path / "log"), "", log=True).writeStream.foreachBatch(lambda batch, _: seen.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    done(query)
+    assert [(r.key, r.value) for r in seen] == [("1", '{"x":1,"y":"a"}')]
+
+
+def test_security_history_is_pruned(spark, tmp_path):
+    """Ten failures over three batches are one attack; a batch that lies too far back is not read."""
+    schema = "event_id int, entity_id string, message string, source_ip string, ts timestamp"
+    source = tmp_path / "in"
+    source.mkdir()
+    events = [(k, "u", "login failed", "1.2.3.4", at(4000 + 10 * k)) for k in range(10)]
+    for k, rows in enumerate(([(90, "u", "login failed", "1.2.3.4", at(0))], events[:4], events[4:8], events[8:])):
+        path = str(tmp_path / f"p{k}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+        next((tmp_path / f"p{k}").glob("*.parquet")).rename(source / f"{k}.parquet")
+    for k in range(4):
+        os.utime(source / f"{k}.parquet", (1_700_000_000 + k,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    done(jobs.security_job(spark, stream, spark.createDataFrame([], "change_id string"), str(tmp_path / "h"), str(tmp_path / "s"), str(tmp_path / "c")))
+    assert [(x.event_id, x.attack_type, x.batch) for x in spark.read.parquet(str(tmp_path / "s")).collect()] == [(9, "BRUTE_FORCE", 3)]
 
 
 def test_forest(spark):

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import detect, features, incidents, resources
+from tidemark.operators import detect, features, health, incidents, resources
 from tidemark.streaming import state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -90,6 +90,20 @@ def test_open_incidents(spark, tmp_path):
     assert key(state.incident_store(found)) == key(incidents.dedup_incidents(union))
 
 
+def test_absences(spark, tmp_path):
+    schema = "event_id long, entity_id string, metric_name string, value double, ts timestamp"
+    rows = [(k, "beat", "up", 1.0, at(60 * k)) for k in range(60)]
+    rows += [(100, "gone", "up", 1.0, at(0)), (101, "gone", "up", 1.0, at(100)), (102, "back", "up", 1.0, at(30)), (103, "back", "up", 1.0, at(2000)), (104, "back", "up", 1.0, at(2300)), (105, "edge", "up", 1.0, at(0)), (106, "edge", "up", 1.0, at(600))]
+    rows = sorted(rows, key=lambda x: x[4])
+    parts = [rows[:15], rows[15:40], rows[40:], [(999, "end", "up", 1.0, at(3700))]]
+    found, _ = run(spark, state.absences(batches(spark, tmp_path, schema, parts), 600, "0 seconds"), tmp_path)
+    got = sorted((x.entity_id, x.since, x.until) for x in found.where("until IS NOT NULL").collect())
+    want = health.absence_alerts(spark.createDataFrame(rows, schema), 600, now=at(3700))
+    assert got == sorted((x.entity_id, x.since, x.until) for x in want.where("until IS NOT NULL").collect()) == [("back", at(30), at(2000))]
+    # A gap that ended may have been told while it lasted.
+    silent = {(x.entity_id, x.since) for x in found.where("until IS NULL").collect()}
+    assert silent - {("back", at(30))} == {(x.entity_id, x.since) for x in want.where("until IS NULL").collect()} == {("gone", at(100)), ("back", at(2300)), ("edge", at(600))}
+
 @pytest.mark.parametrize("percentiles", [True, False])
 def test_vectors(spark, tmp_path, percentiles):
     r = random.Random(7)

@@ -25,11 +25,16 @@ def topic_rows(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select(name.alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def write_stream_topic(df: DataFrame, topic: str, checkpoint: str, kafka: dict | None = None, key: str | None = None):
-    """At-least-once sink: a topic where the connector is installed (``kafka`` options), else JSON lines in a folder of that name."""
+def write_stream_topic(df: DataFrame, topic: str, checkpoint: str, kafka: dict | None = None, key: str | None = None, writer: str | None = None):
+    """A topic where the connector is installed (``kafka`` options; at least once), a topic folder with offsets (``writer``: the query's name in it; exactly once), else JSON lines in a folder."""
     rows = topic_rows(df, key)
     if kafka is not None:
         return rows.writeStream.format("kafka").options(topic=topic, checkpointLocation=checkpoint, **kafka).start()
+    if writer is not None:
+        from .topic import register
+
+        register(df.sparkSession)
+        return rows.writeStream.format("topic").options(path=topic, writer=writer, checkpointLocation=checkpoint).trigger(availableNow=True).start()
     return rows.select("value").writeStream.format("text").option("path", topic).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

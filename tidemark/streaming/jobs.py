@@ -17,14 +17,17 @@ from ..functions import normalize as N
 from ..operators import change, entities, features, incidents, policy, resources, security
 from ..plans.detection import enriched, score_points
 from ..plans.response import built_incidents
-from ..sources import ingest, otlp
+from ..sources import ingest, otlp, topic
 from . import state
 
 
-def read_stream(spark: SparkSession, source: str, schema: str, kafka: dict | None = None) -> DataFrame:
-    """A topic where the connector is installed (``kafka`` options), else a folder of Parquet files."""
+def read_stream(spark: SparkSession, source: str, schema: str, kafka: dict | None = None, log: bool = False) -> DataFrame:
+    """A topic where the connector is installed (``kafka`` options), a topic folder with offsets (``log``), else a folder of Parquet files."""
     if kafka is not None:
         return spark.readStream.format("kafka").options(subscribe=source, **kafka).load()
+    if log:
+        topic.register(spark)
+        return spark.readStream.format("topic").option("path", source).load()
     return spark.readStream.schema(schema).parquet(source)
 
 
@@ -135,16 +138,28 @@ def signal_job(scored: DataFrame, nodes: DataFrame, out: str, checkpoint: str, l
         return _each_batch(found, checkpoint, run, trigger)
 
 
+def absence_job(metrics: DataFrame, out: str, checkpoint: str, seconds: int, lateness: str = "5 seconds", trigger: dict | None = None) -> StreamingQuery:
+    """Series that have been silent for ``seconds``, and their gaps once they are back."""
+    return _keyed(state.absences(metrics, seconds, lateness), out, checkpoint, trigger)
+
+
 def security_job(spark: SparkSession, events: DataFrame, approved: DataFrame, history: str, out: str, checkpoint: str, seconds: int = 300) -> StreamingQuery:
-    """Attacks in each batch of security events, with the events of the last ``seconds`` before it from ``history``, which the batch joins."""
+    """Attacks in each batch of security events, with the events of the last ``seconds`` before it from ``history``, which the batch joins.
+
+    The history's index has the times of each batch, so only batches that reach into those ``seconds`` are read.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        first = batch.agg(F.min("ts")).first()[0]
+        batch.write.mode("overwrite").parquet(f"{history}/rows/batch={number}")
+        span = batch.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).withColumn("number", F.lit(number))
+        span.coalesce(1).write.mode("overwrite").parquet(f"{history}/spans/batch={number}")
+        first = span.first()["first"]
         if first is None:
             return
-        known = spark.read.parquet(history).where(F.col("batch") <= number)
-        near = known.where(F.col("ts") >= F.lit(first) - F.expr(f"INTERVAL {int(seconds)} SECONDS")).drop("batch")
+        start = F.lit(first) - F.expr(f"INTERVAL {int(seconds)} SECONDS")
+        spans = spark.read.parquet(f"{history}/spans").where((F.col("number") <= number) & (F.col("last") >= start))
+        paths = [f"{history}/rows/batch={x.number}" for x in spans.select("number").collect()]
+        near = spark.read.schema(batch.schema).parquet(*paths).where(F.col("ts") >= start)
         found = {
             "BRUTE_FORCE": security.detect_brute_force(security.auth_failures(near), seconds=seconds),
             "CONFIG_DRIFT": change.detect_config_drift(near, approved),
@@ -186,12 +201,16 @@ def response_job(built: DataFrame, actions: DataFrame, out: str, checkpoint: str
         return _each_batch(found, checkpoint, run, trigger)
 
 
-def learning_job(results: DataFrame, out: str, checkpoint: str, incident_table: DataFrame | None = None, since=None) -> StreamingQuery:
-    """Knowledge rows of each batch of action results; with ``incident_table``, the repeated incidents at the time too."""
+def learning_job(results: DataFrame, out: str, checkpoint: str, incident_table: DataFrame | Callable[[], DataFrame] | None = None, since=None) -> StreamingQuery:
+    """Knowledge rows of each batch of action results; with ``incident_table``, the repeated incidents at the time too.
+
+    A function is called for each batch, so that it reads the table as it is then.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         _write(policy.feedback_to_knowledge(batch), f"{out}/knowledge", number)
         if incident_table is not None:
-            _write(incidents.mine_patterns(incident_table, since=since), f"{out}/patterns", number)
+            rows = incident_table() if callable(incident_table) else incident_table
+            _write(incidents.mine_patterns(rows, since=since), f"{out}/patterns", number)
 
     return _each_batch(results, checkpoint, run)

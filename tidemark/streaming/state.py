@@ -1,4 +1,4 @@
-"""Keyed state between micro-batches: entity windows, sessions and noise, open incidents, vectors.
+"""Keyed state between micro-batches: entity windows, sessions and noise, open incidents, silent series, vectors.
 
 Each processor gives over all batches what its batch operator gives over their union, in
 whatever order rows arrive. A row waits in its key's state until the watermark has passed
@@ -267,6 +267,45 @@ def incident_store(found: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("closed"), "closed").otherwise("open")).drop("closed")
 
 
+class Absence(InOrder):
+    """Whether a series is silent: told once when its time is over, and again when it is back."""
+
+    waiting = "at bigint, event_id bigint"
+    held = "last bigint, told boolean"
+    out = ["entity_id", "metric_name", "since", "until"]
+
+    def __init__(self, seconds: int) -> None:
+        self._limit = seconds * 1_000_000
+
+    def combined(self, rows):
+        return {row[0]: row for row in rows}.values()
+
+    def walk(self, state, due, now):
+        made = []
+        for at, _ in due:
+            if state and at - state[0] > self._limit:
+                made.append((_time(state[0]), _time(at)))
+            state = (at, False)
+        if state and not state[1] and now - state[0] > self._limit:
+            made.append((_time(state[0]), None))
+            state = (state[0], True)
+        return state, made
+
+    def ends(self, state):
+        return None if state[1] else state[0] + self._limit + 1000
+
+
+def absences(metrics: DataFrame, for_seconds: int, lateness: str = "5 seconds") -> DataFrame:
+    """``absence_alerts`` on a stream (``entity_id, metric_name, event_id, ts``), by the clock of the watermark.
+
+    A series that stops gives ``since`` without ``until`` when the others have gone on for
+    ``for_seconds``; when it is back, the gap comes with both.
+    """
+    rows = metrics.withWatermark("ts", lateness).select("entity_id", "metric_name", "ts", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long"))
+    out = "entity_id string, metric_name string, since timestamp, until timestamp"
+    return rows.groupBy("entity_id", "metric_name").transformWithStateInPandas(Absence(for_seconds), out, "Append", "eventTime")
+
+
 _STATS = ("min", "max", "avg", "p50", "p95", "p99", "error_rate")
 
 
