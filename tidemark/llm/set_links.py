@@ -10,7 +10,7 @@ components, without comparing all pairs:
   places of the element rule out.
 * Elements that more sets have early (the words of a template) are first thinned: round after
   round all sets under one are compared with centres, a set of each of ``CENTRES`` components
-  that a hash picks, as long as that joins components. So lines of one template fall into few
+  that a hash picks, as long as many of them are alike. So lines of one template fall into few
   components.
 * What is left under such an element is coded by its difference from the largest of its sets.
   Two sets of which one at least is not alike to that set are themselves alike only if their
@@ -37,8 +37,8 @@ from .storage import discard, store
 
 #: Sets under one early element up to which their pairs are taken.
 FEW = 32
-#: Most rounds that compare with centres, and centres of one; rounds end sooner where nothing is joined any more.
-ROUNDS, CENTRES = 6, 4
+#: Most rounds that compare with centres, and centres of one. Rounds end sooner where fewer than one in ``WORTH`` of the compared are alike.
+ROUNDS, CENTRES, WORTH = 8, 4, 25
 
 
 def _percent(similarity: float) -> int:
@@ -120,12 +120,15 @@ def _by_difference(hot: DataFrame, sets: DataFrame, similarity: float) -> tuple[
     places = lambda need: d - F.greatest(F.lit(1), F.ceil(need - 1e-9)).cast("int") + 1
     shared = shared.withColumn("own", d - F.size("l")).withColumn("low", places(low)).withColumn("high", places(high))
     last = F.greatest("low", "high") - F.col("own")
-    early = shared.where(last > 0).select("g", "p", "now", "m", "d", "near", "own", "low", "high", F.posexplode(F.slice("l", F.lit(1), last)).alias("at", "t"))
-    early = early.select("g", F.col("t.x").alias("x"), "p", "now", "m", "d", "near", (d - F.col("own") - F.col("at")).alias("left"), (F.col("at") + F.col("own") < F.col("low")).alias("small"), (F.col("at") + F.col("own") < F.col("high")).alias("large"))
-    one = early.where("small").select("g", "x", F.col("p").alias("a"), F.col("now").alias("r"), F.col("m").alias("ma"), F.col("d").alias("da"), F.col("near").alias("na"), F.col("left").alias("u"))
-    two = early.where("large").select("g", "x", F.col("p").alias("b"), F.col("now").alias("t"), F.col("m").alias("mb"), F.col("d").alias("db"), F.col("near").alias("nb"), F.col("left").alias("v"))
+    front = lambda upto: F.slice(F.col("l.x"), F.lit(1), F.greatest(F.lit(0), F.col(upto) - F.col("own"))).alias(f"{upto}_front")
+    early = shared.where(last > 0).select("g", "p", "now", "m", "d", "near", "own", front("low"), front("high"), F.posexplode(F.slice("l", F.lit(1), last)).alias("at", "t"))
+    early = early.select("g", F.col("t.x").alias("x"), "p", "now", "m", "d", "near", "at", (d - F.col("own") - F.col("at")).alias("left"), "low_front", "high_front")
+    one = early.where(F.col("at") < F.size("low_front")).select("g", "x", F.col("p").alias("a"), F.col("now").alias("r"), F.col("m").alias("ma"), F.col("d").alias("da"), F.col("near").alias("na"), F.col("left").alias("u"), "low_front")
+    two = early.where(F.col("at") < F.size("high_front")).select("g", "x", F.col("p").alias("b"), F.col("now").alias("t"), F.col("m").alias("mb"), F.col("d").alias("db"), F.col("near").alias("nb"), F.col("left").alias("v"), "high_front")
     ordered = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     fits = (F.col("r") != F.col("t")) & ordered & ~(F.col("na") & F.col("nb")) & (F.least("u", "v") >= (F.col("da") + F.col("db") - k * (F.col("ma") + F.col("mb"))) / 2 - 1e-9)
+    # Sets that share several elements early meet at the first of them only.
+    fits = fits & (F.get(F.array_intersect("low_front", "high_front"), F.lit(0)) == F.col("x"))
     return links, one.join(two, ["g", "x"]).where(fits).select("a", "b").distinct()
 
 
@@ -151,14 +154,15 @@ def crowd_roots(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFra
         pick = F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), F.xxhash64("p", F.lit(turn)).alias("o"), "p", "root")
         centres = rows.groupBy("x", F.pmod(pick["h"], F.lit(CENTRES)).alias("k")).agg(F.min(pick).alias("c")).select("x", F.col("c.p").alias("a"), F.col("c.root").alias("c_root"))
         pairs = rows.join(centres, "x").where("root != c_root").select("a", F.col("p").alias("b")).distinct()
-        links = store(link(pairs), "set-stars")
-        more = bool(links.take(1))
-        if more:
+        stars = store(verified(pairs, sets, similarity), "set-stars")
+        links = stars.where("alike").select("a", "b")
+        compared, alike = stars.agg(F.count(F.lit(1)), F.count_if("alike")).first()
+        if alike:
             before, roots = roots, store(_joined(roots, links), "set-roots")
             if turn:
                 discard(before)
-        discard(links)
-        if not more:
+        discard(stars)
+        if WORTH * alike < compared or not alike:
             break
     rows = store(now(), "set-rows")
     mixed = _mixed(rows)
