@@ -379,6 +379,20 @@ def detect_config_drift(spark, d):
     return change.detect_config_drift(tables.security(spark, d), _approved(spark)).select("event_id", "severity")
 
 
+_ROUTE = "CASE WHEN event_id % 5 = 0 THEN 'CONFIG_DRIFT' WHEN event_type = 'AUTH_FAILURE' THEN 'BRUTE_FORCE' WHEN event_id % 5 = 1 THEN 'PRIVILEGE_ESCALATION' WHEN outbound_bytes IS NOT NULL AND event_id % 5 = 2 THEN 'DATA_EXFILTRATION' END"
+
+
+@query("WITH a AS (SELECT *, CASE event_id % 3 WHEN 0 THEN ['BRUTE_FORCE', 'CONFIG_DRIFT'] WHEN 1 THEN ['PRIVILEGE_ESCALATION', 'CONFIG_DRIFT'] ELSE ['DATA_EXFILTRATION', 'PRIVILEGE_ESCALATION'] END AS hits, " + _ROUTE + " AS route FROM security_events) SELECT event_id, CASE WHEN route IS NOT NULL THEN route WHEN event_id % 3 = 0 THEN 'BRUTE_FORCE' WHEN event_id % 3 = 1 THEN 'CONFIG_DRIFT' ELSE 'PRIVILEGE_ESCALATION' END AS attack_type FROM a WHERE route IS NULL OR list_contains(hits, route)")
+def route_security(spark, d):
+    """Each event has two detectors' answers; its own type says which one counts."""
+    rows = tables.security(spark, d)
+    names = F.when(F.col("event_id") % 5 == 0, "Unauthorized_Config change").when(F.col("event_id") % 5 == 1, "sudo shell").otherwise("odd")
+    rows = rows.withColumn("attack_type", names).withColumn("outbound_bytes", F.when(F.col("event_id") % 5 == 2, F.col("outbound_bytes")))
+    of = lambda *k: rows.where((F.col("event_id") % 3).isin(*k)).select("event_id")
+    found = {"BRUTE_FORCE": of(0), "CONFIG_DRIFT": of(0, 1), "PRIVILEGE_ESCALATION": of(1, 2), "DATA_EXFILTRATION": of(2)}
+    return change.route_security(rows, found).select("event_id", "attack_type")
+
+
 @query("WITH f AS (SELECT *, count(*) OVER (PARTITION BY source_ip ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS n FROM security_events WHERE event_type = 'AUTH_FAILURE' OR lower(message) LIKE '%login%' OR lower(message) LIKE '%auth%') SELECT event_id, CASE WHEN " + _DRIFT + " THEN 'CONFIG_DRIFT' WHEN event_id IN (SELECT event_id FROM f WHERE n >= 10) THEN 'BRUTE_FORCE' ELSE 'PRIVILEGE_ESCALATION' END AS attack_type FROM security_events WHERE (" + _DRIFT + ") OR event_id IN (SELECT event_id FROM f WHERE n >= 10) OR regexp_matches(message, '\\b(sudo|su|escalat|role_change)', 'i') AND entity_id <> 'admin' AND entity_type <> 'ADMIN_NODE'")
 def classify_security(spark, d):
     rows = tables.security(spark, d)
@@ -410,6 +424,18 @@ def build_edges(spark, d):
     return topology.build_edges(records, ids)
 
 
+@query("SELECT src, dst, 'CALLS' AS type, p50, CASE WHEN CAST(substr(src, 2) AS INT) % 3 > 0 THEN 'high' END AS other FROM (SELECT src, dst, max(layer) AS l, CASE CAST(substr(src, 2) AS INT) % 2 WHEN 0 THEN '1.5' ELSE '2.5' END AS p50 FROM edges WHERE layer = 1 GROUP BY src, dst) WHERE l > 0 AND CAST(substr(src, 2) AS INT) % 3 = 0 UNION ALL SELECT src, dst, 'DEPENDS_ON', NULL, 'high' FROM edges WHERE layer = 1 AND CAST(substr(src, 2) AS INT) % 3 > 0 GROUP BY src, dst")
+def edge_properties(spark, d):
+    """Calls keep latencies, dependencies their criticality; of two reports the later one that has a value counts."""
+    rows = tables.edges(spark, d).where("layer = 1").select("src", "dst").distinct().withColumn("k", F.substring("src", 2, 20).cast("int"))
+    kind = F.when(F.col("k") % 3 == 0, "CALLS").otherwise("DEPENDS_ON")
+    ids = rows.select(F.col("src").alias("id"), "k").distinct()
+    first = ids.select("id", F.timestamp_seconds(F.lit(1)).alias("ts"), F.lit(9.0).alias("latency_p50"), F.lit("high").alias("criticality"))
+    later = ids.select("id", F.timestamp_seconds(F.lit(2)).alias("ts"), F.when(F.col("k") % 2 == 0, 1.5).otherwise(2.5).alias("latency_p50"), F.lit(None).cast("string").alias("criticality"))
+    found = topology.edge_properties(first.unionByName(later), rows.select("src", "dst", kind.alias("type")))
+    return found.select("src", "dst", "type", F.element_at("properties", "latency_p50").alias("p50"), F.element_at("properties", "criticality").alias("other"))
+
+
 @query("SELECT dst AS neighbor, 'out' AS direction FROM edges WHERE src = 'n3' UNION ALL SELECT src, 'in' FROM edges WHERE dst = 'n3'")
 def neighbors(spark, d):
     return graph.neighbors(tables.edges(spark, d), "n3")
@@ -611,3 +637,27 @@ def workspace_filter(spark, d):
 def safe_sql(spark, d):
     tables.incidents(spark, d).createOrReplaceTempView("incidents_asked")
     return serving.safe_sql(spark, "SELECT severity, count(*) AS n FROM incidents_asked GROUP BY severity")[0]
+
+
+@query("SELECT o_orderkey AS incident_id, name FROM (SELECT o_orderkey, unnest(['svc-' || (o_custkey % 50), lower(o_orderstatus), 'line \"one\"', lower(o_orderpriority)]) AS name FROM orders) WHERE name NOT IN ('1-urgent', '2-high', '3-medium', '4-not specified', '5-low') GROUP BY ALL")
+def artefact_entities(spark, d):
+    """Values of generated JSON; priorities and a sentence go by the words of a table made from the data."""
+    o = tables.table(spark, d, "orders")
+    body = F.to_json(F.struct(F.concat(F.lit(" svc-"), F.col("o_custkey") % 50).alias("service"), F.array(F.col("o_orderstatus"), F.lit('Line "one"'), F.col("o_orderpriority")).alias("list"), F.struct(F.lit("a urgent matter").alias("text"), F.lit("--").alias("mark")).alias("inner")))
+    filler = o.select(F.explode(F.split(F.lower("o_orderpriority"), " ")).alias("word")).distinct().union(o.select(F.lit("urgent").alias("word")).distinct())
+    return policy.artefact_entities(o.select(F.col("o_orderkey").alias("incident_id"), body.alias("body")), filler)
+
+
+@query("SELECT event_id, workspace FROM (SELECT event_id, 'team-' || (user_id % 3) AS workspace, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 150")
+def recent_per_workspace(spark, d):
+    e = tables.table(spark, d, "events").select("event_id", F.concat(F.lit("team-"), F.col("user_id") % 3).alias("workspace"), "ts")
+    return serving.recent_per_entity(e, 150, "workspace").select("event_id", "workspace")
+
+
+@query("SELECT src, dst, calls, round(p50, 6) AS latency_p50 FROM (SELECT p.service_name AS src, c.service_name AS dst, count(*) AS calls, quantile_cont(c.duration_ms, 0.5) AS p50 FROM traces c JOIN traces p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id WHERE c.service_name <> p.service_name GROUP BY 1, 2)")
+def topology_export(spark, d):
+    """The call graph of the traces, exported as edges with their latency."""
+    calls = graph.dependency_edges(tables.traces(spark, d)).withColumnRenamed("p50", "latency_p50").withColumn("type", F.lit("CALLS"))
+    ids = calls.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("label", F.lit("Service"))
+    _, edges = topology.topology_export(ids, calls)
+    return _micros(edges.join(calls.select("src", "dst", "calls"), ["src", "dst"]).select("src", "dst", "calls", "latency_p50"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..rules import APPROVED_FIELDS, DRIFT_FIELDS, DRIFT_PATTERNS
+from ..rules import APPROVED_FIELDS, ATTACK_ROUTES, DRIFT_FIELDS, DRIFT_PATTERNS
 
 #: The order in which detectors answer for an event.
 PRIORITY = ("CONFIG_DRIFT", "BRUTE_FORCE", "PRIVILEGE_ESCALATION", "DATA_EXFILTRATION")
@@ -38,6 +40,32 @@ def classify_security(events: DataFrame, found: dict[str, DataFrame]) -> DataFra
     return events.drop("attack_type").join(best, "event_id").withColumn("source_type", F.lit("security"))
 
 
+def route_security(events: DataFrame, found: dict[str, DataFrame], routes: tuple[tuple[str, tuple[str, ...]], ...] = ATTACK_ROUTES) -> DataFrame:
+    """``classify_security`` with events sent to one detector by what they call themselves.
+
+    The first route of which a word is in ``attack_type`` or ``event_type`` decides, then
+    outbound traffic (a value in ``outbound_bytes``); only that detector's answer counts. An event
+    without a route takes the first answer in the order brute force, drift, escalation, exfiltration.
+    """
+    kind = F.concat_ws(" ", *[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in events.columns else F.lit("") for c in ("attack_type", "event_type")])
+    route = F.coalesce(*[F.when(_any(kind, words), name) for name, words in routes], F.when(F.col("outbound_bytes").isNotNull(), "DATA_EXFILTRATION") if "outbound_bytes" in events.columns else F.lit(None).cast("string"))
+    rows = events.select("event_id", route.alias("route"))
+    order = ("BRUTE_FORCE", "CONFIG_DRIFT", "PRIVILEGE_ESCALATION", "DATA_EXFILTRATION")
+    hits = None
+    for k, name in enumerate(order):
+        if name in found:
+            own = found[name].select("event_id", F.struct(F.lit(k).alias("k"), F.lit(name).alias("name")).alias("hit"))
+            hits = own if hits is None else hits.unionByName(own)
+    if hits is None:
+        raise ValueError("no detector's results")
+    best = hits.join(rows, "event_id").where(F.coalesce(F.col("route") == F.col("hit.name"), F.lit(True))).groupBy("event_id").agg(F.min("hit")["name"].alias("attack_type"))
+    return events.drop("attack_type").join(best, "event_id").withColumn("source_type", F.lit("security"))
+
+
+def _any(text, words):
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
 def workspace_graph(nodes: DataFrame, edges: DataFrame, workspace: str, asked_by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes of one workspace and the edges between them."""
     own = workspace_filter(nodes, workspace, asked_by)

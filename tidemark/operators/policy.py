@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..rules import ACTIONS, SAFE_ACTIONS
+from ..rules import ACTIONS, FRAMEWORKS, SAFE_ACTIONS
 from ..rules import SENSITIVE_ACTIONS as SENSITIVE
 from .incidents import assign_owner, classify_severity, impact_score, sla_risk
 
@@ -78,6 +78,23 @@ def artefact_names(artefacts: DataFrame) -> DataFrame:
     return artefacts.select("incident_id", F.explode(words).alias("name")).distinct()
 
 
+def artefact_entities(artefacts: DataFrame, filler: DataFrame) -> DataFrame:
+    """``incident_id, name``: what could be an entity among the string values of generated JSON (``incident_id, body``).
+
+    A value counts in lower case, trimmed, if it has a letter or digit, no more than 100
+    characters and no word of ``filler`` (``word``), a table of words that are never entities.
+    """
+    # Strings one behind the other, those before a colon with it.
+    strings = F.regexp_extract_all("body", F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    raw = F.explode(F.filter(strings, lambda x: x.endswith('"')))
+    text = F.from_json(F.concat(F.lit("["), F.col("raw"), F.lit("]")), "array<string>")[0]
+    names = artefacts.select("incident_id", raw.alias("raw")).select("incident_id", F.lower(F.trim(text)).alias("name")).distinct()
+    names = names.where(F.col("name").rlike("[a-z0-9]") & (F.length("name") <= 100))
+    words = names.select("incident_id", "name", F.explode(F.split("name", r"\s+")).alias("word"))
+    plain = words.join(filler.select(F.lower("word").alias("word")).distinct(), "word", "left_semi").select("incident_id", "name").distinct()
+    return names.join(plain, ["incident_id", "name"], "left_anti")
+
+
 def feedback_to_knowledge(results: DataFrame) -> DataFrame:
     """Action results as knowledge rows."""
     ok = F.col("success")
@@ -89,6 +106,11 @@ def feedback_to_knowledge(results: DataFrame) -> DataFrame:
     )
 
 
+def framework(report_type: Column, frameworks: dict[str, str] = FRAMEWORKS) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in frameworks.items() for x in pair])
+    return F.coalesce(F.element_at(table, report_type), F.lit("General"))
+
+
 def compliance_status(incidents: DataFrame, audit: DataFrame) -> DataFrame:
     """State of each incident and the number of its audit objects."""
     state = F.when(F.col("impact") > 80, "AT RISK").when(F.col("risk") == "HIGH", "BREACH IMMINENT").otherwise("COMPLIANT")

@@ -99,9 +99,9 @@ def remediation_history(knowledge: DataFrame, approvals: DataFrame, limit: int =
     return newest(knowledge, "created_at", limit), newest(approvals.where("status != 'pending'"), "decided_at", limit)
 
 
-def recent_per_entity(logs: DataFrame, n: int = 150) -> DataFrame:
-    """The newest ``n`` rows of every entity: a ranked limit that Spark prunes before the shuffle."""
-    w = W.partitionBy("entity_id").orderBy(F.desc("ts"), F.desc("event_id"))
+def recent_per_entity(logs: DataFrame, n: int = 150, by: str = "entity_id") -> DataFrame:
+    """The newest ``n`` rows of every entity (or of every ``workspace``): a ranked limit that Spark prunes before the shuffle."""
+    w = W.partitionBy(by).orderBy(F.desc("ts"), F.desc("event_id"))
     return logs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..rules import EDGE_PROPERTIES
 from .entities import cross_cloud_canonical_id
 
 #: Labels of the entity types that the graph holds.
@@ -28,6 +29,20 @@ def build_edges(records: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
 
 
+def edge_properties(records: DataFrame, edges: DataFrame, names: dict[str, tuple[str, ...]] = EDGE_PROPERTIES) -> DataFrame:
+    """``edges`` (``src, dst, type``) with ``properties``: what the records of ``src`` (``id, ts`` and columns) say about edges of that type, of each name the last value that is not null."""
+    own = sorted({c for group in names.values() for c in group if c in records.columns})
+    last = records.groupBy(F.col("id").alias("src")).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", F.col(c)))).cast("string").alias(f"_{c}") for c in own])
+    none = F.create_map().cast("map<string,string>")
+
+    def of(group: tuple[str, ...]):
+        pairs = [F.struct(F.lit(c).alias("key"), F.col(f"_{c}").alias("value")) for c in group if c in own]
+        return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"].isNotNull())) if pairs else none
+
+    kinds = F.coalesce(*[F.when(F.col("type") == kind, of(group)) for kind, group in names.items()], none)
+    return edges.join(last, "src", "left").select("src", "dst", "type", kinds.alias("properties"))
+
+
 def topology_export(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes, and edges with latency and error rate where they are known."""
     extra = [F.col(c) if c in edges.columns else F.lit(None).cast("double").alias(c) for c in ("latency_p50", "error_rate")]

@@ -85,3 +85,18 @@ METRIC_RULES = [("latency_p99", "zscore", 3.0), ("error_rate", "above", 0.05), (
 
 #: Days that rows of a table are kept.
 RETENTION = {"metrics": 90, "logs": 30, "traces": 30, "anomalies": 90, "incidents": 365, "feature_vectors": 90}
+
+#: Words in an event's type that send it to one detector, in this order.
+ATTACK_ROUTES = (
+    ("CONFIG_DRIFT", ("config_drift", "config_file_changed", "unauthorized_config", "unauthorized.*config")),
+    ("BRUTE_FORCE", ("brute_force", "auth_failure", "failed_login", "login_fail")),
+    ("PRIVILEGE_ESCALATION", ("privilege_escalation", "priv_escalation", "sudo", "role_change")),
+)
+#: What an edge of each type says about itself.
+EDGE_PROPERTIES = {
+    "DEPENDS_ON": ("dependency_type", "criticality"),
+    "CALLS": ("latency_p50", "latency_p95", "latency_p99", "error_rate"),
+    "READS_FROM": ("query_type", "avg_duration_ms"),
+}
+#: The framework that a compliance report answers to; others are "General".
+FRAMEWORKS = {"Incident Response Evidence": "SOC2/ISO27001", "Security Event Summary": "ISO27001/HIPAA", "SLA Compliance Report": "PCI-DSS"}
