@@ -84,6 +84,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n_bytes, F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+#: Bytes as two hex digits each, so that strings of 50 bytes are strings of 100 characters.
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), places AS (SELECT r, doc_id, unnest(range(0, length(h) // 2 - 49)) AS i, h FROM d WHERE length(h) >= 100
+), strings AS MATERIALIZED (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM places
+), first AS (SELECT s, min(doc_id) AS least FROM strings GROUP BY s HAVING count(*) > 1
+), hit AS MATERIALIZED (SELECT r, i FROM strings JOIN first USING (s) WHERE least < doc_id
+), steps AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM hit
+), islands AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM steps
+), spans AS MATERIALIZED (SELECT r, k, min(i) AS a, max(i) + 50 AS b FROM islands GROUP BY r, k
+), before AS (SELECT r, k, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY k), 0) AS kept_from FROM spans
+), front AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY k) AS kept
+  FROM before JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN front USING (r)
+"""
+
+
 def _remainder(by: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
 
@@ -225,4 +246,4 @@ def _crc32_sql(column: str) -> str:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_crf, op2_paragraph_dedup, op3_html_extract, op4_decontaminate, op5_token_counts, op6_simhash, op7_piece_codec, op8_quality_rules, op9_suffix_tree_lm, op10_suffix_dedup, op11_periodic_runs, op12_merkle_manifest, op13_minhash_dedup)}
-SQL = {"op4_decontaminate": OP4_SQL, "op11_periodic_runs": _runs_sql(), "op12_merkle_manifest": _merkle_sql(14, 7), "op13_minhash_dedup": OP13_SQL}
+SQL = {"op4_decontaminate": OP4_SQL, "op10_suffix_dedup": OP10_SQL, "op11_periodic_runs": _runs_sql(), "op12_merkle_manifest": _merkle_sql(14, 7), "op13_minhash_dedup": OP13_SQL}
