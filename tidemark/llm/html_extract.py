@@ -11,6 +11,13 @@ none. Short blocks that this leaves open are ambiguous. In the second pass each
 label of the nearest decided blocks: theirs if both sides agree, else that of the closer
 one, and bad where they tie or none is decided.
 
+Places are not trusted blindly. If what they rule out holds more than ``DOUBT`` times the
+text of all that is found, of blocks that are dense enough to be good, the names and tags are
+about the whole page (``comments-open`` on its wrapper, a form around everything, a menu
+without an end). The page is then judged again, with names and forms having no say and articles
+standing wherever they are. If no block is good even so (short paragraphs only, a table, a
+language without listed words), the longest run of blocks that are not links is the text.
+
 Defined cases: a null page or one without text gives the empty string; unclosed and crossed
 tags close at the next tag that ends them; a head without an end tag ends at the first
 block; an unclosed comment or script runs to the end of the page; a tag without an end is
@@ -35,7 +42,7 @@ from .memory import give_back
 _REST = r"(?>[^<>=]|=\s*+(?>\"[^\"]*+\"|'[^']*+'|))*+"
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<svg\b" + _REST + r"(?<=/)>|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title)\b" + _REST + r">(?:.*?</(?P=raw)\s*>|.*)"
-    r"|<![^>]*>|<\?[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>" + _REST + r")>|(?P<text>[^<]+|<)",
+    r"|<![^<>]*>|<\?[^<>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>" + _REST + r")>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _HINT = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -46,7 +53,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 OUTSIDE = frozenset("head nav footer aside form menu button fieldset dialog".split())
 INSIDE = frozenset("article main".split())
 #: Words in class, id or role that name what is not the article.
-OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer header masthead cookie cookies consent notice notification alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments reply replies disqus pagination pager toolbar copyright legal disclaimer form complementary contentinfo".split())
+OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer header masthead cookie cookies consent notice notification alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments reply replies disqus pagination pager toolbar copyright legal disclaimer form complementary contentinfo responses cta teaser teasers stories recommendations".split())
 INSIDE_WORDS = frozenset("article content post story entry main body text".split())
 #: Words that turn a name into a statement about the layout around it (``has-sidebar``).
 LAYOUT = frozenset("has with without no not show hide is".split())
@@ -60,6 +67,8 @@ _DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0e7f]")
 STOP_WORDS = frozenset("the of and to in a is that it for on was be with as by this are from at or an der die das und ist von zu den mit sich des auf für im dem nicht ein eine als auch de la le et les des un une est pour que dans qui sur au par el los las en y del se por con su para al lo como más".split())
 SHORT, LONG = 70, 140
 LINKS, LINKS_INSIDE, STOPS = 0.5, 0.9, 0.2
+#: Text that places rule out for each of the text found, from which on they are doubted.
+DOUBT = 4
 
 
 class _Block:
@@ -85,8 +94,17 @@ def _hints(rest: str) -> tuple[bool, bool]:
     return inside, outside
 
 
-def _place(tag: str, rest: str, outer: str) -> str:
-    """Where a tag puts its content: ``out`` by its tag, ``-`` by its names only, ``in``, or ``?`` (undecided)."""
+def _place(tag: str, rest: str, outer: str, trust: bool = True) -> str:
+    """Where a tag puts its content: ``out`` by its tag, ``-`` by its names only, ``in``, or ``?`` (undecided).
+
+    Without ``trust`` names and forms say nothing, and an article is one wherever it stands.
+    """
+    if not trust:
+        if tag in INSIDE:
+            return "in"
+        if outer == "out" or tag in OUTSIDE and tag != "form" or tag == "header" and outer != "in":
+            return "out"
+        return outer
     if outer == "out" or tag in OUTSIDE or (tag == "header" and outer != "in"):
         return "out"
     if tag in ("html", "body"):
@@ -102,12 +120,22 @@ def _place(tag: str, rest: str, outer: str) -> str:
     return outer
 
 
-def blocks(page: str) -> list[_Block]:
+def blocks(page: str, trust: bool = True) -> list[_Block]:
     found: list[_Block] = []
     stack: list[tuple[str, str]] = [("", "?")]
+    open_: Counter[str] = Counter()
     now = _Block("?")
     anchors = 0
 
+    def push(tag: str, place: str) -> None:
+        stack.append((tag, place))
+        open_[tag] += 1
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        return tag
+
     def cut() -> None:
         nonlocal now
         if now.chars:
@@ -130,29 +158,28 @@ def blocks(page: str) -> list[_Block]:
             anchors = 0 if token["end"] else 1
             continue
         if not token["end"] and stack[-1][0] == "head" and tag in BLOCK:
-            stack.pop()  # a head without an end tag
+            pop()  # a head without an end tag
         if tag not in BLOCK:
             now_at = stack[-1][1]
-            hidden = not token["end"] and tag not in VOID and now_at not in ("out", "-") and _place(tag, token["rest"], now_at) in ("out", "-")
+            hidden = not token["end"] and tag not in VOID and now_at not in ("out", "-") and _place(tag, token["rest"], now_at, trust) in ("out", "-")
             if hidden or token["end"] and any(t == tag for t, _ in stack[-4:]):
                 cut()
                 if hidden:
-                    stack.append((tag, "out"))
+                    push(tag, "out")
                 elif stack[-1][0] == tag:
-                    stack.pop()
+                    pop()
                 now.label = stack[-1][1]
             continue
         if token["end"]:
-            if any(t == tag for t, _ in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+            if open_[tag]:
+                while pop() != tag:
+                    pass
         else:
             # A paragraph, item or cell ends where the next block starts.
             while stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-                stack.pop()
+                pop()
             if tag not in VOID:
-                stack.append((tag, _place(tag, token["rest"], stack[-1][1])))
+                push(tag, _place(tag, token["rest"], stack[-1][1], trust))
         cut()
     cut()
     return found
@@ -212,13 +239,42 @@ def _second_pass(labels: list[str]) -> list[str]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article's text: white space folded inside a block, blocks joined by one space."""
-    found = [(b, " ".join(html.unescape("".join(b.parts)).split())) for b in blocks(page or "")]
-    found = [(b, t) for b, t in found if t]
+def _texts(page: str, trust: bool) -> list[tuple[_Block, str]]:
+    found = [(b, " ".join(html.unescape("".join(b.parts)).split())) for b in blocks(page, trust)]
+    return [(b, t) for b, t in found if t]
+
+
+def _good(found: list[tuple[_Block, str]]) -> tuple[list[str], int]:
+    """The good blocks' texts, and the size of those that a place rules out but their density does not."""
     common = _common([t for b, t in found if b.label == "?"])
     labels = _second_pass([_first_pass(b, t, common) for b, t in found])
-    return " ".join(t for (_, t), label in zip(found, labels, strict=True) if label == "good")
+    ruled_out = 0
+    for (b, t), label in zip(found, labels, strict=True):
+        if label == "bad" and b.label in ("out", "-") and len(t) >= LONG and b.links <= 0.2 * b.chars and _density(t, common) >= STOPS:
+            ruled_out += len(t)
+    return [t for (_, t), label in zip(found, labels, strict=True) if label == "good"], ruled_out
+
+
+def _longest_run(found: list[tuple[_Block, str]]) -> list[str]:
+    best: list[str] = []
+    now: list[str] = []
+    for b, t in [*found, (_Block("out"), "")]:
+        if b.label != "out" and b.links <= 0.2 * b.chars:
+            now.append(t)
+        else:
+            best = max(best, now, key=lambda run: sum(map(len, run)))
+            now = []
+    return best
+
+
+def main_text(page: str | None) -> str:
+    """The article's text: white space folded inside a block, blocks joined by one space."""
+    texts, ruled_out = _good(_texts(page or "", True))
+    if not texts or ruled_out > DOUBT * sum(map(len, texts)):
+        again = _texts(page or "", False)
+        more, _ = _good(again)
+        texts = max(texts, more or _longest_run(again), key=lambda x: sum(map(len, x)))
+    return " ".join(texts)
 
 
 def extracted(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
