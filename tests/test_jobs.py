@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect, forest, health, policy, seasonal, serving, topology
+from tidemark.plans.detection import score_points
 from tidemark.plans.response import incident_pipeline, log_evidence
 from tidemark.sources import sinks
 from tidemark.streaming import jobs
@@ -88,6 +89,21 @@ def test_detect_security_and_learning_jobs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "l/knowledge")).first().outcome == "success" and spark.read.parquet(str(tmp_path / "l/patterns")).count() == 1
 
 
+def test_forest_and_threshold_in_the_chain(spark):
+    r = random.Random(1)
+    schema = "event_id int, entity_id string, metric_name string, value double, ts timestamp, a double, b double"
+    history = spark.createDataFrame([(k, "n1", "share", r.gauss(0.2, 0.01), at(k), r.gauss(0, 1), r.gauss(0, 1)) for k in range(300)] + [(1000 + k, "n1", "load", r.gauss(50, 1), at(k), 0.0, 0.0) for k in range(60)], schema)
+    points = spark.createDataFrame([(1, "n1", "share", 0.9, at(500), 30.0, -30.0), (2, "n1", "share", 0.9, at(501), 0.0, 0.0), (3, "n1", "load", 90.0, at(502), 0.0, 0.0), (4, "new", "load", 90.0, at(503), 0.0, 0.0)], schema)
+    trees = (("a", "b"), forest.fit_forest(history, ("a", "b"), "event_id"))
+    plain = {x.event_id: x for x in score_points(points, history).collect()}
+    assert all(x.anomalous for x in plain.values())
+    full = {x.event_id: x for x in score_points(points, history, trees=trees, deviations=3.0).collect()}
+    # The forest tells the first two apart; a score of 1 at most is below the threshold of a series around 50, and a new series has none.
+    assert full[1].fused > full[2].fused and plain[1].fused == plain[2].fused
+    assert {k: x.anomalous for k, x in full.items()} == {1: True, 2: True, 3: False, 4: True}
+    assert score_points(points, history, trees=(("a", "b"), None)).count() == 4
+
+
 def test_incident_job(spark, tmp_path):
     nodes = spark.createDataFrame([("api", "API_NODE"), ("db", "DATABASE_NODE")], "id string, entity_type string")
     edges = spark.createDataFrame([("api", "db", 1), ("db", "api", 2)], "src string, dst string, layer int")
