@@ -14,8 +14,8 @@ components, without comparing all pairs:
   components.
 * What is left under such an element is coded by its difference from the largest of its sets.
   Two sets of which one at least is not alike to that set are themselves alike only if their
-  differences share an element early enough, again in the order of rarity (``_by_difference``).
-  What all share with the template, or with the largest set, is in no early place.
+  differences share an element early enough, rare ones first (``_by_difference``). What all
+  share with the template, or with the largest set, is in no early place.
 
 Every link is taken from the exact similarity of whole sets; what is left out cannot be alike,
 or joins what is joined already. No step makes more rows than there are elements, but for
@@ -54,26 +54,23 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", (100 * common >= _percent(similarity) * union).alias("alike"))
 
 
-def _rare_first(elements: DataFrame, by: tuple[str, ...], of: tuple[str, ...]) -> DataFrame:
-    """``of`` with ``own``, the number of elements (x) that no other set under ``by`` has, and ``l``, the others as (n, x) in the order of rarity."""
-    often = elements.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n"))
-    often = often.where("n > 1")
-    return elements.join(often, [*by, "x"]).groupBy(*by, *of).agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("l"))
+def _ranked(sets: DataFrame) -> DataFrame:
+    """``p, size, own, l`` of ``sets`` (p, s): ``own`` elements no other set has, the others as (n, x) in the order of the number n of sets that have them."""
+    elements = sets.select("p", F.size("s").alias("size"), F.explode("s").alias("x"))
+    often = elements.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = elements.join(often, "x").groupBy("p", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("l"))
+    return rows.withColumn("own", F.col("size") - F.size("l"))
 
 
-def _early(sets: DataFrame, similarity: float) -> DataFrame:
-    """``p, size, left, x``: elements of ``sets`` (p, s) of which alike sets share one, with the number of a set's elements from there on.
+def _early(ranked: DataFrame, similarity: float) -> DataFrame:
+    """``p, size, left, x``: elements of which alike sets share one, with the number of a set's elements from there on.
 
     Alike sets of m and n elements share similarity / (1 + similarity) x (m + n) or more, so the
     first shared one comes before place m - similarity x m of the one and n - similarity x n of
     the other. Elements of one set only come first, and are shared by none.
     """
-    elements = sets.select("p", F.size("s").alias("size"), F.explode("s").alias("x"))
-    shared = _rare_first(elements, (), ("p", "size"))
-    own = F.col("size") - F.size("l")
     most = F.floor(F.col("size") * (100 - _percent(similarity)) / 100 + 1e-9).cast("int") + 1
-    early = shared.withColumn("own", own).where(most > F.col("own"))
-    early = early.select("p", "size", "own", F.posexplode(F.slice("l", F.lit(1), most - F.col("own"))).alias("at", "t"))
+    early = ranked.where(most > F.col("own")).select("p", "size", "own", F.posexplode(F.slice("l", F.lit(1), most - F.col("own"))).alias("at", "t"))
     return early.select("p", "size", (F.col("size") - F.col("own") - F.col("at")).alias("left"), F.col("t.x").alias("x"))
 
 
@@ -90,46 +87,53 @@ def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return one.join(two, "x").where(fits).select("a", "b").distinct()
 
 
-def _by_difference(hot: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """From ``hot`` (x, p, root, size): links (a, b) with each element's largest set, and pairs (a, b) to be compared.
+def _by_difference(hot: DataFrame, ranked: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """From ``hot`` (x, p, root, size): links (a, b) with the largest set under each element, and pairs (a, b) to be compared.
 
     With k = (1 - similarity) / (1 + similarity), sets are alike if they differ in k x (sum of
     their sizes) elements or fewer. Let c be the largest set under an element and d the number of
     elements in which a set differs from it. Two sets of sizes m, n that differ from c in d, e
     elements share (d + e - k (m + n)) / 2 of these or more if they are alike. That is above zero
     if one of them is not alike to c, and bounds the places of the first shared one on both sides.
+
+    A difference is ordered by what few others are likely to share: first elements that only the
+    set has; then those that c has not, by the number of sets that have them, and those that c
+    has and the set lacks, by the number of members less that; last those that only c has, which
+    all lack and which stand together as one.
     """
     p = _percent(similarity)
     k = (100 - p) / (100 + p)
-    centre = hot.groupBy("x").agg(F.max(F.struct("size", "p", "root")).alias("c"))
-    centre = centre.select("x", F.col("c.p").alias("c"), F.col("c.root").alias("c_root")).join(sets.select(F.col("p").alias("c"), F.col("s").alias("cs")), "c")
-    rows = hot.select("x", "p", "root").join(sets, "p").join(centre, "x")
-    other = F.concat(F.array_except("s", "cs"), F.array_except("cs", "s"))
-    rows = rows.select("x", "p", "root", "c", "c_root", F.size("s").alias("m"), F.size("cs").alias("mc"), other.alias("delta")).withColumn("d", F.size("delta"))
+    centre = hot.groupBy("x").agg(F.max(F.struct("size", "p", "root")).alias("c")).select("x", F.col("c.p").alias("g"), F.col("c.root").alias("g_root"))
+    # Elements with the same largest set are one group: a set is in it once, and no member is larger.
+    rows = store(hot.join(centre, "x").select("g", "g_root", "p", "root").distinct().where("p != g"), "set-groups")
+    rows = rows.join(rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")), "g")
+    rows = rows.join(ranked.select("p", "own", "l", F.col("size").alias("m")), "p").join(ranked.select(F.col("p").alias("g"), F.col("own").alias("g_own"), F.col("l").alias("gl"), F.col("size").alias("mc")), "g")
+    element = "struct<n:bigint,k:int,x:bigint>"
+    more = F.transform(F.array_except("l", "gl"), lambda t: F.struct(t["n"].alias("n"), F.lit(0).alias("k"), t["x"].alias("x")).cast(element))
+    less = F.transform(F.array_except("gl", "l"), lambda t: F.struct((F.col("members") - t["n"]).alias("n"), F.lit(1).alias("k"), t["x"].alias("x")).cast(element))
+    last = F.when(F.col("g_own") > 0, F.array(F.struct(F.col("members").alias("n"), F.lit(2).alias("k"), F.lit(0).alias("x")).cast(element))).otherwise(F.array().cast(f"array<{element}>"))
+    rows = rows.withColumns({"more": more, "less": less})
+    rows = rows.withColumn("d", F.col("own") + F.col("g_own") + F.size("more") + F.size("less")).withColumn("l", F.concat(F.sort_array(F.concat("more", "less")), last))
     near = (100 + p) * F.col("d").cast("long") <= (100 - p) * (F.col("m") + F.col("mc")).cast("long")
-    rows = store(rows.withColumn("near", near).withColumn("now", F.when(near, F.col("c_root")).otherwise(F.col("root"))), "set-differences")
-    links = rows.where("near AND root != c_root").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
-    # Groups that are one component by now need no more.
-    open_ = _mixed(rows.select("x", "p", F.col("now").alias("root"))).select("x")
-    elements = rows.join(open_, "x", "left_semi").select(F.col("x").alias("g"), "p", "now", "m", "mc", "d", "near", F.explode("delta").alias("x"))
-    shared = _rare_first(elements, ("g",), ("p", "now", "m", "mc", "d", "near"))
+    rows = rows.withColumn("near", near).withColumn("now", F.when(near, F.col("g_root")).otherwise(F.col("root")))
     m, mc, d, most = F.col("m"), F.col("mc"), F.col("d"), F.least(F.col("m") * 100 / p, F.col("mc"))
     # With a partner that differs in as many elements or more, and with one that differs in as many or fewer.
     low = F.when(F.col("near"), F.greatest(d - k * (m + most) / 2, (d + k * (mc - m)) / 2)).otherwise(d - k * (m + most) / 2)
     high = F.when(F.col("near"), (d + k * (mc - m)) / 2).otherwise((d - k * (m + most)) / 2)
-    places = lambda need: d - F.greatest(F.lit(1), F.ceil(need - 1e-9)).cast("int") + 1
-    shared = shared.withColumn("own", d - F.size("l")).withColumn("low", places(low)).withColumn("high", places(high))
-    last = F.greatest("low", "high") - F.col("own")
-    front = lambda upto: F.slice(F.col("l.x"), F.lit(1), F.greatest(F.lit(0), F.col(upto) - F.col("own"))).alias(f"{upto}_front")
-    early = shared.where(last > 0).select("g", "p", "now", "m", "d", "near", "own", front("low"), front("high"), F.posexplode(F.slice("l", F.lit(1), last)).alias("at", "t"))
-    early = early.select("g", F.col("t.x").alias("x"), "p", "now", "m", "d", "near", "at", (d - F.col("own") - F.col("at")).alias("left"), "low_front", "high_front")
-    one = early.where(F.col("at") < F.size("low_front")).select("g", "x", F.col("p").alias("a"), F.col("now").alias("r"), F.col("m").alias("ma"), F.col("d").alias("da"), F.col("near").alias("na"), F.col("left").alias("u"), "low_front")
-    two = early.where(F.col("at") < F.size("high_front")).select("g", "x", F.col("p").alias("b"), F.col("now").alias("t"), F.col("m").alias("mb"), F.col("d").alias("db"), F.col("near").alias("nb"), F.col("left").alias("v"), "high_front")
+    front = lambda need: F.slice("l", F.lit(1), F.greatest(F.lit(0), d - F.greatest(F.lit(1), F.ceil(need - 1e-9)).cast("int") + 1 - F.col("own")))
+    rows = store(rows.select("g", "g_root", "p", "root", "now", "m", "d", "near", "own", front(low).alias("low"), front(high).alias("high")), "set-differences")
+    links = rows.where("near AND root != g_root").select(F.col("g").alias("a"), F.col("p").alias("b")).distinct()
+    # Groups that are one component by now need no more; c itself is in its own.
+    open_ = _mixed(rows.select("g", F.col("now").alias("root")).unionByName(rows.select("g", F.col("g_root").alias("root"))), "g").select("g")
+    rows = rows.join(open_, "g", "left_semi")
+    place = (F.col("d") - F.col("own") - F.col("at")).alias("left")
+    one = rows.select("*", F.posexplode("low").alias("at", "t")).select("g", "t", F.col("p").alias("a"), F.col("now").alias("r"), F.col("m").alias("ma"), F.col("d").alias("da"), F.col("near").alias("na"), place.alias("u"), "low")
+    two = rows.select("*", F.posexplode("high").alias("at", "t")).select("g", "t", F.col("p").alias("b"), F.col("now").alias("s"), F.col("m").alias("mb"), F.col("d").alias("db"), F.col("near").alias("nb"), place.alias("v"), "high")
     ordered = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    fits = (F.col("r") != F.col("t")) & ordered & ~(F.col("na") & F.col("nb")) & (F.least("u", "v") >= (F.col("da") + F.col("db") - k * (F.col("ma") + F.col("mb"))) / 2 - 1e-9)
+    fits = (F.col("r") != F.col("s")) & ordered & ~(F.col("na") & F.col("nb")) & (F.least("u", "v") >= (F.col("da") + F.col("db") - k * (F.col("ma") + F.col("mb"))) / 2 - 1e-9)
     # Sets that share several elements early meet at the first of them only.
-    fits = fits & (F.get(F.array_intersect("low_front", "high_front"), F.lit(0)) == F.col("x"))
-    return links, one.join(two, ["g", "x"]).where(fits).select("a", "b").distinct()
+    fits = fits & (F.get(F.array_intersect("low", "high"), F.lit(0)) == F.col("t"))
+    return links, one.join(two, ["g", "t"]).where(fits).select("a", "b").distinct()
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -142,7 +146,8 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def crowd_roots(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``(p, root)`` of ``crowd`` (p, root) with all components joined that alike sets connect."""
-    early = store(_early(crowd.select("p").join(sets, "p"), similarity), "set-elements")
+    ranked = store(_ranked(crowd.select("p").join(sets, "p")), "set-ranked")
+    early = store(_early(ranked, similarity), "set-elements")
     roots = crowd
     link = lambda pairs: verified(pairs, sets, similarity).where("alike").select("a", "b")
     now = lambda: early.join(roots, "p").select("x", "p", "root", "size", "left")
@@ -170,10 +175,10 @@ def crowd_roots(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     hot = rows.join(mixed.where(F.col("n") > FEW).select("x"), "x", "left_semi")
     found = store(link(_pairs(few, similarity)), "set-links")
     if hot.take(1):
-        near, pairs = _by_difference(hot, sets, similarity)
+        near, pairs = _by_difference(hot, ranked, similarity)
         found = store(found.unionByName(near).unionByName(link(pairs)), "set-links")
     out = store(_joined(roots, found), "set-roots")
-    for table in (early, rows, found):
+    for table in (ranked, early, rows, found):
         discard(table)
     return out
 
