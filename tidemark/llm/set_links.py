@@ -117,9 +117,11 @@ def _by_difference(hot: DataFrame, ranked: DataFrame, similarity: float) -> tupl
     near = (100 + p) * F.col("d").cast("long") <= (100 - p) * (F.col("m") + F.col("mc")).cast("long")
     rows = rows.withColumn("near", near).withColumn("now", F.when(near, F.col("g_root")).otherwise(F.col("root")))
     m, mc, d, most = F.col("m"), F.col("mc"), F.col("d"), F.least(F.col("m") * 100 / p, F.col("mc"))
+    # A partner of n elements differs from c in mc - n or more.
+    any_ = (d + mc - most - k * (m + most)) / 2
     # With a partner that differs in as many elements or more, and with one that differs in as many or fewer.
-    low = F.when(F.col("near"), F.greatest(d - k * (m + most) / 2, (d + k * (mc - m)) / 2)).otherwise(d - k * (m + most) / 2)
-    high = F.when(F.col("near"), (d + k * (mc - m)) / 2).otherwise((d - k * (m + most)) / 2)
+    low = F.greatest(any_, d - k * (m + most) / 2, F.when(F.col("near"), (d + k * (mc - m)) / 2))
+    high = F.greatest(any_, F.when(F.col("near"), (d + k * (mc - m)) / 2))
     front = lambda need: F.slice("l", F.lit(1), F.greatest(F.lit(0), d - F.greatest(F.lit(1), F.ceil(need - 1e-9)).cast("int") + 1 - F.col("own")))
     rows = store(rows.select("g", "g_root", "p", "root", "now", "m", "d", "near", "own", front(low).alias("low"), front(high).alias("high")), "set-differences")
     links = rows.where("near AND root != g_root").select(F.col("g").alias("a"), F.col("p").alias("b")).distinct()
