@@ -107,7 +107,7 @@ def _by_difference(hot: DataFrame, ranked: DataFrame, similarity: float) -> tupl
     # Elements with the same largest set are one group: a set is in it once, and no member is larger.
     rows = store(hot.join(centre, "x").select("g", "g_root", "p", "root").distinct().where("p != g"), "set-groups")
     rows = rows.join(rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")), "g")
-    rows = rows.join(ranked.select("p", "own", "l", F.col("size").alias("m")), "p").join(ranked.select(F.col("p").alias("g"), F.col("own").alias("g_own"), F.col("l").alias("gl"), F.col("size").alias("mc")), "g")
+    rows = rows.join(ranked.select("p", "own", "l", F.col("size").alias("m")), "p").join(ranked.select(F.col("p").alias("g"), F.col("own").alias("g_own"), F.col("l").alias("gl"), F.col("size").alias("mc")).hint("merge"), "g")
     element = "struct<n:bigint,k:int,x:bigint>"
     more = F.transform(F.array_except("l", "gl"), lambda t: F.struct(t["n"].alias("n"), F.lit(0).alias("k"), t["x"].alias("x")).cast(element))
     less = F.transform(F.array_except("gl", "l"), lambda t: F.struct((F.col("members") - t["n"]).alias("n"), F.lit(1).alias("k"), t["x"].alias("x")).cast(element))
@@ -135,7 +135,8 @@ def _by_difference(hot: DataFrame, ranked: DataFrame, similarity: float) -> tupl
     fits = (F.col("r") != F.col("s")) & ordered & ~(F.col("na") & F.col("nb")) & (F.least("u", "v") >= (F.col("da") + F.col("db") - k * (F.col("ma") + F.col("mb"))) / 2 - 1e-9)
     # Sets that share several elements early meet at the first of them only.
     fits = fits & (F.get(F.array_intersect("low", "high"), F.lit(0)) == F.col("t"))
-    return links, one.join(two, ["g", "t"]).where(fits).select("a", "b").distinct()
+    # Repeated fronts shrink in a shuffle, so its size would make Spark broadcast what is large.
+    return links, one.hint("merge").join(two, ["g", "t"]).where(fits).select("a", "b").distinct()
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
