@@ -518,6 +518,17 @@ def test_suffix_tree_equals_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
 
+def test_suffix_tree_keeps_rare_contexts(spark):
+    """Contexts and followers of three occurrences among 100,000 symbols, which shares of the corpus left out."""
+    r = random.Random(4)
+    rows = [(3 * k + 1, " ".join(str(r.randrange(400)) for _ in range(50))) for k in range(2000)]
+    rows += [(9001, "zig zag zog"), (9004, "zig zag zog"), (9007, "zig zag zog"), (9003, "zig zag zog"), (9006, "zag zig zog")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in suffix_tree_lm.scored(docs, F.col("doc_id") % 3 != 0).collect()}
+    assert got[9003].score > got[9003].base_score + 6
+    assert got[9003].score > got[9006].score + 6
+
+
 def test_suffix_arrays():
     r = random.Random(3)
     for _ in range(200):

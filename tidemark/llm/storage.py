@@ -9,7 +9,7 @@ import uuid
 from contextlib import contextmanager
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -55,6 +55,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_apart(df: DataFrame, condition: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """``store``, the rows where ``condition`` holds as one table and the others as another, by one job."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with _shuffles_dropped(spark):
+        df.withColumn("_holds", condition).write.option("compression", "zstd").partitionBy("_holds").parquet(path)
+    parts = [f"{path}/_holds={value}" for value in ("true", "false")]
+    for part in parts:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(part)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    yes, no = (spark.read.schema(df.schema).parquet(part) for part in parts)
+    return yes, no
+
+
 def discard(df: DataFrame) -> None:
     """Delete a stored table that nothing reads any more."""
     spark = df.sparkSession

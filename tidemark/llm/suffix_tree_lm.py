@@ -1,24 +1,26 @@
-"""A probabilistic suffix tree over words, learned and applied in passes over the corpus.
+"""A probabilistic suffix tree over words, its nodes kept as tables that shuffles spread by hash.
 
 Symbols are lower-cased words, and one end after each text. The root holds the counts of
-all training symbols, smoothed by one. Below it hang contexts of one word and more; the end
-of the text before stands for the start of a text, and no context reaches over it. A context
-is a candidate if it has at least ``MIN_SHARE`` of the training symbols behind it, and the
-one without its last word was a candidate; depth ends where there are none, or at
-``DEPTH``. A candidate is retained if its next-symbol counts diverge from those of its
-suffix: their gain in log likelihood has to pay ``0.5 ln N`` for each follower it stores.
-Next symbols of a context are discounted by ``DISCOUNT`` and share what that leaves with the
-next shorter retained context, down to the root, so that every context's distribution sums
-to one. A symbol is scored in the longest retained context that ends before it.
-
-Passes. The first counts words; the second writes each text as the indices of its frequent
-words; each depth, and the scoring, then reads these arrays and no text.
-
-Sizes. Contexts number at most 1 / MIN_SHARE by depth, followers that contexts store at most
-1 / FOLLOWER_SHARE, and words with an index at most ``FREQUENT``; these tables go to every
-task. All other words are rare: their counts stay distributed and reach the texts by a join.
-
-Words are known by their 64-bit hash.
+all training symbols, smoothed by one. Below it hang contexts of one word to ``DEPTH``; the
+end of the text before stands for the start of a text, and no context reaches over it. Every
+context that training has ``LEAST`` times or more is a candidate, and every next symbol that
+it has there ``LEAST`` times or more is stored; no share, rank or number bounds either, so
+the tree grows with the input. A candidate is retained if its next-symbol counts diverge
+from those of its suffix: their gain in log likelihood has to pay ``0.5 ln N`` for each
+follower it stores. Next symbols of a context are discounted by ``DISCOUNT`` and share what
+that leaves with the next shorter retained context, down to the root, so that every
+context's distribution sums to one. A symbol is scored in the longest retained context that
+ends before it.
+
+Rounds. Texts become chunks of about ``TOGETHER`` symbols. A chunk asks for what it needs by
+hash: each distinct key once, in packs by bucket of keys. A bucket adds up what the chunks sent
+with a key and answers each pack. Words are asked for once; then each depth takes two rounds,
+one for the counts of the words with their context, one for the contexts (the first chunk
+that met a stored follower sends its part of the gain). A run of words can be there
+``LEAST`` times only if it is without its first and without its last word, so only such runs
+are asked for. Nothing is gathered by the driver but two totals, and no table goes to all tasks.
+
+Words and runs of words are known by their 64-bit hash.
 
 Defined cases: a null or empty text is its end alone; without training rows every
 probability is that of an unseen symbol, 1 (base and score are 0); repeated rows keep a row
@@ -27,215 +29,268 @@ each; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .memory import tidy
-from .storage import discard, store
+from .memory import give_back, tidy
+from .storage import discard, store, store_apart
 
-MIN_SHARE = 5e-5
-FOLLOWER_SHARE = 5e-7
-FREQUENT = 300_000
+#: The share of training symbols that a context needs besides ``LEAST`` occurrences: none.
+MIN_SHARE = 0.0
+LEAST = 2
 DISCOUNT = 0.75
 DEPTH = 4
-#: Symbols of texts that a task looks up together.
+#: Symbols of a chunk, of one text at least.
 TOGETHER = 400_000
+#: Bytes of text for each bucket of keys.
+BUCKET_BYTES = 6_000_000
 #: Stands for the end of a text; no text has it, as words hold no white space.
 END = b" "
 
+TABLE = "chunk long, bucket int, keys binary, sent binary, state binary"
+ANSWERS = "chunk long, bucket int, answer binary, total long, distinct long"
+
 
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words; bytes.lower and bytes.split know ASCII only."""
     return (text or "").encode().lower().split()
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - 2**63
+class Chunk:
+    """Texts one behind the other, with an end before the first as before all others."""
+
+    def __init__(self, number: int, ids: list, train: np.ndarray, wanted: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> None:
+        self.number, self.ids, self.train, self.wanted, self.sizes = number, ids, train, wanted, sizes
+        self.hashes, self.at = hashes, at  # distinct words, and which of them stands at each place
+        self.space, self.often = 1, np.zeros(0, np.int64)  # of probabilities at the root; counts of the distinct words
+        # By depth: counts of the runs that end at each place with a context of that depth, the
+        # masses that retained contexts leave, and which of them each place has, from 1 on.
+        self.counts: list[np.ndarray] = []
+        self.spare: list[np.ndarray] = []
+        self.which: list[np.ndarray] = []
+
+    @property
+    def state(self) -> bytes:
+        plain = pickle.dumps(vars(self))
+        return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+    @classmethod
+    def of_state(cls, state: bytes) -> Chunk:
+        chunk = cls.__new__(cls)
+        vars(chunk).update(pickle.loads(pa.decompress(state[8:], int.from_bytes(state[:8], "little"), codec="zstd", asbytes=True)))
+        return chunk
+
+    def count(self, n: int) -> np.ndarray:
+        """Training's count of the ``n`` words that end at each place; 0 where it is under ``LEAST`` for certain."""
+        return self.often[self.at] if n == 1 else self.counts[n - 2].astype(np.int64)
+
+    @property
+    def p(self) -> np.ndarray:
+        """Probability of each place's symbol, by the contexts known so far."""
+        p = (self.often + 1)[self.at] / self.space
+        for d, (spare, which) in enumerate(zip(self.spare, self.which, strict=True), 1):
+            place = np.nonzero(which)[0]
+            c = self.count(d + 1)[place]
+            own = np.where(c >= LEAST, (c - DISCOUNT) / self.count(d)[place - 1], 0.0)
+            p[place] = own + spare[which[place] - 1] * p[place]
+        return p
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes + 1
+
+    def runs(self, n: int) -> np.ndarray:
+        """Hash of the ``n`` words that end at each place."""
+        one = self.hashes[self.at]
+        out = one
+        for _ in range(n - 1):
+            out = np.append(np.uint64(0), out[:-1]) * np.uint64(0x9E3779B97F4A7C15) + one
+            out ^= out >> np.uint64(29)
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+            out ^= out >> np.uint64(32)
+        return out
+
+    def after(self, n: int) -> np.ndarray:
+        """Places that have ``n`` symbols of their text before them, its start included, which training has ``LEAST`` times."""
+        place = np.arange(1, len(self.at)) - np.repeat(self.starts, self.sizes) + 1
+        return np.nonzero((place >= n) & (self.count(n)[:-1] >= LEAST))[0] + 1
+
+    def table(self, buckets: int, keys: np.ndarray, sent: np.ndarray) -> pd.DataFrame:
+        """The chunk's own row, and one for each bucket with the keys it asks for and what it sends with them (columns)."""
+        bucket, order = self.order(buckets, keys)
+        cut = np.nonzero(np.diff(bucket[order]))[0] + 1
+        packs = [part for part in np.split(order, cut) if len(part)]
+        return pd.DataFrame({
+            "chunk": self.number, "bucket": pd.array([None, *(bucket[part[0]] for part in packs)], dtype="Int32"),
+            "keys": [None, *(keys[part].tobytes() for part in packs)], "sent": [None, *(sent[part].tobytes() for part in packs)],
+            "state": [self.state, *[None] * len(packs)],
+        })
+
+    @staticmethod
+    def order(buckets: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket = (keys % np.uint64(buckets)).astype(np.int32)
+        return bucket, np.argsort(bucket, kind="stable")
+
+    # What is asked for: keys, what is sent with each, and the key of each of the places that need it.
+
+    def words_asked(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.hashes, np.bincount(self.at[1:], np.repeat(self.train, self.sizes), len(self.hashes)).astype(np.int64)
+
+    def runs_asked(self, depth: int) -> tuple[np.ndarray, ...]:
+        place = self.after(depth)
+        place = place[self.count(depth)[place] >= LEAST]
+        keys, first, of = np.unique(self.runs(depth + 1)[place], return_index=True, return_inverse=True)
+        return keys, np.bincount(of, np.repeat(self.train, self.sizes)[place - 1], len(keys)).astype(np.int64), place, first, of
+
+    def contexts_asked(self, depth: int, mine: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``mine``: the places whose followers this chunk sends."""
+        place = self.after(depth)
+        keys, of = np.unique(self.runs(depth)[place - 1], return_inverse=True)
+        n = self.count(depth)
+        context, c, parent = of[np.searchsorted(place, mine)], self.count(depth + 1)[mine].astype(float), self.p[mine]
+        gain = c * np.log(c / n[mine - 1] / parent)
+        sums = [np.bincount(context, weights, len(keys)) for weights in (np.ones(len(mine)), c, parent, gain)]
+        # Zeros take next to no room in a shuffle.
+        each = np.zeros(len(keys))
+        each[context] = n[mine - 1]
+        return keys, np.stack([each, *sums], axis=1), place, of
+
+    # What comes back.
+
+    def take_words(self, answer: np.ndarray, total: int, distinct: int) -> None:
+        self.often, self.space = np.abs(answer), total + distinct + 1
+
+    def take_runs(self, depth: int, answer: np.ndarray) -> np.ndarray:
+        """Sets counts of runs one longer; returns the places whose followers this chunk sends."""
+        _, _, place, first, of = self.runs_asked(depth)
+        count = np.zeros(len(self.at), np.min_scalar_type(int(np.abs(answer).max(initial=0))))
+        count[place] = np.abs(answer)[of]
+        self.counts.append(count)
+        return np.sort(place[first[answer <= -LEAST]])
+
+    def take_contexts(self, depth: int, spare: np.ndarray) -> None:
+        place = self.after(depth)
+        _, of = np.unique(self.runs(depth)[place - 1], return_inverse=True)
+        retained = spare >= 0
+        number = np.cumsum(retained) * retained
+        which = np.zeros(len(self.at), np.min_scalar_type(int(number.max(initial=0))))
+        which[place] = number[of]
+        self.spare.append(spare[retained])
+        self.which.append(which)
+
+    def scores(self) -> pd.DataFrame:
+        sums = lambda x: np.add.reduceat(x[1:], self.starts - 1)
+        often = self.count(1)
+        base, full = np.log10((often + 1) / self.space), np.log10(self.p)
+        out = pd.DataFrame({"id": pd.Series(self.ids, dtype=object), "n_tokens": self.sizes, "n_known": sums((often > 0).astype(np.int64)), "base_score": sums(base), "score": sums(full)})
+        return out[self.wanted]
+
+
+def _first_table(buckets: int):
+    """Chunks of the texts, which ask for their words."""
 
+    @tidy
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}  # words of the chunk, by order of coming
+        at: list[np.ndarray] = []
+        ids, train, wanted = [], [], []
+        held = made = 0
+
+        def chunk() -> pd.DataFrame:
+            nonlocal made
+            sizes = np.fromiter(map(len, at), np.int64, len(at))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+            one = Chunk((TaskContext.get().partitionId() << 32) + made, ids, np.array(train), np.array(wanted), sizes, hashes, np.concatenate([np.zeros(1, np.int32), *at]).astype(np.min_scalar_type(len(hashes))))
+            made += 1
+            return one.table(buckets, *one.words_asked())
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        counts: Counter[bytes] = Counter()
-        for text in batch["text"]:
-            counts.update(words(text))
-        counts[END] = len(batch)
-        yield pd.DataFrame({"h": [_hash(w) for w in counts], "c": list(counts.values())})
-
+        for batch in batches:
+            for i, t, w, text in zip(batch["id"], batch["train"], batch["wanted"], batch["text"], strict=True):
+                if not known:
+                    known[END] = 0
+                found = words(text)
+                at.append(np.fromiter([*(known.setdefault(x, len(known)) for x in found), 0], np.int32, len(found) + 1))
+                ids.append(i)
+                train.append(t)
+                wanted.append(w)
+                held += len(found) + 1
+                if held >= TOGETHER:
+                    yield chunk()
+                    known, at, ids, train, wanted, held = {}, [], [], [], [], 0
+        if at:
+            yield chunk()
 
-class Index:
-    """Numbers of the frequent words by their hash, for a task's texts."""
+    return rows
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = np.sort(hashes)
-        self.known: dict[bytes, int] = {}
 
-    def of(self, found: list[bytes]) -> np.ndarray:
-        """Index of each word, -1 where it is rare."""
-        new = list(set(found) - self.known.keys())
-        if new:
-            h = np.fromiter(map(_hash, new), np.int64, len(new))
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            number = np.where(self.hashes[at] == h, at, -1)
-            if len(self.known) > 500_000:
-                self.known.clear()
-                return self.of(found)
-            self.known.update(zip(new, number.tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+def _sums(keys: list[bytes], sent: list[bytes], kind: type, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct key comes first, which key each place has, sums by key, and where packs end."""
+    _, first, of = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_index=True, return_inverse=True)
+    values = np.frombuffer(b"".join(sent), kind).reshape(-1, columns)
+    sums = np.stack([np.bincount(of, values[:, k], len(first)) for k in range(columns)], axis=1)
+    return first, of, sums, np.cumsum([len(k) // 8 for k in keys])
 
 
-def _token_rows(hashes):
-    """Indices of the symbols of each text (-1: rare), and the hash and number of its rare words."""
+def _answers(packs: pd.DataFrame, answer: np.ndarray, ends: np.ndarray, total: int = 0, distinct: int = 0) -> pd.DataFrame:
+    none = [0] * (len(packs) - 1)
+    return pd.DataFrame({"chunk": packs["chunk"], "bucket": packs["bucket"], "answer": [a.tobytes() for a in np.split(answer, ends[:-1])], "total": [total, *none], "distinct": [distinct, *none]})
 
-    @tidy
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(hashes.value)
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
-                found: list[bytes] = []
-                ends = []
-                for text in part["text"]:
-                    found += words(text)
-                    found.append(END)
-                    ends.append(len(found))
-                ids = index.of(found).astype(np.int32)
-                starts = [0, *ends[:-1]]
-                rare = [[(_hash(w), n) for w, n in Counter(found[i] for i in (np.nonzero(ids[a:b] < 0)[0] + a).tolist()).items()] for a, b in zip(starts, ends, strict=True)]
-                yield pd.DataFrame({"row": part["row"].to_numpy(), "id": part["id"].to_numpy(), "train": part["train"].to_numpy(), "ids": pd.Series(np.split(ids, ends[:-1]), dtype=object), "rare": rare})
 
-    return rows
+def _count(packs: pd.DataFrame) -> pd.DataFrame:
+    """Training's count of each key; negative for the first chunk that asks for it."""
+    first, of, sums, ends = _sums(packs["keys"].tolist(), packs["sent"].tolist(), np.int64, 1)
+    c = sums[:, 0].astype(np.int64)
+    answer = c[of]
+    answer[first] *= -1
+    give_back()
+    return _answers(packs, answer, ends, int(c.sum()), int((c > 0).sum()))
 
 
-def _parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Runs of texts with about ``TOGETHER`` symbols."""
-    run = np.cumsum(batch["ids"].map(len).to_numpy()) // TOGETHER
-    for k in np.unique(run):
-        yield batch[run == k]
-
-
-class Level:
-    """Contexts of one depth: sorted keys of all candidates, their words, and of each retained one its number, spare mass and followers."""
-
-    def __init__(self, keys: np.ndarray, words_of: np.ndarray) -> None:
-        self.keys, self.words = keys, words_of
-        self.number = np.full(len(keys), -1)
-        self.spare = np.zeros(0)  # log of the mass that a context leaves to its suffix
-        self.followers, self.own = np.zeros(0, np.int64), np.zeros(0)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-class Tree:
-    """The root and the levels of contexts."""
-
-    def __init__(self, root: np.ndarray, end: int) -> None:
-        self.root = root  # log probability by word index
-        self.end = end
-        self.levels: list[Level] = []
-
-    def joined(self, texts: pd.Series) -> np.ndarray:
-        """Texts one behind the other, with an end before the first as before all others."""
-        return np.concatenate([[max(self.end, -1)], *texts.tolist()]).astype(np.int64)
-
-    def rows(self, ids: np.ndarray) -> Iterator[np.ndarray]:
-        """By depth, the candidate that ends before each place (-1: none)."""
-        before = np.append(-1, ids[:-1]).astype(np.int64)
-        row = None
-        for level in self.levels:
-            if row is None:
-                # The key of a context is its own last word below the row of the one without it.
-                here, key = np.nonzero(before >= 0)[0], before
-            else:
-                key = np.append(-1, row[:-1])
-                here = np.nonzero((key >= 0) & (before >= 0) & (before != self.end))[0]
-                key = key * FREQUENT + before
-            row = np.full(len(ids), -1)
-            row[here] = _find(level.keys, key[here])
-            yield row
-
-    def chain(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each place: probability from the tree, given the root's (nan: rare word), and
-        the log factor a rare word's root probability has there."""
-        p = np.where(ids >= 0, np.exp(self.root[np.maximum(ids, 0)]) if len(self.root) else np.nan, np.nan)
-        factor = np.zeros(len(ids))
-        for level, row in zip(self.levels, self.rows(ids), strict=True):
-            here = np.nonzero(row >= 0)[0]
-            number = level.number[row[here]]
-            here, number = here[number >= 0], number[number >= 0]
-            factor[here] += level.spare[number]
-            hit = _find(level.followers, np.where(ids[here] >= 0, number * FREQUENT + ids[here], -1))
-            mine = np.where(hit >= 0, level.own[np.maximum(hit, 0)] if len(level.own) else 0.0, 0.0)
-            p[here] = mine + np.exp(level.spare[number]) * p[here]
-        return p, factor
-
-
-def _count_followers(tree):
-    """(row of the deepest context, follower, count) of a part of a batch; follower -1 stands for all rare ones."""
+def _retain(total: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The mass that each retained context leaves to its suffix; -1 for others."""
 
-    @tidy
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for part in _parts(batch):
-                ids = tree.value.joined(part["ids"])
-                *_, row = tree.value.rows(ids)
-                ids, row = ids[1:], row[1:]
-                place = np.nonzero(row >= 0)[0]
-                parts.append(row[place] * (FREQUENT + 1) + ids[place] + 1)
-            key, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
-            yield pd.DataFrame({"context": key // (FREQUENT + 1), "follower": key % (FREQUENT + 1) - 1, "c": c})
-
-    return count
-
-
-def _grown(tokens: DataFrame, tree: Tree, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Retain contexts of the tree's last level; returns the frequent (candidate, follower) for the next."""
-    shared = tokens.sparkSession.sparkContext.broadcast(tree)
-    level = tree.levels[-1]
-    size = len(level.keys)
-    rows = tokens.where("train").select("ids").mapInPandas(_count_followers(shared), "context long, follower long, c long")
-    counts = store(rows.groupBy("context", "follower").agg(F.sum("c").alias("c")), "followers")
-    least = max(2, int(np.ceil(FOLLOWER_SHARE * total)))
-    # At most 1 / FOLLOWER_SHARE followers have that share of all training symbols, and 1 / MIN_SHARE contexts theirs.
-    kept = counts.where((F.col("c") >= least) & (F.col("follower") >= 0)).orderBy("context", "follower").toPandas()
-    sums = counts.groupBy("context").agg(F.sum("c").alias("n")).toPandas()
-    shared.destroy()
-    discard(counts)
-    n = np.zeros(size)
-    n[sums["context"].to_numpy(np.int64)] = sums["n"]
-    context, follower, c = (kept[x].to_numpy(np.int64) for x in ("context", "follower", "c"))
-    # Parent probability of each follower: the tree so far, on the context's words and it.
-    lines = np.concatenate([level.words[context], follower[:, None], np.full((len(context), 1), -1)], axis=1)
-    parent = tree.chain(lines.ravel())[0].reshape(lines.shape)[:, -2] if len(context) else np.zeros(0)
-    gain = np.zeros(size)
-    np.add.at(gain, context, c * np.log(np.maximum(c / np.maximum(n[context], 1), 1e-300) / np.maximum(parent, 1e-300)))
-    stored = np.bincount(context, minlength=size)
-    mass = np.bincount(context, weights=c, minlength=size)
-    # The followers that are not stored are one more symbol of the divergence.
-    with np.errstate(divide="ignore", invalid="ignore"):
+    def spare(packs: pd.DataFrame) -> pd.DataFrame:
+        first, of, sums, ends = _sums(packs["keys"].tolist(), packs["sent"].tolist(), np.float64, 5)
+        n = np.zeros(len(first))
+        np.maximum.at(n, of, np.frombuffer(b"".join(packs["sent"]), np.float64).reshape(-1, 5)[:, 0])
+        _, stored, mass, behind, gain = sums.T
+        # The followers that are not stored are one more symbol of the divergence.
         other = n - mass
-        behind = np.maximum(1 - np.bincount(context, weights=parent, minlength=size), 1e-12)
-        gain += np.where(other > 0, other * np.log(other / np.maximum(n, 1) / behind), 0)
-    retained = (n > 0) & (stored > 0) & (gain > 0.5 * np.log(max(total, 2)) * (stored + 1))
-    level.number[retained] = np.arange(int(retained.sum()))
-    use = retained[context]
-    own = (c - DISCOUNT) / np.maximum(n[context], 1)
-    left = 1 - np.bincount(context, weights=own, minlength=size)
-    level.spare = np.log(np.maximum(left[retained], 1e-12))
-    level.followers, level.own = level.number[context[use]] * FREQUENT + follower[use], own[use]
-    often = (c >= max(least, int(np.ceil(MIN_SHARE * total)))) & (follower != tree.end)
-    return context[often], follower[often]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = gain + np.where(other > 0, other * np.log(other / n / np.maximum(1 - behind, 1e-12)), 0)
+        retained = (stored > 0) & (gain > 0.5 * np.log(max(total, 2)) * (stored + 1))
+        left = np.maximum(1 - (mass - DISCOUNT * stored) / n, 1e-12)
+        give_back()
+        return _answers(packs, np.where(retained, left, -1.0)[of], ends)
+
+    return spare
+
+
+def _next(states: DataFrame, answers: DataFrame, step: Callable[[Chunk, Callable[[np.ndarray, type], np.ndarray]], pd.DataFrame], schema: str) -> DataFrame:
+    """Chunks with the answers to them; ``step`` takes a chunk and what puts its answers in the order of its keys."""
+
+    def rows(own: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
+        chunk = Chunk.of_state(own["state"].iloc[0])
+        got = b"".join(packs.sort_values("bucket")["answer"])
+
+        def by_key(order: np.ndarray, kind: type) -> np.ndarray:
+            out = np.zeros(len(order), kind)
+            out[order] = np.frombuffer(got, kind)
+            return out
+
+        out = step(chunk, by_key)
+        give_back()
+        return out
+
+    return states.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "answer").groupBy("chunk")).applyInPandas(rows, schema)
 
 
 def scored(docs: DataFrame, train: Column | DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -243,69 +298,66 @@ def scored(docs: DataFrame, train: Column | DataFrame, id_col: str = "doc_id", t
 
     ``train``: which rows of ``docs`` to learn from, or a table of other rows.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
     own = isinstance(train, Column)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (F.coalesce(train, F.lit(False)) if own else F.lit(False)).alias("train"), F.lit(True).alias("wanted"), F.col(text_col).alias("text"))
+    # Ids travel as text, so that nulls among them leave the others as they are.
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), (F.coalesce(train, F.lit(False)) if own else F.lit(False)).alias("train"), F.lit(True).alias("wanted"), F.col(text_col).alias("text"))
     if not own:
-        none = F.lit(None)
-        texts = texts.unionByName(train.select(none.cast("long").alias("row"), none.cast(kind).alias("id"), F.lit(True).alias("train"), F.lit(False).alias("wanted"), F.col(text_col).alias("text")))
-    counted = texts.where("train").select("text").mapInPandas(tidy(_count_words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    counts = store(counted, "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # The smallest count that leaves at most FREQUENT words, from counts by their logarithm.
-    level = F.floor(F.log2("c") * 8).cast("int")
-    levels, number, floor = counts.groupBy(level.alias("l")).count().orderBy(F.desc("l")).collect(), 0, None
-    for r in levels:
-        number += r["count"]
-        if number > FREQUENT:
-            break
-        floor = r["l"]
-    frequent = counts.where(level >= floor).toPandas() if floor is not None else pd.DataFrame({"h": [], "c": []})
-    frequent = frequent.sort_values("h")
-    hashes, c = frequent["h"].to_numpy(np.int64), frequent["c"].to_numpy(np.float64)
-    space = np.log(total + distinct + 1)
-    shared = spark.sparkContext.broadcast(hashes if len(hashes) else np.array([2**63 - 1]))
-    # Rows of other tables are learned from only: their row number is null.
-    tokens = texts.select(F.when(F.col("wanted"), F.col("row")).alias("row"), "id", "train", "text")
-    tokens = store(tokens.mapInPandas(_token_rows(shared), f"row long, id {kind}, train boolean, ids array<int>, rare array<struct<h:long,n:long>>"), "tokens")
-    end = int(_find(hashes, np.array([_hash(END)]))[0])
-    tree = Tree(np.log(c + 1) - space, end if end >= 0 else -2)
-    candidates = np.nonzero(c >= max(1, MIN_SHARE * total))[0]
-    keys, words_of = candidates, candidates[:, None]
-    while len(keys) and total and len(tree.levels) < depth:
-        tree.levels.append(Level(keys, words_of))
-        context, follower = _grown(tokens, tree, total)
-        keys = context * FREQUENT + follower
-        order = np.argsort(keys)
-        keys, words_of = keys[order], np.concatenate([words_of[context], follower[:, None]], axis=1)[order]
-    model = spark.sparkContext.broadcast(tree)
-
-    @tidy
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = model.value
-        for batch in batches:
-            for part in _parts(batch):
-                ids = tree.joined(part["ids"])
-                p, factor = (x[1:] for x in tree.chain(ids))
-                ids = ids[1:]
-                size = part["ids"].map(len).to_numpy()
-                starts = np.cumsum(size) - size
-                known = ids >= 0
-                base = np.where(known, tree.root[np.maximum(ids, 0)] if len(tree.root) else 0.0, 0.0)
-                full = np.where(known, np.log(np.where(known, p, 1.0)), factor)
-                yield pd.DataFrame({
-                    "row": part["row"].to_numpy(np.int64), "id": part["id"].to_numpy(), "n_tokens": size,
-                    "n_frequent": np.add.reduceat(known, starts, dtype=np.int64), "base": np.add.reduceat(base, starts), "full": np.add.reduceat(full, starts),
-                })
-
-    wanted = tokens.where("row is not null")
-    sums = wanted.select("row", "id", "ids").mapInPandas(score, f"row long, id {kind}, n_tokens long, n_frequent long, base double, full double")
-    # Rare words: their logarithms by row, from a join with their counts.
-    met = wanted.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.n").join(counts, "h", "left")
-    log = F.col("n") * (F.log(F.coalesce("c", F.lit(0)) + 1.0) - float(space))
-    rare = met.groupBy("row").agg(F.sum(log).alias("log"), F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))), F.lit(0)).alias("n_rare"))
-    ten, zero = float(np.log(10)), F.lit(0.0)
-    per = sums.join(rare, "row", "left")
-    score_of = lambda x: (F.col(x) + F.coalesce("log", zero)) / ten
-    return per.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), score_of("base").alias("base_score"), score_of("full").alias("score"))
+        texts = texts.unionByName(train.select(F.lit(None).cast("string").alias("id"), F.lit(True).alias("train"), F.lit(False).alias("wanted"), F.col(text_col).alias("text")))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + size // BUCKET_BYTES
+
+    def stored(table: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """The chunks, and the answers to what they ask for."""
+        packs, states = store_apart(table, F.col("bucket").isNotNull(), "chunks")
+        answers = store(packs.select("chunk", "bucket", "keys", "sent").groupBy("bucket").applyInPandas(answer, ANSWERS), "answers")
+        discard(packs)
+        return states.select("chunk", "state"), answers
+
+    def following(states: DataFrame, answers: DataFrame, step: Callable, answer: Callable) -> tuple[DataFrame, DataFrame]:
+        new = stored(_next(states, answers, step, TABLE), answer)
+        discard(states)
+        discard(answers)
+        return new
+
+    states, answers = stored(texts.mapInPandas(_first_table(buckets), TABLE), _count)
+    total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+
+    def with_words(chunk: Chunk, by_key: Callable) -> None:
+        keys, _ = chunk.words_asked()
+        chunk.take_words(by_key(Chunk.order(buckets, keys)[1], np.int64), total, distinct)
+
+    def with_contexts(d: int) -> Callable:
+        def step(chunk: Chunk, by_key: Callable) -> None:
+            keys = np.unique(chunk.runs(d)[chunk.after(d) - 1])
+            chunk.take_contexts(d, by_key(Chunk.order(buckets, keys)[1], np.float64))
+
+        return step
+
+    def then_runs(before: Callable, d: int) -> Callable:
+        def step(chunk: Chunk, by_key: Callable) -> pd.DataFrame:
+            before(chunk, by_key)
+            return chunk.table(buckets, *chunk.runs_asked(d)[:2])
+
+        return step
+
+    def with_runs(d: int) -> Callable:
+        def step(chunk: Chunk, by_key: Callable) -> pd.DataFrame:
+            keys, *_ = chunk.runs_asked(d)
+            mine = chunk.take_runs(d, by_key(Chunk.order(buckets, keys)[1], np.int64))
+            return chunk.table(buckets, *chunk.contexts_asked(d, mine)[:2])
+
+        return step
+
+    last = with_words
+    for d in range(1, depth + 1):
+        states, answers = following(states, answers, then_runs(last, d), _count)
+        states, answers = following(states, answers, with_runs(d), _retain(int(total)))
+        last = with_contexts(d)
+
+    def scores(chunk: Chunk, by_key: Callable) -> pd.DataFrame:
+        last(chunk, by_key)
+        return chunk.scores()
+
+    found = _next(states, answers, scores, "id string, n_tokens long, n_known long, base_score double, score double")
+    return found.select(F.col("id").cast(kind).alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
