@@ -53,6 +53,46 @@ def test_line_field(spark, docs, nothing, labels):
     assert line_crf.scored(nothing, None, score_col="s").count() == 0
 
 
+def test_line_field_describes_little_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    field = line_crf.Field(np.zeros(line_crf.WIDTH), np.ones(line_crf.WIDTH), np.linspace(-1, 1, 3 * line_crf.WIDTH + 3), np.eye(2))
+    column = pd.Series([f"line {k} of a text, and more of it.\nanother one\n" * 40 for k in range(3000)] + [None, ""])
+    want = line_crf.score_texts([(t or "").encode() for t in column], field)
+    tracemalloc.start()
+    got = line_crf.score_column(column, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want, atol=1e-12) and len(got) == 3002
+    assert peak < 40_000_000  # 2 MB of text described at once took 63 MB, besides the whole batch in bytes
+
+
+def test_memory_is_given_back_after_the_last_row():
+    import weakref
+
+    from tidemark.llm import memory
+
+    class Table:
+        pass
+
+    seen = []
+
+    def rows(batches):
+        table = Table()
+        seen.append(weakref.ref(table))
+        yield from batches
+
+    before, memory.give_back = memory.give_back, lambda: seen.append(seen[0]())
+    try:
+        assert list(memory.tidy(rows)(iter([1, 2]))) == [1, 2]
+    finally:
+        memory.give_back = before
+    assert seen[1] is None  # what the task held is gone by then
+
+
 def test_marginals_equal_enumeration():
     import itertools
 

@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .memory import give_back, tidy
+from .memory import tidy
 
 SAMPLE = 6_000
 ROUNDS = 250
 RIDGE = 1e-3
 #: Bytes of text whose lines are described together.
-CHUNK = 2_000_000
+CHUNK = 250_000
 
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "symbol": b"#*$%&|<>", "shout": b"!?", "space": b" \t\r\x0b\x0c", "mark": b".,;:'\"()-"}
 _KIND = np.zeros(256, np.int64)
@@ -152,6 +152,20 @@ def score_texts(texts: list[bytes], field: Field | None, prior: float = 0.5) ->
     return np.where(total > 0, np.bincount(of, weights=size * good, minlength=len(texts)) / np.maximum(total, 1), 0.0)
 
 
+def score_column(column: pd.Series, field: Field | None, prior: float = 0.5) -> np.ndarray:
+    """Scores of a batch of texts, of which ``CHUNK`` bytes are described at a time."""
+    parts, chunk, held = [np.zeros(0)], [], 0
+    for text in column:
+        chunk.append((text or "").encode())
+        held += len(chunk[-1])
+        if held > CHUNK:
+            parts.append(score_texts(chunk, field, prior))
+            chunk, held = [], 0
+    if chunk:
+        parts.append(score_texts(chunk, field, prior))
+    return np.concatenate(parts)
+
+
 def learn(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[Field | None, float]:
     """The field fitted on a bounded sample of the labels where ``use`` holds, and the share of good ones."""
     rows = labels.where(use & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
@@ -179,18 +193,9 @@ def scored(docs: DataFrame, field: Field | None, prior: float = 0.5, text_col: s
     shared = docs.sparkSession.sparkContext.broadcast((field, prior))
 
     @F.pandas_udf("double")
+    @tidy
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in batches:
-            texts, parts, chunk, held = [(t or "").encode() for t in column], [], [], 0
-            for text in texts:
-                chunk.append(text)
-                held += len(text)
-                if held > CHUNK:
-                    parts.append(score_texts(chunk, *shared.value))
-                    chunk, held = [], 0
-            if chunk:
-                parts.append(score_texts(chunk, *shared.value))
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-        give_back()
+            yield pd.Series(score_column(column, *shared.value))
 
     return docs.withColumn(score_col, score(F.col(text_col)))

@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .memory import give_back
+from .memory import tidy
 from .pair_table import NONE, PairTable
 
 MARK = "▁"
@@ -234,13 +234,13 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_
     """``docs`` with the piece ids of each whole text. ``model``: a path that every executor can read."""
 
     @F.pandas_udf("array<int>")
+    @tidy
     def ids(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         pieces, known = Pieces(model), {}
         for texts, hashes in batches:
             keys = hashes.to_numpy(np.int64).view(np.uint64)
             for k in range(0, len(texts), TOGETHER):
                 yield pd.Series(_encoded(pieces, known, texts[k : k + TOGETHER].tolist(), keys[k : k + TOGETHER], dropout), dtype=object)
-        give_back()
 
     return docs.withColumn(ids_col, ids(F.col(text_col), _document(id_col, seed)))
 
@@ -249,6 +249,7 @@ def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0,
     """``decode(encode(docs))`` in one Python process for each task, which then loads one piece table and sends the ids once."""
 
     @F.pandas_udf("ids array<int>, decoded string")
+    @tidy
     def both(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         pieces, known = Pieces(model), {}
         for texts, hashes in batches:
@@ -257,7 +258,6 @@ def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0,
                 ids = _encoded(pieces, known, texts[k : k + TOGETHER].tolist(), keys[k : k + TOGETHER], dropout)
                 decoded = [None if row is None else pieces.decode(row.tolist()) for row in ids]
                 yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
-        give_back()
 
     coded = docs.withColumn("_coded", both(F.col(text_col), _document(id_col, seed)))
     return coded.withColumns({ids_col: F.col("_coded.ids"), decoded_col: F.col("_coded.decoded")}).drop("_coded")
@@ -267,6 +267,7 @@ def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "d
     """``docs`` with the text of each row of ids."""
 
     @F.pandas_udf("string")
+    @tidy
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = Pieces(model)
         for rows in batches:
