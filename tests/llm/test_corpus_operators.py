@@ -569,6 +569,22 @@ def test_suffix_tree_keeps_rare_contexts(spark):
     assert got[9003].score > got[9006].score + 6
 
 
+def test_paragraph_rows_hold_whole_keys():
+    """Rows with and without keys side by side: no key goes through a floating-point number."""
+    import pyarrow as pa
+
+    long = " ".join(f"w{k % 37} of{k}" for k in range(60))
+    rows = [(None, None), (1, ""), (2, "One two\nthree\n\none TWO"), (3, f"a b c d e f\n{long}\nA B c d e f"), (4, long)]
+    batch = pa.RecordBatch.from_pylist([{"doc": i, "h": 2**62 + k, "text": t} for k, (i, t) in enumerate(rows)], pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("text", pa.string())]))
+    got = [r for b in paragraph_dedup._unit_rows(iter([batch])) for r in b.to_pylist()]
+    of = {2**62 + k: [w for line in paragraph_dedup.lines_of(t) for w in line] for k, (_, t) in enumerate(rows)}
+    assert sorted((r["h"], r["k"]) for r in got if r["k"] is not None) == [(2**62 + k, len(paragraph_dedup.lines_of(t))) for k, (_, t) in enumerate(rows)]
+    places = [r for r in got if r["p"] is not None]
+    assert all((r["p"], r["q"]) == paragraph_dedup.paragraph_key(b" ".join(of[r["h"]][r["start"] : r["start"] + r["n"]])) for r in places)
+    assert sum(r["n"] == 120 for r in places) == 2 and any(r["n"] < 120 and r["h"] == 2**62 + 4 for r in places)
+    assert sorted((r["words"], r["c"], len(r["keys"])) for r in places if r["keys"]) == [(b"a b c d e f", 2, 8), (long.encode(), 2, 8)]
+
+
 def test_suffix_arrays():
     r = random.Random(3)
     for _ in range(200):

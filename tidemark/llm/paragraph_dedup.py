@@ -26,18 +26,18 @@ rows are merged); a null id sorts last; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .memory import give_back, tidy
+from .memory import tidy
 from .set_links import linked
 from .storage import store
 
@@ -93,6 +93,12 @@ class Hashed:
         self.size = np.fromiter(map(len, paras), np.int64, len(paras))
         self.flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(paras)), np.uint64, int(self.size.sum()))
 
+    def only(self, these: np.ndarray) -> Hashed:
+        """Those paragraphs where ``these`` is true."""
+        out = Hashed([])
+        out.size, out.flat = self.size[these], self.flat[np.repeat(these, self.size)]
+        return out
+
     def shingles(self, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of all paragraphs, and where each one's start; one shingle for fewer words than ``size``."""
         full = np.maximum(self.size, size)
@@ -152,70 +158,97 @@ class Hashed:
 _UNIT = "h long, start int, n int, k int, p long, q long, c int, keys array<long>, words binary"
 
 
-def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each paragraph and piece, and one for each document, with ``k``, the number of its paragraphs.
 
     ``keys``, ``words`` and ``c`` (the number of its places) stand at the first place of a paragraph among documents that are handled together.
     """
     hashes = _WordHashes()
 
-    def rows(docs: list[tuple]) -> pd.DataFrame:
+    def rows(batch: pa.RecordBatch, first: int, texts: list[list[list[bytes]]]) -> pa.RecordBatch:
+        """The rows of the documents of ``batch`` from ``first`` on, with these lines."""
         known: dict[bytes, int] = {}
         paras: list[list[bytes]] = []
-        places: list[tuple] = []
-        seen: Counter[int] = Counter()
-        for doc, h, lines in docs:
-            places.append((doc, h, None, None, len(lines), None, None, -1))
-            at = 0
-            for words in lines:
-                joined = b" ".join(words)
-                number = known.setdefault(joined, len(paras))
-                if number == len(paras):
-                    paras.append(words)
-                seen[number] += 1
-                places.append((doc, h, at, len(words), None, None, None, number))
-                at += len(words)
+        numbers: list[int] = []
+        for words in chain.from_iterable(texts):
+            number = known.setdefault(b" ".join(words), len(paras))
+            if number == len(paras):
+                paras.append(words)
+            numbers.append(number)
+        lines = np.fromiter(map(len, texts), np.int64, len(texts))
+        number = np.array(numbers, np.int64)
+        size = np.fromiter(map(len, paras), np.int64, len(paras))
+        of = np.repeat(np.arange(len(texts)), lines)  # the document of each line
+        n = size[number]
+        before = np.append(0, np.cumsum(n))
+        start = before[:-1] - before[(np.cumsum(lines) - lines)[of]]
         joined = list(known)
-        ids = list(map(paragraph_key, joined))
-        signed = [x for x, words in enumerate(paras) if len(words) >= SHINGLE]
-        keys = dict(zip(signed, Hashed([paras[x] for x in signed], hashes).keys(), strict=True)) if signed else {}
-        long = [x for x, words in enumerate(paras) if len(words) > LONG]
-        pieces: dict[int, list[tuple]] = {}
-        for x, cut in zip(long, Hashed([paras[x] for x in long], hashes).cuts(), strict=True) if long else ():
+        ids = np.array(list(map(paragraph_key, joined)), np.int64).reshape(-1, 2)
+        signed = np.nonzero(size >= SHINGLE)[0]
+        hashed = Hashed([paras[x] for x in signed.tolist()], hashes)
+        keys = hashed.keys() if len(signed) else np.zeros((0, BANDS), np.int64)
+        long = np.nonzero(size > LONG)[0].tolist()
+        pieces: list[tuple] = []  # paragraph, start, size and key
+        for x, cut in zip(long, hashed.only(hashed.size > LONG).cuts(), strict=True) if long else ():
             if len(cut) > 2:
-                pieces[x] = [(a, b - a, *paragraph_key(b" ".join(paras[x][a:b]))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        out = []
-        for doc, h, at, n, k, _, _, x in places:
-            if x < 0:
-                out.append((doc, h, None, None, k, None, None, None, None, None))
-                continue
-            first = keys.pop(x, None)
-            out.append((doc, h, at, n, None, *ids[x], *((seen[x], first, joined[x]) if first is not None else (None, None, None))))
-            for a, size, p, q in pieces.get(x, ()):
-                out.append((doc, h, at + a, size, None, p, q, None, None, None))
-        table = pd.DataFrame(out, columns=["doc", "h", "start", "n", "k", "p", "q", "c", "keys", "words"])
-        return table.astype({x: "Int64" for x in ("start", "n", "k", "p", "q", "c")})
+                words = paras[x]
+                pieces += [(x, a, b - a, *paragraph_key(b" ".join(words[a:b]))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        piece = np.array(pieces, np.int64).reshape(-1, 5)
+        count = np.bincount(piece[:, 0], minlength=len(paras))
+        # The pieces of each line's paragraph.
+        line = np.repeat(np.arange(len(number)), count[number])
+        each = np.arange(len(line)) - np.repeat(np.cumsum(count[number]) - count[number], count[number]) + (np.cumsum(count) - count)[number[line]]
+        # Paragraphs with keys at their first line.
+        at = np.unique(number, return_index=True)[1][signed]
+        key_of = np.full(len(number), -1)
+        key_of[at] = np.arange(len(signed))
+        total = len(texts) + len(number) + len(line)
+        place = np.append(key_of, np.full(len(line), -1))
+        shown = pa.array(np.append(np.full(len(texts), -1), place), mask=np.append(np.ones(len(texts), bool), place < 0))
+        no_doc = np.append(np.ones(len(texts), bool), np.zeros(total - len(texts), bool))
+        column = lambda kind, lines_, pieces_: pa.array(np.concatenate([np.zeros(len(texts), np.int64), lines_, pieces_]), kind, mask=no_doc)
+        docs = pa.array(first + np.concatenate([np.arange(len(texts)), of, of[line]]))
+        offsets = np.arange(0, BANDS * len(signed) + 1, BANDS, dtype=np.int32)
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc").take(docs), batch.column("h").take(docs),
+            column(pa.int32(), start, start[line] + piece[each, 1]), column(pa.int32(), n, piece[each, 2]),
+            pa.array(np.append(lines, np.zeros(total - len(texts), np.int64)), pa.int32(), mask=~no_doc),
+            column(pa.int64(), ids[number, 0], piece[each, 3]), column(pa.int64(), ids[number, 1], piece[each, 4]),
+            pa.array(np.bincount(number, minlength=len(paras))[signed], pa.int32()).take(shown),
+            pa.ListArray.from_arrays(offsets, keys.ravel()).take(shown),
+            pa.array([joined[x] for x in signed.tolist()], pa.binary()).take(shown),
+        ], ["doc", "h", "start", "n", "k", "p", "q", "c", "keys", "words"])
 
     for batch in batches:
-        held, docs = 0, []
-        for doc, h, text in zip(batch["doc"], batch["h"], batch["text"], strict=True):
-            docs.append((doc, h, lines_of(text)))
-            held += sum(map(len, docs[-1][2]))
+        held, texts, first = 0, [], 0
+        for text in batch.column("text"):
+            texts.append(lines_of(text.as_py()))
+            held += sum(map(len, texts[-1]))
             if held > TOGETHER:
-                yield rows(docs)
-                held, docs = 0, []
-        if docs:
-            yield rows(docs)
+                yield rows(batch, first, texts)
+                held, texts, first = 0, [], first + len(texts)
+        if texts:
+            yield rows(batch, first, texts)
 
 
 def shingle_sets(words: Column, size: int = SHINGLE) -> Column:
     """The distinct shingles' hashes of folded words (binary), sorted."""
 
     @F.pandas_udf("array<long>")
+    @tidy
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = _WordHashes()
         for column in batches:
-            yield pd.Series([np.unique(Hashed([text.split()]).shingles(size)[0]).view(np.int64) for text in column], dtype=object)
-        give_back()
+            out: list[np.ndarray] = []
+            held, paras = 0, []
+            for k, text in enumerate(column, 1):
+                paras.append(text.split())
+                held += len(paras[-1])
+                if held > TOGETHER or k == len(column):
+                    h, start = Hashed(paras, hashes).shingles(size)
+                    out += [np.unique(part).view(np.int64) for part in np.split(h, start[1:])]
+                    held, paras = 0, []
+            yield pd.Series(out, dtype=object)
 
     return sets(words)
 
@@ -240,7 +273,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     ``passages`` (start, end) of words to remove, and ``kept_in``, the ids of the documents that keep what repeats. With ``inside``, what an earlier place of the same document has repeats too."""
     plain = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     kind = plain.schema["doc"].dataType.simpleString()
-    units = store(plain.mapInPandas(tidy(_unit_rows), f"doc {kind}, {_UNIT}"), "paragraphs")
+    units = store(plain.mapInArrow(tidy(_unit_rows), f"doc {kind}, {_UNIT}"), "paragraphs")
     places = units.where("p is not null").select("doc", "h", "start", "n", "p", "q")
     roots = similar(units.where("keys is not null"), similarity)
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "h", "start")
