@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -569,6 +570,35 @@ def test_suffix_tree_keeps_rare_contexts(spark):
     assert got[9003].score > got[9006].score + 6
 
 
+@pytest.mark.parametrize("heavy", [1, 6, 40, 150])
+def test_suffix_tree_with_a_trunk(spark, monkeypatch, heavy):
+    """Contexts too frequent for one bucket, at all depths, with rare followers, beside branches in several waves."""
+    r = random.Random(heavy)
+    lines = ["ann likes hot tea", "bob likes hot soup", "eve likes hot milk", "the sea is wide and the sea is deep"]
+    rows = [(k, " ".join(r.choice([*lines, f"likes {k}", f"the sea {k}", r.choice("uvwxyz")]) for _ in range(r.randrange(1, 12)))) for k in range(300)]
+    rows += [(400, None), (401, "unseen words only"), (402, "red fox unseen"), (403, "the sea unseen likes hot unseen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, value in (("HEAVY", heavy), ("HEAVY_BYTES", 10**9), ("BUCKET_BYTES", 4000), ("TOGETHER", 200)):
+        monkeypatch.setattr(suffix_tree_lm, name, value)
+    got = {x.doc_id: x.score for x in suffix_tree_lm.scored(docs, F.col("doc_id") % 3 != 0).collect()}
+    want = brute_tree_scores(rows, lambda i: i % 3 == 0)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_suffix_tree_stores_little(spark, monkeypatch):
+    """What the operator writes between its steps stays under twice the texts, whatever the depth."""
+    stored = []
+    size = lambda *tables: stored.append(sum(Path(f.removeprefix("file:")).stat().st_size for t in tables for f in t.inputFiles()))
+    store, store_apart = suffix_tree_lm.store, suffix_tree_lm.store_apart
+    monkeypatch.setattr(suffix_tree_lm, "store", lambda *a: [x := store(*a), size(x)][0])
+    monkeypatch.setattr(suffix_tree_lm, "store_apart", lambda *a: [x := store_apart(*a), size(*x)][0])
+    r = random.Random(5)
+    rows = [(k, " ".join(f"word{int(r.paretovariate(0.4)) % 20000}" for _ in range(400))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert suffix_tree_lm.scored(docs, F.col("doc_id") % 7 != 2).count() == 3000
+    assert 0 < sum(stored) < 2 * sum(len(t) for _, t in rows)
+
+
 def test_paragraph_rows_hold_whole_keys():
     """Rows with and without keys side by side: no key goes through a floating-point number."""
     import pyarrow as pa
