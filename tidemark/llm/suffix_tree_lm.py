@@ -193,13 +193,16 @@ class Chunk:
     def take_words(self, buckets: int, packs: pd.DataFrame, total: int, distinct: int) -> None:
         self.often, number, self.heavy = self.answers((self.hashes % np.uint64(buckets)).astype(np.int64), packs)
         self.number_of, self.space, self.hashes = _small(number), total + distinct + 1, None
+        self.narrow = distinct * buckets < 2**32 or distinct < 2**31
         self.next_heavy = np.nonzero(self.heavy[self.at[:-1]])[0] + 1
         self.next_n = self.often[self.at[self.next_heavy - 1]]
 
     # Trunk: ``next_heavy`` are the places behind a trunk context of ``depth``.
 
     def run(self, place: np.ndarray, length: int) -> np.ndarray:
-        """Hash of the ``length`` words that end at each place."""
+        """Key of the ``length`` words that end at each place: two numbers side by side where they fit, else a hash."""
+        if length == 2 and self.narrow:
+            return self.number_of[self.at[place - 1]].astype(np.uint64) << np.uint64(32) | self.number_of[self.at[place]]
         out = np.zeros(len(place), np.uint64)
         for k in range(length - 1, -1, -1):
             out = _longer(out, self.number_of[self.at[place - k]].astype(np.uint64))
@@ -213,13 +216,15 @@ class Chunk:
     def trunk_asked(self, depth: int, buckets: int) -> tuple[np.ndarray, ...]:
         place = self.next_heavy[self.known]
         keys, first, of = np.unique(self.run(place, depth + 1), return_index=True, return_inverse=True)
-        return place, first, of, keys, (keys % np.uint64(buckets)).astype(np.int64)
+        return place, first, of, keys, (_mix(keys * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
 
     def trunk_packs(self, depth: int, buckets: int) -> pd.DataFrame:
         place, first, of, keys, bucket = self.trunk_asked(depth, buckets)
         weight = np.repeat(self.train, self.sizes)[place - 1]
         mine, every = (np.bincount(of, w, len(keys)).astype(np.uint64) for w in (weight, None))
-        return self.packs(bucket, keys, mine, every, self.p[place[first]], self.run(place[first] - 1, depth), self.next_n[self.known][first])
+        # Behind the root, the count takes less room than the probability.
+        p = self.often[self.at[place[first]]].astype(np.uint64) if depth == 1 else self.p[place[first]]
+        return self.packs(bucket, keys, mine, every, p, self.run(place[first] - 1, depth), self.next_n[self.known][first].astype(np.uint64))
 
     def take_trunk(self, depth: int, buckets: int, packs: pd.DataFrame, contexts: np.ndarray, n: np.ndarray, left: np.ndarray) -> None:
         """``contexts``: hashes of all trunk contexts of the depth, sorted, with their counts and what they leave."""
@@ -350,7 +355,7 @@ def _count_words(buckets: int, heavy: int) -> Callable[[pd.DataFrame], pd.DataFr
     return count
 
 
-def _count_trunk(heavy: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _count_trunk(heavy: int, depth: int, space: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Of each follower of a trunk context: its count, whether with it the context stays in the trunk; sums by context."""
 
     def count(packs: pd.DataFrame) -> pd.DataFrame:
@@ -359,7 +364,7 @@ def _count_trunk(heavy: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         c, every = (np.bincount(of, x, len(keys)).astype(np.int64) for x in (mine, every))
         often, stored = (c >= LEAST) & (every > heavy), c >= LEAST
         contexts, at, which = np.unique(contexts[first], return_index=True, return_inverse=True)
-        n, p = n[first][at], p[first]
+        n, p = n[first][at], (p[first].astype(float) + 1) / space if depth == 1 else p[first]
         with np.errstate(divide="ignore", invalid="ignore"):
             logs = np.where(stored, c * np.log(c / p), 0)
         sums = [n.astype(float), *(np.bincount(which, x, len(contexts)) for x in (stored, c * stored, p * stored, logs))]
@@ -517,7 +522,7 @@ def scored(docs: DataFrame, train: Column | DataFrame, id_col: str = "doc_id", t
     d = 0
     while trunk and d < depth:
         d += 1
-        answers, (_, _, trunk) = answered(_each(states, lambda chunk, d=d: chunk.trunk_packs(d, buckets)), _count_trunk(heavy))
+        answers, (_, _, trunk) = answered(_each(states, lambda chunk, d=d: chunk.trunk_packs(d, buckets)), _count_trunk(heavy, d, total + distinct + 1))
         sums = answers.where("sums IS NOT NULL").select("sums").mapInPandas(_sum_rows, SUMS)
         sums = sums.groupBy("context").agg(F.max("n").alias("n"), *(F.sum(x).alias(x) for x in sums.columns[2:])).toPandas()
         contexts = sums.pop("context").to_numpy(np.int64).view(np.uint64)
