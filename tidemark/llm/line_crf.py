@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .memory import tidy
+from .memory import release, tidy
 
 SAMPLE = 6_000
 ROUNDS = 250
@@ -179,7 +179,14 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", "text", F.col("_y").alias("y"))
-    got = texts.mapInPandas(lines, f"id {kind}, y int, x array<double>").toPandas().sort_values("id", kind="stable")
+    learned = _fitted(texts.mapInPandas(lines, f"id {kind}, y int, x array<double>"))
+    release(docs.sparkSession)
+    return learned
+
+
+def _fitted(lines: DataFrame) -> tuple[Field | None, float]:
+    """The field of ``lines`` (id, y, x), which are brought to the driver, and the share of good ones."""
+    got = lines.toPandas().sort_values("id", kind="stable")
     x = [np.asarray(v).reshape(-1, WIDTH) for v in got["x"]]
     y = got["y"].to_numpy(float)
     if len(set(y.tolist())) < 2:

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .memory import release
 from .storage import discard, store
 
 #: Sets under one early element up to which their pairs are taken.
@@ -170,6 +171,7 @@ def crowd_roots(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFra
             if turn:
                 discard(before)
         discard(stars)
+        release(crowd.sparkSession)
         if WORTH * alike < compared or not alike:
             break
     rows = store(now(), "set-rows")
@@ -180,6 +182,7 @@ def crowd_roots(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     if hot.take(1):
         near, pairs = _by_difference(hot, ranked, similarity)
         found = store(found.unionByName(near).unionByName(link(pairs)), "set-links")
+    release(crowd.sparkSession)
     out = store(_joined(roots, found), "set-roots")
     for table in (ranked, early, rows, found):
         discard(table)
@@ -207,6 +210,7 @@ def linked(units: DataFrame, sets_of: Callable[[Column], Column], similarity: fl
     roots = store(connected_components(first.where("alike").select("a", "b")), "band-roots")
     rooted = met.select("key", "p").join(roots.withColumnRenamed("node", "p"), "p", "left").select("key", "p", F.coalesce("root", "p").alias("root"))
     crowd = store(rooted.join(_mixed(rooted, "key").select("key"), "key", "left_semi").select("p", "root").distinct(), "band-crowd")
+    release(units.sparkSession)
     found = roots
     if crowd.take(1):
         after = crowd_roots(crowd, sets, similarity)
@@ -220,4 +224,5 @@ def linked(units: DataFrame, sets_of: Callable[[Column], Column], similarity: fl
         discard(roots)
     for table in (met, sets, first, crowd):
         discard(table)
+    release(units.sparkSession)
     return found

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import paragraph_dedup
 from .components import connected_components
-from .memory import give_back, tidy
+from .memory import give_back, release, tidy
 from .storage import discard, store
 
 SEED = 42
@@ -152,6 +152,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     candidates = equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("a != b")
     # Texts without a word have no shingles; they are all alike.
     candidates = store(candidates, "simhash-candidates")
+    release(docs.sparkSession)
     roots = paragraph_dedup.similar(rows.where("keys is not null"), similarity, candidates)
     found = rows.select("id", "h", "p", "q").join(roots.withColumnRenamed("node", "p"), "p", "left")
     found = store(found.select("id", "h", F.struct(F.coalesce("root", "p").alias("root"), F.when(F.col("root").isNull(), F.col("q")).alias("q")).alias("class")), "near-classes")
