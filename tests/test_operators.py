@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tidemark import queries
 from tidemark.functions import normalize as N
 from tidemark.operators import features, graph, incidents, serving
 
@@ -86,3 +88,22 @@ def test_sinks(spark, tmp_path):
     new = sinks.upsert_latest(rows, spark.createDataFrame([("a", 9, T0)], rows.schema), "entity_id", "ts")
     assert sorted((r.entity_id, r.v) for r in new.collect()) == [("a", 9), ("b", 2)]
     assert sinks.apply_retention(rows, "ts", 1, T0 + dt.timedelta(days=2)).count() == 1
+
+
+def test_exfil_mean_of_earlier_rows_alone(spark, tmp_path):
+    """Rows of one time, at the limit, infinite or without entity or time: as the query's SQL has them."""
+    hour, inf = 3_600_000_000, float("inf")
+    # user, microseconds, value; ids in this order. At the limit: 36.2 is three times the mean of six zeros and three of it.
+    rows = [(1, 0, 0.0)] * 6 + [(1, hour, 36.2)] * 5 + [(2, 0, 13.38)] * 6 + [(2, hour, 120.42)] * 4
+    rows += [(3, 0, 1.0), (3, 1, inf), (3, 24 * hour, 4.0), (3, 48 * hour, 9.0), (4, 0, 1.0), (4, 24 * hour, 4.0), (4, 48 * hour + 1, 9.0)]
+    rows += [(5, 0, 1.0), (5, 0, 7.0), (5, 0, None), (5, 1, 13.0), (6, 0, 5.0), (6, 1, float("nan")), (6, 1, 50.0)]
+    rows += [(None, 0, 1.0), (None, 1, 9.0), (7, None, 1.0), (7, None, 9.0), (8, 0, -1.0), (8, 1, 9.0)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE r (event_id BIGINT, user_id BIGINT, us BIGINT, value DOUBLE)")
+    con.executemany("INSERT INTO r VALUES (?, ?, ?, ?)", [(k, *row) for k, row in enumerate(rows)])
+    con.execute(f"COPY (SELECT event_id, make_timestamp(us) AS ts, user_id, 'view' AS event_type, value FROM r) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    got = sorted(tuple(r) for r in queries.QUERIES["detect_data_exfil"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(queries.SQL["detect_data_exfil"]).fetchall())
+    # 9 and 19 are at the limit, 22 is infinite.
+    assert {9, 19, 22} & {k for k, _ in got} == {22}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -40,14 +41,17 @@ def detect_priv_escalation(events: DataFrame, text: str = "message") -> DataFram
 
 
 def detect_data_exfil(traffic: DataFrame, ratio: float = 3.0, seconds: int = 60) -> DataFrame:
-    """Rows above ``ratio`` times the mean of the entity's earlier rows in the window."""
-    at = F.unix_micros("ts")
-    back = W.partitionBy("entity_id").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
-    later = W.partitionBy("entity_id", "at").orderBy("event_id").rowsBetween(0, W.unboundedFollowing)
-    rows = traffic.withColumn("at", at)
-    total = F.sum("outbound_bytes").over(back) - F.sum("outbound_bytes").over(later)
-    count = F.count("outbound_bytes").over(back) - F.count("outbound_bytes").over(later)
-    rows = rows.withColumn("baseline", F.when(count > 0, total / count)).drop("at")
+    """Rows above ``ratio`` times the mean of the entity's earlier rows in the window.
+
+    Earlier is by time, then id. The mean is summed in that order from these rows alone: what is
+    taken off a sum again leaves rounding errors, and infinities leave no number.
+    """
+    first = W.partitionBy("entity_id").orderBy("at", "event_id")
+    rows = traffic.where(F.col("entity_id").isNotNull() & F.col("ts").isNotNull()).withColumn("at", F.unix_micros("ts"))
+    # Time with the row's rank as a fraction far below half a microsecond: one order for both ends of the frame.
+    rows = rows.withColumn("place", F.col("at") + F.rank().over(first) * F.lit(Decimal("1E-12")))
+    mean = f"avg(outbound_bytes) OVER (PARTITION BY entity_id ORDER BY place RANGE BETWEEN {seconds * 1_000_000}.5 PRECEDING AND 0.000000000001 PRECEDING)"
+    rows = rows.withColumn("baseline", F.expr(mean)).drop("at", "place")
     hits = rows.where((F.col("baseline") > 0) & (F.col("outbound_bytes") > ratio * F.col("baseline")))
     return hits.withColumn("severity", F.lit("HIGH")).withColumn("confidence", F.lit(85))
 
